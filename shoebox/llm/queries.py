@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from .common import read_table
+from .common import held_out, read_table
+
+
+def op2_quality_classifier(spark, sf_dir):
+    from . import quality_classifier
+
+    train = ~held_out(3, 1)
+    return quality_classifier.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), train)
+
+
+def op4_exact_dedup(spark, sf_dir):
+    from . import exact_dedup
+
+    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
 def op8_quality_rules(spark, sf_dir):
