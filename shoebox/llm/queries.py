@@ -5,6 +5,17 @@ from __future__ import annotations
 from .common import held_out, read_table
 
 
+def op1_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from . import byte_bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(read_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode(ids, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_quality_classifier(spark, sf_dir):
     from . import quality_classifier
 
@@ -24,6 +35,14 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.apply_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from . import packing
+
+    return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
