@@ -29,6 +29,15 @@ def op4_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from . import simhash
+
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark, sf_dir):
     from . import quality_rules
 
