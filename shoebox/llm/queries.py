@@ -38,6 +38,15 @@ def op5_simhash(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from . import suffix_dedup
+
+    found = suffix_dedup.cut_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark, sf_dir):
     from . import quality_rules
 
