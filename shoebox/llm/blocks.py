@@ -101,18 +101,23 @@ def coded(texts: list[bytes], units: Callable[[bytes], list[bytes]]) -> tuple[li
     return list(seen), np.concatenate(codes) if codes else np.zeros(0, np.int32), np.array(sizes, np.int64)
 
 
+def part_count(spark) -> int:
+    return 2 * partitions(spark)
+
+
 def owners(words: list[bytes], parts: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w) % parts for w in words), np.int32, len(words))
 
 
-def exchange(blocks: DataFrame, units: Callable[[bytes], list[bytes]], answer: Callable, finish: Callable, schema: str) -> DataFrame:
+def exchange(blocks: DataFrame, units: Callable[[bytes], list[bytes]], answer: Callable, finish: Callable, schema: str, known: DataFrame | None = None) -> DataFrame:
     """finish(block, doc_ids, texts, words, codes, sizes, place, arrays) for every block, as rows of `schema` (a pyarrow table).
 
     answer(words) is called in the words' owner with each distinct word once; it returns a function from an array of their
     numbers to the arrays that go back. codes: each position's word; sizes: each text's positions; place: each word's place
-    in the joined answers; arrays: the answers of each owner, in the order that place counts in.
+    in the joined answers; known: rows that owners keep, by `part` (see owners and part_count); answer(words, rows) then
+    gets those of its own part. arrays: the answers of each owner, in the order that place counts in.
     """
-    parts = 2 * partitions(blocks.sparkSession)
+    parts = part_count(blocks.sparkSession)
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
@@ -123,11 +128,11 @@ def exchange(blocks: DataFrame, units: Callable[[bytes], list[bytes]], answer: C
         groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
         return pa.table({"part": pa.array([part[g[0]] for g in groups], pa.int32()), "block": pa.array([block] * len(groups), pa.int32()), "words": pa.array([pack_strings([words[i] for i in g.tolist()]) for g in groups], pa.binary())})
 
-    def own(table: pa.Table) -> pa.Table:
+    def own(table: pa.Table, *rows: pa.Table) -> pa.Table:
         seen: dict[bytes, int] = {}
         number = seen.setdefault
         asked = [np.array([number(w, len(seen)) for w in unpack_strings(x.as_py())], np.int64) for x in table.column("words")]
-        reply = answer(list(seen))
+        reply = answer(list(seen), *rows)
         return pa.table({"block": table.column("block"), "part": table.column("part"), "answer": pa.array([pack_arrays(*reply(a)) for a in asked], pa.binary())})
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -141,7 +146,8 @@ def exchange(blocks: DataFrame, units: Callable[[bytes], list[bytes]], answer: C
         return finish(left.column("block")[0].as_py(), ids, texts, words, codes, sizes, place, arrays)
 
     asked = blocks.groupBy("block").applyInArrow(ask, _REQUESTS)
-    answered = asked.groupBy("part").applyInArrow(own, _ANSWERS)
+    asked = asked.groupBy("part")
+    answered = asked.applyInArrow(lambda t: own(t), _ANSWERS) if known is None else asked.cogroup(known.groupBy("part")).applyInArrow(lambda t, rows: own(t, rows), _ANSWERS)
     return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join, schema)
 
 

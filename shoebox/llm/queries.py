@@ -61,6 +61,12 @@ def op9_packing(spark, sf_dir):
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_brown_lm(spark, sf_dir):
+    from . import brown_lm
+
+    return brown_lm.score(read_table(spark, sf_dir, "documents"), modulus=10, remainder=0)
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
