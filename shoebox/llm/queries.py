@@ -23,6 +23,12 @@ def op2_quality_classifier(spark, sf_dir):
     return quality_classifier.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), train)
 
 
+def op3_html_text(spark, sf_dir):
+    from . import html_text
+
+    return html_text.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 def op4_exact_dedup(spark, sf_dir):
     from . import exact_dedup
 
@@ -47,6 +53,12 @@ def op6_suffix_dedup(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_chat_format(spark, sf_dir):
+    from . import chat_format
+
+    return chat_format.format_chats(read_table(spark, sf_dir, "conversations"))
+
+
 def op8_quality_rules(spark, sf_dir):
     from . import quality_rules
 
