@@ -35,10 +35,10 @@ def unpack_strings(value: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends, strict=False)]
 
 
-def pack_arrays(*arrays: np.ndarray) -> bytes:
+def pack_arrays(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Compressed little-endian arrays of any integer or float kind."""
     head = ";".join(f"{a.dtype.str}:{a.size}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=3).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def unpack_arrays(value: bytes) -> list[np.ndarray]:
@@ -63,7 +63,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = [], []
         for rows in np.split(order, cuts):
             keys.append(block[rows[0]])
-            values.append(pack_arrays(raw[rows], known[rows].astype(np.uint8), np.array([len(texts[r]) for r in rows], np.int64), np.frombuffer(b"".join(texts[r] for r in rows), np.uint8)))
+            values.append(pack_arrays(raw[rows], known[rows].astype(np.uint8), np.array([len(texts[r]) for r in rows], np.int64), np.frombuffer(b"".join(texts[r] for r in rows), np.uint8), level=6))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["block", "payload"])
 
 
