@@ -323,3 +323,13 @@ def cut_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFram
     sent = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, parts, splitters), "bucket int, block int, anchors binary")
     marks = sent.groupBy("bucket").applyInArrow(_compare, "block int, marks binary")
     return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+
+
+def kept_texts(cut: DataFrame) -> DataFrame:
+    """doc_id, text of rows of cut_repeats; bytes that no longer form a character are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")], pa.string())], ["doc_id", "text"])
+
+    return cut.select("doc_id", "kept").mapInArrow(run, "doc_id bigint, text string")
