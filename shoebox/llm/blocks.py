@@ -89,16 +89,24 @@ def documents_in(payloads: pa.ChunkedArray) -> tuple[list[int | None], list[byte
     return [None if null else i for null, i, _ in rows], [t for _, _, t in rows]
 
 
+def distinct(texts: list[bytes], units: Callable[[bytes], list[bytes]]) -> list[bytes]:
+    """The distinct units in order of appearance."""
+    seen: dict[bytes, None] = {}
+    for t in texts:
+        seen.update(dict.fromkeys(units(t)))
+    return list(seen)
+
+
 def coded(texts: list[bytes], units: Callable[[bytes], list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct units in order of appearance, each position's number among them, and how many each text has."""
-    seen: dict[bytes, int] = {}
-    number = seen.setdefault
+    words = distinct(texts, units)
+    number = {w: i for i, w in enumerate(words)}.__getitem__
     codes, sizes = [], []
     for t in texts:
-        own = [number(u, len(seen)) for u in units(t)]
+        own = units(t)
         sizes.append(len(own))
-        codes.append(np.array(own, np.int32))
-    return list(seen), np.concatenate(codes) if codes else np.zeros(0, np.int32), np.array(sizes, np.int64)
+        codes.append(np.fromiter(map(number, own), np.int32, len(own)))
+    return words, np.concatenate(codes) if codes else np.zeros(0, np.int32), np.array(sizes, np.int64)
 
 
 def part_count(spark) -> int:
@@ -122,7 +130,7 @@ def exchange(blocks: DataFrame, units: Callable[[bytes], list[bytes]], answer: C
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         _, texts = documents_in(table.column("payload"))
-        words, _, _ = coded(texts, units)
+        words = distinct(texts, units)
         part = owners(words, parts)
         order = np.argsort(part, kind="stable")
         groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
