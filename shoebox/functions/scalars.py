@@ -91,7 +91,7 @@ def media_type(mime: Column) -> Column:
 
 
 def file_stem(name: Column) -> Column:
-    return F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)
+    return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
 def file_extension(name: Column) -> Column:
@@ -143,7 +143,7 @@ def byte_size_text(n: Column) -> Column:
     """1536 -> '1.5 KB': base 1024, one decimal without a trailing zero, up to GB."""
     n = n.cast("bigint")
     unit = F.when(n < 1024, 0).when(n < 1 << 20, 1).when(n < 1 << 30, 2).otherwise(3)
-    scale = F.when(n < 1024, 1).when(n < 1 << 20, 1024).when(n < 1 << 30, 1 << 20).otherwise(1 << 30)
+    scale = F.when(n < 1024, 1).when(n < 1 << 20, 1024).when(n < 1 << 30, 1 << 20).otherwise(1 << 30).cast("bigint")
     tenths = F.floor((20 * n + scale) / (2 * scale)).cast("bigint")
     number = F.when(F.pmod(tenths, F.lit(10)) == 0, F.floor(tenths / 10).cast("string")).otherwise(F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), F.pmod(tenths, F.lit(10)).cast("string")))
     return F.when(F.coalesce(n, F.lit(0)) <= 0, F.lit("0 B")).otherwise(F.concat(number, F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), unit + 1)))

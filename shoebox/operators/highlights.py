@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 
 def on_this_day(media: DataFrame, today: str, org: str = "org", id: str = "id", at: str = "taken_at") -> DataFrame:
-    """org, year, n, photos (ids by time) taken on today's month and day in earlier years."""
+    """org, year, n, newest: how many photos were taken on today's month and day in earlier years, and the latest of them."""
     now = F.to_date(F.lit(today))
     rows = media.where((F.month(at) == F.month(now)) & (F.dayofmonth(at) == F.dayofmonth(now)) & (F.year(at) < F.year(now)))
-    return rows.groupBy(org, F.year(at).alias("year")).agg(F.count("*").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct(at, id))), lambda s: s[id]).alias("photos"))
+    return rows.groupBy(org, F.year(at).alias("year")).agg(F.count("*").alias("n"), F.max_by(id, F.struct(at, id)).alias("newest"))
 
 
 def best_of_month(media: DataFrame, n: int, org: str = "org", id: str = "id", at: str = "taken_at", favourite: str = "is_favorite") -> DataFrame:

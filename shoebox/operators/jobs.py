@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 
 # Job types and states.
-JOB_TYPES = ("clip_encode", "detect_faces", "ocr", "geocode", "phash", "recognize_faces")
+JOB_TYPES = ("compute_phash", "detect_faces", "encode_clip", "run_ocr", "reverse_geocode", "recognize_faces")
 STATUSES = ("pending", "processing", "done", "failed")
 MAX_ATTEMPTS = 3
 RETENTION_DAYS = 7
@@ -17,7 +17,7 @@ RETENTION_DAYS = 7
 def initial_jobs(media: DataFrame, ocr: bool = True, id: str = "id") -> DataFrame:
     """photo, job_type: three jobs for every photo, text recognition if enabled, geocoding if it has a position."""
     located = S.has_position(F.col("latitude"), F.col("longitude"))
-    kinds = F.array_compact(F.array(F.lit("clip_encode"), F.lit("detect_faces"), F.lit("phash"), F.when(F.lit(ocr), "ocr"), F.when(located, "geocode")))
+    kinds = F.array_compact(F.array(F.lit("compute_phash"), F.lit("detect_faces"), F.lit("encode_clip"), F.when(F.lit(ocr), "run_ocr"), F.when(located, "reverse_geocode")))
     return media.select(F.col(id).alias("photo"), F.explode(kinds).alias("job_type"))
 
 

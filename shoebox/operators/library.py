@@ -53,11 +53,18 @@ def matches_text(query: str, *columns: str, ocr: str | None = None) -> Column:
 
 
 def timeline(media: DataFrame, today: str, id: str = "id", at: str = "taken_at") -> DataFrame:
-    """date, label, n, photos (ids by falling time) for each day, latest day first; undated photos before all."""
-    day = S.day_key(F.col(at))
-    photos = F.transform(F.sort_array(F.collect_list(F.struct(F.col(at), F.col(id))), False), lambda s: s[id])
-    out = media.groupBy(day.alias("date")).agg(F.count("*").alias("n"), photos.alias("photos"))
-    return out.select("date", S.day_label(F.col("date"), today).alias("label"), "n", "photos").orderBy(F.desc("date"))
+    """date, label, n, newest (its latest photo) for each day, latest day first; undated photos come before all.
+
+    A day's photos are rows of timeline_rows(), not a list: no day is gathered into one row or task.
+    """
+    out = media.groupBy(S.day_key(F.col(at)).alias("date")).agg(F.count("*").alias("n"), F.max_by(id, F.struct(at, id)).alias("newest"))
+    return out.select("date", S.day_label(F.col("date"), today).alias("label"), "n", "newest").orderBy(F.desc("date"))
+
+
+def timeline_rows(media: DataFrame, today: str, id: str = "id", at: str = "taken_at") -> DataFrame:
+    """media with date and label, in the order of the timeline; sorted by range over all tasks."""
+    out = media.withColumn("date", S.day_key(F.col(at)))
+    return out.withColumn("label", S.day_label(F.col("date"), today)).orderBy(F.desc("date"), F.desc(at), id)
 
 
 def neighbours(media: DataFrame, by: str, id: str = "id", at: str = "taken_at") -> DataFrame:
@@ -157,7 +164,8 @@ def hybrid(library: DataFrame, semantic: DataFrame, text_hits: DataFrame, id: st
 
 def reorder(items: DataFrame, order: DataFrame) -> DataFrame:
     """items with the sort_order that order (id, sort_order) gives them; others keep theirs."""
-    return items.join(order.select("id", F.col("sort_order").alias("_new")), "id", "left").withColumn("sort_order", F.coalesce("_new", "sort_order")).drop("_new")
+    order = order.groupBy("id").agg(F.min("sort_order").alias("_new"))
+    return items.join(order, "id", "left").withColumn("sort_order", F.coalesce("_new", "sort_order")).drop("_new")
 
 
 def update(rows: DataFrame, ids: list, id: str = "id", **values: Column) -> DataFrame:

@@ -162,7 +162,7 @@ def ivf_search(queries: DataFrame, corpus: DataFrame, centres: np.ndarray, probe
     kind = corpus.schema[vector].dataType.simpleString()
     schema = f"list int, id long, vector {kind}"
     rows = usable(corpus, id, vector).mapInArrow(nearest(1), schema).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)))
-    asked = usable(queries, id, vector).mapInArrow(nearest(min(probes, lists)), schema).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))).cast("long"))
+    asked = usable(queries, id, vector).mapInArrow(nearest(min(probes, lists)), schema).withColumn("salt", F.explode(F.expr("sequence(0L, 7L)")))
 
     def match(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from . import jobs, library, media, scalars, search
+
+MODULES = (search.PLANS, library.PLANS, media.PLANS, jobs.PLANS, scalars.PLANS)
 
 
 def queries():
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.queries.items()}
 
 
 def oracle_sql():
-    return {k: s for m in MODULES for k, s in m.ORACLES.items()}
+    return {k: s for m in MODULES for k, s in m.oracles.items()}
