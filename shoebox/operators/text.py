@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,9 @@ def segment(text: str, scores: dict[str, float]) -> list[str]:
     if not text:
         return []
     text = "▁" + text.replace(" ", "▁")
-    best, via = [0.0], [0]
+    best, via, most = [0.0], [0], min(LONGEST, max(map(len, scores), default=1))
     for end in range(1, len(text) + 1):
-        found = [(best[k] + scores[text[k:end]], end - k) for k in range(max(0, end - LONGEST), end) if text[k:end] in scores]
+        found = [(best[k] + scores[text[k:end]], end - k) for k in range(max(0, end - most), end) if text[k:end] in scores]
         score, size = max(found, key=lambda x: (x[0], x[1])) if found else (best[end - 1] + FALLBACK, 1)
         best.append(score)
         via.append(size)
@@ -45,12 +46,22 @@ def unigram_tokens(df: DataFrame, vocabulary: list[tuple[str, float]], length: i
     """df with fixed-length ids: pieces in order, the end id, then 0. The vocabulary (a model's fixed list) goes to every task."""
     ids = {w: k for k, (w, _) in enumerate(vocabulary)}
     scores = dict(vocabulary)
+    by_word = all("▁" not in w[1:] for w in scores)  # then no piece runs across words, and each word is cut once
+
+    def pieces(t: str, known: dict[str, list[str]]) -> Iterator[str]:
+        if not by_word or not t:
+            yield from segment(t, scores)
+            return
+        for w in t.split(" "):
+            if w not in known:
+                known[w] = segment(w, scores) if w else (["▁"])
+            yield from known[w]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, known = [], {}
             for t in frame[text]:
-                own = [ids.get(p, unknown_id) for p in segment((t or "").lower(), scores)][: length - 1] + [end_id]
+                own = [ids.get(p, unknown_id) for p in islice(pieces((t or "").lower(), known), length - 1)] + [end_id]
                 rows.append(own + [0] * (length - len(own)))
             yield frame.assign(**{out: rows})
 
