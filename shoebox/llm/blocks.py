@@ -169,7 +169,10 @@ def spread(codes: np.ndarray, place: np.ndarray, arrays: list[list[np.ndarray]])
     at = place[codes]
     n, s = lengths[at], starts[at]
     ends = np.cumsum(n)
-    return n, values[np.repeat(s - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    kind = np.int32 if max(int(ends[-1]), len(values)) < 1 << 31 else np.int64
+    index = np.repeat((s - (ends - n)).astype(kind), n)
+    index += np.arange(len(index), dtype=kind)
+    return n, values[index]
 
 
 def id_answers(encode: Callable[[list[bytes]], list[list[int]]]) -> Callable:

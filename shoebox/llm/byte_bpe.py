@@ -59,7 +59,7 @@ def words_for(pattern: str):
     return words
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", block_bytes: int = 10 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, n_tokens, ids: token ids as little-endian unsigned 32-bit integers, one row for each row of docs.
 
     Null texts count as empty and have no ids. Repeated rows give repeated results, other columns are ignored, and an
