@@ -167,3 +167,52 @@ def cascade_delete(spark, sf_dir):
     left = checks.cascade(table(spark, sf_dir, "lineitem"), "l_partkey", gone)
     who = table(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").select(F.col("s_suppkey").alias("id"))
     return checks.clear_reference(left, "l_suppkey", who).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_suppkey")
+
+
+@PLANS.add("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
+def table_page(spark, sf_dir):
+    page = readers.scan(table(spark, sf_dir, "orders"), "o_orderstatus = 'F'", [F.desc("o_totalprice"), F.col("o_orderkey")], limit=20, offset=5)
+    return page.select("o_orderkey", "o_totalprice")
+
+
+@PLANS.add("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def rows_by_id(spark, sf_dir):
+    wanted = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
+    return readers.by_ids(table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "id"), wanted).select("o_orderkey")
+
+
+@PLANS.add("SELECT c_custkey AS o_custkey, coalesce(min(o_orderpriority), 'none') AS o_orderpriority FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def first_or_default(spark, sf_dir):
+    return readers.first_or(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "o_orderpriority", "none")
+
+
+def _full_media(spark, sf_dir):
+    own = _media(spark, sf_dir).withColumns({"is_favorite": F.col("id") % 5 == 0, "thumbnail": F.when(F.col("id") % 2 == 0, "t.jpg").otherwise("")})
+    return own.withColumns({c: F.lit(None).cast("string") for c in library.VIEW if c not in own.columns})
+
+
+@PLANS.add(f"SELECT p_partkey AS id, 'IMG_' || p_partkey // 2 || '.' || {_EXT} AS file, p_partkey % 5 = 0 AS \"isFavorite\", p_partkey * 37 % 5000 + 1 AS width, 30 AS columns FROM part")
+def photo_view(spark, sf_dir):
+    out = library.photo_view(_full_media(spark, sf_dir))
+    return out.select("id", "file", "isFavorite", "width", F.lit(len(out.columns)).alias("columns"))
+
+
+@PLANS.add(f"SELECT p_partkey AS id, 'IMG_' || p_partkey // 2 || '.' || {_EXT} AS file, CASE WHEN p_partkey % 2 = 0 THEN 't.jpg' END AS thumbnail FROM part")
+def file_references(spark, sf_dir):
+    return library.file_reference(_full_media(spark, sf_dir))
+
+
+@PLANS.add("SELECT p_partkey AS id, CASE WHEN p_partkey IN (5, 6, 7) THEN p_partkey % 5 <> 0 ELSE p_partkey % 5 = 0 END AS is_favorite FROM part")
+def toggled_favorites(spark, sf_dir):
+    return library.update(_full_media(spark, sf_dir), [5, 6, 7], is_favorite=~F.col("is_favorite")).select("id", "is_favorite")
+
+
+@PLANS.add("SELECT doc_id AS photo, count(*) AS n, max(length(x))::DOUBLE AS widest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x FROM documents) WHERE length(x) >= 20 GROUP BY 1")
+def detected_boxes(spark, sf_dir):
+    """A stand-in detector over documents: a box for each line, as wide as the line."""
+
+    def make():
+        return lambda texts: [[(0.0, 20.0 * k, float(len(x)), 20.0 * k + 15, min(1.0, len(x) / 100)) for k, x in enumerate((t or "").split("\n"))] for t in texts]
+
+    found = enrich.detect(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("photo"), "text"), make, "text", min_score=0.2)
+    return boxes.suppress(found).groupBy("photo").agg(F.count("*").alias("n"), F.max("box.x2").alias("widest"))
