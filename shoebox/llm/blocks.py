@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,24 +90,38 @@ def documents_in(payloads: pa.ChunkedArray) -> tuple[list[int | None], list[byte
     return [None if null else i for null, i, _ in rows], [t for _, _, t in rows]
 
 
-def distinct(texts: list[bytes], units: Callable[[bytes], list[bytes]]) -> list[bytes]:
+#: Cuts texts into units: all units end to end, and how many each text has.
+Units = Callable[[list[bytes]], tuple[pa.Array, np.ndarray]]
+
+
+def as_strings(texts: list[bytes]) -> pa.Array:
+    return pa.array(texts, pa.large_binary()).view(pa.large_string())
+
+
+def flattened(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lists' strings that are not empty, as bytes end to end, and how many each list has."""
+    flat = lists.flatten().view(pa.large_binary())
+    some = pc.greater(pc.binary_length(flat), 0)
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    return flat.filter(some), np.diff(before[ends])
+
+
+def blank_separated(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Units: what stands between runs of the six ASCII blanks."""
+    return flattened(pc.ascii_split_whitespace(as_strings(texts)))
+
+
+def distinct(texts: list[bytes], units: Units) -> list[bytes]:
     """The distinct units in order of appearance."""
-    seen: dict[bytes, None] = {}
-    for t in texts:
-        seen.update(dict.fromkeys(units(t)))
-    return list(seen)
+    return units(texts)[0].unique().to_pylist()
 
 
-def coded(texts: list[bytes], units: Callable[[bytes], list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def coded(texts: list[bytes], units: Units) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct units in order of appearance, each position's number among them, and how many each text has."""
-    words = distinct(texts, units)
-    number = {w: i for i, w in enumerate(words)}.__getitem__
-    codes, sizes = [], []
-    for t in texts:
-        own = units(t)
-        sizes.append(len(own))
-        codes.append(np.fromiter(map(number, own), np.int32, len(own)))
-    return words, np.concatenate(codes) if codes else np.zeros(0, np.int32), np.array(sizes, np.int64)
+    flat, sizes = units(texts)
+    numbered = flat.dictionary_encode()
+    return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False), sizes
 
 
 def part_count(spark) -> int:
@@ -117,7 +132,7 @@ def owners(words: list[bytes], parts: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(w) % parts for w in words), np.int32, len(words))
 
 
-def exchange(blocks: DataFrame, units: Callable[[bytes], list[bytes]], answer: Callable, finish: Callable, schema: str, known: DataFrame | None = None) -> DataFrame:
+def exchange(blocks: DataFrame, units: Units, answer: Callable, finish: Callable, schema: str, known: DataFrame | None = None) -> DataFrame:
     """finish(block, doc_ids, texts, words, codes, sizes, place, arrays) for every block, as rows of `schema` (a pyarrow table).
 
     answer(words) is called in the words' owner with each distinct word once; it returns a function from an array of their

@@ -30,8 +30,8 @@ _F = 2 * (SIGNATURES + 1)
 UNKNOWN = CLASSES + 1  # CLASSES itself is the class of the end
 
 
-def units(text: bytes) -> list[bytes]:
-    return text.lower().split()
+def units(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    return B.blank_separated([t.lower() for t in texts])
 
 
 def _neighbours(words: list[bytes], codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import blocks as B
@@ -37,24 +38,29 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
-def words_for(pattern: str):
-    """Cuts a text into words that the pattern matches independently of each other.
+def words_for(pattern: str) -> B.Units:
+    """Cuts texts into words that the pattern matches independently of each other.
 
     In a text whose white space is single spaces and newlines no match runs across one, so the cut is before each of
     them: a word stands for itself with the space before it, a newline is kept in front, and the first word, which has
     neither, gets a NUL in front. In any other text the words are the pattern's own matches, each with a NUL in front.
     """
 
-    def words(text: bytes) -> list[bytes]:
-        if not text:
-            return []
-        s = text.decode("utf-8", "replace")
-        if _ODD.search(s):
-            return [b"\x00" + m.encode() for m in _pattern(pattern).findall(s)]
-        out = text.replace(b"\n", b" \n").split(b" ")
-        if out[0][:1] != b"\n":
-            out[0] = b"\x00" + out[0]
-        return out
+    def words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        decoded = [t.decode("utf-8", "replace") for t in texts]
+        odd = np.array([bool(_ODD.search(s)) for s in decoded], bool)
+        plain = [b"" if o else b"\x00" + t.replace(b"\n", b" \n") for t, o in zip(texts, odd, strict=True)]
+        lists = pc.split_pattern(B.as_strings(plain), pattern=" ")
+        flat, sizes = lists.flatten().view(pa.large_binary()), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        if not odd.any():
+            return flat, sizes
+        matches = [[b"\x00" + m.encode() for m in _pattern(pattern).findall(s)] for s, o in zip(decoded, odd, strict=True) if o]
+        starts = np.cumsum(sizes) - sizes
+        own = np.array([len(m) for m in matches], np.int64)
+        starts[odd], sizes[odd] = len(flat) + np.cumsum(own) - own, own
+        flat = pa.concat_arrays([flat, pa.array([m for ms in matches for m in ms], pa.large_binary())])
+        ends = np.cumsum(sizes)
+        return flat.take(pa.array(np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1]))), sizes
 
     return words
 

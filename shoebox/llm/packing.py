@@ -67,7 +67,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "t
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank"]
         return pa.table({"block": pa.array([block] * len(rows), pa.int32())} | {k: pa.array(c, pa.int64()) for k, c in zip(names, columns, strict=True)})
 
-    return B.exchange(B.blocks_of(docs, text, 10 << 20), bytes.split, B.id_answers(encode_words), finish, _PIECES)
+    return B.exchange(B.blocks_of(docs, text, 10 << 20), B.blank_separated, B.id_answers(encode_words), finish, _PIECES)
 
 
 def combinations(counts: np.ndarray, window: int, common: int = COMMON) -> list[tuple[int, ...]]:
