@@ -1,12 +1,10 @@
-"""What the operators of this subpackage share: text columns, shared folders, block packing."""
+"""What the operators of this subpackage share: text columns, shared folders, sizes."""
 
 from __future__ import annotations
 
-import struct
 import tempfile
 import uuid
 
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,18 +63,3 @@ def block_count(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20,
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     return max(least, -(-total // block_bytes))
 
-
-def pack(parts: list[bytes], level: int = 3) -> bytes:
-    """One compressed value of many byte strings."""
-    head = struct.pack(f"<{len(parts) + 1}Q", len(parts), *map(len, parts))
-    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(parts))
-
-
-def unpack(value: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(value)
-    n = struct.unpack_from("<Q", raw)[0]
-    out, at = [], 8 * (n + 1)
-    for size in struct.unpack_from(f"<{n}Q", raw, 8):
-        out.append(raw[at : at + size])
-        at += size
-    return out
