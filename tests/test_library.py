@@ -179,6 +179,11 @@ def test_readers(spark, tmp_path):
     assert ids(readers.scan(v, "id > 1", [F.desc("id")], limit=2, offset=1)) == [4, 3]
     assert sorted(ids(readers.by_ids(v, spark.createDataFrame([(1,), (1,), (9,)], "id long")))) == [1]
     assert {tuple(r) for r in readers.first_or(log, spark.createDataFrame([(1,), (5,)], "id long"), "id", "x", "none").collect()} == {(1, "a"), (5, "none")}
+    tags = spark.createDataFrame([("t1", "a", "", None, "o1", "u", None, None)], schema.schema_of("tags"))
+    readers.write_table(tags, str(tmp_path / "tags"))
+    readers.write_table(tags, str(tmp_path / "tags"))
+    back = readers.read_table(spark, str(tmp_path / "tags"), "tags")
+    assert [(r.id, r.color, r.org) for r in back.collect()] == [("t1", None, "o1")] * 2
     (tmp_path / "files").mkdir()
     (tmp_path / "files" / "a.bin").write_bytes(b"hi")
     files = spark.createDataFrame([("a.bin",), ("b.bin",)], "file string")

@@ -113,6 +113,11 @@ def test_assign_faces(spark, seed):
     df = spark.createDataFrame([(k, k, p, x.tolist()) for k, (p, x) in enumerate(zip(person, v, strict=True))], "id long, ord long, person string, vector array<float>")
     tau = 0.15
     assert [r.person for r in people.assign_faces(df, tau).orderBy("id").collect()] == slow_assign(v, person, tau, True)
+    fresh = {r.person: (r.thumbnail_face, r.faces) for r in people.new_people(people.assign_faces(df, tau)).collect()}
+    names = [p for p in slow_assign(v, person, tau, True) if p.startswith("new:")]
+    assert fresh == {p: (int(p[4:]), names.count(p)) for p in names}
+    few = {r.person for r in people.assign_faces(df, tau, min_faces=3).collect()}
+    assert {p for p in few if p.startswith("new:")} == {p for p in names if names.count(p) >= 3}
     assert [r.person for r in people.assign_known(df, tau).orderBy("id").collect()] == slow_assign(v, person, tau, False)
 
 
