@@ -31,6 +31,8 @@ SPAN, GRAM = 100, 32
 HOT = 4096
 #: Documents that splitters are sampled from, and leading bytes taken from each.
 SAMPLE_DOCS, SAMPLE_EACH = 2000, 8
+#: Bytes of documents that are hashed at a time.
+RUN = 1 << 19
 #: Strings that a bucket compares at a time.
 BATCH = 400_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -56,7 +58,23 @@ def gram_hashes(text: np.ndarray) -> np.ndarray:
 
 
 def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents that lie end to end: each anchor's position and gram hash, and the first and last string it stands for."""
+    """Of documents that lie end to end: each anchor's position and gram hash, and the first and last string it stands for.
+
+    No string crosses documents, so whole documents are taken RUN bytes at a time, which keeps the arrays small.
+    """
+    found, start = [], 0
+    while start < len(text):
+        last = min(int(np.searchsorted(ends, start + RUN)), len(ends) - 1)
+        stop = int(ends[last])
+        own = ends[np.searchsorted(ends, start, side="right") : last + 1] - start
+        at, h, a, b = _anchors(text[start:stop], own)
+        found.append((at + start, h, a + start, b + start))
+        start = stop
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip((none, none.astype(np.uint64), none, none), *found, strict=True))
+
+
+def _anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     h = gram_hashes(text)
     width = SPAN - GRAM + 1
@@ -312,7 +330,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFram
 
     A byte goes when a string of SPAN bytes covers it that starts earlier too: in a smaller doc_id, or earlier in the same
     document. Null texts count as empty; null ids come last. Rows that repeat a doc_id come in the order of their texts.
-    Other columns are ignored; an empty table gives an empty result. A document of 4 GB or more is not supported.
+    Other columns are ignored; an empty table gives an empty result. A document of 4 GB or more is not supported (Spark's own texts end at 2 GB).
     """
     spark = docs.sparkSession
     parts = 2 * partitions(spark)
