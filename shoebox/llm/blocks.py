@@ -36,10 +36,10 @@ def unpack_strings(value: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends, strict=False)]
 
 
-def pack_arrays(*arrays: np.ndarray) -> bytes:
+def pack_arrays(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Compressed little-endian arrays of any integer or float kind."""
     head = ";".join(f"{a.dtype.str}:{a.size}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=3).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def unpack_arrays(value: bytes) -> list[np.ndarray]:
@@ -52,7 +52,7 @@ def unpack_arrays(value: bytes) -> list[np.ndarray]:
     return out
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -64,11 +64,11 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, values = [], []
         for rows in np.split(order, cuts):
             keys.append(block[rows[0]])
-            values.append(pack_arrays(raw[rows], known[rows].astype(np.uint8), np.array([len(texts[r]) for r in rows], np.int64), np.frombuffer(b"".join(texts[r] for r in rows), np.uint8)))
+            values.append(pack_arrays(raw[rows], known[rows].astype(np.uint8), np.array([len(texts[r]) for r in rows], np.int64), np.frombuffer(b"".join(texts[r] for r in rows), np.uint8), level=level))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["block", "payload"])
 
 
-def blocks_of(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20) -> DataFrame:
+def blocks_of(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20, level: int = 3) -> DataFrame:
     """block, payload: the whole texts of docs, dealt to blocks by a hash of doc_id and partitioned by block.
 
     Null texts count as empty. Null ids share a block. Repeated rows stay repeated.
@@ -76,7 +76,13 @@ def blocks_of(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20) -
     n = block_count(docs, text, block_bytes)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
-    return rows.mapInArrow(_pack, "block int, payload binary").repartition(partitions(docs.sparkSession), "block")
+    return rows.mapInArrow(lambda it: _pack(it, level), "block int, payload binary").repartition(partitions(docs.sparkSession), "block")
+
+
+def released(table: pa.Table) -> pa.Table:
+    """The table, after Arrow's pool has given back what it no longer needs: idle workers keep their memory otherwise."""
+    pa.default_memory_pool().release_unused()
+    return table
 
 
 def documents_in(payloads: pa.ChunkedArray) -> tuple[list[int | None], list[bytes]]:
@@ -149,14 +155,14 @@ def exchange(blocks: DataFrame, units: Units, answer: Callable, finish: Callable
         part = owners(words, parts)
         order = np.argsort(part, kind="stable")
         groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
-        return pa.table({"part": pa.array([part[g[0]] for g in groups], pa.int32()), "block": pa.array([block] * len(groups), pa.int32()), "words": pa.array([pack_strings([words[i] for i in g.tolist()]) for g in groups], pa.binary())})
+        return released(pa.table({"part": pa.array([part[g[0]] for g in groups], pa.int32()), "block": pa.array([block] * len(groups), pa.int32()), "words": pa.array([pack_strings([words[i] for i in g.tolist()]) for g in groups], pa.binary())}))
 
     def own(table: pa.Table, *rows: pa.Table) -> pa.Table:
         seen: dict[bytes, int] = {}
         number = seen.setdefault
         asked = [np.array([number(w, len(seen)) for w in unpack_strings(x.as_py())], np.int64) for x in table.column("words")]
         reply = answer(list(seen), *rows)
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "answer": pa.array([pack_arrays(*reply(a)) for a in asked], pa.binary())})
+        return released(pa.table({"block": table.column("block"), "part": table.column("part"), "answer": pa.array([pack_arrays(*reply(a)) for a in asked], pa.binary())}))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = documents_in(left.column("payload"))
@@ -166,7 +172,7 @@ def exchange(blocks: DataFrame, units: Units, answer: Callable, finish: Callable
         place[order] = np.arange(len(words))
         replies = sorted(zip(right.column("part").to_pylist(), right.column("answer").to_pylist(), strict=True))
         arrays = [unpack_arrays(a) for _, a in replies]
-        return finish(left.column("block")[0].as_py(), ids, texts, words, codes, sizes, place, arrays)
+        return released(finish(left.column("block")[0].as_py(), ids, texts, words, codes, sizes, place, arrays))
 
     asked = blocks.groupBy("block").applyInArrow(ask, _REQUESTS)
     asked = asked.groupBy("part")

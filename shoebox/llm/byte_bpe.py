@@ -65,7 +65,7 @@ def words_for(pattern: str) -> B.Units:
     return words
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", block_bytes: int = 6 << 20) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", block_bytes: int = 5 << 20) -> DataFrame:
     """doc_id, n_tokens, ids: token ids as little-endian unsigned 32-bit integers, one row for each row of docs.
 
     Null texts count as empty and have no ids. Repeated rows give repeated results, other columns are ignored, and an
@@ -83,7 +83,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", b
         cut = (4 * ends).tolist()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(np.diff(ends)), "ids": pa.array([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
 
-    return B.exchange(B.blocks_of(docs, text, block_bytes), words_for(pattern), B.id_answers(encode_words), finish, "doc_id bigint, n_tokens bigint, ids binary")
+    return B.exchange(B.blocks_of(docs, text, block_bytes, level=6), words_for(pattern), B.id_answers(encode_words), finish, "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -107,6 +107,8 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 ends = np.cumsum(n)
                 out.append(flat[np.repeat(starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)].tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+            del out
+            pa.default_memory_pool().release_unused()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{schema}, decoded binary")
