@@ -1,7 +1,8 @@
 """From documents to packed training sequences, in five stages.
 
 Each stage takes what its predecessor left, written as Parquet and read again. All but the last return the columns of
-documents. Rows with a null doc_id cannot be told apart by a verdict: the four filtering stages let them pass unchanged.
+documents. Rows with a null doc_id cannot be told apart by a verdict: the filtering stages other than near-dedup let them
+pass unchanged.
 Other columns than doc_id and text are carried along, whatever their names; empty tables give empty results.
 """
 
@@ -11,12 +12,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import exact_dedup, packing, quality_classifier, simhash, suffix_dedup
-from shoebox.llm.common import held_out, read_table, scratch
+from shoebox.llm import exact_dedup, jaccard, packing, quality_classifier, suffix_dedup
+from shoebox.llm.common import held_out, read_table, scratch, text_of
 
 #: No SQL: the classifier is fitted, fingerprints and tokens need code. tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
-_MARK = "_stage_keeps"
+_MARK, _ID, _SHA = "_stage_keeps", "_stage_id", "_stage_sha256"
 
 
 def _keep(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
@@ -41,8 +42,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group of documents that close fingerprints link."""
-    return _keep(docs, simhash.near_duplicates(docs).where("doc_id = component_id"))
+    """The least doc_id of each group of documents that links of five-word Jaccard similarity 0.8 or more join; null ids come last."""
+    kept = jaccard.near_copies(docs).withColumnRenamed("doc_id", _ID).withColumnRenamed("sha256", _MARK)
+    keyed = docs.withColumn(_SHA, F.sha2(text_of().cast("binary"), 256))
+    with_id = keyed.join(kept, (F.col("doc_id") == F.col(_ID)) & (F.col(_SHA) == F.col(_MARK)), "left_semi")
+    without = keyed.where("doc_id IS NULL").join(kept.where(F.col(_ID).isNull()), F.col(_SHA) == F.col(_MARK), "left_semi").dropDuplicates([_SHA])
+    return with_id.unionByName(without).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +72,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("exact dedup", exact_copies),
-    ("SimHash near-dedup", near_copies),
+    ("MinHash near-dedup", near_copies),
     ("suffix-array dedup", repeated_passages),
     ("packing", packed),
 ]
