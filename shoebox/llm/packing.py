@@ -31,15 +31,14 @@ _PIECES = "block int, doc_id bigint, start bigint, length bigint, ids_crc32 bigi
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "text", window: int = WINDOW) -> DataFrame:
     """block, doc_id, start, length, ids_crc32, doc_tokens, rank: every document's ids in pieces of one window or less.
 
-    rank numbers a block's pieces of one length. A null or empty text has the end id alone.
+    rank numbers a block's pieces of one length. A null or empty text has the end id alone. A special token's string in
+    a text becomes that token's one id, the library's default.
     """
 
     def encode_words(words: list[bytes]) -> list[list[int]]:
