@@ -8,10 +8,10 @@ words' positions put them together again.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -24,16 +24,25 @@ _REQUESTS = "part int, block int, words binary"
 _ANSWERS = "block int, part int, answer binary"
 
 
-def pack_strings(values: list[bytes]) -> bytes:
-    lengths = np.fromiter(map(len, values), np.uint32, len(values))
-    return zstandard.ZstdCompressor(level=3).compress(np.uint32(len(values)).tobytes() + lengths.tobytes() + b"".join(values))
+def layout(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets and the bytes of an array of large binaries."""
+    _, offsets, data = strings.buffers()
+    found = np.frombuffer(offsets, np.int64, len(strings) + 1, 8 * strings.offset) if offsets is not None and len(strings) else np.zeros(1, np.int64)
+    return found, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def unpack_strings(value: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(value)
-    n = int(np.frombuffer(raw, np.uint32, 1)[0])
-    ends = (np.cumsum(np.frombuffer(raw, np.uint32, n, 4), dtype=np.int64) + 4 * (n + 1)).tolist()
-    return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends, strict=False)]
+def strings_of(offsets: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def pack_strings(strings: pa.Array) -> bytes:
+    offsets, data = layout(strings)
+    return pack_arrays(np.diff(offsets).astype(np.uint32), data[offsets[0] : offsets[-1]])
+
+
+def unpack_strings(value: bytes) -> pa.Array:
+    lengths, data = unpack_arrays(value)
+    return strings_of(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), data)
 
 
 def pack_arrays(*arrays: np.ndarray, level: int = 3) -> bytes:
@@ -69,13 +78,13 @@ def _pack(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBa
 
 
 def blocks_of(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20, level: int = 3) -> DataFrame:
-    """block, payload: the whole texts of docs, dealt to blocks by a hash of doc_id and partitioned by block.
+    """block, payload: the whole texts of docs, dealt to blocks by a hash of doc_id and text and partitioned by block.
 
-    Null texts count as empty. Null ids share a block. Repeated rows stay repeated.
+    Null texts count as empty. Rows of one id, or of none, are dealt apart by their texts. Repeated rows stay repeated.
     """
     n = block_count(docs, text, block_bytes)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(text).cast("binary").alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     return rows.mapInArrow(lambda it: _pack(it, level), "block int, payload binary").repartition(partitions(docs.sparkSession), "block")
 
 
@@ -118,27 +127,82 @@ def blank_separated(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return flattened(pc.ascii_split_whitespace(as_strings(texts)))
 
 
-def distinct(texts: list[bytes], units: Units) -> list[bytes]:
-    """The distinct units in order of appearance."""
-    return units(texts)[0].unique().to_pylist()
-
-
-def coded(texts: list[bytes], units: Units) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+
+
+def _eights(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every string's bytes, eight at a time (the last ones filled with zeros), end to end, and where each string begins."""
+    lengths = np.diff(offsets)
+    n = np.maximum(1, (lengths + 7) >> 3)
+    first = np.cumsum(n) - n
+    total = int(n.sum())
+    k = np.arange(total) - np.repeat(first, n)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    found = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))[np.repeat(offsets[:-1], n) + 8 * k]
+    short = (8 * (8 - np.clip(np.repeat(lengths, n) - 8 * k, 0, 8))).astype(np.uint64)
+    kept = np.where(short < 64, (found << (short & np.uint64(63))) >> (short & np.uint64(63)), np.uint64(0))
+    return kept, first
+
+
+def hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string."""
+    offsets, data = layout(strings)
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    x, first = _eights(offsets, data)
+    x = x + _STEP * (np.arange(1, len(x) + 1, dtype=np.uint64) - np.repeat(first, np.diff(np.append(first, len(x)))).astype(np.uint64))
+    for m in _MIX:
+        x ^= x >> np.uint64(33)
+        x *= m
+    x ^= x >> np.uint64(29)
+    out = np.add.reduceat(x, first) + np.diff(offsets).astype(np.uint64) * _STEP
+    return out ^ (out >> np.uint64(31))
+
+
+def numbered(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct strings in order of appearance, and each string's number among them. Hashes group, bytes decide."""
+    if not len(strings):
+        return strings, np.zeros(0, np.int64)
+    codes, _ = pd.factorize(hashes(strings))
+    first = np.empty(int(codes.max()) + 1, np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    offsets, data = layout(strings)
+    lengths = np.diff(offsets)
+    alike = (lengths == lengths[first][codes]).all()
+    if alike:
+        x, start = _eights(offsets, data)
+        n = np.maximum(1, (lengths + 7) >> 3)
+        alike = (x == x[np.repeat(start[first][codes] - start, n) + np.arange(len(x))]).all()
+    if not alike:  # two strings share a hash
+        found = strings.dictionary_encode()
+        return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return strings.take(pa.array(first)), codes
+
+
+def coded(texts: list[bytes], units: Units) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct units in order of appearance, each position's number among them, and how many each text has."""
     flat, sizes = units(texts)
-    numbered = flat.dictionary_encode()
-    return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(zero_copy_only=False), sizes
+    return *numbered(flat), sizes
+
+
+def part_count(docs: DataFrame, text: str = "text", part_bytes: int = 128 << 20) -> int:
+    """Owners of words: two for each shuffle partition, more for a corpus of over part_bytes for each of them."""
+    return block_count(docs, text, part_bytes, 2 * partitions(docs.sparkSession))
 
 
-def part_count(spark) -> int:
-    return 2 * partitions(spark)
+def owners(words: pa.Array, parts: int) -> np.ndarray:
+    return (hashes(words) % np.uint64(parts)).astype(np.int32)
 
 
-def owners(words: list[bytes], parts: int) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w) % parts for w in words), np.int32, len(words))
+def by_owner(words: pa.Array, parts: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The words' order by owner, and each owner's (part, first, end) in it."""
+    part = owners(words, parts)
+    order = np.argsort(part, kind="stable")
+    cuts = [0, *(np.flatnonzero(np.diff(part[order])) + 1).tolist(), len(order)]
+    return order, [(int(part[order[a]]), a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def exchange(blocks: DataFrame, units: Units, answer: Callable, finish: Callable, schema: str, known: DataFrame | None = None) -> DataFrame:
+def exchange(blocks: DataFrame, parts: int, units: Units, answer: Callable, finish: Callable, schema: str, known: DataFrame | None = None) -> DataFrame:
     """finish(block, doc_ids, texts, words, codes, sizes, place, arrays) for every block, as rows of `schema` (a pyarrow table).
 
     answer(words) is called in the words' owner with each distinct word once; it returns a function from an array of their
@@ -146,28 +210,26 @@ def exchange(blocks: DataFrame, units: Units, answer: Callable, finish: Callable
     in the joined answers; known: rows that owners keep, by `part` (see owners and part_count); answer(words, rows) then
     gets those of its own part. arrays: the answers of each owner, in the order that place counts in.
     """
-    parts = part_count(blocks.sparkSession)
 
     def ask(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         _, texts = documents_in(table.column("payload"))
-        words = distinct(texts, units)
-        part = owners(words, parts)
-        order = np.argsort(part, kind="stable")
-        groups = np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
-        return released(pa.table({"part": pa.array([part[g[0]] for g in groups], pa.int32()), "block": pa.array([block] * len(groups), pa.int32()), "words": pa.array([pack_strings([words[i] for i in g.tolist()]) for g in groups], pa.binary())}))
+        words, _, _ = coded(texts, units)
+        order, groups = by_owner(words, parts)
+        words = words.take(pa.array(order))
+        return released(pa.table({"part": pa.array([p for p, _, _ in groups], pa.int32()), "block": pa.array([block] * len(groups), pa.int32()), "words": pa.array([pack_strings(words[a:b]) for _, a, b in groups], pa.binary())}))
 
     def own(table: pa.Table, *rows: pa.Table) -> pa.Table:
-        seen: dict[bytes, int] = {}
-        number = seen.setdefault
-        asked = [np.array([number(w, len(seen)) for w in unpack_strings(x.as_py())], np.int64) for x in table.column("words")]
-        reply = answer(list(seen), *rows)
-        return released(pa.table({"block": table.column("block"), "part": table.column("part"), "answer": pa.array([pack_arrays(*reply(a)) for a in asked], pa.binary())}))
+        asked = [unpack_strings(x.as_py()) for x in table.column("words")]
+        words, codes = numbered(pa.concat_arrays(asked) if asked else pa.array([], pa.large_binary()))
+        reply = answer(words, *rows)
+        cuts = np.cumsum([len(a) for a in asked])[:-1]
+        return released(pa.table({"block": table.column("block"), "part": table.column("part"), "answer": pa.array([pack_arrays(*reply(a)) for a in (np.split(codes, cuts) if asked else [])], pa.binary())}))
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = documents_in(left.column("payload"))
         words, codes, sizes = coded(texts, units)
-        order = np.argsort(owners(words, parts), kind="stable")
+        order, _ = by_owner(words, parts)
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
         replies = sorted(zip(right.column("part").to_pylist(), right.column("answer").to_pylist(), strict=True))
@@ -196,13 +258,11 @@ def spread(codes: np.ndarray, place: np.ndarray, arrays: list[list[np.ndarray]])
     return n, values[index]
 
 
-def id_answers(encode: Callable[[list[bytes]], list[list[int]]]) -> Callable:
-    """An answer() of token ids: for each asked word its number of ids, then all ids."""
+def id_answers(encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> Callable:
+    """An answer() of token ids: for each asked word its number of ids, then all ids. encode: words to just that."""
 
-    def answer(words: list[bytes]) -> Callable:
-        ids = encode(words)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for own in ids for i in own), np.uint32, int(lengths.sum()))
+    def answer(words: pa.Array) -> Callable:
+        lengths, flat = encode(words)
         starts = np.cumsum(lengths) - lengths
 
         def reply(asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,3 +273,9 @@ def id_answers(encode: Callable[[list[bytes]], list[list[int]]]) -> Callable:
         return reply
 
     return answer
+
+
+def laid_out(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The length of each list, and all values end to end."""
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    return lengths, np.fromiter((i for own in ids for i in own), np.uint32, int(lengths.sum()))

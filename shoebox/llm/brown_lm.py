@@ -34,9 +34,9 @@ def units(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
     return B.blank_separated([t.lower() for t in texts])
 
 
-def _neighbours(words: list[bytes], codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _neighbours(words: pa.Array, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys word * _F + feature and their counts; features are left signatures, then right ones."""
-    own = np.fromiter((zlib.crc32(w, 7) % SIGNATURES for w in words), np.int64, len(words))[codes]
+    own = ((B.hashes(words) >> np.uint64(32)) % np.uint64(SIGNATURES)).astype(np.int64)[codes]
     left, right = np.full(len(codes), SIGNATURES), np.full(len(codes), SIGNATURES)
     left[1:], right[:-1] = own[:-1], own[1:]
     ends = np.cumsum(sizes[sizes > 0])
@@ -66,7 +66,7 @@ def _count(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
             own = order[bounds[p] : bounds[p + 1]]
             if len(own):
                 k = keys[at[p] : at[p + 1]]
-                rows.append((p, B.pack_strings([words[i] for i in own.tolist()]), B.pack_arrays(counts[own].astype(np.uint32), np.diff(k, prepend=0).astype(np.uint32), n[at[p] : at[p + 1]].astype(np.uint32))))
+                rows.append((p, B.pack_strings(words.take(pa.array(own))), B.pack_arrays(counts[own].astype(np.uint32), np.diff(k, prepend=0).astype(np.uint32), n[at[p] : at[p + 1]].astype(np.uint32))))
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["part", "words", "arrays"])
 
@@ -84,26 +84,24 @@ def _count(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordB
 
 def _gather(table: pa.Table) -> pa.Table:
     """One row for each owner: its words, their counts and neighbours over the whole corpus."""
-    seen: dict[bytes, int] = {}
-    number = seen.setdefault
-    word, counts, keys, n = [], [], [], []
-    for w, a in zip(table.column("words"), table.column("arrays"), strict=True):
-        ids = np.array([number(x, len(seen)) for x in B.unpack_strings(w.as_py())], np.int64)
+    lists = [B.unpack_strings(w.as_py()) for w in table.column("words")]
+    seen, ids = B.numbered(pa.concat_arrays(lists))
+    word, counts, keys, n = np.split(ids, np.cumsum([len(x) for x in lists])[:-1]), [], [], []
+    for own, a in zip(word, table.column("arrays"), strict=True):
         c, k, m = B.unpack_arrays(a.as_py())
         k = np.cumsum(k, dtype=np.int64)
-        word.append(ids)
         counts.append(c)
-        keys.append(ids[k // _F] * _F + k % _F)
+        keys.append(own[k // _F] * _F + k % _F)
         n.append(m)
     total = np.bincount(np.concatenate(word), np.concatenate(counts), len(seen)).astype(np.uint64)
     keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     n = np.bincount(inverse, np.concatenate(n)).astype(np.uint64)
-    return pa.table({"part": table.column("part")[:1], "n_words": pa.array([len(seen)], pa.int64()), "n_tokens": pa.array([int(total.sum())], pa.int64()), "words": pa.array([B.pack_strings(list(seen))], pa.binary()), "arrays": pa.array([B.pack_arrays(total, np.diff(keys, prepend=0).astype(np.uint32), n)], pa.binary())})
+    return pa.table({"part": table.column("part")[:1], "n_words": pa.array([len(seen)], pa.int64()), "n_tokens": pa.array([int(total.sum())], pa.int64()), "words": pa.array([B.pack_strings(seen)], pa.binary()), "arrays": pa.array([B.pack_arrays(total, np.diff(keys, prepend=0).astype(np.uint32), n)], pa.binary())})
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
     """part, n_words, n_tokens, words, arrays: the distinct words of docs by owner, with counts and neighbours."""
-    parts = B.part_count(docs.sparkSession)
+    parts = B.part_count(docs, text)
     pieces = docs.select(text_of(text).cast("binary").alias("text")).mapInArrow(lambda it: _count(it, parts), "part int, words binary, arrays binary")
     return materialise(pieces.groupBy("part").applyInArrow(_gather, "part int, n_words bigint, n_tokens bigint, words binary, arrays binary"))
 
@@ -148,7 +146,7 @@ def exchange_classes(vocab: DataFrame, classes: int = CLASSES, sweeps: int = SWE
             for row in batch.to_pylist():
                 words, (counts, keys, n) = B.unpack_strings(row["words"]), _opened(row)
                 best = np.lexsort((np.arange(len(words)), -counts.astype(np.int64)))[:classes]
-                out = [(words[i], int(counts[i]), B.pack_arrays(keys[a:b] % _F, n[a:b])) for i in best.tolist() for a, b in [np.searchsorted(keys, [i * _F, (i + 1) * _F]).tolist()]]
+                out = [(words[i].as_py(), int(counts[i]), B.pack_arrays(keys[a:b] % _F, n[a:b])) for i in best.tolist() for a, b in [np.searchsorted(keys, [i * _F, (i + 1) * _F]).tolist()]]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["word", "n", "arrays"])
 
     matrix = np.zeros((classes, _F))
@@ -189,15 +187,16 @@ def classed(vocab: DataFrame, matrix: np.ndarray) -> DataFrame:
     return materialise(vocab.mapInArrow(run, "part int, words binary, arrays binary"))
 
 
-def _look_up(words: list[bytes], rows: pa.Table):
+def _look_up(words: pa.Array, rows: pa.Table):
     """For each asked word: its count (0: unknown) and its class."""
-    counts, classes = np.zeros(len(words), np.uint64), np.full(len(words), UNKNOWN, np.uint8)
-    at = {w: i for i, w in enumerate(words)}
-    for w, a in zip(rows.column("words"), rows.column("arrays"), strict=True):
-        own, kinds = B.unpack_arrays(a.as_py())
-        found = np.array([(i, k) for k, x in enumerate(B.unpack_strings(w.as_py())) if (i := at.get(x)) is not None], np.int64).reshape(-1, 2)
-        counts[found[:, 0]], classes[found[:, 0]] = own[found[:, 1]], kinds[found[:, 1]]
-    return lambda asked: (counts[asked], classes[asked])
+    opened = [B.unpack_arrays(a.as_py()) for a in rows.column("arrays")]
+    _, codes = B.numbered(pa.concat_arrays([*[B.unpack_strings(w.as_py()) for w in rows.column("words")], words]))
+    known = len(codes) - len(words)
+    counts, classes = np.zeros(len(codes), np.uint64), np.full(len(codes), UNKNOWN, np.uint8)
+    if known:  # an owner's words are distinct, so they are numbered first and in order
+        counts[:known], classes[:known] = np.concatenate([a[0] for a in opened]), np.concatenate([a[1] for a in opened])
+    at = codes[known:]
+    return lambda asked: (counts[at[asked]], classes[at[asked]])
 
 
 def _sequences(row: dict) -> tuple[np.ndarray, ...]:
@@ -241,7 +240,7 @@ def score(docs: DataFrame, modulus: int = 10, remainder: int = 0, text: str = "t
         value = B.pack_arrays(np.array([i or 0 for i in ids], np.int64), known, learn, sizes, codes, counts, classes)
         return pa.table({"block": pa.array([block], pa.int32()), "arrays": pa.array([value], pa.binary())})
 
-    coded = materialise(B.exchange(B.blocks_of(rows), units, _look_up, finish, "block int, arrays binary", learned))
+    coded = materialise(B.exchange(B.blocks_of(rows), B.part_count(train), units, _look_up, finish, "block int, arrays binary", learned))
     k = CLASSES + 2
 
     def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,9 +72,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", b
     empty table gives an empty result. Every distinct word of the corpus is encoded once, by its owner.
     """
 
-    def encode_words(words: list[bytes]) -> list[list[int]]:
+    def encode_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         one = _encoding(ranks_path, pattern).encode_ordinary
-        return [one((w[1:] if w[:1] == b"\x00" else w if w[:1] == b"\n" else b" " + w).decode()) for w in words]
+        return B.laid_out([one((w[1:] if w[:1] == b"\x00" else w if w[:1] == b"\n" else b" " + w).decode("utf-8", "replace")) for w in words.to_pylist()])
 
     def finish(block, ids, texts, words, codes, sizes, place, arrays) -> pa.Table:
         n, values = B.spread(codes, place, arrays)
@@ -83,7 +83,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", b
         cut = (4 * ends).tolist()
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_tokens": pa.array(np.diff(ends)), "ids": pa.array([raw[a:b] for a, b in zip(cut, cut[1:], strict=False)], pa.binary())})
 
-    return B.exchange(B.blocks_of(docs, text, block_bytes, level=6), words_for(pattern), B.id_answers(encode_words), finish, "doc_id bigint, n_tokens bigint, ids binary")
+    return B.exchange(B.blocks_of(docs, text, block_bytes, level=6), B.part_count(docs, text), words_for(pattern), B.id_answers(encode_words), finish, "doc_id bigint, n_tokens bigint, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:

@@ -22,6 +22,8 @@ from . import blocks as B
 from .common import materialise
 
 WINDOW = 2048
+#: A special token's string, put between words; words that hold such a string are encoded one by one.
+BETWEEN = "<|startoftext|>"
 #: Combinations of three lengths take two of them from this many of the commonest lengths.
 COMMON = 96
 _PIECES = "block int, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, rank bigint"
@@ -41,11 +43,27 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "t
     a text becomes that token's one id, the library's default.
     """
 
-    def encode_words(words: list[bytes]) -> list[list[int]]:
-        t, out = _tokenizer(tokenizer_path), []
-        for k in range(0, len(words), 1000):
-            out += [e.ids for e in t.encode_batch_fast([w.decode("utf-8", "replace") for w in words[k : k + 1000]], add_special_tokens=False)]
-        return out
+    def encode_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        t = _tokenizer(tokenizer_path)
+        between = t.token_to_id(BETWEEN)
+        plain = words.to_pylist()
+        odd = np.array([between is None or b"<|" in w for w in plain], bool)
+        lengths, found = np.zeros(len(plain), np.int64), []
+        own = np.flatnonzero(~odd)
+        for k in range(0, len(own), 2000):  # many words in one string, parted by a special token, which no match crosses
+            some = own[k : k + 2000]
+            ids = np.array(t.encode(BETWEEN.join([plain[i].decode("utf-8", "replace") for i in some.tolist()]), add_special_tokens=False).ids, np.uint32)
+            cuts = np.flatnonzero(ids == between)
+            lengths[some] = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+            found.append(np.delete(ids, cuts))
+        other = np.flatnonzero(odd)
+        n, ids = B.laid_out([t.encode(plain[i].decode("utf-8", "replace"), add_special_tokens=False).ids for i in other.tolist()])
+        lengths[other] = n
+        if not len(other):
+            return lengths, np.concatenate(found) if found else ids
+        flat, mine = np.zeros(int(lengths.sum()), np.uint32), np.repeat(odd, lengths)
+        flat[mine], flat[~mine] = ids, np.concatenate([*found, np.zeros(0, np.uint32)])
+        return lengths, flat
 
     def finish(block, ids, texts, words, codes, sizes, place, arrays) -> pa.Table:
         n, values = B.spread(codes, place, arrays)
@@ -66,7 +84,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "t
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank"]
         return pa.table({"block": pa.array([block] * len(rows), pa.int32())} | {k: pa.array(c, pa.int64()) for k, c in zip(names, columns, strict=True)})
 
-    return B.exchange(B.blocks_of(docs, text, 10 << 20), B.blank_separated, B.id_answers(encode_words), finish, _PIECES)
+    return B.exchange(B.blocks_of(docs, text, 10 << 20), B.part_count(docs, text), B.blank_separated, B.id_answers(encode_words), finish, _PIECES)
 
 
 def combinations(counts: np.ndarray, window: int, common: int = COMMON) -> list[tuple[int, ...]]:
