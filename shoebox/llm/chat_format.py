@@ -3,8 +3,8 @@
 A legal conversation is an optional system turn, then user and assistant turns in alternation, ending with the assistant.
 A turn may be merged with the one before (cost 1), an empty turn inserted (2) or a turn relabelled (3). Which of them to
 use is a shortest path over (turn, automaton state). Its steps are min-plus matrices over four states, so a conversation
-of any length is cut into segments: tasks reduce each segment to one matrix, the matrices of a conversation settle the
-states at the cuts, and tasks trace each segment between its states.
+of any length is cut into segments of SEGMENT turns: tasks reduce each segment to one matrix, the matrices of a conversation
+settle the states at the cuts, and tasks trace each segment between its states. One segment alone is settled where it is cut.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions
@@ -120,38 +120,53 @@ def render(texts: list[str], path: list, first: bool, last: bool) -> str:
     return "".join(out)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order in, segments of one conversation out, numbered (task, number)."""
-    task, number, held, conv = TaskContext.get().partitionId(), 0, [], None
+_PIECE = "conv_id bigint, part bigint, start bigint, whole boolean, alone boolean, roles array<string>, texts array<string>, n_rows bigint"
 
-    def out():
-        return pa.RecordBatch.from_arrays(
-            [pa.array([conv], pa.int64()), pa.array([task], pa.int32()), pa.array([number], pa.int64()), pa.array([[r for r, _, _ in held]], pa.list_(pa.string())), pa.array([[t or "" for _, t, _ in held]], pa.list_(pa.string())), pa.array([sum(n for _, _, n in held)], pa.int64())],
-            ["conv_id", "task", "number", "roles", "texts", "n_rows"],
-        )
+
+def _pieces(batches: Iterator[pa.RecordBatch], before: dict[tuple[int, int | None], int], spanning: frozenset) -> Iterator[pa.RecordBatch]:
+    """Rows in order in, segments out; cut where a turn's position in its conversation is a multiple of SEGMENT.
+
+    before: the turns in earlier tasks of the conversations (spanning) that several tasks share. Their segments may come in
+    pieces (not whole). alone: the conversation's only segment.
+    """
+    held, conv, at, began = [], None, 0, True
+
+    def out(ended: bool) -> pa.RecordBatch:
+        shared = conv in spanning
+        row = (conv, (at - 1) // SEGMENT, at - len(held), not shared or len(held) == SEGMENT, not shared and ended and at <= SEGMENT, [r for r, _, _ in held], [t or "" for _, t, _ in held], sum(n for _, _, n in held))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["conv_id", "part", "start", "whole", "alone", "roles", "texts", "n_rows"])
 
     for batch in batches:
-        for c, role, text, n in zip(*[batch.column(k).to_pylist() for k in ("conv_id", "role", "text", "n")], strict=True):
-            if held and (c != conv or len(held) >= SEGMENT):
-                yield out()
-                number, held = number + 1, []
-            conv = c
+        for task, c, role, text, n in zip(*[batch.column(k).to_pylist() for k in ("task", "conv_id", "role", "text", "n")], strict=True):
+            if began or c != conv:
+                if held:
+                    yield out(True)
+                held, conv, began = [], c, False
+                at = before.get((task, c), 0)
+            elif at % SEGMENT == 0 and held:
+                yield out(False)
+                held = []
             held.append((role, text, n))
+            at += 1
     if held:
-        yield out()
+        yield out(True)
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         costs = [sum(matrix([role_number(r) for r in roles]), []) for roles in batch.column("roles").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("task"), batch.column("number"), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "task", "number", "costs"])
+        yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("part"), pa.array(costs, pa.list_(pa.int64()))], ["conv_id", "part", "costs"])
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    table = table.sort_by([("task", "ascending"), ("number", "ascending")])
+    table = table.sort_by("part")
     states = route([[c[4 * a : 4 * a + 4] for a in range(4)] for c in table.column("costs").to_pylist()])
     n = table.num_rows
-    return pa.table({"task": table.column("task"), "number": table.column("number"), "part": pa.array(range(n), pa.int64()), "entry": pa.array(states[:-1], pa.int32()), "exit": pa.array(states[1:], pa.int32()), "last": pa.array([k == n - 1 for k in range(n)])})
+    return pa.table({"id": table.column("conv_id"), "at": table.column("part"), "entry": pa.array(states[:-1], pa.int32()), "exit": pa.array(states[1:], pa.int32()), "last": pa.array([k == n - 1 for k in range(n)])})
+
+
+_RENDERED = "conv_id bigint, part bigint, n_rows bigint, n_merged bigint, n_relabelled bigint, n_inserted bigint, cost bigint, text string"
 
 
 def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +175,13 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for r in batch.to_pylist():
             roles = [role_number(x) for x in r["roles"]]
-            path = trace(roles, r["entry"], r["exit"])
-            ends = len(_ENDS[path[-1][2]]) if r["last"] else 0
+            entry, exit_ = (r["entry"], r["exit"]) if "entry" in r else route([matrix(roles)])
+            last = r.get("last", True)
+            path = trace(roles, entry, exit_)
+            ends = len(_ENDS[path[-1][2]]) if last else 0
             inserted = sum(len(s[4]) for s in path) + ends
             relabelled = sum(s[2] != role for s, role in zip(path, roles, strict=True))
-            rows.append((r["conv_id"], r["part"], r["n_rows"], sum(s[3] for s in path), relabelled, inserted, sum(s[0] for s in path) + INSERT * ends, render(r["texts"], path, r["part"] == 0, r["last"])))
+            rows.append((r["conv_id"], r["part"], r["n_rows"], sum(s[3] for s in path), relabelled, inserted, sum(s[0] for s in path) + INSERT * ends, render(r["texts"], path, r["part"] == 0, last)))
         kinds = [pa.int64()] * 7 + [pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 8, kinds, strict=True)], names)
 
@@ -172,16 +189,32 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def format_chats(turns: DataFrame) -> DataFrame:
     """conv_id, part, n_rows, n_merged, n_relabelled, n_inserted, cost, text for the conversations of turns.
 
-    turns: conv_id, turn, role, text. A conversation's rendered text is its parts' texts in order: one part for up to
-    SEGMENT turns that lie in one task. Turns are ordered by turn (null first), then role and text; rows that repeat a turn exactly
-    are one turn and count in n_rows. A role that is null or not one of ROLES (whatever its case) must be relabelled. Null
-    texts are empty. Rows with a null conv_id form a conversation of their own. An empty table gives an empty result.
+    turns: conv_id, turn, role, text. Each SEGMENT turns of a conversation are a part, numbered from 0, whatever the
+    partitions; the parts' texts in order are its rendered text. Turns are ordered by turn (null first), then role and text;
+    rows that repeat a turn exactly are one turn and count in n_rows. A role that is null or not one of ROLES (whatever its
+    case) must be relabelled. Of equally cheap repairs the first in the order of steps() is taken. Null texts are empty; a text
+    may have any length that a Spark string has, and is never cut. Rows with a null conv_id form a conversation of their
+    own. Other columns are ignored. An empty table gives an empty result.
     """
     spark = turns.sparkSession
+    order = ["conv_id", "turn", "role", "text"]
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
-    rows = rows.repartitionByRange(partitions(spark), "conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
-    segments = materialise(rows.mapInArrow(_segments, "conv_id bigint, task int, number bigint, roles array<string>, texts array<string>, n_rows bigint"))
-    costs = segments.mapInArrow(_reduce, "conv_id bigint, task int, number bigint, costs array<bigint>")
-    settled = costs.groupBy("conv_id").applyInArrow(_settle, "task int, number bigint, part bigint, entry int, exit int, last boolean")
-    return segments.join(settled, ["task", "number"]).mapInArrow(_render, "conv_id bigint, part bigint, n_rows bigint, n_merged bigint, n_relabelled bigint, n_inserted bigint, cost bigint, text string")
+    rows = rows.groupBy(*order).agg(F.count("*").alias("n"))
+    rows = materialise(rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("task", F.spark_partition_id()))
+    # A conversation that n tasks share fills the borders between them, so there are fewer such rows than twice the tasks.
+    counts = rows.groupBy("conv_id", "task").agg(F.count("*").alias("n")).withColumn("tasks", F.count("*").over(W.partitionBy("conv_id")))
+    before, total = {}, {}
+    for conv, task, n in sorted(counts.where("tasks > 1").select("conv_id", "task", "n").collect(), key=lambda r: r[1]):
+        before[task, conv] = total.get(conv, 0)
+        total[conv] = before[task, conv] + n
+    spanning = frozenset(total)
+    pieces = materialise(rows.mapInArrow(lambda it: _pieces(it, before, spanning), _PIECE))
+    alone = pieces.where("alone").select("conv_id", "part", "roles", "texts", "n_rows").mapInArrow(_render, _RENDERED)
+    parts = pieces.where("NOT alone AND whole").select("conv_id", "part", "roles", "texts", "n_rows")
+    if spanning:
+        cut = F.sort_array(F.collect_list(F.struct("start", "roles", "texts", "n_rows")))
+        cut = pieces.where("NOT whole").groupBy("conv_id", "part").agg(cut.alias("p"))  # at most SEGMENT turns
+        parts = parts.union(cut.select("conv_id", "part", F.flatten("p.roles"), F.flatten("p.texts"), F.aggregate("p.n_rows", F.lit(0).cast("bigint"), lambda a, x: a + x)))
+    settled = parts.mapInArrow(_reduce, "conv_id bigint, part bigint, costs array<bigint>").groupBy("conv_id").applyInArrow(_settle, "id bigint, at bigint, entry int, exit int, last boolean")
+    long = parts.join(settled, F.col("conv_id").eqNullSafe(F.col("id")) & (F.col("part") == F.col("at"))).drop("id", "at")
+    return alone.union(long.mapInArrow(_render, _RENDERED))

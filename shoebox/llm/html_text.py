@@ -27,7 +27,16 @@ IMPLIED = {
     "body": (frozenset(("head",)), frozenset()),
 }
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+_NO_BOX = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)", re.I)
+#: The greatest colspan that the standard allows.
+MAX_SPAN = 1000
+#: Cells wider than this stand over their column without widening it; tables nested deeper than this are written on one line.
+WIDE, NESTED = 80, 16
+#: Lists and quotations nested deeper than this are indented no further.
+MAX_INDENT = 50
+#: A table whose aligned form would be longer than this many times its text, and a constant, is written without padding.
+GROWTH, SPARE = 8, 20_000
 
 
 class Node:
@@ -36,8 +45,13 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
-    def visible(self) -> bool:
-        return self.tag not in HIDDEN and "hidden" not in self.attrs and not _NOT_SHOWN.search(self.attrs.get("style", ""))
+    def has_box(self) -> bool:
+        return self.tag not in HIDDEN and "hidden" not in self.attrs and not _NO_BOX.search(self.attrs.get("style", ""))
+
+    def shown(self, inherited: bool) -> bool:
+        """Whether its own text is visible: the last visibility of its style, or else what it inherits."""
+        found = _VISIBILITY.findall(self.attrs.get("style", "")) if "style" in self.attrs else ()
+        return found[-1].lower() == "visible" if found and found[-1].lower() in ("visible", "hidden", "collapse") else inherited
 
 
 class _Builder(HTMLParser):
@@ -45,14 +59,21 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}  # of each tag's open elements in self.open
+
+    def _last(self, tags: frozenset[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def _close(self, k: int) -> None:
+        """Ends the open elements from the k-th on."""
+        for node in self.open[k:]:
+            self.places[node.tag].pop()
+        del self.open[k:]
 
     def _end(self, tags: frozenset[str], stop: frozenset[str]) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
-                return
-            if self.open[k].tag in stop:
-                return
+        k = self._last(tags)
+        if k and k >= self._last(stop):
+            self._close(k)
 
     def handle_starttag(self, tag, attrs):
         if tag in CLOSES_P:
@@ -62,10 +83,11 @@ class _Builder(HTMLParser):
         if tag in ("html",):
             return
         if self.open[-1].tag == "head" and tag not in HIDDEN and tag != "base":
-            self.open.pop()
+            self._close(len(self.open) - 1)
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
@@ -79,7 +101,7 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data):
         if self.open[-1].tag == "head" and data.strip():
-            self.open.pop()
+            self._close(len(self.open) - 1)
         self.open[-1].children.append(data)
 
     def parse_html_declaration(self, i):
@@ -133,129 +155,179 @@ class _Lines:
         self.blank |= spaced
 
 
-def _inline(node: Node) -> str:
+def _inline(node: Node, shown: bool) -> str:
     """All visible text below a node on one line."""
-    out, todo = [], [node]
+    out, todo = [], [(node, shown)]
     while todo:
-        x = todo.pop()
+        x, shown = todo.pop()
         if isinstance(x, str):
-            out.append(x)
-        elif x.visible():
+            out.append(x if shown else "")
+        elif x.has_box():
+            shown = x.shown(shown)
             if x.tag in BLOCKS or x.tag == "br":
                 out.append(" ")
-                todo.append(" ")
-            todo += reversed(x.children)
-            if x.tag in ("img", "input"):
-                out.append(x.attrs.get("alt", "") if x.tag == "img" else "")
+                todo.append((" ", True))
+            todo += [(c, shown) for c in reversed(x.children)]
+            if x.tag == "img" and shown:
+                out.append(x.attrs.get("alt", ""))
     return _SPACE.sub(" ", "".join(out)).strip(" ")
 
 
-def _rows(table: Node) -> tuple[list[str], list[list[str]]]:
-    captions, rows, todo = [], [], list(reversed(table.children))
+def _number(value: str | None) -> int | None:
+    value = (value or "").strip()
+    return int(value) if re.fullmatch(r"-?[0-9]{1,9}", value) else None
+
+
+def _rows(table: Node, shown: bool, depth: int) -> tuple[list[str], list[list[tuple[list[str], int]]]]:
+    """What stands outside the cells, and the rows: for each cell its lines and how many columns it spans."""
+    captions, rows, todo = [], [], [(c, shown) for c in reversed(table.children)]
     while todo:
-        x = todo.pop()
+        x, shown = todo.pop()
         if isinstance(x, str):
-            if x.strip():
+            if x.strip() and shown:
                 captions.append(_SPACE.sub(" ", x).strip())
-        elif x.visible():
+        elif x.has_box():
+            shown = x.shown(shown)
             if x.tag == "tr":
                 row = []
                 for c in x.children:
-                    if isinstance(c, Node) and c.visible():
-                        row.append(_inline(c))
-                        span = c.attrs.get("colspan", "1")
-                        row += [""] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() and int(span) else 0)
-                    elif isinstance(c, str) and c.strip():
+                    if isinstance(c, Node) and c.has_box():
+                        lines = [y for y in _layout(c.children, c.shown(shown), depth + 1).split("\n") if y] if depth < NESTED else [_inline(c, shown)]
+                        row.append((lines or [""], min(max(_number(c.attrs.get("colspan")) or 1, 1), MAX_SPAN)))
+                    elif isinstance(c, str) and c.strip() and shown:
                         captions.append(_SPACE.sub(" ", c).strip())
                 rows.append(row)
             elif x.tag in ("tbody", "thead", "tfoot"):
-                todo += reversed(x.children)
-            elif text := _inline(x):
+                todo += [(c, shown) for c in reversed(x.children)]
+            elif text := _inline(x, shown):
                 captions.append(text)
     return captions, rows
 
 
-def render(html: str | None) -> str:
-    """The page's visible text; "" for null, empty or wholly hidden pages. Never fails on malformed markup."""
+def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+    """The rows' lines with cells under each other; without padding where that would be out of proportion to the text."""
+    widths: dict[int, int] = {}
+    text = cost = 0
+    for row in rows:
+        at = 0
+        for lines, span in row:
+            text += sum(map(len, lines)) + 4
+            widths[at] = max(widths.get(at, 0), *(len(y) if len(y) <= WIDE else 0 for y in lines))
+            at += span
+    for row in rows:
+        # ends: how long a line gets whose last text is in this cell; each of the row's lines ends in its furthest text
+        ends, at, total = [], 0, 0
+        for lines, span in row:
+            total += max(widths[at], max(map(len, lines))) + sum(widths.get(at + j, 0) for j in range(1, span)) + 3 * span
+            ends.append(total)
+            at += span
+        height = 0
+        for (lines, _), end in zip(reversed(row), reversed(ends), strict=True):
+            cost += max(0, len(lines) - height) * end
+            height = max(height, len(lines))
+        if cost > GROWTH * text + SPARE:
+            return [x for x in (" | ".join(" ".join(lines) for lines, _ in row if lines != [""]) for row in rows) if x]
+    out = []
+    for row in rows:
+        for k in range(max((len(lines) for lines, _ in row), default=0)):
+            cells, at, used = [], 0, 0
+            for lines, span in row:
+                cell = lines[k] if k < len(lines) else ""
+                cells += [cell.ljust(widths[at]), *(" " * widths.get(at + j, 0) for j in range(1, span))]
+                used = len(cells) - span + 1 if cell else used
+                at += span
+            out.append(" | ".join(cells[:used]).rstrip(" "))
+    return [x for x in out if x]
+
+
+def _layout(children: list, shown: bool, depth: int) -> str:
     lines = _Lines()
     lists: list[list[int]] = []
-    todo: list = [parse(html or "")]
+    todo: list = [(c, shown) for c in reversed(children)]
     while todo:
-        x = todo.pop()
+        x, shown = todo.pop()
         if callable(x):
             x()
             continue
         if isinstance(x, str):
-            lines.text(x)
+            if shown:
+                lines.text(x)
             continue
-        if not x.visible():
+        if not x.has_box():
             continue
-        tag = x.tag
+        tag, shown = x.tag, x.shown(shown)
         if tag == "br":
             lines.end(force=True)
         elif tag == "hr":
             lines.end(spaced=True)
         elif tag == "img":
-            lines.text(x.attrs.get("alt", ""))
+            if shown:
+                lines.text(x.attrs.get("alt", ""))
         elif tag == "table":
             lines.end(spaced=True)
-            captions, rows = _rows(x)
+            captions, rows = _rows(x, shown, depth)
             for c in captions:
                 lines.text(c)
                 lines.end()
-            widths = [max(map(len, c)) for c in zip(*[r + [""] * (max(map(len, rows)) - len(r)) for r in rows], strict=True)] if rows else []
-            for r in rows:
-                while r and not r[-1]:
-                    r.pop()
-                if r:
-                    lines.exact(" | ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)))
+            for line in _aligned(rows):
+                lines.exact(line)
             lines.end(spaced=True)
         elif tag == "pre":
             lines.end(spaced=True)
-            out, inner = [], [x]
+            out, inner = [], [(x, shown)]
             while inner:
-                y = inner.pop()
+                y, seen = inner.pop()
                 if isinstance(y, str):
-                    out.append(y)
-                elif y.visible():
+                    out.append(y if seen else "")
+                elif y.has_box():
+                    seen = y.shown(seen)
                     out.append("\n" if y.tag == "br" else "")
-                    inner += reversed(y.children)
+                    inner += [(c, seen) for c in reversed(y.children)]
             lines.exact("".join(out))
             lines.end(spaced=True)
         elif tag in BLOCKS:
             nested = tag in _LIST and bool(lists)
             lines.end(spaced=tag in SPACED and not nested)
             if tag in _LIST:
-                lists.append([0, int(tag == "ol")])
-            depth = lines.indent
+                start = _number(x.attrs.get("start")) if tag == "ol" else None
+                lists.append([0 if start is None else start - 1, int(tag == "ol")])
+            before = lines.indent
             if tag == "li":
                 if lists:
-                    lists[-1][0] += 1
+                    value = _number(x.attrs.get("value"))
+                    lists[-1][0] = lists[-1][0] + 1 if value is None else value
                 lines.mark = f"{lists[-1][0]}. " if lists and lists[-1][1] else "- "
-                lines.indent = 2 * max(0, len(lists) - 1) + len(lines.mark)
+                lines.indent = 2 * max(0, min(len(lists), MAX_INDENT) - 1) + len(lines.mark)
             elif tag in ("blockquote", "dd"):
-                lines.indent += 2
+                lines.indent = min(lines.indent + 2, 2 * MAX_INDENT)
 
-            def close(tag: str = tag, nested: bool = nested, depth: int = depth) -> None:
+            def close(tag: str = tag, nested: bool = nested, before: int = before) -> None:
                 lines.end(spaced=tag in SPACED and not nested)
-                lines.indent = depth
+                lines.indent = before
                 lines.mark = "" if tag == "li" else lines.mark
                 if tag in _LIST:
                     lists.pop()
 
-            todo.append(close)
-            todo += reversed(x.children)
+            todo.append((close, shown))
+            todo += [(c, shown) for c in reversed(x.children)]
         else:
-            todo += reversed(x.children)
+            todo += [(c, shown) for c in reversed(x.children)]
     lines.end()
     return "\n".join(lines.lines).strip("\n")
 
 
+def render(html: str | None) -> str:
+    """The page's visible text; "" for null, empty or wholly hidden pages. Never fails on malformed markup."""
+    root = parse(html or "")
+    return _layout(root.children, True, 0) if root.has_box() else ""
+
+
 def extract_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points of text) for every row of pages, repeated rows included.
 
     A null or empty page, and one without visible text, has the text "". Other columns are ignored; an empty table gives
-    an empty result. There is no shuffle: every page is rendered where it is read.
+    an empty result. A page of any length is rendered whole, in a time and a length in proportion to it (see WIDE, GROWTH,
+    NESTED and MAX_INDENT for where layout gives way). There is no shuffle: every page is rendered where it is read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
