@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +26,12 @@ IMPLIED = {
     "option": (frozenset(("option",)), frozenset(("select", "datalist"))), "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
     "body": (frozenset(("head",)), frozenset()),
 }
+#: Elements whose content is text up to their own end tag, and those of them in which character references count.
+RAW, REFERENCES = frozenset("script style xmp iframe noembed noframes title textarea".split()), frozenset("title textarea".split())
 _SPACE = re.compile(r"[ \t\n\r\f]+")
+_NAME, _GAP, _BARE = re.compile(r"[^ \t\n\r\f/>]+"), re.compile(r"[ \t\n\r\f/]*"), re.compile(r"[^ \t\n\r\f>]*")
+_ATTRIBUTE = re.compile(r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*)([ \t\n\r\f]*=[ \t\n\r\f]*)?")
+_LETTER = re.compile(r"[A-Za-z]")
 _NO_BOX = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"visibility\s*:\s*([a-z]+)", re.I)
 #: The greatest colspan that the standard allows.
@@ -54,9 +59,33 @@ class Node:
         return found[-1].lower() == "visible" if found and found[-1].lower() in ("visible", "hidden", "collapse") else inherited
 
 
-class _Builder(HTMLParser):
+def _tag(html: str, i: int) -> tuple[int, str, dict[str, str]]:
+    """Where the tag whose name begins at i ends (-1: not at all), its name and attributes."""
+    name = _NAME.match(html, i)
+    i, attrs = name.end(), {}
+    while (i := _GAP.match(html, i).end()) < len(html):
+        if html[i] == ">":
+            return i + 1, name.group().lower(), attrs
+        found = _ATTRIBUTE.match(html, i)
+        i, value = found.end(), ""
+        if found.group(2):
+            quote = html[i : i + 1]
+            if quote in ('"', "'"):
+                end = html.find(quote, i + 1)
+                if end < 0:
+                    break
+                value, i = html[i + 1 : end], end + 1
+            else:
+                value = _BARE.match(html, i).group()
+                i += len(value)
+        attrs.setdefault(found.group(1).lower(), unescape(value))
+    return -1, "", {}
+
+
+class _Builder:
+    """The tree of a page, read from front to back once. A tag or comment that never ends takes the rest, as in browsers."""
+
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
         self.places: dict[str, list[int]] = {}  # of each tag's open elements in self.open
@@ -84,18 +113,15 @@ class _Builder(HTMLParser):
             return
         if self.open[-1].tag == "head" and tag not in HIDDEN and tag != "base":
             self._close(len(self.open) - 1)
-        node = Node(tag, {k: v or "" for k, v in attrs})
+        node = Node(tag, attrs)
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-
     def handle_endtag(self, tag):
         if tag == "br":
-            self.handle_starttag(tag, [])
+            self.handle_starttag(tag, {})
         elif tag not in VOID and tag not in ("html", "body"):
             self._end(frozenset((tag,)), frozenset(("td", "th", "table")) if tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot") else (_TABLE if tag != "table" else frozenset()))
 
@@ -104,14 +130,48 @@ class _Builder(HTMLParser):
             self._close(len(self.open) - 1)
         self.open[-1].children.append(data)
 
-    def parse_html_declaration(self, i):
-        return self.parse_bogus_comment(i) if self.rawdata.startswith("<![", i) else super().parse_html_declaration(i)
+    def feed(self, html: str) -> None:
+        i = 0
+        while i < len(html):
+            k = html.find("<", i)
+            if k != i:
+                self.handle_data(unescape(html[i : k if k > 0 else len(html)]))
+            if k < 0:
+                return
+            kind = html[k + 1 : k + 2]
+            if _LETTER.match(kind):
+                i, tag, attrs = _tag(html, k + 1)
+                if i < 0:
+                    return
+                self.handle_starttag(tag, attrs)
+                if tag in RAW:
+                    end = re.compile(f"</{tag}(?=[ \\t\\n\\r\\f/>])", re.I).search(html, i)
+                    end = end.start() if end else len(html)
+                    if end > i:
+                        self.handle_data(unescape(html[i:end]) if tag in REFERENCES else html[i:end])
+                    i = end
+            elif kind == "/" and _LETTER.match(html[k + 2 : k + 3]):
+                i, tag, _ = _tag(html, k + 2)
+                if i < 0:
+                    return
+                self.handle_endtag(tag)
+            elif html.startswith("<!--", k):
+                end = k + 3 if html.startswith("<!-->", k) else html.find("-->", k + 3) + 1
+                if not end:
+                    return
+                i = end + 2
+            elif kind in ("!", "?", "/"):
+                i = html.find(">", k + 2) + 1
+                if not i:
+                    return
+            else:
+                self.handle_data("<")
+                i = k + 1
 
 
 def parse(html: str) -> Node:
     builder = _Builder()
     builder.feed(html)
-    builder.close()
     return builder.root
 
 
