@@ -1,44 +1,55 @@
 """DuckDB SQL for the operators that SQL can express."""
 
-from .quality_rules import MIN_GROUP, SPREADS
+from .quality_rules import DIGITS, SPREADS, WEIGHT
 
-_GROUPS = {"g": "lang, source", "l": "lang", "a": "1"}
 
+def _bucket(value: str) -> str:
+    shift = f"greatest(length(bin(({value})::BIGINT)) - {DIGITS}, 0)::INTEGER"
+    return f"((({value})::BIGINT >> ({shift})) << ({shift}))"
 
-def _limits(name: str, keys: str) -> str:
-    """Q1 and Q3 of each metric over a group: the least bucket that a quarter, and three quarters, of its rows reach."""
-    per = ", ".join(f"min({m}) FILTER (4 * r_{m} >= n) AS {m}_1, min({m}) FILTER (4 * r_{m} >= 3 * n) AS {m}_3" for m in SPREADS)
-    ranks = ", ".join(f"row_number() OVER (PARTITION BY {keys} ORDER BY {m}) AS r_{m}" for m in SPREADS)
-    group = "" if keys == "1" else f"{keys}, "
-    return f"{name} AS (SELECT {group}{per} FROM (SELECT *, {ranks}, count(*) OVER (PARTITION BY {keys}) AS n FROM s) WHERE n >= {MIN_GROUP} {'GROUP BY ' + keys if group else 'HAVING count(*) > 0'})"
+
+def _blended(name: str, own: str, above: str, keys: str, held_by: str) -> str:
+    """own counts plus WEIGHT documents spread like those of the group above, in whole numbers."""
+    on = f"{held_by}, metric" if held_by else "metric"
+    return f"""{name} AS (SELECT {keys}, metric, bucket, sum(n)::HUGEINT AS n FROM (
+    SELECT {keys}, metric, bucket, n * t AS n FROM {own} JOIN (SELECT {on}, sum(n)::HUGEINT AS t FROM {above} GROUP BY {on}) USING ({on})
+    UNION ALL SELECT {keys}, metric, bucket, {WEIGHT} * n FROM (SELECT DISTINCT {keys}, metric FROM {own}) JOIN {above} USING ({on})) GROUP BY {keys}, metric, bucket)"""
 
 
 def _inside() -> str:
     out = []
     for m, (least, low) in SPREADS.items():
-        # the finest group that is large enough has limits; all metrics of one row take the same one
-        pick = lambda k: f"CASE WHEN g.{m}_1 IS NOT NULL THEN g.{m}_{k} WHEN l.{m}_1 IS NOT NULL THEN l.{m}_{k} ELSE a.{m}_{k} END"  # noqa: E731, B023
-        spread = f"3 * greatest({pick(3)} - {pick(1)}, {least})"
-        out.append(f"s.{m} <= {pick(3)} + {spread}")
+        spread = f"3 * greatest(f.{m}_3 - f.{m}_1, {least})"
+        out.append(f"s.{m} <= f.{m}_3 + {spread}")
         if low:
-            out.append(f"s.{m} >= {pick(1)} - {spread}")
+            out.append(f"s.{m} >= f.{m}_1 - {spread}")
     return " AND ".join(out)
 
 
+_LONG = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {m} AS bucket FROM s" for m in SPREADS)
+_PICKED = ", ".join(f"max(q1) FILTER (metric = '{m}') AS {m}_1, max(q3) FILTER (metric = '{m}') AS {m}_3" for m in SPREADS)
+
 _RULES = rf"""
 WITH t AS (SELECT row_number() OVER () AS k, doc_id, lang, source, coalesce(text, '') AS x FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(x, '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w, list_filter(string_split(x, chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')) AS lines FROM t),
 v AS (SELECT k, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS v FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
-d AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, v) AS n FROM v) WHERE n > 1),
-r AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS j FROM d) GROUP BY k),
+e AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, v) AS n FROM v) WHERE n > 1),
+r AS (SELECT k, count(DISTINCT j) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS j FROM e) GROUP BY k),
 b AS (SELECT doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, len(w) AS n_words, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
     length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(lines) AS n_lines
     FROM w LEFT JOIN r ON r.k = w.k),
-s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN least(1000 * n_symbols // word_chars, 2000) ELSE 0 END AS symbols,
-    CASE WHEN n_lines > 0 THEN least(1000 * n_dup_lines // n_lines, 2000) ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN least(10 * word_chars // n_words, 2000) ELSE 0 END AS word_tenths FROM b),
-{", ".join(_limits(name, keys) for name, keys in _GROUPS.items())}
-SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({_inside()}, true) AS kept
-FROM s LEFT JOIN g ON s.lang = g.lang AND s.source = g.source LEFT JOIN l ON s.lang = l.lang LEFT JOIN a ON true"""
+s AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN word_chars > 0 THEN {_bucket("1000 * n_symbols // word_chars")} ELSE 0 END AS symbols,
+    CASE WHEN n_lines > 0 THEN {_bucket("1000 * n_dup_lines // n_lines")} ELSE 0 END AS dup_lines, CASE WHEN n_words > 0 THEN {_bucket("10 * word_chars // n_words")} ELSE 0 END AS word_tenths FROM b),
+m AS ({_LONG}),
+g AS (SELECT lang, source, metric, bucket, count(*)::HUGEINT AS n FROM m GROUP BY lang, source, metric, bucket),
+l AS (SELECT lang, metric, bucket, sum(n)::HUGEINT AS n FROM g GROUP BY lang, metric, bucket),
+a AS (SELECT metric, bucket, sum(n)::HUGEINT AS n FROM l GROUP BY metric, bucket),
+{_blended("l2", "l", "a", "lang", "")}, {_blended("g2", "g", "l2", "lang, source", "lang")},
+c AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM g2),
+q AS (SELECT lang, source, metric, min(bucket) FILTER (4 * cum >= total) AS q1, min(bucket) FILTER (4 * cum >= 3 * total) AS q3 FROM c GROUP BY lang, source, metric),
+f AS (SELECT lang, source, {_PICKED} FROM q GROUP BY lang, source)
+SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_inside()} AS kept
+FROM s JOIN f ON s.lang = f.lang AND s.source = f.source"""
 
 ORACLES = {
     "op4_exact_dedup": r"""

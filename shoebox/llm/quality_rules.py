@@ -1,9 +1,9 @@
 """Quality rules with adaptive thresholds, in DataFrame operations only.
 
-Each document's statistics become small integer buckets. Counts per bucket form a quantile sketch of
-fixed relative width that merges by addition: per (language, source), per language and for all rows.
-A document's limits are the fences Q1 - 3 * IQR and Q3 + 3 * IQR of the finest sketch that has seen
-at least MIN_GROUP documents.
+Each document's statistics become integers, and these buckets of fixed relative width: numbers below 2**DIGITS stand for
+themselves, larger ones keep their leading DIGITS bits. Counts per bucket form a quantile sketch that covers any value and
+merges by addition: per (language, source), per language and for all rows. Every group's sketch is blended with that of the
+group that holds it, which weighs as much as WEIGHT documents. Limits are the fences Q1 - 3 * IQR and Q3 + 3 * IQR.
 """
 
 from __future__ import annotations
@@ -18,29 +18,31 @@ SYMBOLS = r"[#*$%&|<>]"
 BLANK = r"[\x20\x09-\x0D]"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-MIN_GROUP = 200
+WEIGHT, DIGITS = 200, 10
 #: metric: (smallest spread between the quartiles, whether a low value is odd too). Units are those of metrics().
 SPREADS = {"symbols": (20, False), "dup_lines": (100, False), "word_tenths": (15, True)}
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _repeat_words(words: str, n: str, bits: str) -> Column:
-    """Words inside 5-word windows that occur twice or more, from sorted (hash, position) numbers.
-
-    The low bits hold the position, as many as the document needs; the rest is the window's hash.
-    """
-    packed = F.expr(
-        f"CASE WHEN {n} < 6 THEN array() ELSE sort_array(transform(sequence(0, {n} - 5), i -> shiftleft(shiftright("
-        f"xxhash64({words}[i], {words}[i + 1], {words}[i + 2], {words}[i + 3], {words}[i + 4]), {bits}), {bits}) | cast(i AS bigint))) END"
+def _windows(words: str, n: str) -> Column:
+    """(hash, position) of every 5-word window, sorted; none for fewer than 6 words, which have no two windows."""
+    return F.expr(
+        f"CASE WHEN {n} < 6 THEN cast(array() AS array<struct<h: bigint, i: int>>) ELSE sort_array(transform(sequence(0, {n} - 5), i -> "
+        f"struct(xxhash64({words}[i], {words}[i + 1], {words}[i + 2], {words}[i + 3], {words}[i + 4]) AS h, i AS i))) END"
     )
-    return packed
+
+
+def _same(a: str, b: str) -> str:
+    """Whether the windows at two places of the sorted list are the same five words."""
+    return f"_s[{a}].h = _s[{b}].h AND " + " AND ".join(f"_w[_s[{a}].i + {k}] = _w[_s[{b}].i + {k}]" for k in range(5))
 
 
 def document_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) and n_lines of every whole text.
 
     Null texts count as empty: all statistics 0. Repeated rows stay repeated. Columns other than `keep` are dropped,
-    so clashing names do no harm. No shuffle: everything is computed where the row is read.
+    so clashing names do no harm. A text may have any length that a Spark string has. No shuffle: everything is computed
+    where the row is read. Windows of words are brought together by a 64-bit hash and compared word by word.
     """
     t = docs.select(*keep, text_of(text).alias("_t"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -57,13 +59,10 @@ def document_stats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.size("_w").alias("_n"),
     )
-    t = t.withColumn("_bits", F.expr("cast(ceil(log2(greatest(_n, 2))) AS int)"))
-    t = t.select(*keep, "word_chars", "n_symbols", "n_lines", "n_dup_lines", "_n", "_bits", _repeat_words("_w", "_n", "_bits").alias("_s"))
+    t = t.select(*keep, "_w", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "_n", _windows("_w", "_n").alias("_s"))
     at = F.expr(
-        "sort_array(transform(filter(sequence(0, size(_s) - 1), k -> size(_s) > 0 AND ("
-        "(k > 0 AND shiftright(_s[k], _bits) = shiftright(_s[k - 1], _bits)) OR "
-        "(k < size(_s) - 1 AND shiftright(_s[k], _bits) = shiftright(_s[k + 1], _bits)))), "
-        "k -> cast(_s[k] & (shiftleft(1L, _bits) - 1L) AS int)))"
+        "sort_array(transform(filter(sequence(0, size(_s) - 1), k -> size(_s) > 0 AND "
+        f"((k > 0 AND {_same('k', 'k - 1')}) OR (k < size(_s) - 1 AND {_same('k', 'k + 1')}))), k -> _s[k].i))"
     )
     t = t.withColumn("_at", F.when(F.size("_s") > 0, at).otherwise(F.expr("cast(array() AS array<int>)")))
     covered = F.expr("aggregate(_at, named_struct('last', -5, 'n', 0), (a, x) -> named_struct('last', x, 'n', a.n + least(5, x - a.last)), a -> a.n)")
@@ -74,9 +73,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def bucket(value: str) -> str:
+    """The leading DIGITS bits of a number that is not negative."""
+    shift = f"greatest(length(bin({value})) - {DIGITS}, 0)"
+    return f"shiftleft(shiftright({value}, {shift}), {shift})"
+
+
 def metrics() -> dict[str, Column]:
     """Sketch buckets: symbols per 1000 word characters, repeated lines per 1000 lines, mean word length in tenths."""
-    per = lambda a, b, k: F.when(F.col(b) > 0, F.least(F.expr(f"{k} * {a} div {b}"), F.lit(2000))).otherwise(F.lit(0)).cast("int")
+    per = lambda a, b, k: F.when(F.col(b) > 0, F.expr(bucket(f"({k} * {a} div {b})"))).otherwise(F.lit(0)).cast("bigint")
     return {"symbols": per("n_symbols", "word_chars", 1000), "dup_lines": per("n_dup_lines", "n_lines", 1000), "word_tenths": per("word_chars", "n_words", 10)}
 
 
@@ -90,18 +95,36 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """For each group with MIN_GROUP documents: <metric>_low and <metric>_high. A sketch has at most 2,001 buckets."""
+_COUNT = "decimal(38,0)"
+
+
+def blended(own: DataFrame, above: DataFrame, keys: list[str], held_by: list[str]) -> DataFrame:
+    """own sketches plus WEIGHT documents spread like those of the group above, in whole numbers: n * total above + WEIGHT * n above."""
+    total = above.groupBy(*held_by, "metric").agg(F.sum("n").cast(_COUNT).alias("t"))
+    scaled = own.join(total, [*held_by, "metric"]).select(*keys, "metric", "bucket", (F.col("n") * F.col("t")).cast(_COUNT).alias("n"))
+    spread = own.select(*keys, "metric").distinct().join(above, [*held_by, "metric"]).select(*keys, "metric", "bucket", (WEIGHT * F.col("n")).cast(_COUNT).alias("n"))
+    return scaled.union(spread).groupBy(*keys, "metric", "bucket").agg(F.sum("n").cast(_COUNT).alias("n"))
+
+
+def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, metric, q1, q3: the least buckets that a quarter, and three quarters, of a group reach.
+
+    A window holds one sketch, whose size is bounded whatever the input: 2**DIGITS buckets and half as many for each
+    further bit.
+    """
     group = W.partitionBy(*keys, "metric")
     up_to = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     s = sketches.withColumn("total", F.sum("n").over(group)).withColumn("cum", F.sum("n").over(up_to))
-    q = s.groupBy(*keys, "metric").agg(
-        F.max("total").alias("total"),
+    return s.groupBy(*keys, "metric").agg(
         F.min(F.when(4 * F.col("cum") >= F.col("total"), F.col("bucket"))).alias("q1"),
         F.min(F.when(4 * F.col("cum") >= 3 * F.col("total"), F.col("bucket"))).alias("q3"),
-    ).where(F.col("total") >= MIN_GROUP)
+    )
+
+
+def fences(limits: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, <metric>_low and <metric>_high."""
     spread = F.greatest(F.col("q3") - F.col("q1"), F.create_map(*[F.lit(x) for m, (least, _) in SPREADS.items() for x in (m, least)])[F.col("metric")])
-    q = q.withColumn("low", F.col("q1") - 3 * spread).withColumn("high", F.col("q3") + 3 * spread)
+    q = limits.withColumn("low", F.col("q1") - 3 * spread).withColumn("high", F.col("q3") + 3 * spread)
     pick = lambda m, side: F.max(F.when(F.col("metric") == m, F.col(side))).alias(f"{m}_{side}")
     return q.groupBy(*keys).agg(*[pick(m, side) for m in SPREADS for side in ("low", "high")])
 
@@ -109,8 +132,8 @@ def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
 def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row for each row of docs (doc_id, lang, source, text): statistics, base_failed, kept.
 
-    Null lang or source form groups of their own. An empty table gives an empty result. A group with fewer than
-    MIN_GROUP documents takes its language's limits, or else those of all rows, or else (a tiny table) only the base rule.
+    Null lang or source form groups of their own. Documents on a limit stay. Repeated rows count and come out each. An empty
+    table gives an empty result. Every group, of whatever size, has limits of its own.
     """
     rows = document_stats(docs, text)
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"_{c}")
@@ -118,15 +141,13 @@ def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     fine = sketch(rows, ["_lang", "_source"])
     by_lang = merge(fine, ["_lang"])
     pooled = merge(by_lang.withColumn("_all", F.lit(1)), ["_all"])
-    out = rows.withColumn("_all", F.lit(1))
-    levels = [(fine, ["_lang", "_source"]), (by_lang, ["_lang"]), (pooled, ["_all"])]
-    for k, (s, keys) in enumerate(levels):
-        f = fences(s, keys)
-        out = out.join(f.select(*keys, F.struct(*[c for c in f.columns if c not in keys]).alias(f"_f{k}")), keys, "left")
-    out = out.withColumn("_f", F.coalesce(*[F.col(f"_f{k}") for k in range(len(levels))]))
+    by_lang = blended(by_lang, pooled.drop("_all"), ["_lang"], [])
+    fine = blended(fine, by_lang, ["_lang", "_source"], ["_lang"])
+    found = fences(quartiles(fine, ["_lang", "_source"]), ["_lang", "_source"])
+    out = rows.join(found, ["_lang", "_source"])
     inside = F.lit(True)
     for m, (_, low) in SPREADS.items():
-        inside &= F.col(m) <= F.col(f"_f.{m}_high")
+        inside &= F.col(m) <= F.col(f"{m}_high")
         if low:
-            inside &= F.col(m) >= F.col(f"_f.{m}_low")
-    return out.select("doc_id", *_STATS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"))
+            inside &= F.col(m) >= F.col(f"{m}_low")
+    return out.select("doc_id", *_STATS, "base_failed", (~F.col("base_failed") & inside).alias("kept"))
