@@ -12,48 +12,50 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLANKS, materialise, partitions, scratch, text_of
 
-#: Distinct keys in a bucket before it splits; the deepest prefix (a directory has at most 2**MAX_DEPTH rows).
-CAPACITY, MAX_DEPTH = 512, 16
+#: Distinct keys in a bucket before it splits; how many levels deeper than evenly spread keys need a bucket may split.
+CAPACITY, SPARE = 512, 2
+#: A directory of no more slots (16 bytes each) is broadcast, so that texts move once; a larger one is joined by a shuffle.
+BROADCAST_SLOTS = 1 << 20
 #: Bytes of distinct texts that a map task holds while it merges copies.
 BLOCK_BYTES = 32 << 20
-_INDEX = "bucket int, key bigint, chain int, keep_id bigint, group_size bigint, sha256 string, text string"
+_INDEX = "bucket bigint, key bigint, chain int, keep_id bigint, group_size bigint, sha256 string, text string"
 
 
 def normalised(text: str = "text"):
     return F.regexp_replace(text_of(text), BLANKS, " ")
 
 
-def split_buckets(counts: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
-    """Global depth g and, for each of the 2**g prefixes, its bucket: the first prefix of max_depth bits it holds.
+def greatest_depth(keys: int, capacity: int = CAPACITY) -> int:
+    """Bits of the longest prefix: as many as the number of distinct keys asks for, and SPARE for uneven ones."""
+    return min(62, max(0, (max(1, -(-keys // capacity)) - 1).bit_length()) + SPARE)
 
-    counts: distinct keys for each prefix of max_depth bits. Starts with one bucket and splits every overfull one by
-    its next bit, doubling the directory when the bucket is as deep as the directory.
+
+def directory(keys: DataFrame, depth: int, capacity: int = CAPACITY) -> DataFrame:
+    """slot, bucket: for each prefix of `depth` bits in use, the first of the slots that its bucket covers.
+
+    All keys start in one bucket; every bucket with more than `capacity` keys splits by its next bit, and the directory
+    doubles with the deepest of them. An overfull bucket's parents are overfull too, so a slot's bucket is as deep as the
+    number of overfull prefixes that lead to it. keys: distinct keys. One row for each slot in use, never on the driver.
     """
-    depth, todo, done = 0, [(0, 0)], []
-    keys = sorted(counts)
-    from bisect import bisect_left
-
-    total = [0]
-    for k in keys:
-        total.append(total[-1] + counts[k])
-    size = lambda d, p: total[bisect_left(keys, (p + 1) << (max_depth - d))] - total[bisect_left(keys, p << (max_depth - d))]
-    while todo:
-        d, p = todo.pop()
-        if d < max_depth and size(d, p) > capacity:
-            depth = max(depth, d + 1)
-            todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
-        else:
-            done.append((d, p))
-    directory = [0] * (1 << depth)
-    for d, p in done:
-        for q in range(p << (depth - d), (p + 1) << (depth - d)):
-            directory[q] = p << (max_depth - d)
-    return depth, directory
+    slots = keys.groupBy(prefix(F.col("key"), depth).alias("slot")).agg(F.count("*").alias("n"))
+    if not depth:
+        return slots.select("slot", F.col("slot").alias("bucket"))
+    levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("level"))
+    levels = levels.withColumn("prefix", F.expr(f"shiftright(slot, {depth} - level)"))
+    full = levels.groupBy("level", "prefix").agg(F.sum("n").alias("n")).where(F.col("n") > capacity).select("level", "prefix")
+    deep = levels.join(full, ["level", "prefix"]).groupBy("slot").agg(F.count("*").cast("int").alias("d"))
+    found = slots.join(deep, "slot", "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    return found.select("slot", F.expr(f"shiftleft(shiftright(slot, {depth} - d), {depth} - d)").alias("bucket"))
+
+
+def prefix(key: Column, depth: int) -> Column:
+    """The leading bits of a 64-bit key."""
+    return F.shiftrightunsigned(key, 64 - depth) if depth else F.lit(0).cast("bigint")
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -101,7 +103,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return [(c[0], c[1], k, c[2], c[3], s, c[4]) for k, (c, s) in enumerate(zip(chain, shas, strict=True))]
 
     names = ["bucket", "key", "chain", "keep_id", "group_size", "sha256", "text"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     rows: list[tuple] = []
 
     def out():
@@ -132,14 +134,13 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, keys: DataFrame, path: str, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Writes the index of docs to path (a shared folder) and returns it: one row for each distinct normalised text."""
     spark = docs.sparkSession
-    prefix = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    counts = {r[0]: r[1] for r in keys.select("key").distinct().groupBy(prefix.alias("p")).count().collect()}  # at most 2**MAX_DEPTH rows
-    depth, directory = split_buckets(counts, capacity)
-    table = spark.createDataFrame([(q, b) for q, b in enumerate(directory)], "slot int, bucket int")
+    distinct = materialise(keys.select("key").distinct())
+    depth = greatest_depth(distinct.count(), capacity)
+    slots = materialise(directory(distinct, depth, capacity))
     rows = docs.select(F.col("doc_id").cast("bigint"), normalised(text).alias("text")).select("doc_id", F.xxhash64("text").alias("key"), "text")
     entries = rows.mapInArrow(_merge_copies, "key bigint, keep_id bigint, n bigint, text string")
-    slot = F.shiftrightunsigned("key", 64 - depth).cast("int") if depth else F.lit(0)
-    owned = entries.withColumn("slot", slot).join(F.broadcast(table), "slot").select("bucket", "key", "keep_id", "n", "text")
+    slots = F.broadcast(slots) if slots.count() <= BROADCAST_SLOTS else slots
+    owned = entries.withColumn("slot", prefix(F.col("key"), depth)).join(slots, "slot").select("bucket", "key", "keep_id", "n", "text")
     owned = owned.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "key")
     owned.mapInArrow(_own, _INDEX).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(_INDEX).parquet(path)
@@ -150,7 +151,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", capacity: int = CAPACITY) -
 
     Texts are equal when their bytes are, after each run of blanks became one space. The least doc_id of equal texts
     stays; null ids come after all others. Rows that repeat a doc_id count in group_size and share its verdict.
-    Other columns of docs are ignored. An empty table gives an empty result.
+    Other columns of docs are ignored. An empty table gives an empty result. A text may have any length that a Spark string has.
     """
     keys = materialise(keyed(docs, text))
     index = build_index(docs, keys, scratch(docs.sparkSession, "exact-index"), text, capacity)
