@@ -24,10 +24,14 @@ from .components import components
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
 #: (mask, radius) of each block; radius * 3 + 2 >= MAX_BITS.
 BLOCKS = (((1 << 22) - 1, 1), (((1 << 21) - 1) << 22, 1), (((1 << 21) - 1) << 43, 1))
-#: The trees are fitted on at most this many fingerprints; a shard is to hold about so many members; a tree's greatest depth.
-SAMPLE, SHARD, MAX_DEPTH = 8192, 1024, 11
+#: A shard is to hold about so many members; a tree is fitted on so many fingerprints for each of its shards, and on SAMPLE at
+#: least. Both grow with the table until a tree has 2**MAX_DEPTH shards, which is what a driver holds with ease.
+SHARD, PER_SHARD, SAMPLE, MAX_DEPTH = 1024, 8, 8192, 17
+#: A shard of more rows is dealt into groups, and every two groups meet in a task of their own.
+CROWDED = 1 << 14
 #: A shard splits on in its task until so few members are left.
 SMALL = 96
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -152,22 +156,21 @@ def close_pairs(fps: np.ndarray, member: np.ndarray, mask: int, radius: int, max
 
 
 class Groups:
-    """Union-find over row numbers; a group's root is its least key."""
+    """Union-find over row numbers by whole arrays; a group's root is its least row number."""
 
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.up = keys, list(range(len(keys)))
+    def __init__(self, n: int):
+        self.root = np.arange(n)
 
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.find(a), self.find(b)
-        if a != b:
-            if self.keys[b] < self.keys[a]:
-                a, b = b, a
-            self.up[b] = a
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            ra, rb = self.root[a], self.root[b]
+            apart = ra != rb
+            if not apart.any():
+                return
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.root, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+            while (up := self.root[self.root]).tobytes() != self.root.tobytes():
+                self.root = up
 
 
 def _links(table: pa.Table, max_bits: int) -> pa.Table:
@@ -175,16 +178,37 @@ def _links(table: pa.Table, max_bits: int) -> pa.Table:
     tree = table.column("tree")[0].as_py()
     join = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind)
     fps, reps, member = join("fps", np.uint64), join("reps", np.int64), join("members", np.uint8).astype(bool)
-    groups = Groups(reps)
+    order = np.argsort(reps, kind="stable")
+    fps, reps, member = fps[order], reps[order], member[order]
+    groups = Groups(len(reps))
     for a, b in close_pairs(fps, member, *BLOCKS[tree], max_bits):
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            groups.join(x, y)
-    roots = np.array([groups.find(i) for i in range(len(reps))], np.int64)
-    linked = roots != np.arange(len(reps))
-    return pa.table({"u": pa.array(reps[linked]), "v": pa.array(reps[roots[linked]])})
-
-
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+        groups.join(a, b)
+    linked = groups.root != np.arange(len(reps))
+    return pa.table({"u": pa.array(reps[linked]), "v": pa.array(reps[groups.root[linked]])})
+
+
+def _deal(batches: Iterator[pa.RecordBatch], groups: dict[tuple[int, int], int]) -> Iterator[pa.RecordBatch]:
+    """Sends the rows of a crowded shard to each pair (one, two) of the groups that they are dealt into; others once."""
+    for batch in batches:
+        out = []
+        for tree, leaf, fps, reps, members in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            n = groups.get((tree, leaf), 1)
+            if n == 1:
+                out.append((tree, leaf, 0, 0, fps, reps, members))
+                continue
+            own, ids, kinds = np.frombuffer(fps, np.uint64), np.frombuffer(reps, np.int64), np.frombuffer(members, np.uint8)
+            group = ((own * _MIX) >> np.uint64(40)) % np.uint64(n)
+            for g in range(n):
+                rows = group == g
+                if rows.any():
+                    parts = (own[rows].tobytes(), ids[rows].tobytes(), kinds[rows].tobytes())
+                    out += [(tree, leaf, min(g, h), max(g, h), *parts) for h in range(n) if h != g]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        columns = list(zip(*out, strict=True)) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["tree", "leaf", "one", "two", "fps", "reps", "members"])
+
+
+def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> DataFrame:
     """u, v over fps (fp, rep: distinct fingerprints, each with a document): every link within max_bits or a path of links.
 
     No link between different fingerprints is lost: u and v are connected exactly when links connect their fingerprints.
@@ -192,8 +216,9 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     if max_bits >= sum(r + 1 for _, r in BLOCKS):
         raise ValueError("more differing bits than the blocks can find")
     n = fps.count()
-    sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
     depth = min(MAX_DEPTH, max(0, round(np.log2(max(1, n) / SHARD)))) if n else 0
+    most = max(SAMPLE, PER_SHARD << depth)
+    sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(most).collect()], np.int64).view(np.uint64)
     trees = [build_tree(sample, mask, depth, seed)[0] for seed, (mask, _) in enumerate(BLOCKS)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +230,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["tree", "leaf", "fps", "reps", "members"])
 
-    sent = fps.select("fp", "rep").mapInArrow(send, "tree int, leaf int, fps binary, reps binary, members binary")
-    return sent.groupBy("tree", "leaf").applyInArrow(lambda t: _links(t, max_bits), "u bigint, v bigint")
+    sent = materialise(fps.select("fp", "rep").mapInArrow(send, "tree int, leaf int, fps binary, reps binary, members binary"))
+    sizes = sent.groupBy("tree", "leaf").agg(F.sum(F.octet_length("members")).alias("n")).where(F.col("n") > crowded)
+    groups = {(t, leaf): max(2, -(-2 * n // crowded)) for t, leaf, n in sizes.collect()}  # at most 3 * 2**MAX_DEPTH rows
+    dealt = sent.mapInArrow(lambda it: _deal(it, groups), "tree int, leaf int, one int, two int, fps binary, reps binary, members binary")
+    return dealt.groupBy("tree", "leaf", "one", "two").applyInArrow(lambda t: _links(t, max_bits), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -214,7 +242,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE,
 
     Null and wordless texts have fingerprint 0 and link like any other. A row with a null doc_id is not linked and gets a
     null component. Rows that repeat a doc_id with different texts are one document that has all their links. Other
-    columns are ignored; an empty table gives an empty result.
+    columns are ignored; an empty table gives an empty result. A text may have any length that a Spark string has. A bit of
+    which exactly half the shingles have a 1 is 0.
     """
     own = materialise(fingerprints(docs, text, shingle))
     fps = materialise(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")))
