@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,15 +95,20 @@ def released(table: pa.Table) -> pa.Table:
     return table
 
 
+def text_hash(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text, 7)
+
+
 def documents_in(payloads: pa.ChunkedArray) -> tuple[list[int | None], list[bytes]]:
-    """The ids and texts of a block in an order that depends on nothing but themselves."""
-    rows: list[tuple[bool, int, bytes]] = []
+    """The ids and texts of a block by id (none last), then the texts' hash: an order that holds across blocks too."""
+    rows: list[tuple[bool, int, int, bytes]] = []
     for payload in payloads:
         ids, known, lengths, text = unpack_arrays(payload.as_py())
         text, ends = text.tobytes(), np.cumsum(lengths).tolist()
-        rows += zip((known == 0).tolist(), ids.tolist(), (text[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=False)
+        texts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        rows += zip((known == 0).tolist(), ids.tolist(), map(text_hash, texts), texts, strict=True)
     rows.sort()
-    return [None if null else i for null, i, _ in rows], [t for _, _, t in rows]
+    return [None if null else i for null, i, _, _ in rows], [t for *_, t in rows]
 
 
 #: Cuts texts into units: all units end to end, and how many each text has.

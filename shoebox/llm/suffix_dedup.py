@@ -5,17 +5,18 @@ have equal grams at the same distance from their starts, so only suffixes that s
 need comparing, together with the strings that each of them stands for. Four steps, all on blocks of documents:
 
 1. Owners of gram hashes say which grams occur in more than one place; the other anchors stand for unique strings.
-2. Each block sends its remaining anchors, each different context once, to buckets: ranges of the suffixes' leading
-   bytes, between splitters that were sampled from the documents.
-3. A bucket sorts its suffixes by multikey quicksort, eight bytes at a time, where only ties go on to the next eight, and
-   compares the strings around equal grams the same way. All but the first occurrence of a string are marked.
-   Grams with very many contexts would fill one bucket: their strings are dealt by a 128-bit digest instead.
+2. Each block sends its remaining anchors, each different context once, to buckets: ranges of suffixes between splitters
+   that were sampled from the documents. Anchors of a gram with very many contexts would fill one bucket; their strings are
+   sent as suffixes of their own, which splitters of up to SPAN bytes part.
+3. A bucket sorts its suffixes by multikey quicksort, eight bytes at a time, and finds equal ones as neighbours; the strings
+   around equal grams are compared the same way. All but the first occurrence of a string are marked. Suffixes that are
+   equal over the bytes that are compared lie on one side of every splitter, so no equal strings face each other across a
+   boundary.
 4. The marks return to the blocks, which cut the bytes that marked strings cover.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import partitions, text_of
+from .common import text_of
 
 SPAN, GRAM = 100, 32
-#: Strings around a gram with more contexts than this are dealt by digest.
+#: Strings around a gram with more contexts than this are suffixes of their own.
 HOT = 4096
+#: Bytes of documents for each bucket, and for each owner of gram hashes.
+BUCKET_BYTES = 64 << 20
 #: Documents that splitters are sampled from, and leading bytes taken from each.
 SAMPLE_DOCS, SAMPLE_EACH = 2000, 8
 #: Bytes of documents that are hashed at a time.
 RUN = 1 << 19
-#: Strings that a bucket compares at a time.
-BATCH = 400_000
+#: Strings that a bucket compares at a time; so few rows multikey quicksort leaves to a plain sort.
+BATCH, SMALL = 400_000, 1 << 14
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -100,6 +103,70 @@ def _anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at[new], h[at[new]], starts[new], starts[last]
 
 
+def multikey_quicksort(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, group: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts strings by group, then by their bytes, eight at a time; those of one group are equally long, 8 bytes or more.
+
+    words: the eight bytes (big-endian) from each position of a buffer. Each step parts the rows at a pivot of the present
+    eight bytes into less, equal and greater; only equal ones go on to the next eight. Returns the rows of strings that
+    equal a neighbour, in sorted order, and the number of their group of equals.
+    """
+    last = 1 + -(-int(lengths.max()) // 8) if len(lengths) else 0
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    todo = [(np.arange(len(starts)), 0)]
+
+    def key(rows: np.ndarray, depth: int) -> np.ndarray:
+        return words[starts[rows] + np.minimum(8 * (depth - 1), lengths[rows] - 8)].astype(np.uint64) if depth else group[rows].astype(np.uint64)
+
+    while todo:
+        rows, depth = todo.pop()
+        if len(rows) <= small or depth > last:
+            own = np.zeros(len(rows), np.int64)
+            while depth <= last and len(rows) > 1:
+                k = key(rows, depth)
+                order = np.lexsort((k, own))
+                rows, own, k = rows[order], own[order], k[order]
+                own = np.cumsum(np.concatenate([[True], (own[1:] != own[:-1]) | (k[1:] != k[:-1])])) - 1
+                tied = np.bincount(own)[own] > 1
+                rows, own, depth = rows[tied], own[tied], depth + 1
+            if len(rows) > 1:
+                found.append((rows, own))
+            continue
+        k = key(rows, depth)
+        some = np.sort(k[:: max(1, len(k) >> 10)])
+        pivot = some[len(some) // 2]
+        todo += [(rows[k > pivot], depth), (rows[k == pivot], depth + 1), (rows[k < pivot], depth)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    above = np.cumsum([0, *[int(own[-1]) + 1 for _, own in found]])
+    return np.concatenate([r for r, _ in found]), np.concatenate([own + a for (_, own), a in zip(found, above, strict=False)])
+
+
+def later_ones(rows: np.ndarray, group: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of each group of equal rows all but the first by the keys of `order` (the first key counts most)."""
+    if not len(rows):
+        return rows
+    by = np.lexsort((*[k[rows] for k in reversed(order)], group))
+    rows, group = rows[by], group[by]
+    return rows[np.concatenate([[False], group[1:] == group[:-1]])]
+
+
+def numbered(*keys: np.ndarray) -> np.ndarray:
+    """A number for each distinct combination of keys."""
+    by = np.lexsort(keys)
+    new = np.zeros(len(by), bool)
+    for k in keys:
+        new[1:] |= k[by][1:] != k[by][:-1]
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(new)
+    return out
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n of them, for each pair, end to end."""
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Block:
     """A block's documents end to end, with their anchors; the same in every step that reads the block."""
 
@@ -108,44 +175,28 @@ class Block:
         self.raw = b"".join(texts)
         self.text = np.frombuffer(self.raw, np.uint8)
         self.ends = np.cumsum([len(t) for t in texts]).astype(np.int64) if texts else np.zeros(0, np.int64)
+        #: What orders documents everywhere: no id, id, hash of the text.
+        self.order = np.array([i is None for i in self.ids], np.uint8), np.array([i or 0 for i in self.ids], np.int64), np.array([B.text_hash(t) for t in texts], np.uint64)
         self.at, self.hash, self.first, self.last = anchors(self.text, self.ends)
         self.grams, self.gram, self.count = np.unique(self.hash, return_inverse=True, return_counts=True)
-
-    def contexts(self, which: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-        """Number, distance of the first string's start from the anchor, bytes of all strings that it stands for."""
-        for i, at, a, b in zip(which.tolist(), self.at[which].tolist(), self.first[which].tolist(), (self.last[which] + SPAN).tolist(), strict=True):
-            yield i, at - a, self.raw[a:b]
+        self.words = words_at(self.text, ">u8")
 
     def repeats(self) -> np.ndarray:
         """Whether an anchor's whole context occurs earlier in the block."""
         out = np.zeros(len(self.at), bool)
-        seen = set()
-        for i, d, context in self.contexts(np.flatnonzero(self.count[self.gram] > 1)):
-            if (d, context) in seen:
-                out[i] = True
-            else:
-                seen.add((d, context))
+        which = np.flatnonzero(self.count[self.gram] > 1)
+        if len(which):
+            length = self.last[which] + SPAN - self.first[which]
+            group = numbered(length, self.at[which] - self.first[which], self.gram[which])
+            out[which[later_ones(*multikey_quicksort(self.words, self.first[which], length, group), (which,))]] = True
         return out
 
+    def bytes_at(self, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return self.text[ranges(first, n)]
 
-def multikey_groups(words: np.ndarray, starts: np.ndarray, group: np.ndarray, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorts strings by their bytes at the offsets, eight at a time, within given groups; only ties go on.
-
-    words: the eight bytes (big-endian) from each position of a buffer. Returns the rows of strings that equal another
-    one of their group, in sorted order, and the number of their new group.
-    """
-    rows = np.arange(len(starts))
-    for offset in [None, *offsets]:
-        if not len(rows):
-            break
-        key = words[starts[rows] + offset] if offset is not None else np.zeros(len(rows), np.uint64)
-        order = np.lexsort((key, group))
-        rows, group, key = rows[order], group[order], key[order]
-        new = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
-        group = np.cumsum(new) - 1
-        tied = np.bincount(group)[group] > 1
-        rows, group = rows[tied], group[tied]
-    return rows, group
+    def suffixes(self, at: np.ndarray, width: int) -> np.ndarray:
+        """The leading bytes of suffixes, as byte strings."""
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(self.text, width)[at]).view(f"S{width}").ravel() if len(at) else np.zeros(0, f"S{width}")
 
 
 def _ask(table: pa.Table, parts: int) -> pa.Table:
@@ -176,111 +227,86 @@ def _send(left: pa.Table, right: pa.Table, parts: int, splitters: np.ndarray) ->
         verdict[np.argsort(part, kind="stable")] = np.concatenate([B.unpack_arrays(v)[0] for _, v in replies])
     verdict = verdict[block.gram]
     which = np.flatnonzero((verdict > 0) & ~block.repeats())
-    document = np.searchsorted(block.ends, block.at, side="right")
-    null = np.array([i is None for i in block.ids], np.uint8)
-    ids = np.array([i or 0 for i in block.ids], np.int64)
-    lead = words_at(block.text, ">u8")
     hot = verdict[which] == 2
-    out: dict[int, list] = {}
-    bucket = np.searchsorted(splitters, lead[block.at[which[~hot]]].astype(np.uint64), side="right")
-    for (i, d, context), b in zip(block.contexts(which[~hot]), bucket.tolist(), strict=True):
-        out.setdefault(b, []).append((i, d, context))
-    digests: dict[int, list] = {}
-    seen = set()
-    for i, _, context in block.contexts(which[hot]):
-        for k in range(len(context) - SPAN + 1):
-            digest = hashlib.blake2b(context[k : k + SPAN], digest_size=16).digest()
-            if digest not in seen:
-                seen.add(digest)
-                digests.setdefault(int.from_bytes(digest[:4], "little") % (len(splitters) + 1), []).append((i, k, digest))
-            else:
-                digests.setdefault(-1, []).append((i, k, digest))
-    rows = []
-    mine = left.column("block")[0].as_py()
-    here = digests.pop(-1, [])
-    for b in sorted(out.keys() | digests.keys()):
-        n = [i for i, _, _ in out.get(b, [])]
-        m = [i for i, _, _ in digests.get(b, [])]
-        doc, hot_doc = document[n], document[m]
+    which, hot = which[~hot], which[hot]
+    bucket = np.searchsorted(splitters.astype(f"S{GRAM}"), block.suffixes(block.at[which], GRAM), side="right")
+    string = ranges(block.first[hot], block.last[hot] - block.first[hot] + 1)
+    here = later_ones(*multikey_quicksort(block.words, string, np.full(len(string), SPAN), np.zeros(len(string), np.int64)), (string,))
+    marked = string[here]  # strings that the block itself has earlier
+    string = np.delete(string, here)
+    string_bucket = np.searchsorted(splitters, block.suffixes(string, SPAN), side="right")
+    mine, rows = left.column("block")[0].as_py(), []
+    for b in np.union1d(bucket, string_bucket).tolist():
+        own, lone = which[bucket == b], string[string_bucket == b]
+        first, length = block.first[own], block.last[own] + SPAN - block.first[own]
+        doc, lone_doc = (np.searchsorted(block.ends, at, side="right") for at in (block.at[own], lone))
         value = B.pack_arrays(
-            np.array(n, np.uint32), null[doc], ids[doc], block.at[n].astype(np.uint32), np.array([d for _, d, _ in out.get(b, [])], np.uint8), np.array([len(c) for _, _, c in out.get(b, [])], np.uint8), np.frombuffer(b"".join(c for _, _, c in out.get(b, [])), np.uint8),
-            np.array(m, np.uint32), null[hot_doc], ids[hot_doc], np.array([k for _, k, _ in digests.get(b, [])], np.uint8), np.frombuffer(b"".join(x for _, _, x in digests.get(b, [])), np.uint8), (block.first[m] + np.array([k for _, k, _ in digests.get(b, [])], np.int64)).astype(np.uint32),
+            own.astype(np.uint32), *[k[doc] for k in block.order], block.at[own].astype(np.uint32), (block.at[own] - first).astype(np.uint8), length.astype(np.uint8), block.bytes_at(first, length),
+            lone.astype(np.uint32), *[k[lone_doc] for k in block.order], block.bytes_at(lone, np.full(len(lone), SPAN)),
         )
         rows.append((b, mine, value))
-    if here:  # strings that the block itself has earlier: marked at once, in a bucket's place
-        rows.append((-1 - mine % (len(splitters) + 1), mine, B.pack_arrays(np.array([i for i, _, _ in here], np.uint32), np.array([k for _, k, _ in here], np.uint8))))
+    if len(marked):
+        rows.append((-1 - mine % (len(splitters) + 1), mine, B.pack_arrays(marked.astype(np.uint32))))
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
     return pa.table({"bucket": pa.array(columns[0], pa.int32()), "block": pa.array(columns[1], pa.int32()), "anchors": pa.array(columns[2], pa.binary())})
 
 
+def _joined(rows: list[list[np.ndarray]], columns: tuple[int, ...]) -> list[np.ndarray]:
+    return [np.concatenate([r[k] for r in rows]) for k in columns]
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """For each block: anchors all of whose strings occur earlier, and single (anchor, string) marks."""
+    """For each block: anchors all of whose strings occur earlier, and positions of single strings that do."""
     blocks = table.column("block").to_pylist()
     rows = [B.unpack_arrays(x.as_py()) for x in table.column("anchors")]
-    full: dict[int, list] = {b: [] for b in blocks}
-    single: dict[int, list] = {b: [] for b in blocks}
+    full: list[list[np.ndarray]] = [[] for _ in rows]
+    single: list[list[np.ndarray]] = [[] for _ in rows]
+
+    def tell(out: list[list[np.ndarray]], owner: np.ndarray, values: np.ndarray) -> None:
+        by = np.argsort(owner, kind="stable")
+        for part in np.split(by, np.flatnonzero(np.diff(owner[by])) + 1) if len(by) else []:
+            out[owner[part[0]]].append(values[part].astype(np.uint32))
+
     if table.column("bucket")[0].as_py() < 0:
-        for b, (i, k) in zip(blocks, rows, strict=True):
-            single[b] += zip(i.tolist(), k.tolist(), strict=True)
+        single = [[r[0]] for r in rows]
     else:
         owner = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-        number, null, ids, at, distance, length = (np.concatenate([r[k] for r in rows]).astype(np.int64) for k in range(6))
-        text = np.concatenate([*[r[6] for r in rows], np.zeros(8, np.uint8)])
+        number, null, ids, text_hash, at, distance, length = _joined(rows, (0, 1, 2, 3, 4, 5, 6))
+        at, distance, length = at.astype(np.int64), distance.astype(np.int64), length.astype(np.int64)
         start = np.cumsum(length) - length
-        words, raw = words_at(text, ">u8"), text.tobytes()
-        sorted_rows, group = multikey_groups(words, start + distance, np.zeros(len(start), np.int64), [0, 8, 16, 24])
-        order = np.lexsort((at[sorted_rows], ids[sorted_rows], null[sorted_rows], group))
-        sorted_rows, group = sorted_rows[order], group[order]
-        heads, head_group = [], []
-        seen: set = set()
-        last = -1
-        for i, g, a, n, d in zip(sorted_rows.tolist(), group.tolist(), start[sorted_rows].tolist(), length[sorted_rows].tolist(), distance[sorted_rows].tolist(), strict=True):
-            if g != last:
-                seen, last = set(), g
-            key = (d, raw[a : a + n])
-            if key in seen:
-                full[blocks[owner[i]]].append(int(number[i]))
-            else:
-                seen.add(key)
-                heads.append(i)
-                head_group.append(g)
-        heads, head_group = np.array(heads, np.int64), np.array(head_group, np.int64)
+        words = words_at(np.concatenate([*_joined(rows, (7,)), np.zeros(8, np.uint8)]), ">u8")
+        order = (null, ids, text_hash, at)
+        found, gram = multikey_quicksort(words, start + distance, np.full(len(start), GRAM), np.zeros(len(start), np.int64))
+        same = multikey_quicksort(words, start[found], length[found], numbered(length[found], distance[found], gram)) if len(found) else (found, gram)
+        later = later_ones(*same, tuple(k[found] for k in order))
+        tell(full, owner[found[later]], number[found[later]])
+        heads, gram = np.delete(found, later), np.delete(gram, later)
         if len(heads):
-            several = np.bincount(head_group)[head_group] > 1
-            heads, head_group = heads[several], head_group[several]
+            several = np.bincount(gram)[gram] > 1
+            heads, gram = heads[several], gram[several]
         strings = length[heads] - SPAN + 1
         cut = [0]
         if len(heads):  # batches of whole groups
-            total, ends = np.cumsum(strings), np.flatnonzero(np.concatenate([np.diff(head_group) != 0, [True]])) + 1
+            total, ends = np.cumsum(strings), np.flatnonzero(np.concatenate([np.diff(gram) != 0, [True]])) + 1
             for e in ends.tolist():
                 if total[e - 1] - (total[cut[-1] - 1] if cut[-1] else 0) >= BATCH or e == len(heads):
                     cut.append(e)
         for a, b in zip(cut, cut[1:], strict=False):
             own, n = heads[a:b], strings[a:b]
             which = np.repeat(np.arange(len(own)), n)
-            k = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            rank = np.arange(len(own))[which]
+            k = ranges(np.zeros(len(own), np.int64), n)
             away = distance[own][which] - k  # the start's distance from the anchor
-            found, same = multikey_groups(words, start[own][which] + k, head_group[a:b][which] * 256 + away + 128, [*range(0, SPAN - 8, 8), SPAN - 8])
-            first = np.lexsort((rank[found], same))
-            found, same = found[first], same[first]
-            later = np.concatenate([[False], same[1:] == same[:-1]]) if len(found) else np.zeros(0, bool)
-            for w, j in zip(own[which[found[later]]].tolist(), k[found[later]].tolist(), strict=True):
-                single[blocks[owner[w]]].append((int(number[w]), j))
-        least: dict[bytes, tuple] = {}
-        for b, r in zip(blocks, rows, strict=True):
-            digests = r[11].tobytes()
-            for q, (i, nul, doc, k, pos) in enumerate(zip(*[r[c].tolist() for c in (7, 8, 9, 10, 12)], strict=True)):
-                digest, own = digests[16 * q : 16 * q + 16], (nul, doc, pos, b, i, k)
-                before = least.get(digest)
-                if before is None:
-                    least[digest] = own
-                else:
-                    least[digest], later_one = (own, before) if own < before else (before, own)
-                    single[later_one[3]].append(later_one[4:])
-    keys = sorted(b for b in full if full[b] or single[b])
-    marks = [B.pack_arrays(np.array(full[b], np.uint32), np.array([i for i, _ in single[b]], np.uint32), np.array([k for _, k in single[b]], np.uint8)) for b in keys]
-    return pa.table({"block": pa.array(keys, pa.int32()), "marks": pa.array(marks, pa.binary())})
+            later = later_ones(*multikey_quicksort(words, start[own][which] + k, np.full(len(which), SPAN), gram[a:b][which] * 256 + away + 128), tuple(x[own][which] for x in order))
+            tell(single, owner[own[which[later]]], (at[own[which]] - away)[later])
+        owner = np.repeat(np.arange(len(rows)), [len(r[8]) for r in rows])
+        at, null, ids, text_hash = _joined(rows, (8, 9, 10, 11))
+        words = words_at(np.concatenate([*_joined(rows, (12,)), np.zeros(8, np.uint8)]), ">u8")
+        later = later_ones(*multikey_quicksort(words, SPAN * np.arange(len(at)), np.full(len(at), SPAN), np.zeros(len(at), np.int64)), (null, ids, text_hash, at))
+        tell(single, owner[later], at[later])
+    none = [np.zeros(0, np.uint32)]
+    told = [k for k in range(len(rows)) if full[k] or single[k]]
+    marks = [B.pack_arrays(np.concatenate(full[k] or none), np.concatenate(single[k] or none)) for k in told]
+    return pa.table({"block": pa.array([blocks[k] for k in told], pa.int32()), "marks": pa.array(marks, pa.binary())})
 
 
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -288,12 +314,10 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     whole = block.repeats()
     mark = np.zeros(len(block.text) + 1, bool)
     for value in right.column("marks"):
-        full, i, k = B.unpack_arrays(value.as_py())
+        full, single = B.unpack_arrays(value.as_py())
         whole[full] = True
-        mark[block.first[i] + k] = True
-    n = (block.last - block.first + 1)[whole]
-    if len(n):
-        mark[np.repeat(block.first[whole], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)] = True
+        mark[single] = True
+    mark[ranges(block.first[whole], (block.last - block.first + 1)[whole])] = True
     total = np.cumsum(mark[:-1])
     gone = (total - np.concatenate([np.zeros(min(SPAN, len(total)), total.dtype), total[:-SPAN]])) > 0
     out = []
@@ -308,20 +332,20 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def sample_splitters(docs: DataFrame, buckets: int, text: str = "text") -> np.ndarray:
-    """buckets - 1 or fewer bounds of the leading eight bytes of suffixes, from a bounded sample of whole documents."""
+    """buckets - 1 or fewer suffixes of up to SPAN bytes that bound the buckets, from a bounded sample of whole documents."""
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
+            found = []
             for t in batch.column(0):
-                own = np.frombuffer(t.as_py(), np.uint8)
-                at = anchors(own, np.array([len(own)]))[0]
-                found.append(words_at(own, ">u8")[at[:: max(1, len(at) // SAMPLE_EACH)]].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["lead"])
+                own = t.as_py()
+                at = anchors(np.frombuffer(own, np.uint8), np.array([len(own)]))[0]
+                found += [own[a : a + SPAN] for a in at[:: max(1, len(at) // SAMPLE_EACH)].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["lead"])
 
     n = docs.count()
     chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, n // SAMPLE_DOCS))) == 0).select(text_of(text).cast("binary").alias("text")).limit(4 * SAMPLE_DOCS)
-    found = np.sort(np.array([r[0] for r in chosen.mapInArrow(leads, "lead bigint").limit(8 * SAMPLE_DOCS * SAMPLE_EACH).collect()], np.int64).view(np.uint64))
+    found = np.sort(np.array([bytes(r[0]) for r in chosen.mapInArrow(leads, "lead binary").limit(8 * SAMPLE_DOCS * SAMPLE_EACH).collect()], f"S{SPAN}"))
     return np.unique(found[np.arange(1, buckets) * len(found) // buckets]) if len(found) else found
 
 
@@ -329,11 +353,11 @@ def cut_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFram
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row of docs.
 
     A byte goes when a string of SPAN bytes covers it that starts earlier too: in a smaller doc_id, or earlier in the same
-    document. Null texts count as empty; null ids come last. Rows that repeat a doc_id come in the order of their texts.
-    Other columns are ignored; an empty table gives an empty result. A document of 4 GB or more is not supported (Spark's own texts end at 2 GB).
+    document. Null texts count as empty; null ids come last. Rows that share a doc_id, or have none, come in the order of
+    their texts' hashes, and rows that are alike one after the other. Other columns are ignored; an empty table gives an
+    empty result. A text may have any length that a Spark string has; a task holds one document and a few arrays of its size.
     """
-    spark = docs.sparkSession
-    parts = 2 * partitions(spark)
+    parts = B.part_count(docs, text, BUCKET_BYTES)
     splitters = sample_splitters(docs, parts, text)
     blocks = B.blocks_of(docs, text)
     asked = blocks.groupBy("block").applyInArrow(lambda t: _ask(t, parts), "part int, block int, grams binary")
