@@ -87,12 +87,17 @@ def hashing_encoder(dimension: int = 64) -> Callable[[], Callable[[list], np.nda
     """A deterministic text encoder: signed feature hashing of lower-cased words, of length 1."""
 
     def make():
-        import zlib
+        from hashlib import md5
+
+        known: dict[str, int] = {}
 
         def one(text) -> np.ndarray:
             v = np.zeros(dimension)
             for w in str(text or "").lower().split():
-                h = zlib.crc32(w.encode())
+                if (h := known.get(w)) is None:
+                    h = int(md5(w.encode()).hexdigest()[:7], 16)
+                    if len(known) < 1 << 18:
+                        known[w] = h
                 v[h % dimension] += 1 if h >> 16 & 1 else -1
             n = np.linalg.norm(v)
             return v / n if n else v

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .rounds import materialise
 
 # Columns of the photo view and their names there.
 VIEW = {
@@ -68,9 +72,47 @@ def timeline_rows(media: DataFrame, today: str, id: str = "id", at: str = "taken
 
 
 def neighbours(media: DataFrame, by: str, id: str = "id", at: str = "taken_at") -> DataFrame:
-    """id, previous, next in the order of falling time within `by`."""
-    w = W.partitionBy(by).orderBy(F.desc(at), id)
-    return media.select(by, id, F.lag(id).over(w).alias("previous"), F.lead(id).over(w).alias("next"))
+    """id, previous, next in the order of falling time within `by`.
+
+    Rows are sorted by range over all tasks, so that no `by` is gathered into one; each task looks beyond its borders, of
+    which the driver holds two rows for each task.
+    """
+    order = [F.col(by), F.desc(at), F.col(id)]
+    n = int(media.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = media.select(by, id, at).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    rows = materialise(rows.select(F.col(by).alias("by"), F.col(id).alias("id"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")))
+    ends = rows.groupBy("task").agg(*[f(F.struct("by", "id"), "at").alias(c) for c, f in (("first", F.min_by), ("last", F.max_by))])
+    ends = sorted(ends.collect(), key=lambda r: r["task"])
+    before = {b["task"]: tuple(a["last"]) for a, b in zip(ends, ends[1:], strict=False)}
+    after = {a["task"]: tuple(b["first"]) for a, b in zip(ends, ends[1:], strict=False)}
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("by", "id")}
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, task = None, None, None
+
+        def out(batch: pa.RecordBatch, follows: tuple | None) -> pa.RecordBatch:
+            nonlocal last
+            groups, ids = batch.column("by").to_pylist(), batch.column("id").to_pylist()
+            around = [last, *zip(groups, ids, strict=True), follows]
+            pick = lambda x, g: x[1] if x is not None and x[0] == g else None
+            last = around[-2]
+            columns = [pa.array([pick(x, g) for x, g in zip(side, groups, strict=True)], batch.schema.field("id").type) for side in (around[:-2], around[2:])]
+            return pa.RecordBatch.from_arrays([batch.column("by"), batch.column("id"), *columns], ["by", "id", "previous", "next"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is None:
+                task = batch.column("task")[0].as_py()
+                last = before.get(task)
+            else:
+                yield out(held, (batch.column("by")[0].as_py(), batch.column("id")[0].as_py()))
+            held = batch
+        if held is not None:
+            yield out(held, after.get(task))
+
+    found = rows.select("by", "id", "task").mapInArrow(link, f"by {kinds['by']}, id {kinds['id']}, previous {kinds['id']}, next {kinds['id']}")
+    return found.select(F.col("by").alias(by), F.col("id").alias(id), "previous", "next")
 
 
 def changed(versions: DataFrame, id: str, order: str, value: str) -> DataFrame:
@@ -129,15 +171,20 @@ def can_create_tag(tags: DataFrame, query: str) -> DataFrame:
     return tags.agg((~F.coalesce(F.bool_or(F.lower("name") == q), F.lit(False)) & F.lit(bool(q))).alias("can_create"))
 
 
-def tag_paths(tags: DataFrame, most: int = 20) -> DataFrame:
-    """id, path, depth of every tag below a root, through parent; chains deeper than `most` (cycles) end there."""
-    tags.createOrReplaceTempView("_shoebox_tags")
-    return tags.sparkSession.sql(f"""
-        WITH RECURSIVE t (id, path, depth) AS (
-            SELECT id, CAST(name AS STRING), 0 FROM _shoebox_tags WHERE parent IS NULL
-            UNION ALL
-            SELECT c.id, concat(t.path, '/', c.name), t.depth + 1 FROM _shoebox_tags c JOIN t ON c.parent = t.id WHERE t.depth < {most}
-        ) SELECT id, path, depth FROM t""")
+def tag_paths(tags: DataFrame) -> DataFrame:
+    """id, path, depth of every tag below a root, through parent, however deep; tags of a cycle have no path.
+
+    Every tag knows the names up to an ancestor, and that ancestor what lies above it, so a round doubles the way that is
+    known. Once a round brings no further tag to its root, the others hang below cycles or missing tags.
+    """
+    known = materialise(tags.select("id", F.col("parent").alias("up"), F.col("name").cast("string").alias("path"), F.lit(0).alias("depth")))
+    reached = -1
+    while (now := known.where("up IS NULL").count()) > reached:
+        reached = now
+        above = known.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("path").alias("begin"), F.col("depth").alias("above"))
+        way = known.where("up IS NOT NULL").join(above, "up").select("id", F.col("further").alias("up"), F.concat("begin", F.lit("/"), "path").alias("path"), (F.col("depth") + F.col("above") + 1).alias("depth"))
+        known = materialise(known.where("up IS NULL").union(way))
+    return known.where("up IS NULL").select("id", "path", "depth")
 
 
 def visible_to(rows: DataFrame, membership: DataFrame, user, org: str = "org") -> DataFrame:
@@ -184,6 +231,12 @@ def with_defaults(settings: DataFrame) -> DataFrame:
     return base.join(own, "_k", "left").select(*[F.coalesce(F.col(c) if c in settings.columns else F.lit(None), F.lit(v)).alias(c) for c, v in SETTINGS.items()])
 
 
+def settings_of(orgs: DataFrame, settings: DataFrame, org: str = "org") -> DataFrame:
+    """One row of settings for each org, with the defaults where its row, or a value of it, is missing."""
+    own = settings.select(org, *[c for c in settings.columns if c in SETTINGS])
+    return orgs.select(org).distinct().join(own, org, "left").select(org, *[F.coalesce(F.col(c) if c in settings.columns else F.lit(None), F.lit(v)).alias(c) for c, v in SETTINGS.items()])
+
+
 def patch(old: DataFrame, new: DataFrame, key: str, always: tuple[str, ...] = ()) -> DataFrame:
     """old with new's values where they are set (text not empty, number positive); columns in always are overwritten."""
     types = dict(new.dtypes)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rounds import materialise, roots, until_stable
+from .rounds import components, materialise, roots, until_stable
 from .vectors import close_pairs
 
 TAU = 0.6
@@ -104,8 +104,8 @@ def assign_known(faces: DataFrame, tau: float = TAU, scope: str | None = None) -
     return members.select("id", "ord").join(named, "ord", "left").select("id", "ord", "person")
 
 
-def replay_merges(n: list[int], edges: dict[int, list[int]]) -> list[tuple[int, int]]:
-    """(source, target) merges of people 0.. with n faces each, scanned in order over the sparse close pairs (j > i).
+def replay_merges(n: list[int], edges: dict[int, list[int]]) -> list[tuple[int, int, int, int]]:
+    """(scanned, met, source, target) merges of people 0.. with n faces each, scanned in order over the sparse close pairs (j > i).
 
     The larger of the two stays; the scanned one's size grows by what it meets, its own centroid stays as it was.
     """
@@ -122,28 +122,35 @@ def replay_merges(n: list[int], edges: dict[int, list[int]]) -> list[tuple[int,
             size[i] += size[j]
             if source != target:
                 gone.add(source)
-                out.append((source, target))
+                out.append((i, j, source, target))
     return out
 
 
 def merge_plan(centroids: DataFrame, tau: float = TAU, scope: str | None = None) -> DataFrame:
-    """scope, step, source, target: the greedy merges of people (person, ord, n, centroid), in order, for each scope."""
+    """scope, step, met, source, target: the greedy merges of people (person, ord, n, centroid) of each scope.
+
+    In the order of step, then met: the ords of the scanned person and of the one it met. Merges never leave a connected
+    component of the close pairs, so each component is replayed on its own.
+    """
     rows = materialise(centroids.select("person", F.col("ord").cast("long").alias("ord"), F.col("n").cast("long").alias("n"), F.col("centroid").alias("vector"), (F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")).alias("scope")))
-    pairs = close_pairs(rows.select(F.col("ord").alias("id"), "vector", "scope"), tau, scope="scope")
-    near = rows.select("scope", "person", "ord", "n").join(pairs.groupBy(F.col("a").alias("ord")).agg(F.sort_array(F.collect_set("b")).alias("near")), "ord", "left")
-    met = pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
-    near = near.join(met, "ord", "left_semi")
+    # People of different scopes may share an ord, and are different nodes.
+    rows = materialise(rows.withColumn("node", F.monotonically_increasing_id()))
+    pairs = materialise(close_pairs(rows.select(F.col("node").alias("id"), "vector", "scope"), tau, scope="scope").select("a", "b"))
+    root = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    both = pairs.union(pairs.select("b", "a")).toDF("node", "other").join(rows.select(F.col("node").alias("other"), F.col("ord").alias("near")), "other")
+    near = rows.select("scope", "person", "ord", "n", "node").join(both.groupBy("node").agg(F.sort_array(F.collect_set("near")).alias("near")), "node")
+    near = near.join(root, near["node"] == root["u"], "left").withColumn("root", F.coalesce("root", "node"))
 
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord")
-        at = {o: k for k, o in enumerate(frame["ord"])}
-        edges = {k: [at[o] for o in near] for k, near in enumerate(frame["near"]) if near is not None}
-        people = frame["person"].tolist()
+        ords, people = frame["ord"].tolist(), frame["person"].tolist()
+        at = {o: k for k, o in enumerate(ords)}
+        edges = {k: [at[o] for o in near if at[o] > k] for k, near in enumerate(frame["near"])}
         out = replay_merges(frame["n"].tolist(), edges)
-        return pd.DataFrame([(frame["scope"].iloc[0], k, people[s], people[t]) for k, (s, t) in enumerate(out)], columns=["scope", "step", "source", "target"])
+        return pd.DataFrame([(frame["scope"].iloc[0], ords[i], ords[j], people[s], people[t]) for i, j, s, t in out], columns=["scope", "step", "met", "source", "target"])
 
     kind = centroids.schema["person"].dataType.simpleString()
-    return near.groupBy("scope").applyInPandas(replay, f"scope string, step long, source {kind}, target {kind}")
+    return near.select("root", "scope", "person", "ord", "n", "near").groupBy("root").applyInPandas(replay, f"scope string, step long, met long, source {kind}, target {kind}")
 
 
 def final_names(merges: DataFrame) -> DataFrame:

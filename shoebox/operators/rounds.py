@@ -5,25 +5,35 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where all is one machine, a temporary one will do."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not found and context._jsc.sc().getCheckpointDir().isDefined():
+        found = context._jsc.sc().getCheckpointDir().get()
+    if not found and not (context.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found or f"file://{tempfile.mkdtemp(prefix='spark-shoebox-')}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Computes df once into spark.checkpoint.dir, the folder that driver and executors share (a temporary one if unset)."""
+    """Computes df once into the shared folder; later reads survive the loss of any executor."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-shoebox-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame], int], most: int = 200) -> DataFrame:
-    """step() again and again, each result materialised, until changed() counts nothing."""
-    for _ in range(most):
+def until_stable(df: DataFrame, step: Callable[[DataFrame], DataFrame], changed: Callable[[DataFrame], int]) -> DataFrame:
+    """step() again and again, each result materialised, until changed() counts nothing. Every step must come closer to the end."""
+    while True:
         df = materialise(step(df))
         if not changed(df):
             return df
-    raise RuntimeError(f"no fixpoint after {most} rounds")
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -35,3 +45,27 @@ def roots(parents: DataFrame) -> DataFrame:
 
     start = materialise(parents.select("node", "parent"))
     return until_stable(start, jump, lambda p: p.where("moved").limit(1).count()).select("node", F.col("parent").alias("root"))
+
+
+def _state(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges: u, v (long), in any direction and number. Returns u, root for every node that is not its component's least.
+
+    Null ends and loops are ignored. Large-star and small-star rounds, about log(nodes) of them; each writes the edges to the
+    shared folder, and the driver sees two numbers.
+    """
+    e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = materialise(e)
+    before = None
+    while (now := _state(e)) != before:
+        before = now
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        pairs = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
+        e = materialise(pairs.where(F.col("u") != F.col("v")).distinct())
+    return e.select("u", F.col("v").alias("root"))

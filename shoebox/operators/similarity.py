@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .rounds import materialise, until_stable
+from .rounds import components, materialise, until_stable
+
+#: Edges of a component that one task scans; it holds them as pairs of numbers.
+LOCAL_EDGES = 1 << 20
 
 
 def _pieces(hi, lo, blocks: int) -> list:
@@ -45,16 +48,45 @@ def hash_pairs(hashes: DataFrame, t: int, agree: int = 2) -> DataFrame:
     return found.select(F.col("ord").alias("a"), "b", d.alias("distance")).distinct()
 
 
-def greedy_leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _scan(frame: pd.DataFrame) -> pd.DataFrame:
+    """node, leader of one component (a, b: its edges) by the scan itself."""
+    later: dict[int, list[int]] = {}
+    for a, b in zip(frame["a"].tolist(), frame["b"].tolist(), strict=True):
+        later.setdefault(a, []).append(b)
+    leader: dict[int, int] = {}
+    for node in sorted({*later, *frame["b"].tolist()}):
+        if node not in leader:
+            leader[node] = node
+            for other in later.get(node, ()):
+                leader.setdefault(other, node)
+    return pd.DataFrame({"node": list(leader), "leader": list(leader.values())}, dtype="int64")
+
+
+def greedy_leaders(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """node, leader: what a scan in order gives where each unvisited node leads and takes its later unvisited neighbours.
 
-    nodes: node, unique and ordered; edges: a < b. In each round an undecided node with a lower leader becomes a member; one
-    whose lower neighbours are all members becomes a leader.
+    nodes: node, unique and ordered; edges: a < b. Components are independent: those of up to `local` edges are scanned each
+    in a task. In larger ones all nodes decide in rounds: an undecided node with a lower leader becomes a member; one whose
+    lower neighbours are all members becomes a leader. There are as many rounds as the scan's longest chain of decisions.
     """
     edges = materialise(edges.select("a", "b"))
+    root = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    edges = materialise(edges.join(root.select(F.col("u").alias("b"), "root"), "b").select("root", "a", "b"))  # b is never its component's least
+    sizes = edges.groupBy("root").agg(F.count("*").alias("n"))
+    large = materialise(sizes.where(F.col("n") > local).select("root"))
+    some_large = not large.isEmpty()
+    small = edges.join(large, "root", "left_anti") if some_large else edges
+    led = small.groupBy("root").applyInPandas(_scan, "node long, leader long")
+    if some_large:
+        led = led.union(_by_rounds(edges.join(large, "root", "left_semi").select("a", "b")))
+    return nodes.select("node").join(led, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    edges = materialise(edges)
     touched = edges.select(F.col("b").alias("node")).distinct()
-    start = nodes.select("node").join(touched.withColumn("t", F.lit(1)), "node", "left").select("node", F.when(F.col("t").isNull(), F.lit("leader")).otherwise(F.lit("open")).alias("state"))
-    start = materialise(start)
+    start = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(touched.withColumn("t", F.lit(1)), "node", "left")
+    start = materialise(start.select("node", F.when(F.col("t").isNull(), F.lit("leader")).otherwise(F.lit("open")).alias("state")))
 
     def step(s: DataFrame) -> DataFrame:
         lower = edges.join(s.select(F.col("node").alias("a"), F.col("state").alias("of")), "a").groupBy("b").agg(F.max((F.col("of") == "leader").cast("int")).alias("led"), F.min((F.col("of") == "member").cast("int")).alias("all_members"))

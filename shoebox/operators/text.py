@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 CHARSET = "0123456789abcdefghijklmnopqrstuvwxyz"
 LONGEST, FALLBACK = 32, math.log(1e-10)
+#: Texts whose pieces a task holds at a time.
+ROWS = 256
 # Fixed values of the text encoder's vocabulary.
 START_ID, END_ID, WORD_IDS = 49406, 49407, 49405
 
@@ -42,8 +44,12 @@ def segment(text: str, scores: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
-def unigram_tokens(df: DataFrame, vocabulary: list[tuple[str, float]], length: int, text: str = "text", end_id: int = 1, unknown_id: int = 2, out: str = "tokens") -> DataFrame:
-    """df with fixed-length ids: pieces in order, the end id, then 0. The vocabulary (a model's fixed list) goes to every task."""
+def unigram_tokens(df: DataFrame, vocabulary: list[tuple[str, float]], length: int, text: str = "text", end_id: int = 1, unknown_id: int = 2, out: str = "tokens", windows: bool = False) -> DataFrame:
+    """df with fixed-length ids: pieces in order, the end id, then 0. The vocabulary (a model's fixed list) goes to every task.
+
+    The encoder's form ends with the pieces that fit. With windows, a text has as many rows as it fills, numbered by `window`
+    from 0, so that every piece comes out; an empty text has one.
+    """
     ids = {w: k for k, (w, _) in enumerate(vocabulary)}
     scores = dict(vocabulary)
     by_word = all("▁" not in w[1:] for w in scores)  # then no piece runs across words, and each word is cut once
@@ -57,16 +63,29 @@ def unigram_tokens(df: DataFrame, vocabulary: list[tuple[str, float]], length: i
                 known[w] = segment(w, scores) if w else (["▁"])
             yield from known[w]
 
+    def rows_of(t: str | None) -> Iterator[list[int]]:
+        found = (ids.get(p, unknown_id) for p in pieces((t or "").lower(), known))
+        own = list(islice(found, length - 1))
+        while True:
+            yield [*own, end_id, *[0] * (length - 1 - len(own))]
+            own = list(islice(found, length - 1)) if windows else []
+            if not own:
+                return
+
+    known: dict[str, list[str]] = {}
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows, known = [], {}
-            for t in frame[text]:
-                own = [ids.get(p, unknown_id) for p in islice(pieces((t or "").lower(), known), length - 1)] + [end_id]
-                rows.append(own + [0] * (length - len(own)))
-            yield frame.assign(**{out: rows})
+            known.clear()
+            for k in range(0, len(frame), ROWS):
+                part = frame.iloc[k : k + ROWS]
+                rows = [list(rows_of(t)) for t in part[text]]
+                found = part.loc[part.index.repeat([len(r) for r in rows])]
+                found = found.assign(**{out: [x for r in rows for x in r]})
+                yield found.assign(window=[n for r in rows for n in range(len(r))]) if windows else found
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{schema}, `{out}` array<int>")
+    return df.mapInPandas(run, f"{schema}, `{out}` array<int>" + (", window long" if windows else ""))
 
 
 def word_id(word: str) -> int:
@@ -100,3 +119,10 @@ def hash_tokens(texts: Column, length: int) -> Column:
         return column.map(one)
 
     return tokens(texts)
+
+
+def word_windows(texts: Column, words: int) -> Column:
+    """The words of a text, so many at a time and joined by spaces, in order; one empty window for a text without words."""
+    own = F.filter(F.split(F.coalesce(texts, F.lit("")), r"[\x20\x09-\x0D\x1C-\x1F\x85\xA0]+"), lambda w: w != "")
+    n = F.greatest(F.lit(1), F.ceil(F.size(own) / F.lit(words)).cast("int"))
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(own, k * words + 1, words), " "))

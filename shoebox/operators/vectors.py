@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from .rounds import materialise
 
-#: Queries that are broadcast at a time (their number is counted first).
-QUERY_BLOCK = 4096
+#: Queries that a task holds at a time; so many bytes of them, counted first, may go to the tasks with the code.
+QUERY_BLOCK, QUERY_BYTES = 4096, 32 << 20
+#: Rows of the corpus that meet a block of queries in a task, where queries are too many to be sent; rows scored at a time.
+CORPUS_BLOCK, SLICE = 1 << 16, 2048
 _KNN = "query long, id long, score double"
 
 
@@ -34,45 +36,88 @@ def usable(df: DataFrame, id: str, vector: str) -> DataFrame:
     return df.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull()))
 
 
-def _top(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    queries = _unit(queries)
+class Best:
+    """The k best rows of each query so far: greatest similarity, ties by id."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = _unit(queries), k
+        self.ids, self.scores = np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0))
+
+    def see(self, ids: np.ndarray, vectors: pa.Array) -> None:
+        same = vectors.value_lengths().to_numpy(zero_copy_only=False) == self.queries.shape[1]
+        ids, m = ids[same], _unit(_matrix(vectors.filter(pa.array(same)))) if same.any() else np.zeros((0, self.queries.shape[1]))
+        for at in range(0, len(ids), SLICE):
+            scores = np.concatenate([self.scores, self.queries @ m[at : at + SLICE].T], axis=1)
+            own = np.concatenate([self.ids, np.broadcast_to(ids[at : at + SLICE], (len(scores), len(m[at : at + SLICE])))], axis=1)
+            rounded = np.round(scores, 12)
+            if scores.shape[1] > 4 * self.k:  # only those from the k-th best on, ties included, need sorting
+                limit = np.partition(rounded, scores.shape[1] - self.k, axis=1)[:, [scores.shape[1] - self.k]]
+                row, column = np.nonzero(rounded >= limit)
+                n = np.bincount(row, minlength=len(scores))
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                wide = int(n.max(initial=0))
+                keep = np.full((3, len(scores), wide), np.inf)
+                keep[0, row, place], keep[1, row, place] = -rounded[row, column], scores[row, column]
+                some = np.zeros((len(scores), wide), np.int64)
+                some[row, place] = own[row, column]
+                own, scores, rounded = some, keep[1], -keep[0]
+            order = np.lexsort((own, -rounded), axis=1)[:, : self.k]
+            self.ids, self.scores = np.take_along_axis(own, order, 1), np.take_along_axis(scores, order, 1)
+
+    def rows(self, query_ids: np.ndarray) -> list[pa.Array]:
+        return [pa.array(np.repeat(query_ids, self.ids.shape[1])), pa.array(self.ids.ravel()), pa.array(self.scores.ravel())]
+
 
+def _top(query_ids: np.ndarray, queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_ids, best = np.zeros((len(queries), 0), np.int64), np.zeros((len(queries), 0))
+        best = Best(queries, k)
         for batch in batches:
-            lengths = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(lengths == queries.shape[1]))
-            if not batch.num_rows:
-                continue
-            ids = batch.column("id").to_numpy()
-            scores = np.concatenate([best, queries @ _unit(_matrix(batch.column("vector"))).T], axis=1)
-            ids = np.concatenate([best_ids, np.broadcast_to(ids, (len(queries), len(ids)))], axis=1)
-            order = np.lexsort((ids, -np.round(scores, 12)), axis=1)[:, :k]
-            best_ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
-        n = best.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(best_ids.ravel()), pa.array(best.ravel())], ["query", "id", "score"])
+            best.see(batch.column("id").to_numpy(), batch.column("vector"))
+        yield pa.RecordBatch.from_arrays(best.rows(query_ids), ["query", "id", "score"])
 
     return run
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", min_score: float | None = None) -> DataFrame:
+def _met(k: int):
+    """Top k of a block of queries over a block of the corpus; queries of each dimension on their own."""
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [[pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]]
+        if left.num_rows and right.num_rows:
+            ids, asked = left.column("id").to_numpy(), left.column("vector").combine_chunks()
+            lengths = asked.value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths).tolist():
+                own = lengths == d
+                best = Best(_matrix(asked.filter(pa.array(own))), k)
+                best.see(right.column("id").to_numpy(), right.column("vector").combine_chunks())
+                found.append(best.rows(ids[own]))
+        return pa.table({c: pa.concat_arrays([f[n] for f in found]) for n, c in enumerate(("query", "id", "score"))})
+
+    return match
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int = 20, id: str = "vec_id", vector: str = "embedding", min_score: float | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query, id, score, rank: for each query the k rows of corpus of greatest cosine similarity, ties by id.
 
-    Queries go to the tasks in blocks of QUERY_BLOCK; each task keeps k rows a query, so the shuffle holds tasks x queries
-    x k rows and no corpus row moves. k of 0 or less means 20. Vectors of another dimension are skipped.
+    Up to QUERY_BLOCK queries of one dimension and query_bytes bytes (both are counted first) go to the tasks, each of which
+    keeps k rows a query, and no corpus row moves. More queries and the corpus are dealt to blocks, which meet in tasks: the
+    corpus moves once for each QUERY_BLOCK queries. k of 0 or less means 20. Vectors of another dimension are skipped.
     """
     k = k if k > 0 else 20
     corpus, wanted = usable(corpus, id, vector), usable(queries, id, vector)
-    n = wanted.count()
+    n, short, long = wanted.agg(F.count("*"), F.min(F.size("vector")), F.max(F.size("vector"))).first()
     if not n:
         return queries.sparkSession.createDataFrame([], f"{_KNN}, rank int")
-    blocks = -(-n // QUERY_BLOCK)
-    out = None
-    for b in range(blocks):
-        own = (wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).collect()
-        if own:
-            found = corpus.mapInArrow(_top(np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own], np.float64), k), _KNN)
-            out = found if out is None else out.union(found)
+    if n <= QUERY_BLOCK and short == long and 8 * n * long <= query_bytes:
+        own = wanted.collect()
+        out = corpus.mapInArrow(_top(np.array([r[0] for r in own], np.int64), np.array([r[1] for r in own], np.float64), k), _KNN)
+    else:
+        parts = -(-n // QUERY_BLOCK), max(1, -(-corpus.count() // CORPUS_BLOCK))
+        each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        dealt = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+        left = wanted.withColumn("q", dealt(parts[0])).withColumn("c", each(parts[1]))
+        right = corpus.withColumn("c", dealt(parts[1])).withColumn("q", each(parts[0]))
+        out = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInArrow(_met(k), _KNN)
     if min_score is not None:
         out = out.where(F.col("score") >= min_score)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id"))
@@ -84,44 +129,70 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
+def _blocks(reps: DataFrame, block_rows: int, scope: str | None) -> DataFrame:
+    """scope, id, vector, copies, own, i, j: each row once for each pair (i, j) of blocks of its scope that its own is in.
+
+    A scope has as many blocks as its own rows ask for.
+    """
+    reps = reps.select("id", "vector", (F.col("copies") if "copies" in reps.columns else F.lit(1)).cast("long").alias("copies"), (F.col(scope).cast("string") if scope else F.lit("")).alias("scope"))
+    sizes = reps.groupBy(F.col("scope").alias("of")).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
+    sent = reps.join(sizes, F.col("scope").eqNullSafe(F.col("of"))).select("scope", "id", "vector", "copies", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
+    sent = sent.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return sent.select("scope", "id", "vector", "copies", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+
+
+def _product(table: pa.Table) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]:
+    """Whether a block meets itself, the rows of either block, and the distances between them."""
+    i, j, own = table.column("i")[0].as_py(), table.column("j")[0].as_py(), table.column("own").to_numpy()
+    m = _unit(_matrix(table.column("vector").combine_chunks()))
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    return i == j, left, right, 1 - m[left] @ m[right].T
+
+
 def close_pairs(reps: DataFrame, tau: float, block_rows: int = 2048, scope: str | None = None) -> DataFrame:
     """a, b, distance with a < b for all pairs of rows (id, vector) at cosine distance below tau.
 
     Rows are dealt to blocks, each block is sent to every pair of blocks it belongs to, and a task multiplies two blocks:
-    exact, with work that grows with the square of the rows and is shared evenly. With scope, only pairs of equal scope.
+    exact, with work that grows with the square of a scope's rows and is shared evenly. With scope, only pairs of equal scope.
     """
-    blocks = max(1, -(-reps.count() // block_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    scoped = F.col(scope).cast("string") if scope else F.lit("")
-    sent = reps.select("id", "vector", scoped.alias("scope"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = sent.select("scope", "id", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def multiply(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        ids, own = table.column("id").to_numpy(), table.column("own").to_numpy()
-        m = _unit(_matrix(table.column("vector").combine_chunks()))
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        d = 1 - m[left] @ m[right].T
+        itself, left, right, d = _product(table)
+        ids = table.column("id").to_numpy()
         x, y = np.nonzero(d < tau)
         a, b, d = ids[left[x]], ids[right[y]], d[x, y]
-        keep = a < b if i == j else np.ones(len(a), bool)
+        keep = a < b if itself else np.ones(len(a), bool)
         return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": d[keep]})
 
-    return sent.groupBy("scope", "i", "j").applyInArrow(multiply, "a long, b long, distance double")
+    return _blocks(reps, block_rows, scope).groupBy("scope", "i", "j").applyInArrow(multiply, "a long, b long, distance double")
+
+
+def close_counts(reps: DataFrame, tau: float, block_rows: int = 2048) -> DataFrame:
+    """id, linked: how many copies of other rows (id, vector, copies) are at cosine distance below tau, added up block by block."""
+
+    def count(table: pa.Table) -> pa.Table:
+        itself, left, right, d = _product(table)
+        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
+        near = d < tau
+        if itself:
+            near &= left[:, None] != right[None, :]
+        rows, n = [left], [near @ copies[right]]
+        if not itself:
+            rows, n = [left, right], [*n, copies[left] @ near]
+        return pa.table({"id": ids[np.concatenate(rows)], "linked": np.concatenate(n).astype(np.int64)})
+
+    return _blocks(reps, block_rows, None).groupBy("scope", "i", "j").applyInArrow(count, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
 def link_counts(df: DataFrame, tau: float, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """id, class_id, n_links: the vector's class of equal vectors, and how many other rows are at distance below tau.
 
-    Only pairs of different vectors are joined; copies count through their class's size (a zero vector's copies are at
-    distance 1 and count only if tau is greater).
+    Only different vectors are compared; copies count through their class's size (a zero vector's copies are at distance 1
+    and count only if tau is greater). No pair leaves its task.
     """
     rows = materialise(usable(df, id, vector))
     reps = materialise(distinct_vectors(rows))
-    pairs = close_pairs(reps, tau)
-    both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select(F.col("b"), F.col("a")))
-    sizes = reps.select(F.col("id").alias("other"), "copies")
-    linked = both.join(sizes, "other").groupBy("id").agg(F.sum("copies").alias("linked"))
+    linked = close_counts(reps, tau)
     zero = ~F.exists("vector", lambda x: x != 0)
     inside = F.when(zero & F.lit(tau <= 1), F.lit(0)).otherwise(F.col("copies") - 1)
     per = reps.join(linked, "id", "left").select("vector", F.col("id").alias("class_id"), (inside + F.coalesce("linked", F.lit(0))).alias("n_links"))
@@ -135,43 +206,66 @@ def centroids(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
     return means.groupBy(key).agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"]).alias("centroid"))
 
 
-def fit_lists(df: DataFrame, lists: int, id: str = "vec_id", vector: str = "embedding", sample: int = 20_000, seed: int = 1) -> np.ndarray:
+#: Vectors that an inverted file is fitted and measured on (those of least hash), queries of the measurement among them, and in
+#: how many of its nearest lists each row stands.
+SAMPLE, MEASURED, COPIES = 20_000, 200, 3
+
+
+def _sample(df: DataFrame, id: str, vector: str, n: int) -> DataFrame:
+    return usable(df, id, vector).orderBy(F.xxhash64("id"), "id").limit(n)
+
+
+def fit_lists(df: DataFrame, lists: int, id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
     """Centres of an inverted file: spherical k-means on at most `sample` vectors, those of least hash."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = usable(df, id, vector).orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = materialise(rows.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")))
+    rows = materialise(_sample(df, id, vector, sample).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")))
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(rows)
     return _unit(np.array(model.clusterCenters()))
 
 
-def ivf_search(queries: DataFrame, corpus: DataFrame, centres: np.ndarray, probes: int, k: int = 20, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Approximate knn(): rows and queries meet only in the lists of the query's `probes` nearest centres."""
+def _nearest_lists(m: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    return np.argsort(-(_unit(m) @ centres.T), axis=1, kind="stable")[:, :n]
+
+
+def pick_probes(df: DataFrame, centres: np.ndarray, k: int, goal: float = 0.95, copies: int = COPIES, id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE) -> int:
+    """The fewest probes at which MEASURED sampled vectors find `goal` of their exact top k among at most `sample` vectors.
+
+    The driver holds that sample. In the whole table neighbours are closer than in a sample of it, so recall there is no lower.
+    """
+    rows = _sample(df, id, vector, sample).select("vector").collect()
+    m = _unit(np.array([r[0] for r in rows], float))
+    asked = m[:MEASURED]
+    if not len(m):
+        return 1
+    top = np.argsort(-np.round(asked @ m.T, 12), axis=1, kind="stable")[:, :k]
+    rank = np.argsort(_nearest_lists(asked, centres, len(centres)), axis=1)  # of each list, for each query
+    own = _nearest_lists(m, centres, copies)
+    needed = np.take_along_axis(rank, own[top].reshape(len(asked), -1), 1).reshape(*top.shape, -1).min(2)  # probes that reach a neighbour
+    return int(np.sort(needed.ravel())[min(needed.size, int(np.ceil(goal * needed.size))) - 1]) + 1
+
+
+def ivf_search(queries: DataFrame, corpus: DataFrame, centres: np.ndarray, probes: int, k: int = 20, id: str = "vec_id", vector: str = "embedding", copies: int = COPIES) -> DataFrame:
+    """Approximate knn(): each row stands in its `copies` nearest lists, and meets the queries that probe one of them.
+
+    Lists are salted. probes: see pick_probes.
+    """
     lists = len(centres)
 
     def nearest(n: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                order = np.argsort(-(_unit(_matrix(batch.column("vector"))) @ centres.T), axis=1, kind="stable")[:, :n]
+                order = _nearest_lists(_matrix(batch.column("vector")), centres, n)
                 at = np.repeat(np.arange(batch.num_rows), order.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(order.ravel().astype(np.int32)), batch.column("id").take(pa.array(at)), batch.column("vector").take(pa.array(at))], ["list", "id", "vector"])
 
         return run
 
-    kind = corpus.schema[vector].dataType.simpleString()
-    schema = f"list int, id long, vector {kind}"
-    rows = usable(corpus, id, vector).mapInArrow(nearest(1), schema).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)))
+    schema = f"list int, id long, vector {corpus.schema[vector].dataType.simpleString()}"
+    rows = usable(corpus, id, vector).mapInArrow(nearest(min(copies, lists)), schema).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(8)))
     asked = usable(queries, id, vector).mapInArrow(nearest(min(probes, lists)), schema).withColumn("salt", F.explode(F.expr("sequence(0L, 7L)")))
-
-    def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        ids = right.column("id").to_numpy()
-        scores = _unit(_matrix(left.column("vector").combine_chunks())) @ _unit(_matrix(right.column("vector").combine_chunks())).T
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 12)), axis=1)[:, :k]
-        return pa.table({"query": np.repeat(left.column("id").to_numpy(), order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-
-    found = asked.groupBy("list", "salt").cogroup(rows.groupBy("list", "salt")).applyInArrow(match, _KNN)
+    found = asked.groupBy("list", "salt").cogroup(rows.groupBy("list", "salt")).applyInArrow(_met(k), _KNN)
+    found = found.groupBy("query", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 12)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)

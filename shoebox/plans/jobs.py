@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import jobs
-from ..operators.rounds import materialise
+from ..operators.rounds import shared_folder
 from ..streaming import streams
 from .base import Plans, table
 
@@ -89,8 +89,7 @@ def _stream(spark, sf_dir):
 
 
 def _folder(spark, name):
-    materialise(spark.range(1))  # sets the shared folder where none is set
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _finished(spark, query, path, schema):

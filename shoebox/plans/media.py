@@ -120,13 +120,33 @@ def _boxes(spark, sf_dir):
     return li.select(F.col("l_orderkey").alias("photo"), F.col("l_linenumber").alias("pos"), box.alias("bbox"), (F.col("l_extendedprice") / 1e6).alias("score"))
 
 
-@PLANS.add()
+_BOXES = """
+    SELECT l_orderkey AS photo, l_linenumber AS pos, l_extendedprice / 1e6 AS score, {'x1': x, 'y1': y, 'x2': x + 20 + l_linenumber, 'y2': y + 20} AS box
+    FROM (SELECT *, (l_partkey % 40)::DOUBLE AS x, (l_suppkey % 40)::DOUBLE AS y FROM lineitem)"""
+_OVERLAP = "(greatest(0, least(q.x2, b.box.x2) - greatest(q.x1, b.box.x1)) * greatest(0, least(q.y2, b.box.y2) - greatest(q.y1, b.box.y1)))"
+
+
+@PLANS.add(f"""
+    WITH RECURSIVE b AS (SELECT photo, score, box, row_number() OVER (PARTITION BY photo ORDER BY score DESC, box.x1, box.y1, box.x2, box.y2) AS k FROM ({_BOXES})),
+    r AS (SELECT photo, k, [box] AS kept, [score] AS scores FROM b WHERE k = 1
+        UNION ALL SELECT photo, k, CASE WHEN hit THEN kept ELSE list_append(kept, box) END, CASE WHEN hit THEN scores ELSE list_append(scores, score) END FROM (
+            SELECT b.photo, b.k, r.kept, r.scores, b.box, b.score, len(list_filter(r.kept, lambda q: {_OVERLAP} / ((q.x2 - q.x1) * (q.y2 - q.y1) + (b.box.x2 - b.box.x1) * (b.box.y2 - b.box.y1) - {_OVERLAP}) > 0.4)) > 0 AS hit
+            FROM r JOIN b ON b.photo = r.photo AND b.k = r.k + 1)),
+    t AS (SELECT photo, unnest(kept) AS q, unnest(scores) AS score, unnest(range(len(kept))) AS rank FROM r WHERE (photo, k) IN (SELECT photo, max(k) FROM b GROUP BY photo))
+    SELECT photo, rank::INT AS rank, q.x1 AS x1, q.y1 AS y1, q.x2 AS x2, q.y2 AS y2, score FROM t""")
 def nms(spark, sf_dir):
     out = boxes.suppress(_boxes(spark, sf_dir), 0.4)
     return out.select("photo", "rank", "box.x1", "box.y1", "box.x2", "box.y2", "score")
 
 
-@PLANS.add()
+@PLANS.add(f"""
+    WITH RECURSIVE b AS (SELECT photo, box, row_number() OVER (PARTITION BY photo ORDER BY pos, box.x1, box.y1, box.x2, box.y2) AS k FROM ({_BOXES})),
+    r AS (SELECT photo, k, [box] AS boxes FROM b WHERE k = 1
+        UNION ALL SELECT photo, k, CASE WHEN box.x1 <= q.x2 + 5 AND box.y1 >= q.y1 - 10 AND box.y1 <= q.y2 + 10
+            THEN list_append(boxes[:-2], {{'x1': least(q.x1, box.x1), 'y1': least(q.y1, box.y1), 'x2': greatest(q.x2, box.x2), 'y2': greatest(q.y2, box.y2)}}) ELSE list_append(boxes, box) END FROM (
+            SELECT b.photo, b.k, r.boxes, r.boxes[-1] AS q, b.box FROM r JOIN b ON b.photo = r.photo AND b.k = r.k + 1)),
+    t AS (SELECT photo, unnest(boxes) AS q, unnest(range(len(boxes))) AS pos FROM r WHERE (photo, k) IN (SELECT photo, max(k) FROM b GROUP BY photo))
+    SELECT photo, pos::INT AS pos, q.x1 AS x1, q.y1 AS y1, q.x2 AS x2, q.y2 AS y2 FROM t""")
 def box_merge(spark, sf_dir):
     return boxes.merge_text_boxes(_boxes(spark, sf_dir)).select("photo", F.posexplode("boxes").alias("pos", "b")).select("photo", "pos", "b.*")
 

@@ -52,8 +52,8 @@ def vector_counts(spark, sf_dir):
 @PLANS.add()
 def ivf_search(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    lists = max(4, int(e.count() ** 0.5) // 4)
-    found = vectors.ivf_search(e.where("vec_id % 50 = 0"), e, vectors.fit_lists(e, lists), max(2, lists * 6 // 10), 10)
+    centres = vectors.fit_lists(e, max(4, int(e.count() ** 0.5)))
+    found = vectors.ivf_search(e.where("vec_id % 50 = 0"), e, centres, vectors.pick_probes(e, centres, 10), 10)
     return found.select("query", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -107,17 +107,35 @@ def assign_new_people(spark, sf_dir):
     return people.assign_faces(_faces(spark, sf_dir), TAU).select("id", "person")
 
 
-@PLANS.add(f"""
+_KNOWN = f"""
     WITH RECURSIVE {_PAIRS},
     e AS (SELECT id, person FROM f WHERE person IS NOT NULL
           UNION SELECT d.b, f.person FROM e JOIN d ON d.a = e.id JOIN f ON f.id = d.b WHERE f.person IS NULL AND (e.person IS NOT NULL OR e.id < d.b)),
-    {_ROOTS.format(among='e')}
-    SELECT f.id, g.person FROM f LEFT JOIN r ON r.id = f.id LEFT JOIN f g ON g.id = r.root""")
+    {_ROOTS.format(among='e')},
+    known AS (SELECT f.id, g.person FROM f LEFT JOIN r ON r.id = f.id LEFT JOIN f g ON g.id = r.root)"""
+
+
+@PLANS.add(f"{_KNOWN} SELECT id, person FROM known")
 def assign_existing_people(spark, sf_dir):
     return people.assign_known(_faces(spark, sf_dir), TAU).select("id", "person")
 
 
-@PLANS.add()
+_SET = "list_transform({0}, lambda x, k: CASE WHEN k = {1} THEN {2} ELSE x END)"
+
+
+@PLANS.add(f"""{_KNOWN},
+    mean AS (SELECT person, pos, avg(x) AS x, count(*) AS n FROM (SELECT person, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS pos FROM known JOIN embeddings ON vec_id = id WHERE person IS NOT NULL) GROUP BY 1, 2),
+    who AS (SELECT row_number() OVER (ORDER BY first) AS i, * FROM (SELECT person, max(n) AS n, list(x ORDER BY pos) AS v FROM mean GROUP BY 1) JOIN (SELECT person, min(id) AS first FROM known GROUP BY 1) USING (person)),
+    near AS (SELECT list(1 - list_cosine_similarity(a.v, b.v) < {TAU} ORDER BY a.i, b.i) AS near, sqrt(count(*))::BIGINT AS most FROM who a, who b),
+    step AS (SELECT 1::BIGINT AS i, 2::BIGINT AS j, list(who.i ORDER BY who.i) AS name, list(n ORDER BY who.i) AS size, list(who.i ORDER BY who.i) AS target FROM who
+        UNION ALL SELECT CASE WHEN j >= most THEN i + 1 ELSE i END, CASE WHEN j >= most THEN i + 2 ELSE j + 1 END,
+            CASE WHEN hit THEN {_SET.format('name', 'i', 'new')} ELSE name END, CASE WHEN hit THEN {_SET.format('size', 'i', 'size[i] + size[j]')} ELSE size END, CASE WHEN hit THEN {_SET.format('target', 'old', 'new')} ELSE target END FROM (
+            SELECT *, CASE WHEN size[j] > size[i] THEN name[i] ELSE name[j] END AS old, CASE WHEN size[j] > size[i] THEN name[j] ELSE name[i] END AS new,
+                near[(i - 1) * most + j] AND target[name[i]] = name[i] AND target[name[j]] = name[j] AS hit FROM step, near WHERE i < most)),
+    done AS (SELECT target FROM step ORDER BY i DESC, j DESC LIMIT 1),
+    chain AS (SELECT who.i, who.i AS top FROM who UNION SELECT chain.i, target[top] FROM chain, done),
+    final AS (SELECT a.person, b.person AS other FROM chain JOIN done ON target[top] = top JOIN who a ON a.i = chain.i JOIN who b ON b.i = top)
+    SELECT known.id, final.other AS person FROM known LEFT JOIN final USING (person)""")
 def recluster(spark, sf_dir):
     return people.recluster(_faces(spark, sf_dir), TAU)[0]
 
@@ -183,7 +201,15 @@ def hybrid_search(spark, sf_dir):
     return found.select("id", "slot", F.round("score", 6).alias("score"))
 
 
-@PLANS.add()
+@PLANS.add("""
+    WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w FROM documents),
+    h AS (SELECT w, ('0x' || substr(md5(w), 1, 7))::BIGINT AS h FROM (SELECT DISTINCT w FROM w)),
+    c AS (SELECT doc_id, h % 64 AS i, sum(CASE WHEN (h >> 16) & 1 = 1 THEN 1 ELSE -1 END)::DOUBLE AS x FROM w JOIN h USING (w) GROUP BY 1, 2),
+    n AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM c GROUP BY 1),
+    v AS (SELECT d.doc_id, d.blank, list(coalesce(CASE WHEN n > 0 THEN x / n ELSE x END, 0)::FLOAT::DOUBLE ORDER BY d.i) AS v
+        FROM (SELECT doc_id, trim(coalesce(text, '')) = '' AS blank, unnest(range(64)) AS i FROM documents) d LEFT JOIN c ON c.doc_id = d.doc_id AND c.i = d.i LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY 1, 2),
+    s AS (SELECT a.doc_id AS query, b.doc_id AS id, CASE WHEN list_sum(list_transform(a.v, lambda x: abs(x))) = 0 OR list_sum(list_transform(b.v, lambda x: abs(x))) = 0 THEN 0 ELSE list_cosine_similarity(a.v, b.v) END AS score FROM v a, v b WHERE a.doc_id % 50 = 0 AND NOT a.blank)
+    SELECT query, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, id) AS rank FROM s) WHERE rank <= 10""")
 def encode_search(spark, sf_dir):
     from ..operators.search import semantic_search
 
@@ -197,16 +223,43 @@ def encode_search(spark, sf_dir):
 VOCABULARY = [("<pad>", 0.0), ("</s>", 0.0), ("<unk>", 0.0)] + [(c, -6.0) for c in "abcdefghijklmnopqrstuvwxyz"] + [("▁", -3.0), ("▁the", -3.5), ("▁and", -4.0), ("tion", -4.0), ("ing", -4.0), ("er", -4.2), ("▁de", -4.1), ("en", -4.3)]
 
 
-@PLANS.add()
+_VOCABULARY = ", ".join(f"{token!r}: {score!r}::DOUBLE" for token, score in VOCABULARY)
+_IDS = ", ".join(f"{token!r}: {k}" for k, (token, _) in enumerate(VOCABULARY))
+
+
+@PLANS.add(f"""
+    WITH RECURSIVE voc AS (SELECT MAP {{{_VOCABULARY}}} AS m, MAP {{{_IDS}}} AS ids),
+    w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM (SELECT doc_id, string_split(lower(text), ' ') AS ws FROM documents WHERE coalesce(text, '') <> '')),
+    r AS (SELECT w, '▁' || w AS t, 0 AS e, [0.0::DOUBLE] AS best, [0::BIGINT] AS via FROM (SELECT DISTINCT w FROM w)
+        UNION ALL SELECT w, t, e + 1, list_append(best, CASE WHEN len(c) = 0 THEN best[-1] + {text.FALLBACK!r}::DOUBLE ELSE c[1].s END), list_append(via, CASE WHEN len(c) = 0 THEN 1 ELSE c[1].z END) FROM (
+            SELECT r.*, list_reverse_sort(list_transform(list_filter(range(1, least(e + 1, 4) + 1), lambda z: m[substr(t, e + 2 - z, z)] IS NOT NULL), lambda z: {{'s': best[e + 2 - z] + m[substr(t, e + 2 - z, z)], 'z': z}})) AS c
+            FROM r, voc WHERE e < length(t))),
+    b AS (SELECT w, t, via, e::BIGINT AS e, []::VARCHAR[] AS pieces FROM r WHERE e = length(t)
+        UNION ALL SELECT w, t, via, e - via[e + 1], list_prepend(substr(t, e - via[e + 1] + 1, via[e + 1]), pieces) FROM b WHERE e > 0),
+    g AS (SELECT w, list_transform(pieces, lambda x: coalesce(ids[x], 2)) AS own FROM b, voc WHERE e = 0),
+    n AS (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY p, q) - 1 AS k FROM (SELECT doc_id, p, unnest(own) AS id, unnest(range(len(own))) AS q FROM w JOIN g USING (w)))
+    SELECT doc_id, k // 63 AS "window", string_agg(id::VARCHAR, ' ' ORDER BY k) || ' 1' || repeat(' 0', (63 - count(*))::INT) AS tokens FROM n GROUP BY doc_id, k // 63
+    UNION ALL SELECT doc_id, 0, '1' || repeat(' 0', 63) FROM documents WHERE coalesce(text, '') = ''""")
 def unigram_tokens(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return text.unigram_tokens(docs, VOCABULARY, 64).select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+    return text.unigram_tokens(docs, VOCABULARY, 64, windows=True).select("doc_id", "window", F.array_join("tokens", " ").alias("tokens"))
 
 
-@PLANS.add()
+_WRAP = "(({0} + 9223372036854775808) % 18446744073709551616 - 9223372036854775808)"
+
+
+@PLANS.add(f"""
+    WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    v AS (SELECT doc_id, k, w[75 * k + 1 : 75 * k + 75] AS own FROM (SELECT *, unnest(range(greatest(1, (len(w) + 74) // 75))) AS k FROM w)),
+    d AS (SELECT DISTINCT unnest(w) AS word FROM w),
+    h AS (SELECT word, list_reduce(list_prepend(0::HUGEINT, list_transform(string_split(word, ''), lambda c: unicode(c)::HUGEINT)), lambda a, c: abs({_WRAP.format('(a * 31 + c)')})) % 49405 + 1 AS id FROM d),
+    u AS (SELECT doc_id, k, unnest(own) AS word, unnest(range(len(own))) AS p FROM v),
+    i AS (SELECT doc_id, k, string_agg(id::VARCHAR, ' ' ORDER BY p) AS ids, count(*) AS n FROM u JOIN h USING (word) GROUP BY doc_id, k)
+    SELECT v.doc_id, v.k AS "window", '49406' || coalesce(' ' || ids, '') || ' 49407' || repeat(' 0', (75 - coalesce(n, 0))::INT) AS tokens FROM v LEFT JOIN i USING (doc_id, k)""")
 def hash_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.array_join(text.hash_tokens(F.col("text"), 77), " ").alias("tokens"))
+    """Windows of 75 words, so that every word of a text has its id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.word_windows(F.col("text"), 75)).alias("window", "own"))
+    return docs.select("doc_id", F.col("window").cast("long").alias("window"), F.array_join(text.hash_tokens(F.col("own"), 77), " ").alias("tokens"))
 
 
 _BEST = "list_position(list_slice(embedding, {0}, {1}), list_max(list_slice(embedding, {0}, {1}))) - 1"

@@ -9,6 +9,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoebox import schema
@@ -88,6 +89,8 @@ def test_albums_tags_memories(spark, media):
     assert ids(library.tag_suggestions(tags, " SEA")) == ["t1", "t2"]
     assert [library.can_create_tag(tags, q).first()[0] for q in ("SEA", "se", "")] == [False, True, False]
     assert {r.id: r.path for r in library.tag_paths(tags).collect()} == {"t1": "Sea", "t2": "Sea/sea shore", "t3": "Sea/sea shore/City"}
+    deep = spark.createDataFrame([(k, f"n{k}", k - 1 if k else None) for k in range(30)] + [(100, "x", 101), (101, "y", 100), (102, "z", 101), (103, "q", 999)], "id long, name string, parent long")
+    assert {r.id: (r.path, r.depth) for r in library.tag_paths(deep).collect()} == {k: ("/".join(f"n{j}" for j in range(k + 1)), k) for k in range(30)}
     memories = spark.createDataFrame([("m1", at("2024-01-01")), ("m2", at("2024-02-01"))], "id string, created timestamp")
     own = spark.createDataFrame([("m1", "p2", at("2024-01-03")), ("m1", "p1", at("2024-01-02")), ("m1", "gone", at("2024-01-01"))], "memory string, photo string, created timestamp")
     assert [(r.id, r.photos) for r in library.memory_feed(memories, own, media).collect()] == [("m2", []), ("m1", ["p1", "p2"])]
@@ -288,3 +291,12 @@ def test_the_library_imports_without_the_llm_operators():
 
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_neighbours_across_tasks(spark):
+    rows = [(k, "hot" if k % 5 else ["a", None][k % 2], at(f"2024-01-{k % 28 + 1:02d}") if k % 11 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, org string, taken_at timestamp").repartition(7)
+    w = Window.partitionBy("org").orderBy(F.desc("taken_at"), "id")
+    want = df.select("org", "id", F.lag("id").over(w).alias("previous"), F.lead("id").over(w).alias("next"))
+    assert sorted(library.neighbours(df, "org").collect(), key=repr) == sorted(want.collect(), key=repr)
+    assert library.neighbours(df.limit(0), "org").count() == 0

@@ -1,6 +1,7 @@
 """Order-dependent and geometric operators against plain sequential versions."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -57,6 +58,48 @@ def test_inverted_file_finds_most_neighbours(spark):
     found = {(x.query, x.id) for x in vectors.ivf_search(q, df, centres, 5, 10).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
     assert {(x.query, x.id) for x in vectors.ivf_search(q, df, centres, 8, 10).collect()} == exact
+    assert 1 <= vectors.pick_probes(df, centres, 10, 0.5) <= vectors.pick_probes(df, centres, 10) <= 8
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_inverted_file_on_the_embeddings(spark, sf):
+    from shoebox.plans import search
+
+    sf_dir = f"/root/testdata/sf{sf}"
+    if not os.path.exists(sf_dir):
+        pytest.skip("no data")
+    exact = {(x.query, x.id) for x in search.knn_exact(spark, sf_dir).collect()}
+    found = {(x.query, x.id) for x in search.ivf_search(spark, sf_dir).collect()}
+    assert len(exact & found) >= 0.9 * len(exact)
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    lists = int(e.count() ** 0.5)
+    assert vectors.pick_probes(e, vectors.fit_lists(e, lists), 10) < lists / 2
+
+
+def test_many_queries_meet_the_corpus_in_blocks(spark, monkeypatch):
+    v = clustered(3, 60)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)] + [(900, None), (901, [1.0])], "vec_id long, embedding array<float>")
+    rows = lambda d: {(r.query, r.id, r["rank"]) for r in d.collect()}
+    few = rows(vectors.knn(df.where("vec_id < 900"), df, 4))
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 25)
+    monkeypatch.setattr(vectors, "CORPUS_BLOCK", 20)
+    assert rows(vectors.knn(df, df, 4)) == few | {(901, 901, 1)}
+
+
+def test_close_pairs_of_scopes(spark):
+    v = clustered(5, 60)
+    df = spark.createDataFrame([(k, x.tolist(), ["a", "b", None][k % 3]) for k, x in enumerate(v)], "id long, vector array<float>, scope string")
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3 and cosine(v[a], v[b]) < 0.2}
+    for rows in (7, 2048):
+        assert {(r.a, r.b) for r in vectors.close_pairs(df, 0.2, rows, "scope").collect()} == want
+
+
+@pytest.mark.parametrize("local", [1 << 20, 2])
+def test_long_chains_of_similar_hashes(spark, local):
+    n = 300 if local > 2 else 12
+    nodes = spark.range(n).select(F.col("id").alias("node"))
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {(r.node, r.leader) for r in similarity.greedy_leaders(nodes, edges, local).collect()} == {(k, k - k % 2) for k in range(n)}
 
 
 def slow_groups(hashes, t):
@@ -143,13 +186,13 @@ def test_sparse_replay_equals_the_dense_loop(seed):
     r = np.random.default_rng(seed)
     c, n = clustered(seed, 20), r.integers(1, 9, 20).tolist()
     edges = {i: [j for j in range(i + 1, 20) if cosine(c[i], c[j]) < 0.3] for i in range(20)}
-    assert people.replay_merges(n, edges) == slow_merges(c, n, 0.3)
+    assert [m[2:] for m in people.replay_merges(n, edges)] == slow_merges(c, n, 0.3)
 
 
 def test_merge_plan_and_chains(spark):
     c, n = clustered(3, 15), [1, 5, 2, 8, 1, 1, 9, 2, 2, 3, 1, 7, 1, 1, 2]
     df = spark.createDataFrame([(f"p{k}", k, n[k], [float(x) for x in c[k]]) for k in range(15)], "person string, ord long, n long, centroid array<double>")
-    plan = people.merge_plan(df, 0.3).orderBy("step").collect()
+    plan = people.merge_plan(df, 0.3).orderBy("step", "met").collect()
     assert [(r.source, r.target) for r in plan] == [(f"p{a}", f"p{b}") for a, b in slow_merges(c, n, 0.3)]
     chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "source string, target string")
     assert {tuple(r) for r in people.final_names(chain).collect()} == {("a", "c"), ("b", "c"), ("x", "y")}
