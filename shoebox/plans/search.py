@@ -135,7 +135,7 @@ _SET = "list_transform({0}, lambda x, k: CASE WHEN k = {1} THEN {2} ELSE x END)"
     done AS (SELECT target FROM step ORDER BY i DESC, j DESC LIMIT 1),
     chain AS (SELECT who.i, who.i AS top FROM who UNION SELECT chain.i, target[top] FROM chain, done),
     final AS (SELECT a.person, b.person AS other FROM chain JOIN done ON target[top] = top JOIN who a ON a.i = chain.i JOIN who b ON b.i = top)
-    SELECT known.id, final.other AS person FROM known LEFT JOIN final USING (person)""")
+    SELECT known.id, known.id AS ord, final.other AS person FROM known LEFT JOIN final USING (person)""")
 def recluster(spark, sf_dir):
     return people.recluster(_faces(spark, sf_dir), TAU)[0]
 
