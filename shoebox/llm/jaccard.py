@@ -1,9 +1,7 @@
-"""Near copies: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and paths of such links.
+"""Exact similarity of sets of five-word shingles, for groups of candidates that simhash's shards bring together.
 
-Candidates share one of BANDS keys, each a hash of ROWS minimum hashes of the set; a pair at exactly 0.8 shares none with
-probability (1 - 0.8**ROWS)**BANDS = 1.3e-7, a closer pair with less. Every candidate is confirmed by the sets themselves.
-Groups with one key are tested in rounds: few members against all others, then only what no link has joined yet, so that a
-large group of copies costs a multiple of its size and no pair between unjoined members of a key is left out.
+Groups are tested in rounds: few members against all others, then only what no link has joined yet, so that a large group
+of copies costs a multiple of its size and no pair between unjoined members of a group is left out.
 """
 
 from __future__ import annotations
@@ -17,20 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import materialise
 from .components import components
 
 SHINGLE, SEED = 5, 42
 #: The least similarity, as a fraction.
 SIMILAR = (4, 5)
-BANDS, ROWS = 40, 5
 #: In a group of at most so many members all pairs are tested at once.
 SMALL = 16
-_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 32, BANDS * ROWS, np.uint32) | np.uint32(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
     return x ^ (x >> np.uint64(33))
@@ -46,21 +42,8 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     n = len(words) - shingle + 1
     out = np.zeros(n, np.uint64)
     for k in range(shingle):
-        out = _mix(out + _STEP) + hashes[k : k + n]
-    return np.unique(_mix(out))
-
-
-def signature(found: np.ndarray) -> np.ndarray:
-    """The BANDS keys of a set."""
-    low = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
-    part = (found >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(part), 1024):
-        low = np.minimum(low, (_MULTIPLIERS[:, None] * part[None, k : k + 1024]).min(axis=1))
-    rows = low.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = _mix(key * _STEP + rows[:, k])
-    return key.view(np.int64)
+        out = mixed(out + _STEP) + hashes[k : k + n]
+    return np.unique(mixed(out))
 
 
 def node_of(found: np.ndarray) -> int:
@@ -72,20 +55,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, sizes, keys = [], [], []
-        for t in batch.column(2):
-            found = shingles(t.as_py())
-            nodes.append(node_of(found))
-            sizes.append(len(found))
-            keys.append(signature(found))
-        flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS, dtype=np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["doc_id", "sha256", "node", "size", "keys"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["node", "hashes"])
 
@@ -119,28 +89,3 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
             break
         roots = components(found)
     return found
-
-
-def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, sha256 (of the text) of the row that stays of each group of near copies: the least doc_id, then the least sha256.
-
-    Null ids come after all others and link like them; rows that repeat a doc_id with different texts are rows of their own.
-    Texts of less than five words are one shingle, so they link when their words are the same. Null texts count as empty.
-    """
-    sha = F.sha2(text_of(text).cast("binary"), 256)
-    body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), sha.alias("sha256"), text_of(text).cast("binary").alias("text"))
-    own = materialise(body.mapInArrow(_sign, "doc_id bigint, sha256 string, node bigint, size int, keys array<bigint>"))
-    nodes = own.groupBy("node").agg(F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("sha256").alias("sha256"))
-    nodes = materialise(nodes)
-    members = nodes.select(F.explode("keys").alias("key"), "node", "size").withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
-    members = materialise(members.select("key", "node", "size"))
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "sha256")
-    texts = body.select("sha256", "text").join(wanted, "sha256").select("node", "text")
-    sets = materialise(texts.mapInArrow(_sets, "node bigint, hashes binary").dropDuplicates(["node"]))
-    found = links(members, sets)
-    rows = own.select("doc_id", "sha256", "node")
-    if found is not None:
-        roots = components(found)
-        rows = rows.join(roots, rows["node"] == roots["u"], "left").select("doc_id", "sha256", F.coalesce("root", "node").alias("node"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha256"))
-    return rows.groupBy("node").agg(first.alias("r")).select("r.doc_id", "r.sha256")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from shoebox.llm import jaccard as J
+from shoebox.llm import simhash
 
 from .test_llm_documents import SCHEMA, prose
 
@@ -56,12 +57,27 @@ def test_near_copies_leaves_what_all_pairs_at_80_percent_leave(spark):
     assert {(i, t or "") for i, t in got} == {(i, t or "") for i, t in want}
 
 
-def test_every_similar_pair_shares_a_key(spark):
-    base = [prose(k, 300) for k in range(30)]
+def test_similar_pairs_meet_in_a_shard():
+    base = [prose(k, 300) for k in range(150)]
     pairs = [(J.shingles(t.encode()), J.shingles(changed(t, k, 6).encode())) for k, t in enumerate(base)]
     close = [(a, b) for a, b in pairs if J.similar(a, b)]
-    assert len(close) > 20
-    assert all((J.signature(a) == J.signature(b)).any() for a, b in close)
+    assert len(close) > 100
+
+    def meet(a, b):
+        bits = simhash.set_fingerprints(a) ^ simhash.set_fingerprints(b)
+        lanes = np.bitwise_count(bits).reshape(-1, 2).sum(1) <= simhash.LANE_BITS
+        return any(lanes[w // 2] and int(x & np.uint64(mask)).bit_count() <= radius for w, x in enumerate(bits) for mask, radius in simhash.BLOCKS)
+
+    assert sum(meet(a, b) for a, b in close) >= 0.99 * len(close)
+
+
+def test_majorities_count_bits():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 2, 64, 65, 20_000):
+        found = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        own = np.arange(1, 2 * simhash.LANES + 1, dtype=np.uint64)[:, None] * simhash._MIX
+        hashes = J.mixed(found[None] + own)
+        assert simhash.set_fingerprints(found).tolist() == [sum(1 << b for b in range(64) if 2 * int((row >> np.uint64(b) & np.uint64(1)).sum()) > n) for row in hashes]
 
 
 def test_links_join_a_large_group_without_all_its_pairs(spark):
