@@ -55,14 +55,14 @@ def text_features(text: bytes, classes: np.ndarray) -> list[float]:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classes = _byte_classes()
     for batch in batches:
-        rows = np.array([text_features(t.as_py(), classes) for t in batch.column(1)], float).reshape(-1, len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(rows[:, k]) for k in range(len(FEATURES))]], ["doc_id", *FEATURES])
+        rows = np.array([text_features(t.as_py(), classes) for t in batch.column(2)], float).reshape(-1, len(FEATURES))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(rows[:, k]) for k in range(len(FEATURES))]], ["doc_id", "text_hash", *FEATURES])
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and FEATURES of every row; null texts count as empty. No shuffle."""
-    schema = "doc_id bigint, " + ", ".join(f"{f} double" for f in FEATURES)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(text).cast("binary").alias("text")).mapInArrow(_featurise, schema)
+    """doc_id, text_hash (xxhash64 of the text) and FEATURES of every row; null texts count as empty. No shuffle."""
+    schema = "doc_id bigint, text_hash bigint, " + ", ".join(f"{f} double" for f in FEATURES)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), text_of(text).cast("binary").alias("text")).mapInArrow(_featurise, schema)
 
 
 @dataclass(frozen=True)
@@ -122,21 +122,22 @@ def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, seed: int = 7) -> RuleEns
     rules = sorted(found, key=lambda r: r.tests)
     truth = rows.select("label", "weight", *[r.column().cast("double").alias(f"r{k}") for k, r in enumerate(rules)])
     truth = VectorAssembler(inputCols=[f"r{k}" for k in range(len(rules))], outputCol="truth").transform(truth)
-    lasso = LogisticRegression(featuresCol="truth", weightCol="weight", elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=200).fit(truth)
+    lasso = LogisticRegression(featuresCol="truth", weightCol="weight", elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=100, tol=1e-5).fit(truth)
     kept = [(r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray(), strict=True) if abs(w) > 1e-9]
     return RuleEnsemble(tuple(r for r, _ in kept), tuple(w for _, w in kept), float(lasso.intercept))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs.
+    """doc_id, held_out, score, predicted, text_hash (xxhash64 of the text) for every row of docs.
 
     train: true for the rows of docs (by doc_id) whose labels may be learned from. labels: doc_id, quality; rows with a
     null id or another quality than 0 or 1 are ignored, several labels of one id all count. Texts that are null
-    count as empty and get a score too. An empty docs table gives an empty result; without labels all scores are 0.5.
+    count as empty and get a score too. A text may have any length that a Spark string has, equal texts get equal scores, and
+    repeated rows one each. An empty docs table gives an empty result; without labels all scores are 0.5.
     """
     stats = materialise(statistics(docs, text))
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("label"))
     model = fit(stats.where(train).join(known, "doc_id"), max_rows)
     score = model.score()
-    out = stats.select("doc_id", (~train).alias("held_out"), score.alias("score"))
-    return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    out = stats.select("doc_id", (~train).alias("held_out"), score.alias("score"), "text_hash")
+    return out.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "text_hash")
