@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import block_count, partitions, text_of
 
+#: Blocks in a partition, at least where the session has partitions for more.
+BLOCKS = 16
 _REQUESTS = "part int, block int, words binary"
 _ANSWERS = "block int, part int, answer binary"
 
@@ -86,7 +88,7 @@ def blocks_of(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20, l
     n = block_count(docs, text, block_bytes)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of(text).cast("binary").alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    return rows.mapInArrow(lambda it: _pack(it, level), "block int, payload binary").repartition(partitions(docs.sparkSession), "block")
+    return rows.mapInArrow(lambda it: _pack(it, level), "block int, payload binary").repartition(max(partitions(docs.sparkSession), -(-n // BLOCKS)), "block")
 
 
 def released(table: pa.Table) -> pa.Table:
@@ -96,7 +98,8 @@ def released(table: pa.Table) -> pa.Table:
 
 
 def text_hash(text: bytes) -> int:
-    return xxhash.xxh64_intdigest(text, 7)
+    """Spark's xxhash64 of a text, unsigned."""
+    return xxhash.xxh64_intdigest(text, 42)
 
 
 def documents_in(payloads: pa.ChunkedArray) -> tuple[list[int | None], list[bytes]]:

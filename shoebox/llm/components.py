@@ -1,36 +1,5 @@
-"""Connected components by alternating large-star and small-star rounds of joins."""
+"""Connected components, as the rest of the library finds them."""
 
-from __future__ import annotations
+from ..operators.rounds import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialise
-
-
-def _state(edges: DataFrame):
-    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """edges: u, v (long), in any direction and number. Returns u, root for every node that is not its component's least.
-
-    Null ends and loops are ignored. Each round writes the edges to the shared folder; the driver sees two numbers.
-    """
-    e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = materialise(e)
-    before = _state(e)
-    for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
-        e = materialise(pairs.where(F.col("u") != F.col("v")).distinct())
-        after = _state(e)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    return e.select("u", F.col("v").alias("root"))
+__all__ = ["components"]

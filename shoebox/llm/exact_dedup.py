@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, materialise, partitions, scratch, text_of
+from .common import BLANKS, block_count, materialise, partitions, scratch, text_of
 
 #: Distinct keys in a bucket before it splits; how many levels deeper than evenly spread keys need a bucket may split.
 CAPACITY, SPARE = 512, 2
@@ -23,6 +23,8 @@ CAPACITY, SPARE = 512, 2
 BROADCAST_SLOTS = 1 << 20
 #: Bytes of distinct texts that a map task holds while it merges copies.
 BLOCK_BYTES = 32 << 20
+#: Bytes of texts for each owner task, at least where the session has partitions for more tasks.
+OWNED_BYTES = 64 << 20
 _INDEX = "bucket bigint, key bigint, chain int, keep_id bigint, group_size bigint, sha256 string, text string"
 
 
@@ -141,7 +143,8 @@ def build_index(docs: DataFrame, keys: DataFrame, path: str, text: str = "text",
     entries = rows.mapInArrow(_merge_copies, "key bigint, keep_id bigint, n bigint, text string")
     slots = F.broadcast(slots) if slots.count() <= BROADCAST_SLOTS else slots
     owned = entries.withColumn("slot", prefix(F.col("key"), depth)).join(slots, "slot").select("bucket", "key", "keep_id", "n", "text")
-    owned = owned.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "key")
+    tasks = block_count(docs, text, OWNED_BYTES, partitions(spark))
+    owned = owned.repartition(tasks, "bucket").sortWithinPartitions("bucket", "key")
     owned.mapInArrow(_own, _INDEX).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(_INDEX).parquet(path)
 

@@ -321,14 +321,14 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     total = np.cumsum(mark[:-1])
     gone = (total - np.concatenate([np.zeros(min(SPAN, len(total)), total.dtype), total[:-SPAN]])) > 0
     out = []
-    for doc_id, a, b in zip(block.ids, np.concatenate([[0], block.ends[:-1]]).tolist(), block.ends.tolist(), strict=True):
+    for doc_id, text_hash, a, b in zip(block.ids, block.order[2].view(np.int64).tolist(), np.concatenate([[0], block.ends[:-1]]).tolist(), block.ends.tolist(), strict=True):
         own = gone[a:b]
         spans = int(own[:1].sum()) + int((own[1:] & ~own[:-1]).sum())
         kept = block.raw[a:b] if not spans else block.text[a:b][~own].tobytes()
-        out.append((doc_id, b - a, int(own.sum()), spans, kept))
-    columns = list(zip(*out, strict=True)) if out else [[]] * 5
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.table({k: pa.array(c, t) for k, c, t in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept"), columns, kinds, strict=True)})
+        out.append((doc_id, b - a, int(own.sum()), spans, kept, text_hash))
+    columns = list(zip(*out, strict=True)) if out else [[]] * 6
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.table({k: pa.array(c, t) for k, c, t in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text_hash"), columns, kinds, strict=True)})
 
 
 def sample_splitters(docs: DataFrame, buckets: int, text: str = "text") -> np.ndarray:
@@ -350,7 +350,7 @@ def sample_splitters(docs: DataFrame, buckets: int, text: str = "text") -> np.nd
 
 
 def cut_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) for every row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), text_hash (xxhash64 of the text) for every row of docs.
 
     A byte goes when a string of SPAN bytes covers it that starts earlier too: in a smaller doc_id, or earlier in the same
     document. Null texts count as empty; null ids come last. Rows that share a doc_id, or have none, come in the order of
@@ -364,14 +364,16 @@ def cut_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFram
     told = asked.groupBy("part").applyInArrow(lambda t: _own(t, hot), "block int, part int, verdict binary")
     sent = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, parts, splitters), "bucket int, block int, anchors binary")
     marks = sent.groupBy("bucket").applyInArrow(_compare, "block int, marks binary")
-    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text_hash bigint")
 
 
 def kept_texts(cut: DataFrame) -> DataFrame:
-    """doc_id, text of rows of cut_repeats; bytes that no longer form a character are left out."""
+    """rows of cut_repeats with the text that is left; bytes that no longer form a character are left out. Null stays null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.as_py().decode("utf-8", "ignore") for x in batch.column("kept")], pa.string())], ["doc_id", "text"])
+            texts = pa.array([x.as_py().decode("utf-8", "ignore") if x.is_valid else None for x in batch.column("kept")], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], [*keep, "text"])
 
-    return cut.select("doc_id", "kept").mapInArrow(run, "doc_id bigint, text string")
+    keep = [c for c in cut.columns if c != "kept"]
+    return cut.mapInArrow(run, ", ".join([*(f"{c} bigint" for c in keep), "text string"]))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -87,22 +88,31 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
-def test_directory_doubles_until_no_bucket_is_overfull():
+@pytest.mark.parametrize(("capacity", "depth"), [(50, 10), (1, 20), (5000, 10), (50, 0)])
+def test_directory_doubles_until_no_bucket_is_overfull(spark, capacity, depth):
     r = random.Random(1)
-    counts = Counter(r.getrandbits(10) if r.random() < 0.7 else 5 for _ in range(4000))
-    depth, directory = exact_dedup.split_buckets(counts, 50, 10)
-    assert len(directory) == 2**depth
-    size = Counter()
-    for p, n in counts.items():
-        size[directory[p >> (10 - depth)]] += n
-    width = Counter(directory)
-    assert all(n <= 50 or width[b] == 1 for b, n in size.items())
+    keys = {r.getrandbits(64) if r.random() < 0.7 else 5 << 54 | r.getrandbits(40) for _ in range(4000)}
+    df = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "key long")
+    bucket = {row.slot: row.bucket for row in exact_dedup.directory(df, depth, capacity).collect()}
+    assert set(bucket) == {k >> (64 - depth) for k in keys}
+    size, slots = Counter(bucket[k >> (64 - depth)] for k in keys), defaultdict(list)
+    for slot, b in bucket.items():
+        slots[b].append(slot)
+    assert all(n <= capacity or len(slots[b]) == 1 for b, n in size.items())
+    firsts = sorted(slots)
+    assert all(max(slots[a]) < b for a, b in zip(firsts, firsts[1:], strict=False))  # buckets are ranges
+
+
+def test_more_slots_than_may_be_broadcast(docs, monkeypatch):
+    want = got(exact_dedup.exact_dedup(docs), "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    monkeypatch.setattr(exact_dedup, "BROADCAST_SLOTS", 0)
+    assert got(exact_dedup.exact_dedup(docs, capacity=1), "doc_id", "keep_id", "group_size", "kept", "text_sha256") == want
 
 
 def test_chains_keep_colliding_keys_apart():
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4, pa.int32()), pa.array([7, 7, 7, 9]), pa.array([5, 2, 3, 1]), pa.array([1, 1, 2, 1]), pa.array(["a", "b", "a", "a"])], ["bucket", "key", "keep_id", "n", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 4, pa.int64()), pa.array([7, 7, 7, 9]), pa.array([5, 2, 3, 1]), pa.array([1, 1, 2, 1]), pa.array(["a", "b", "a", "a"])], ["bucket", "key", "keep_id", "n", "text"])
     out = [r for b in exact_dedup._own(iter([batch])) for r in b.to_pylist()]
     assert [(r["key"], r["chain"], r["keep_id"], r["group_size"], r["text"]) for r in out] == [(7, 0, 3, 3, "a"), (7, 1, 2, 1, "b"), (9, 0, 1, 1, "a")]
 
@@ -159,6 +169,18 @@ def test_shards_lose_no_close_pair(seed):
     assert found == want
 
 
+def test_crowded_shards_are_dealt_and_dense_ones_end(spark):
+    rng = np.random.default_rng(3)
+    dense = np.uint64(0x0123456789ABCDEF) ^ np.unique((np.uint64(1) << rng.integers(22, 64, 3000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(22, 64, 3000, dtype=np.uint64)))  # one value in the first block
+    fps = np.unique(np.concatenate([dense, rng.integers(0, 2**63, 500, dtype=np.uint64)]))
+    df = spark.createDataFrame([(int(x), k) for k, x in enumerate(fps.view(np.int64))], "fp long, rep long")
+    pairs = [(a + k, b) for k in range(0, len(fps), 500) for a, b in zip(*[x.tolist() for x in np.nonzero(np.bitwise_count(fps[k : k + 500, None] ^ fps[None]) <= 4)], strict=True)]
+    want = linked(range(len(fps)), pairs)
+    for crowded in (64, 1 << 14):
+        found = linked(range(len(fps)), [(r.u, r.v) for r in simhash.links(df, crowded=crowded).collect()])
+        assert found == want
+
+
 def slow_cut(texts):
     seen, out = set(), []
     for t in texts:
@@ -173,9 +195,24 @@ def slow_cut(texts):
     return out
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_multikey_quicksort_finds_equal_strings(seed):
+    r = random.Random(seed)
+    data = "".join(r.choice("ab") for _ in range(3000)).encode() * 2
+    words = suffix_dedup.words_at(np.frombuffer(data, np.uint8), ">u8")
+    starts, lengths = np.array([r.randrange(5000) for _ in range(4000)]), np.array([r.choice([8, 11, 16, 40]) for _ in range(4000)])
+    rows, group = suffix_dedup.multikey_quicksort(words, starts, lengths, lengths.copy(), small=r.choice([1, 50, 10_000]))
+    text = lambda k: data[starts[k] : starts[k] + lengths[k]]
+    n = Counter((lengths[k], text(k)) for k in range(4000))
+    assert sorted(rows.tolist()) == [k for k in range(4000) if n[lengths[k], text(k)] > 1]
+    assert len({(g, text(k)) for k, g in zip(rows.tolist(), group.tolist(), strict=True)}) == len(set(group.tolist())) == len({(lengths[k], text(k)) for k in rows.tolist()})
+    keys = [(lengths[k], text(k)) for k in rows.tolist()]
+    assert keys == sorted(keys)
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_suffix_dedup(docs, none, hot):
-    order = sorted(rows(), key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 7)))
+    order = sorted(rows(), key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))
     want = [(r[0], *x) for r, x in zip(order, slow_cut([(r[1] or "").encode() for r in order]), strict=True)]
     out = suffix_dedup.cut_repeats(docs, hot=hot)
     assert got(out.selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "sha2(kept, 256) k"), "doc_id", "n_bytes", "n_removed", "n_spans", "k") == sorted(((*w[:4], hashlib.sha256(w[4]).hexdigest()) for w in want), key=repr)
@@ -247,6 +284,25 @@ def test_quality_rules(docs, none):
     assert quality_rules.apply_rules(none).count() == 0
 
 
+def test_no_window_of_a_long_text_is_taken_for_another(spark):
+    docs = spark.range(2).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 600000), x -> hex(x * 7 + id)), ' ') || if(id = 1, ' A B C D E F A B C D E', '') AS text", "'en' AS lang", "'s' AS source")
+    assert [r.n_repeat_words for r in quality_rules.document_stats(docs).orderBy("doc_id").collect()] == [0, 10]
+
+
+def test_small_groups_lean_on_the_group_above(spark):
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(20)), "en", "a") for k in range(400)]
+    rows += [(1000 + k, " ".join(f"$#{k:03d}{j:02d}&" for j in range(20)), "en", "few") for k in range(3)]
+    out = {r.doc_id: r.kept for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(out[k] for k in range(400)) == 400
+    assert not any(out[1000 + k] for k in range(3))
+
+
+def test_sketch_buckets_cover_any_number(spark):
+    values = [0, 1, 1023, 1024, 1025, 4099, 10**6 + 3, 10**15 + 7]
+    out = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").selectExpr(quality_rules.bucket("v")).collect()]
+    assert out == [v >> max(0, v.bit_length() - 10) << max(0, v.bit_length() - 10) for v in values]
+
+
 def test_thresholds_follow_their_group(spark):
     clean = [(k, " ".join(["word", "other", str(k)] + [f"w{k}x{j}" for j in range(20)]), "en", "a") for k in range(400)]
     symbols = [(1000 + k, " ".join(f"$#{k:03d}{j:02d}&" for j in range(20)), "en", "b") for k in range(400)]
@@ -294,6 +350,83 @@ def test_brown_lm(docs, none):
     assert brown_lm.score(none).count() == 0
 
 
+def test_brown_lm_scores_by_brute_force(spark):
+    r = random.Random(8)
+    follows = {k: [r.randrange(30) for _ in range(3)] for k in range(30)}  # hidden classes and what may follow them
+
+    def walk(n):
+        k = r.randrange(30)
+        for _ in range(n):
+            yield f"c{k}w{int(20 * r.random() ** 2)}"
+            k = r.choice(follows[k])
+
+    texts = {k: " ".join(walk(r.randint(1, 150))) for k in range(150)} | {900: "", 901: "wholly new words"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = docs.withColumn("held_out", held_out(10, 0))
+    coded, model, reached = brown_lm.fit(rows, 10, 0, exchanges=3)
+    assert reached == sorted(reached) and reached[-1] > reached[0]
+    tokens = {k: [*t.split(), None] for k, t in texts.items()}
+    kinds, of = {}, {}
+    for row in coded.collect():
+        x = brown_lm.Coded(row.asDict())
+        for i, end, size in zip(x.ids.tolist(), x.ends.tolist(), x.sizes.tolist(), strict=True):
+            kinds[i] = x.kind[end - size + 1 : end + 1].tolist()
+            for w, c in zip(tokens[i], kinds[i], strict=True):
+                assert of.setdefault(w, c) == c  # a word has one class
+    train = [k for k in texts if zlib.crc32(str(k).encode()) % 10]
+    count = Counter(w for k in train for w in tokens[k])
+    pairs = Counter(p for k in train for p in zip([64, *kinds[k]], kinds[k], strict=False))
+    size, begun = Counter(c for k in train for c in kinds[k]), Counter()
+    for (a, _), m in pairs.items():
+        begun[a] += m
+    n, v = sum(count.values()), len(count)
+    assert (model.tokens, model.words, model.documents) == (n, v, len(train))
+    log = lambda c: sum(m * math.log(m) for m in c.values())
+    assert abs(reached[-1] - (log(pairs) - log(size) - log(begun))) < 1e-3
+
+    def token(w, before, kind, weight, out=0):
+        c = max(0, count[w] - out)
+        base = (c + 0.1) / (n - out + 0.1 * (v + 1))
+        share = size[kind] / n
+        step = share if before == brown_lm.UNKNOWN else (pairs[before, kind] - out + 5 * share) / (begun[before] - out + 5)
+        return weight * step * c / max(1, size[kind] - out) + (1 - weight) * base
+
+    def total(k, weight, out=0):
+        return sum(math.log10(token(w, b, c, weight, out)) for w, b, c in zip(tokens[k], [64, *kinds[k]], kinds[k], strict=False))
+
+    assert model.weight == max(brown_lm.WEIGHTS, key=lambda w: sum(total(k, w, 1) for k in train)) > 0
+    once = {r.doc_id: r.score for r in brown_lm.score(docs).collect()}
+    coded, model, _ = brown_lm.fit(rows, 10, 0)
+    kinds = {i: x.kind[end - size + 1 : end + 1].tolist() for row in coded.collect() for x in [brown_lm.Coded(row.asDict())] for i, end, size in zip(x.ids.tolist(), x.ends.tolist(), x.sizes.tolist(), strict=True)}
+    pairs = Counter(p for k in train for p in zip([64, *kinds[k]], kinds[k], strict=False))
+    size, begun = Counter(c for k in train for c in kinds[k]), Counter()
+    for (a, _), m in pairs.items():
+        begun[a] += m
+    assert all(abs(once[k] - total(k, model.weight)) < 1e-6 for k in texts)
+
+
+def test_an_exchange_moves_words_to_where_they_gain():
+    r = np.random.default_rng(2)
+    of = np.repeat([0, 1], 20)
+    text = [int(r.choice(np.flatnonzero(of == k % 2))) for k in range(4000)]
+    classes = of.astype(np.uint8).copy()
+    classes[[3, 25]] = 1, 0  # two words in the wrong class
+    kind = np.array([brown_lm.CLASSES, *classes[text], brown_lm.CLASSES])
+    pairs = np.zeros((brown_lm.CLASSES + 2,) * 2)
+    np.add.at(pairs, (kind[:-1], kind[1:]), 1)
+    keys, n = np.unique(np.concatenate([np.array(text) * brown_lm._G + kind[:-2], np.array(text) * brown_lm._G + brown_lm.CLASSES + 1 + kind[2:]]), return_counts=True)
+    assert (brown_lm.moved(keys, n, classes, pairs, np.ones(40, bool)) == of).all()
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_brown_lm_beats_unigrams_on_the_documents(spark, sf):
+    path = f"/root/testdata/sf{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no data")
+    out = brown_lm.score(spark.read.parquet(path)).where("held_out").selectExpr("sum(score) s", "sum(base_score) b", "sum(n_tokens) n").first()
+    assert out.s > out.b
+
+
 def test_brown_lm_beats_unigrams_on_patterned_text(spark):
     r = random.Random(5)
     animals, verbs = [f"animal{k}" for k in range(30)], [f"verb{k}" for k in range(30)]

@@ -1,7 +1,10 @@
 """HTML extraction, chat formatting and the pipeline."""
 
 import itertools
+import os
 import random
+import re
+import time
 
 import pytest
 
@@ -31,6 +34,13 @@ from shoebox.llm import html_text as H
         ("</p></div><td>loose<li>item", "loose\n- item"),
         ("<b><i>open <p>para", "open\n\npara"),
         ("<img alt='pic'> <img>", "pic"),
+        ("<table><tr><td>a<table><tr><td>x<td>y<tr><td>1<td>2</table><td>b<tr><td>long cell here<td>z</table>", "a              | b\nx | y\n1 | 2\nlong cell here | z"),
+        ("<table><tr><td><ul><li>p<li>q</ul><td>b</table>", "- p | b\n- q"),
+        ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+        ("<ol start=3><li>a<li value=9>b<li>c</ol>", "3. a\n9. b\n10. c"),
+        ("<textarea>a&amp;<b></textarea><title>t</title>d < e <", "a&<b>d < e <"),
+        ("a<!-->b<!-- x -- y -->c<!-- open", "abc"),
+        ("a<b x='>'>c</b>d<i y=\"never ends", "acd"),
     ],
 )
 def test_render(html, text):
@@ -45,6 +55,64 @@ def test_render_survives_any_markup():
     assert H.render("<div>" * 20_000 + "deep") == "deep"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<table><tr><td>" + "w " * 200_000 + "<td>b" + "<tr><td>a<td>b" * 2000 + "</table>", "<b>" * 16_000 + "</i>" * 16_000, "<p><table>" + "<b>" * 16_000 + "</p>" * 16_000, "<table><tr><td>" * 5000 + "x", "<ul><li>a" * 10_000,
+        "<table>" + "<tr><td colspan=1000>a<td>b" * 3000, "<table><tr>" + "<td>a" * 1000 + "<td>" + "x<br>" * 10_000, "<a href='" * 50_000, "<" * 100_000, "<!--" * 50_000, "<a " * 50_000, "word " * 400_000,
+    ],
+)
+def test_long_pages_take_time_and_room_in_proportion(page):
+    began = time.process_time()
+    text = H.render(page)
+    assert time.process_time() - began < 10
+    assert len(text) <= 20 * len(page)
+    words = lambda t: sorted(t.replace("|", " ").replace("- ", " ").split())
+    if "colspan" not in page and "'" not in page:
+        assert words(text) == words(re.sub(r"<!--.*|<a .*|<[a-z/][^>]*>", " ", page))
+
+
+def slow_visible(html):
+    """The words of a page by the library's own parser; hidden elements are left out."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.off, self.out = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("script", "style", "title"):
+                self.off += 1
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style", "title") and self.off:
+                self.off -= 1
+
+        def handle_data(self, data):
+            if not self.off:
+                self.out.append(data)
+
+    p = P()
+    p.feed(html)
+    p.close()
+    return " ".join(p.out)
+
+
+def test_all_words_of_the_pages_come_out_once(spark):
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no data")
+    pages = spark.read.parquet(path)
+    html = {r.page_id: r.html for r in pages.collect()}
+    letters = lambda t: re.sub(r"[^\w]|_", "", t)
+    out = {r.page_id: r.text for r in H.extract_text(pages).collect()}
+    plain = [k for k, h in html.items() if h and not re.search(r"hidden|display|visibility|<ol|alt=|<noscript|<template|<!\[|<svg|<iframe|<object", h)]
+    assert set(out) == set(html)
+    for k in plain:
+        assert sorted(letters(out[k])) == sorted(letters(slow_visible(html[k]))), k
+
+
 def test_extract_text(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None)], "page_id long, url string, html string").selectExpr("*", "'x' text", "1 n_chars")
     out = H.extract_text(pages)
@@ -106,6 +174,23 @@ def test_format_chats(spark):
     assert C.format_chats(df.limit(0)).count() == 0
 
 
+def test_rows_do_not_depend_on_partitions(spark):
+    r = random.Random(9)
+    turns = [(c, k, r.choice(["user", "assistant", "tool"]), f"c{c}t{k}" + "x" * (50_000 if k == 3 and c == 2 else 0)) for c in [*range(12), None] for k in range(r.choice([1, 5, 700, 1300]))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    found = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in (1, 3, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted((tuple(x) for x in C.format_chats(df).collect()), key=repr))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    sizes = {}
+    for c, *_ in turns:
+        sizes[c] = sizes.get(c, 0) + 1
+    assert sorted((x[0], x[1]) for x in found[0] if x[0] is not None) == [(c, p) for c in range(12) for p in range(-(-sizes[c] // C.SEGMENT))]
+
+
 def test_long_conversations_are_cut_and_join_up(spark, monkeypatch):
     turns = [(7, k, ["user", "assistant"][k % 2] if k % 17 else "user", f"t{k}") for k in range(3000)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
@@ -115,36 +200,3 @@ def test_long_conversations_are_cut_and_join_up(spark, monkeypatch):
     states = C.route([C.matrix(roles)])
     assert "".join(r.text for r in out) == C.render([t[3] for t in turns], C.trace(roles, *states), True, True)
     assert sum(r.n_rows for r in out) == 3000
-
-
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline as P
-
-    from .test_llm_documents import SCHEMA, prose, rows, slow_cut
-
-    docs = spark.createDataFrame(rows(), SCHEMA)
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    d = str(tmp_path)
-    kept = P.quality(spark, docs, d)  # one label alone: every score is above 0.5
-    assert kept.columns == docs.columns
-    assert kept.count() == docs.count()
-    once = P.exact_copies(spark, docs, d)
-    ids = [r.doc_id for r in once.collect()]
-    assert once.columns == docs.columns
-    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
-    assert 24 not in ids and 25 not in ids and {0, 3, 28} <= set(ids)
-    assert ids.count(None) == 3
-    near = P.near_copies(spark, once, d)
-    assert near.columns == docs.columns
-    assert {r.doc_id for r in near.collect()} <= set(ids)
-    cut = P.repeated_passages(spark, near, d)
-    before = sorted((r for r in near.collect() if r.doc_id is not None), key=lambda r: r.doc_id)
-    want = {r.doc_id: x[3].decode("utf-8", "ignore") for r, x in zip(before, slow_cut([(r.text or "").encode() for r in before]), strict=True)}
-    assert {r.doc_id: r.text or "" for r in cut.collect() if r.doc_id is not None} == want
-    assert cut.columns == docs.columns
-    packed = P.run(spark, d)
-    assert packed.count() >= len(want)
-    for _, stage in P.STAGES:
-        assert stage(spark, docs.limit(0), d).count() == 0
-    assert prose(1, 3)
