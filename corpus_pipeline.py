@@ -1,9 +1,9 @@
 """From documents to packed training sequences, in five stages.
 
 Each stage takes what its predecessor left, written as Parquet and read again. All but the last return the columns of
-documents. Rows with a null doc_id cannot be told apart by a verdict: the filtering stages other than near-dedup let them
-pass unchanged.
-Other columns than doc_id and text are carried along, whatever their names; empty tables give empty results.
+documents. A verdict belongs to a row by its doc_id (null included) and text, so that rows without an id, and rows that
+share one, are judged each. Other columns than doc_id and text are carried along, whatever their names; empty tables give
+empty results. Texts may have any length that a Spark string has, and null counts as empty.
 """
 
 from __future__ import annotations
@@ -11,56 +11,66 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from shoebox.llm import exact_dedup, jaccard, packing, quality_classifier, suffix_dedup
+from shoebox.llm import exact_dedup, packing, quality_classifier, simhash, suffix_dedup
 from shoebox.llm.common import held_out, read_table, scratch, text_of
 
-#: No SQL: the classifier is fitted, fingerprints and tokens need code. tests/llm compares run() with a brute-force version.
+#: No SQL: the classifier is fitted, fingerprints and tokens need code. tests/llm/test_pipeline.py compares each stage of
+#: run() with a brute-force version.
 ORACLE_SQL = None
-_MARK, _ID, _SHA = "_stage_keeps", "_stage_id", "_stage_sha256"
+_KEY, _ID, _MARK = "_stage_text_key", "_stage_id", "_stage_mark"
 
 
-def _keep(docs: DataFrame, ids: DataFrame, once: bool = False) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (doc_id, any number of times), or null; once: one row for each id."""
-    ids = ids.where("doc_id IS NOT NULL").select("doc_id").distinct().withColumn(_MARK, F.lit(True))
-    out = docs.join(ids, "doc_id", "left").where(F.col(_MARK) | F.col("doc_id").isNull()).select(*docs.columns)
-    if once:
-        with_id = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        out = with_id.unionByName(docs.where("doc_id IS NULL"))
-    return out
+def _judged(docs: DataFrame, verdicts: DataFrame, key, how: str) -> DataFrame:
+    """docs joined with verdicts (doc_id, key and others) by doc_id, null included, and a key of the text."""
+    right = verdicts.withColumnRenamed("doc_id", _ID).withColumnRenamed("key", _MARK)
+    left = docs.withColumn(_KEY, key)
+    return left.join(right, F.col("doc_id").cast("bigint").eqNullSafe(F.col(_ID)) & (F.col(_KEY) == F.col(_MARK)), how)
+
+
+def _once(docs: DataFrame, *keys: str) -> DataFrame:
+    """One row, the least by what can be ordered, of those that agree in the keys."""
+    ordered = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    return docs.groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias(_MARK)).select(f"{_MARK}.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier scores below 0.5."""
     scores = quality_classifier.quality_scores(docs, read_table(spark, sf_dir, "labels"), ~held_out(3, 1))
-    return _keep(docs, scores.where("predicted = 1"))
+    good = scores.where("predicted = 1").select("doc_id", F.col("text_hash").alias("key")).distinct()
+    return _judged(docs, good, F.xxhash64(text_of()), "left_semi").select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group of equal texts; rows that repeat a doc_id become one."""
-    return _keep(docs, exact_dedup.exact_dedup(docs).where("kept"), once=True)
+    """One row of each group of equal texts: the least doc_id, null last; of several such rows the least by all columns."""
+    found = exact_dedup.exact_dedup(docs)
+    kept = found.where("kept").select("doc_id", F.col("text_sha256").alias("key")).distinct()
+    return _once(_judged(docs, kept, F.sha2(exact_dedup.normalised().cast("binary"), 256), "left_semi"), "doc_id", _KEY).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least doc_id of each group of documents that links of five-word Jaccard similarity 0.8 or more join; null ids come last."""
-    kept = jaccard.near_copies(docs).withColumnRenamed("doc_id", _ID).withColumnRenamed("sha256", _MARK)
-    keyed = docs.withColumn(_SHA, F.sha2(text_of().cast("binary"), 256))
-    with_id = keyed.join(kept, (F.col("doc_id") == F.col(_ID)) & (F.col(_SHA) == F.col(_MARK)), "left_semi")
-    without = keyed.where("doc_id IS NULL").join(kept.where(F.col(_ID).isNull()), F.col(_SHA) == F.col(_MARK), "left_semi").dropDuplicates([_SHA])
-    return with_id.unionByName(without).select(*docs.columns)
+    """One row of each group of documents that links of five-word Jaccard similarity 0.8 or more join: the least doc_id, null last.
+
+    Links are found by the SimHash shards of operator 5 and confirmed by the sets of shingles.
+    """
+    kept = simhash.near_copies(docs).select("doc_id", F.col("sha256").alias("key"))
+    return _once(_judged(docs, kept, F.sha2(text_of().cast("binary"), 256), "left_semi"), "doc_id", _KEY).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that occur earlier; n_chars (if there) follows. Every document stays, once for each doc_id.
+    """Texts without the strings that occur earlier; n_chars (if there) follows. Every row stays.
 
-    Where a cut leaves part of a character, that part goes too.
+    Where a cut leaves part of a character, that part goes too. Rows that agree in doc_id and text all get what is left of
+    the first.
     """
-    cut = suffix_dedup.kept_texts(suffix_dedup.cut_repeats(docs.where("doc_id IS NOT NULL")).where("n_removed > 0"))
-    cut = cut.select("doc_id", F.col("text").alias(_MARK)).dropDuplicates(["doc_id"])
-    out = docs.join(cut, "doc_id", "left")
-    changed = {"text": F.coalesce(_MARK, "text")}
+    cut = suffix_dedup.cut_repeats(docs).withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept")))
+    cut = suffix_dedup.kept_texts(cut).groupBy("doc_id", F.col("text_hash").alias("key")).agg(F.min_by("text", "n_removed").alias("_stage_text"))
+    out = _judged(docs, cut, F.xxhash64(text_of()), "left")
+    new = F.col("_stage_text")
+    changed = {"text": F.coalesce(new, "text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col(_MARK).isNotNull(), F.length(_MARK).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(new.isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
@@ -72,7 +82,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("exact dedup", exact_copies),
-    ("MinHash near-dedup", near_copies),
+    ("SimHash near-dedup", near_copies),
     ("suffix-array dedup", repeated_passages),
     ("packing", packed),
 ]
