@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rounds import materialise, shared_folder
 
-__all__ = ["BLANKS", "block_count", "held_out", "materialise", "partitions", "read_table", "scratch", "text_of", "words_of"]
+__all__ = ["BLANKS", "block_count", "held_out", "materialise", "partitions", "read_table", "scratch", "sieve", "text_of", "words_of"]
 
 #: Runs of the six ASCII blanks; words are what stands between them.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -46,3 +46,17 @@ def block_count(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20,
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     return max(least, -(-total // block_bytes))
 
+
+def sieve(df: DataFrame, keys: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df that agree with none of keys in the columns, and the rest, which may: only the rest needs a join.
+
+    A bitmap of the keys' hashes is broadcast: 32 bits for each key, 2**28 (32 MB) at most, beyond which ever more rows are
+    in the rest. keys: materialised; nulls are values like others; the columns have the same types on both sides.
+    """
+    bits = 1 << min(28, max(20, (32 * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    held = keys.groupBy(F.bitmap_bucket_number(place).alias("_sieve_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_sieve_bits"))
+    marked = df.withColumn("_sieve_place", place).join(F.broadcast(held), F.bitmap_bucket_number("_sieve_place") == F.col("_sieve_bucket"), "left")
+    at = "bitmap_bit_position(_sieve_place)"
+    hit = F.expr(f"coalesce((shiftright(cast(conv(hex(substring(_sieve_bits, cast({at} div 8 AS int) + 1, 1)), 16, 10) AS int), cast({at} % 8 AS int)) & 1) = 1, false)")
+    return marked.where(~hit).select(*df.columns), marked.where(hit).select(*df.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import materialise, text_of
+from .common import materialise, sieve, text_of
 from .components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -34,9 +34,9 @@ BLOCKS = (((1 << 22) - 1, 1), (((1 << 21) - 1) << 22, 1), (((1 << 21) - 1) << 43
 SHARD, PER_SHARD, SAMPLE, MAX_DEPTH = 1024, 8, 8192, 17
 #: A shard of more rows is dealt into groups, and every two groups meet in a task of their own.
 CROWDED = 1 << 14
-#: near_copies(): 128-bit fingerprints of a set; bits in which two of them may differ to be compared; a tree's greatest depth
+#: near_copies(): 128-bit fingerprints of a set; bits of 96 in which two of them may differ to be compared (a word and half of the other); a tree's greatest depth
 #: (36 trees go to every task) and the most sets that they are fitted on.
-LANES, LANE_BITS, LANE_DEPTH, LANE_SAMPLE = 6, 28, 12, 1 << 16
+LANES, LANE_BITS, LANE_DEPTH, LANE_SAMPLE = 6, 22, 12, 1 << 16
 #: A shard splits on in its task until so few members are left.
 SMALL = 96
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -98,16 +98,15 @@ def _split(points: np.ndarray, mask: int, rng: np.random.Generator) -> tuple[int
     return best and best[1:]
 
 
-def build_tree(sample: np.ndarray, mask: int, depth: int, seed: int) -> tuple[Node, int]:
-    """A tree of at most 2**depth leaves over the sample; returns it and its number of leaves."""
-    rng, leaves = np.random.default_rng(seed), 0
+def build_tree(sample: np.ndarray, mask: int, depth: int, seed: int) -> tuple[Node, list[int]]:
+    """A tree of at most 2**depth leaves over the sample; returns it and how many of the sample are in each leaf."""
+    rng, leaves = np.random.default_rng(seed), []
 
     def grow(points: np.ndarray, left_depth: int) -> Node:
-        nonlocal leaves
         found = _split(points, mask, rng) if left_depth and len(points) >= 8 else None
         if found is None:
-            leaves += 1
-            return Node(leaf=leaves - 1)
+            leaves.append(len(points))
+            return Node(leaf=len(leaves) - 1)
         v, near, d = found
         return Node(vantage=v, near=near, left=grow(points[d <= near], left_depth - 1), right=grow(points[d > near], left_depth - 1))
 
@@ -140,14 +139,14 @@ def route(root: Node, fps: np.ndarray, mask: int, radius: int) -> Iterator[tuple
         todo += [(node.left, rows[left], lm[left]), (node.right, rows[right], rm[right])]
 
 
-def close_pairs(fps: np.ndarray, member: np.ndarray, mask: int, radius: int, max_bits: int = MAX_BITS, seed: int = 1, word: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(fps: np.ndarray, member: np.ndarray, mask: int, radius: int, max_bits: int = MAX_BITS, seed: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (rows a, rows b) of a shard within max_bits: members with each other and with queries, in batches.
 
-    fps: a 64-bit number for each row, or several of them (a matrix), of which number `word` holds the block.
+    fps: a 64-bit number for each row, or several of them (a matrix), of which the first holds the block.
     """
     rng = np.random.default_rng(seed)
     every = fps.reshape(len(fps), -1)
-    fps = np.ascontiguousarray(every[:, word])
+    fps = np.ascontiguousarray(every[:, 0])
     todo = [(np.arange(len(fps)), member)]
     while todo:
         rows, m = todo.pop()
@@ -203,40 +202,36 @@ def _links(table: pa.Table, max_bits: int) -> pa.Table:
     return pa.table({"u": pa.array(reps[linked]), "v": pa.array(reps[groups.root[linked]])})
 
 
-def _deal(batches: Iterator[pa.RecordBatch], groups: dict[tuple[int, int], int], words: int = 1) -> Iterator[pa.RecordBatch]:
-    """Sends the rows of a crowded shard to each pair (one, two) of the groups that they are dealt into; others once."""
-    for batch in batches:
-        out = []
-        for tree, leaf, fps, reps, members in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            n = groups.get((tree, leaf), 1)
-            if n == 1:
-                out.append((tree, leaf, 0, 0, fps, reps, members))
-                continue
-            own, ids, kinds = np.frombuffer(fps, np.uint64).reshape(-1, words), np.frombuffer(reps, np.int64), np.frombuffer(members, np.uint8)
-            group = ((own[:, 0] * _MIX) >> np.uint64(40)) % np.uint64(n)
-            for g in range(n):
-                rows = group == g
-                if rows.any():
-                    parts = (own[rows].tobytes(), ids[rows].tobytes(), kinds[rows].tobytes())
-                    out += [(tree, leaf, min(g, h), max(g, h), *parts) for h in range(n) if h != g]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 7
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["tree", "leaf", "one", "two", "fps", "reps", "members"])
+_SENT = "tree int, leaf int, one int, two int, fps binary, reps binary, members binary"
+
 
+def _dealt(leaves: list[int], n: int, crowded: int) -> dict[int, int]:
+    """Into how many groups the rows of each crowded leaf are dealt: as its share of the sample says, queries included.
 
-_SENT, _DEALT = "tree int, leaf int, fps binary, reps binary, members binary", "tree int, leaf int, one int, two int, fps binary, reps binary, members binary"
+    Every two groups meet in a task of their own, so that the number of groups decides sizes only, never what is found.
+    """
+    each = n / max(1, sum(leaves))
+    return {leaf: -(-int(6 * size * each) // crowded) for leaf, size in enumerate(leaves) if 3 * size * each > crowded}
 
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["tree", "leaf", "fps", "reps", "members"])
+def _rows(tree: int, leaf: int, groups: dict[int, int], fps: np.ndarray, reps: np.ndarray, member: np.ndarray) -> Iterator[tuple]:
+    """tree, leaf, one, two, fps, reps, members: the rows of a leaf, once for each pair of groups that they are in."""
+    n = groups.get(leaf, 1)
+    if n == 1:
+        yield tree, leaf, 0, 0, fps.tobytes(), reps.tobytes(), member.tobytes()
+        return
+    group = ((fps.reshape(len(fps), -1)[:, 0].astype(np.uint64) * _MIX) >> np.uint64(40)) % np.uint64(n)
+    for g in np.unique(group).tolist():
+        rows = group == g
+        parts = fps[rows].tobytes(), reps[rows].tobytes(), member[rows].tobytes()
+        for h in range(n):
+            if h != g:
+                yield tree, leaf, min(g, h), max(g, h), *parts
 
 
-def _uncrowded(sent: DataFrame, crowded: int, words: int = 1) -> DataFrame:
-    """The shards' rows, those of crowded shards dealt; grouped by task."""
-    sizes = sent.groupBy("tree", "leaf").agg(F.sum(F.octet_length("members")).alias("n")).where(F.col("n") > crowded)
-    groups = {(t, leaf): max(2, -(-2 * n // crowded)) for t, leaf, n in sizes.collect()}  # at most a row for each leaf
-    return sent.mapInArrow(lambda it: _deal(it, groups, words), _DEALT).groupBy("tree", "leaf", "one", "two")
+def _batch(found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], ["tree", "leaf", "one", "two", "fps", "reps", "members"])
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> DataFrame:
@@ -250,17 +245,17 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> D
     depth = min(MAX_DEPTH, max(0, round(np.log2(max(1, n) / SHARD)))) if n else 0
     most = max(SAMPLE, PER_SHARD << depth)
     sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(most).collect()], np.int64).view(np.uint64)
-    trees = [build_tree(sample, mask, depth, seed)[0] for seed, (mask, _) in enumerate(BLOCKS)]
+    trees = [build_tree(sample, mask, depth, seed) for seed, (mask, _) in enumerate(BLOCKS)]
+    trees = [(tree, _dealt(leaves, n, crowded)) for tree, leaves in trees]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, reps = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            rows = [(t, leaf, own[r].tobytes(), reps[r].tobytes(), m.astype(np.uint8).tobytes()) for t, (mask, radius) in enumerate(BLOCKS) for leaf, r, m in route(trees[t], own, mask, radius)]
+            rows = [row for t, (mask, radius) in enumerate(BLOCKS) for leaf, r, m in route(trees[t][0], own, mask, radius) for row in _rows(t, leaf, trees[t][1], own[r], reps[r], m.astype(np.uint8))]
             if rows:
-                yield _rows(rows)
+                yield _batch(rows)
 
-    sent = materialise(fps.select("fp", "rep").mapInArrow(send, _SENT))
-    return _uncrowded(sent, crowded).applyInArrow(lambda t: _links(t, max_bits), "u bigint, v bigint")
+    return fps.select("fp", "rep").mapInArrow(send, _SENT).groupBy("tree", "leaf", "one", "two").applyInArrow(lambda t: _links(t, max_bits), "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
@@ -318,36 +313,38 @@ def lane_groups(nodes: DataFrame, lanes: int = LANES, max_bits: int = LANE_BITS,
     rows = nodes.select("fps").orderBy(F.xxhash64("node"), "node").limit(most).collect()
     sample = np.array([r[0] for r in rows], np.int64).view(np.uint64).reshape(-1, 2 * lanes)
     kinds = [(lane, word, mask, radius) for lane in range(lanes) for word in range(2) for mask, radius in BLOCKS]
-    trees = [build_tree(np.ascontiguousarray(sample[:, 2 * lane + word]), mask, depth, t)[0] for t, (lane, word, mask, _) in enumerate(kinds)]
+    trees = [build_tree(np.ascontiguousarray(sample[:, 2 * lane + word]), mask, depth, t) for t, (lane, word, mask, _) in enumerate(kinds)]
+    trees = [(tree, _dealt(leaves, n, crowded)) for tree, leaves in trees]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own, reps = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, 2 * lanes), batch.column(0).to_numpy()
             rows = []
             for t, (lane, word, mask, radius) in enumerate(kinds):
-                pair = np.ascontiguousarray(own[:, 2 * lane : 2 * lane + 2])
-                rows += [(t, leaf, pair[r].tobytes(), reps[r].tobytes(), m.astype(np.uint8).tobytes()) for leaf, r, m in route(trees[t], np.ascontiguousarray(pair[:, word]), mask, radius)]
+                pair = own[:, 2 * lane : 2 * lane + 2].view(np.uint32)[:, [0, 1, 2] if word == 0 else [2, 3, 0]]  # its own word and half of the other
+                rows += [row for leaf, r, m in route(trees[t][0], np.ascontiguousarray(own[:, 2 * lane + word]), mask, radius) for row in _rows(t, leaf, trees[t][1], np.ascontiguousarray(pair[r]), reps[r], m.astype(np.uint8))]
             if rows:
-                yield _rows(rows)
+                yield _batch(rows)
 
     def group(table: pa.Table) -> pa.Table:
         tree = table.column("tree")[0].as_py()
-        _, word, mask, radius = kinds[tree]
+        _, _, mask, radius = kinds[tree]
         join = lambda c, kind: np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind)
-        fps, reps, member = join("fps", np.uint64).reshape(-1, 2), join("reps", np.int64), join("members", np.uint8).astype(bool)
+        fps = np.zeros((table_rows := len(join("reps", np.int64)), 2), np.uint64)
+        fps.view(np.uint32)[:, :3] = join("fps", np.uint32).reshape(table_rows, 3)
+        reps, member = join("reps", np.int64), join("members", np.uint8).astype(bool)
         groups = Groups(len(reps))
-        for a, b in close_pairs(fps, member, mask, radius, max_bits, word=word):
+        for a, b in close_pairs(fps, member, mask, radius, max_bits):
             groups.join(a, b)
         size = np.bincount(groups.root, minlength=len(reps))
         own = size[groups.root] > 1
         place = np.array([tree, table.column("leaf")[0].as_py(), table.column("one")[0].as_py(), table.column("two")[0].as_py()], np.uint64)
         mixed = jaccard.mixed(reps[groups.root[own]].view(np.uint64))
-        for x in place:
-            mixed = jaccard.mixed(mixed + (x + np.uint64(1)) * _MIX)
+        for x in (place + np.uint64(1)) * _MIX:
+            mixed = jaccard.mixed(mixed + x)
         return pa.table({"key": pa.array(mixed.view(np.int64)), "node": pa.array(reps[own])})
 
-    sent = materialise(nodes.select("node", "fps").mapInArrow(send, _SENT))
-    return _uncrowded(sent, crowded, 2).applyInArrow(group, "key bigint, node bigint")
+    return nodes.select("node", "fps").mapInArrow(send, _SENT).groupBy("tree", "leaf", "one", "two").applyInArrow(group, "key bigint, node bigint")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,12 +361,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, sha256 (of the text) of the row that stays of each group of near copies: the least doc_id, then the least sha256.
+    """doc_id, sha256 (of the text), kept for every row of docs: of each group of near copies the least doc_id, then the least sha256, stays.
 
     Near copies are linked by a Jaccard similarity of five-word shingles of 0.8 or more, or by a path of such links; every
     link is confirmed by the sets. Pairs come from the shards of LANES * 6 = 36 vantage-point trees: at a similarity of
-    exactly 0.8 a pair of long texts is missed with a probability of about 0.006, at 0.85 of 0.0002, at 0.9 of less than
-    a millionth.
+    exactly 0.8 about one pair in 200 is missed, at 0.85 one in thousands.
     Null ids come after all others and link like them; rows that repeat a doc_id with different texts are rows of their own.
     Texts of less than five words are one shingle, so they link when their words are the same. Null texts count as empty.
     A text may have any length that a Spark string has. Other columns are ignored; an empty table gives an empty result.
@@ -379,12 +375,15 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     own = materialise(body.mapInArrow(_sign, "doc_id bigint, sha256 string, node bigint, size int, fps array<bigint>"))
     nodes = materialise(own.groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps"), F.min("sha256").alias("sha256")))
     members = materialise(lane_groups(nodes.select("node", "fps")).join(nodes.select("node", "size"), "node").select("key", "node", "size"))
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "sha256")
-    sets = materialise(body.select("sha256", "text").join(wanted, "sha256").select("node", "text").mapInArrow(jaccard.sets, "node bigint, hashes binary").dropDuplicates(["node"]))
+    wanted = materialise(nodes.join(members.select("node").distinct(), "node").select("node", "sha256"))
+    _, some = sieve(body.select("sha256", "text"), wanted, "sha256")
+    sets = materialise(some.join(wanted, "sha256").select("node", "text").mapInArrow(jaccard.sets, "node bigint, hashes binary").dropDuplicates(["node"]))
     found = jaccard.links(members, sets)
     rows = own.select("doc_id", "sha256", "node")
     if found is not None:
         roots = components(found)
         rows = rows.join(roots, rows["node"] == roots["u"], "left").select("doc_id", "sha256", F.coalesce("root", "node").alias("node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha256"))
-    return rows.groupBy("node").agg(first.alias("r")).select("r.doc_id", "r.sha256")
+    first = rows.groupBy("node").agg(first.alias("r")).select(F.col("node").alias("of"), F.col("r.doc_id").alias("first_id"), F.col("r.sha256").alias("first_sha"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("sha256") == F.col("first_sha"))
+    return rows.join(first, F.col("node") == F.col("of")).select("doc_id", "sha256", kept.alias("kept"))

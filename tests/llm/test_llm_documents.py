@@ -181,6 +181,19 @@ def test_crowded_shards_are_dealt_and_dense_ones_end(spark):
         assert found == want
 
 
+def test_a_sieve_lets_no_key_pass(spark):
+    from shoebox.llm.common import materialise, sieve
+
+    df = spark.range(5000).selectExpr("if(id % 9 = 0, null, id) AS a", "cast(id AS string) AS b", "id AS _sieve")
+    keys = materialise(df.where("_sieve % 7 = 0").select("a", "b"))
+    clear, rest = sieve(df, keys, "a", "b")
+    clear, rest = {r._sieve for r in clear.collect()}, {r._sieve for r in rest.collect()}
+    assert clear | rest == set(range(5000)) and not clear & rest
+    assert {k for k in range(5000) if k % 7 == 0} <= rest
+    assert len(rest) < 5000 / 7 * 1.5
+    assert sieve(df, materialise(keys.limit(0)), "a", "b")[1].count() == 0
+
+
 def slow_cut(texts):
     seen, out = set(), []
     for t in texts:
@@ -338,6 +351,16 @@ def test_quality_classifier_learns_from_its_own_rows_only(spark):
     assert quality_classifier.quality_scores(docs.limit(0), known, ~held_out(3, 1)).count() == 0
 
 
+def test_quality_of_ties_and_very_long_texts(spark):
+    data = [(k, " ".join(w + "###" for w in prose(k, 60).split()) if k % 3 == 0 else prose(k, 90)) for k in range(200)]
+    data += [(1000, "word " * 700_000), (1001, "word " * 700_000), (1002, "x" * 3_000_000), (1003, ""), (1004, None), (1005, "\n" * 100_000)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    known = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(200)], "doc_id long, quality int")
+    out = {r.doc_id: r.score for r in quality_classifier.quality_scores(docs, known, ~held_out(3, 1)).collect()}
+    assert set(out) == {k for k, _ in data} and all(0 <= x <= 1 for x in out.values())
+    assert out[1000] == out[1001] and out[1003] == out[1004] == out[1005]
+
+
 def test_brown_lm(docs, none):
     tokens = [(r[0], [*(r[1] or "").encode().lower().split(), b"\n"]) for r in rows()]
     is_held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
