@@ -9,44 +9,56 @@ empty results. Texts may have any length that a Spark string has, and null count
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
 from shoebox.llm import exact_dedup, packing, quality_classifier, simhash, suffix_dedup
-from shoebox.llm.common import held_out, read_table, scratch, text_of
+from shoebox.llm.common import held_out, materialise, read_table, scratch, sieve, text_of
 
 #: No SQL: the classifier is fitted, fingerprints and tokens need code. tests/llm/test_pipeline.py compares each stage of
 #: run() with a brute-force version.
 ORACLE_SQL = None
-_KEY, _ID, _MARK = "_stage_text_key", "_stage_id", "_stage_mark"
+_KEY, _ID = "_stage_text_key", "_stage_id"
 
 
-def _judged(docs: DataFrame, verdicts: DataFrame, key, how: str) -> DataFrame:
-    """docs joined with verdicts (doc_id, key and others) by doc_id, null included, and a key of the text."""
-    right = verdicts.withColumnRenamed("doc_id", _ID).withColumnRenamed("key", _MARK)
-    left = docs.withColumn(_KEY, key)
-    return left.join(right, F.col("doc_id").cast("bigint").eqNullSafe(F.col(_ID)) & (F.col(_KEY) == F.col(_MARK)), how)
+def _keyed(docs: DataFrame, key: Column) -> DataFrame:
+    """docs with their doc_id as a long and a key of their text."""
+    return docs.withColumns({_ID: F.col("doc_id").cast("bigint"), _KEY: key})
 
 
-def _once(docs: DataFrame, *keys: str) -> DataFrame:
-    """One row, the least by what can be ordered, of those that agree in the keys."""
+def _met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """rows joined with keys (and what else they carry) by doc_id, null included, and the text's key."""
+    right = keys.withColumnsRenamed({_ID: f"{_ID}_", _KEY: f"{_KEY}_"})
+    return rows.join(right, F.col(_ID).eqNullSafe(F.col(f"{_ID}_")) & (F.col(_KEY) == F.col(f"{_KEY}_")), how)
+
+
+def _kept(docs: DataFrame, verdicts: DataFrame, key: Column, name: str) -> DataFrame:
+    """One row of docs for each doc_id and text that verdicts (a row for each of docs: doc_id, the key by name, kept) keep.
+
+    Most documents are kept and occur once: they pass a sieve and do not move. Of rows that agree in doc_id and text the least,
+    by what can be ordered, stays.
+    """
+    found = verdicts.select(F.col("doc_id").alias(_ID), F.col(name).alias(_KEY), "kept").groupBy(_ID, _KEY).agg(F.max("kept").alias("_kept"), F.count("*").alias("n"))
+    touched = materialise(found.where(~F.col("_kept") | (F.col("n") > 1)))
+    clear, rest = sieve(_keyed(docs, key), touched, _ID, _KEY)
+    rest = _met(rest, touched.where(~F.col("_kept")).select(_ID, _KEY), "left_anti")
     ordered = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-    return docs.groupBy(*keys).agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias(_MARK)).select(f"{_MARK}.*")
+    once = rest.groupBy(_ID, _KEY).agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("_row")).select("_row.*")
+    return clear.select(*docs.columns).union(once)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier scores below 0.5."""
     scores = quality_classifier.quality_scores(docs, read_table(spark, sf_dir, "labels"), ~held_out(3, 1))
-    good = scores.where("predicted = 1").select("doc_id", F.col("text_hash").alias("key")).distinct()
-    return _judged(docs, good, F.xxhash64(text_of()), "left_semi").select(*docs.columns)
+    bad = materialise(scores.where("predicted = 0").select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_KEY)).distinct())
+    clear, rest = sieve(_keyed(docs, F.xxhash64(text_of())), bad, _ID, _KEY)
+    return clear.union(_met(rest, bad, "left_anti")).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: the least doc_id, null last; of several such rows the least by all columns."""
-    found = exact_dedup.exact_dedup(docs)
-    kept = found.where("kept").select("doc_id", F.col("text_sha256").alias("key")).distinct()
-    return _once(_judged(docs, kept, F.sha2(exact_dedup.normalised().cast("binary"), 256), "left_semi"), "doc_id", _KEY).select(*docs.columns)
+    """One row of each group of equal texts: the least doc_id, null last."""
+    return _kept(docs, exact_dedup.exact_dedup(docs), F.sha2(exact_dedup.normalised().cast("binary"), 256), "text_sha256")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +66,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Links are found by the SimHash shards of operator 5 and confirmed by the sets of shingles.
     """
-    kept = simhash.near_copies(docs).select("doc_id", F.col("sha256").alias("key"))
-    return _once(_judged(docs, kept, F.sha2(text_of().cast("binary"), 256), "left_semi"), "doc_id", _KEY).select(*docs.columns)
+    return _kept(docs, simhash.near_copies(docs), F.sha2(text_of().cast("binary"), 256), "sha256")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,13 +76,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     the first.
     """
     cut = suffix_dedup.cut_repeats(docs).withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept")))
-    cut = suffix_dedup.kept_texts(cut).groupBy("doc_id", F.col("text_hash").alias("key")).agg(F.min_by("text", "n_removed").alias("_stage_text"))
-    out = _judged(docs, cut, F.xxhash64(text_of()), "left")
-    new = F.col("_stage_text")
-    changed = {"text": F.coalesce(new, "text")}
+    cut = materialise(suffix_dedup.kept_texts(cut).select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_KEY), F.col("text").alias("_left"), "n_removed"))
+    clear, rest = sieve(_keyed(docs, F.xxhash64(text_of())), materialise(cut.where("n_removed > 0").select(_ID, _KEY).distinct()), _ID, _KEY)
+    first = cut.groupBy(_ID, _KEY).agg(F.min_by("_left", "n_removed").alias("_left"))
+    rest = _met(rest, first, "left")
+    left = F.col("_left")
+    changed = {"text": F.coalesce(left, "text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(new.isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+        changed["n_chars"] = F.when(left.isNotNull(), F.length(left).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return clear.select(*docs.columns).union(rest.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns]))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
