@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rounds import components, materialise, roots, until_stable
-from .vectors import close_pairs
+from .vectors import close_pairs, nearest_offers
 
 TAU = 0.6
 
@@ -20,32 +20,29 @@ def _faces(faces: DataFrame, scope: str | None) -> DataFrame:
     return rows.select("id", F.col("ord").cast("long").alias("ord"), F.nullif(F.col("person").cast("string"), F.lit("")).alias("person"), "vector", (F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")).alias("scope"), (~F.exists("vector", lambda x: x != 0)).alias("zero"))
 
 
-def _classes(rows: DataFrame, tau: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with the class of their vector, classes (cls, assigned: least assigned ord, new: least new ord), pairs of classes.
+def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the class of their vector, and classes (cls, scope, vector, assigned: the least assigned ord).
 
     Equal vectors are at distance 0, so a class acts through its least rows and copies make no pairs. A zero vector is at
     distance 1 from its own copies: each such row is a class of its own.
     """
     own = F.when(F.col("zero"), F.col("ord")).otherwise(F.lit(-1))
-    reps = rows.groupBy("scope", "vector", own.alias("alone")).agg(F.min("ord").alias("cls"), F.min(F.when(F.col("person").isNotNull(), F.col("ord"))).alias("assigned"), F.min(F.when(F.col("person").isNull(), F.col("ord"))).alias("new"))
+    reps = rows.groupBy("scope", "vector", own.alias("alone")).agg(F.min("ord").alias("cls"), F.min(F.when(F.col("person").isNotNull(), F.col("ord"))).alias("assigned"))
     reps = materialise(reps)
     members = materialise(rows.withColumn("alone", own).join(reps.select("scope", "vector", "alone", "cls"), ["scope", "vector", "alone"]).select("id", "ord", "person", "cls"))
-    pairs = close_pairs(reps.select(F.col("cls").alias("id"), "vector", "scope"), tau, scope="scope")
-    both = pairs.union(pairs.select(F.col("b"), F.col("a"), F.col("distance"))).toDF("cls", "other", "distance")
-    return members, reps.select("cls", "assigned", "new"), materialise(both)
+    return members, reps.select("cls", "scope", "vector", "assigned")
 
 
-def _assign(members: DataFrame, classes: DataFrame, pairs: DataFrame, among: DataFrame) -> DataFrame:
+def _assign(members: DataFrame, classes: DataFrame, tau: float, among: DataFrame) -> DataFrame:
     """id, ord, person (old), root for members: among has the new faces that may join (id) and are joined by later ones."""
     new = members.where("person IS NULL").join(among.select("id"), "id", "left_semi")
     low = new.groupBy("cls").agg(F.min("ord").alias("low"))
-    offers = materialise(classes.select("cls", "assigned").join(low, "cls", "left"))
-    best = lambda a, b: F.least(a, F.when(b < F.col("ord"), b))
-    own = new.join(offers, "cls").withColumn("parent", best(F.col("assigned"), F.col("low")))
-    first = own.where("parent IS NULL").select("id", "ord", "cls")
-    across = pairs.join(offers.toDF("other", "assigned", "low"), "other").join(first, "cls").withColumn("parent", best(F.col("assigned"), F.col("low"))).where("parent IS NOT NULL")
-    across = across.groupBy("ord").agg(F.min_by("parent", F.struct("distance", "parent")).alias("parent"))
-    parents = own.where("parent IS NOT NULL").select("ord", "parent").union(first.select("ord").join(across, "ord", "left").select("ord", F.coalesce("parent", "ord")))
+    offers = materialise(classes.join(low, "cls", "left"))
+    own = new.join(offers.select("cls", "assigned", "low"), "cls").withColumn("parent", F.least("assigned", F.when(F.col("low") < F.col("ord"), F.col("low"))))
+    first = own.where("parent IS NULL").select("ord", "cls")  # of each class without an assigned face the earliest new one
+    asking = offers.select(F.col("cls").alias("id"), "vector", "scope", F.when(F.col("assigned").isNull(), F.col("low")).alias("asks"), F.col("assigned").alias("fixed"), F.col("low").alias("early"))
+    across = nearest_offers(asking, tau, scope="scope").select(F.col("id").alias("cls"), "offer")
+    parents = own.where("parent IS NOT NULL").select("ord", "parent").union(first.join(across, "cls", "left").select("ord", F.coalesce("offer", "ord")))
     fixed = members.where("person IS NOT NULL").select("ord", F.col("ord").alias("parent"))
     root = roots(parents.union(fixed).toDF("node", "parent"))
     return members.join(root, members["ord"] == root["node"]).select("id", "ord", "person", "root")
@@ -64,8 +61,8 @@ def assign_faces(faces: DataFrame, tau: float = TAU, scope: str | None = None, m
     fewer than min_faces members stay out.
     """
     rows = materialise(_faces(faces, scope))
-    members, classes, pairs = _classes(rows, tau)
-    out = _named(_assign(members, classes, pairs, members), members)
+    members, classes = _classes(rows)
+    out = _named(_assign(members, classes, tau, members), members)
     if min_faces > 1:
         small = out.where("founded").groupBy("person").count().where(F.col("count") < min_faces)
         out = out.join(small, "person", "left_anti").select("id", "ord", "person", "founded", "root_face")
@@ -83,7 +80,9 @@ def assign_known(faces: DataFrame, tau: float = TAU, scope: str | None = None) -
     A face takes part once a taking-part face within tau is assigned or earlier than it; among those the nearest decides.
     """
     rows = materialise(_faces(faces, scope))
-    members, classes, pairs = _classes(rows, tau)
+    members, classes = _classes(rows)
+    pairs = close_pairs(classes.select(F.col("cls").alias("id"), "vector", "scope"), tau, scope="scope")
+    pairs = materialise(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("cls", "other"))
     new = materialise(members.where("person IS NULL").select("id", "ord", "cls"))
     start = materialise(classes.select("cls", F.when(F.col("assigned").isNotNull(), F.lit(-1)).alias("low").cast("long")))
 
@@ -98,7 +97,7 @@ def assign_known(faces: DataFrame, tau: float = TAU, scope: str | None = None) -
 
     state = until_stable(start, step, lambda s: s.where("moved").limit(1).count())
     inside = new.join(least_near(state.select("cls", "low")), "cls").where("ord > from").select("id")
-    found = _assign(members, classes, pairs, materialise(inside))
+    found = _assign(members, classes, tau, materialise(inside))
     heads = members.select(F.col("ord").alias("root"), F.col("person").alias("root_person"))
     named = found.join(heads, "root").select("ord", F.coalesce("person", "root_person").alias("person"))
     return members.select("id", "ord").join(named, "ord", "left").select("id", "ord", "person")

@@ -129,16 +129,16 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
-def _blocks(reps: DataFrame, block_rows: int, scope: str | None) -> DataFrame:
-    """scope, id, vector, copies, own, i, j: each row once for each pair (i, j) of blocks of its scope that its own is in.
+def _blocks(reps: DataFrame, block_rows: int, scope: str | None, extra: tuple[str, ...] = ()) -> DataFrame:
+    """scope, id, vector, extra columns, own, i, j: each row once for each pair (i, j) of blocks of its scope that its own is in.
 
     A scope has as many blocks as its own rows ask for.
     """
-    reps = reps.select("id", "vector", (F.col("copies") if "copies" in reps.columns else F.lit(1)).cast("long").alias("copies"), (F.col(scope).cast("string") if scope else F.lit("")).alias("scope"))
+    reps = reps.select("id", "vector", *extra, (F.col(scope).cast("string") if scope else F.lit("")).alias("scope"))
     sizes = reps.groupBy(F.col("scope").alias("of")).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
-    sent = reps.join(sizes, F.col("scope").eqNullSafe(F.col("of"))).select("scope", "id", "vector", "copies", "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
+    sent = reps.join(sizes, F.col("scope").eqNullSafe(F.col("of"))).select("scope", "id", "vector", *extra, "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
     sent = sent.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return sent.select("scope", "id", "vector", "copies", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return sent.select("scope", "id", "vector", *extra, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
 def _product(table: pa.Table) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]:
@@ -181,7 +181,33 @@ def close_counts(reps: DataFrame, tau: float, block_rows: int = 2048) -> DataFra
             rows, n = [left, right], [*n, copies[left] @ near]
         return pa.table({"id": ids[np.concatenate(rows)], "linked": np.concatenate(n).astype(np.int64)})
 
-    return _blocks(reps, block_rows, None).groupBy("scope", "i", "j").applyInArrow(count, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+    return _blocks(reps, block_rows, None, ("copies",)).groupBy("scope", "i", "j").applyInArrow(count, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+
+
+def nearest_offers(reps: DataFrame, tau: float, block_rows: int = 2048, scope: str | None = None) -> DataFrame:
+    """id, offer for rows (id, vector, asks, fixed, early): what the nearest row at cosine distance below tau offers.
+
+    A row that asks (asks is a number) is offered another's `fixed`, or its `early` where that is less than what the row asks
+    with; the lesser of both. Of equally near rows the least offer counts. A block task returns one row for each asking row.
+    """
+
+    def offer(table: pa.Table) -> pa.Table:
+        itself, left, right, d = _product(table)
+        ids = table.column("id").to_numpy()
+        asks, fixed, early = (np.nan_to_num(table.column(c).cast(pa.float64()).to_numpy(), nan=np.inf) for c in ("asks", "fixed", "early"))
+        found = []
+        for rows, others, d in [(left, right, d), *([] if itself else [(right, left, d.T)])]:  # noqa: B020
+            offers = np.minimum(fixed[others][None], np.where(early[others][None] < asks[rows][:, None], early[others][None], np.inf))
+            near = np.where((d < tau) & np.isfinite(offers) & np.isfinite(asks[rows])[:, None] & (rows[:, None] != others[None]), d, np.inf)
+            best = near.min(1, initial=np.inf)
+            least = np.where(near == best[:, None], offers, np.inf).min(1, initial=np.inf)
+            some = np.isfinite(best)
+            found.append((ids[rows[some]], best[some], least[some].astype(np.int64)))
+        return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("id", "distance", "offer"), zip(*found, strict=True), strict=True)})
+
+    extra = ("asks", "fixed", "early")
+    found = _blocks(reps, block_rows, scope, extra).groupBy("scope", "i", "j").applyInArrow(offer, "id long, distance double, offer long")
+    return found.groupBy("id").agg(F.min_by("offer", F.struct("distance", "offer")).alias("offer"))
 
 
 def link_counts(df: DataFrame, tau: float, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
