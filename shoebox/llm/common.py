@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rounds import materialise, shared_folder
 
-__all__ = ["BLANKS", "block_count", "held_out", "materialise", "partitions", "read_table", "scratch", "sieve", "text_of", "words_of"]
+__all__ = ["BLANKS", "block_count", "give_back", "held_out", "in_parts", "materialise", "partitions", "read_table", "scratch", "sieve", "text_of", "words_of"]
 
 #: Runs of the six ASCII blanks; words are what stands between them.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -37,6 +40,26 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of texts that a Python task looks at before it gives memory back.
+ROWS = 500
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; an idle Python worker keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of texts a few rows at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+            give_back()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

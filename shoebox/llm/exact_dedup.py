@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, block_count, materialise, partitions, scratch, text_of
+from .common import BLANKS, block_count, in_parts, materialise, partitions, scratch, text_of
 
 #: Distinct keys in a bucket before it splits; how many levels deeper than evenly spread keys need a bucket may split.
 CAPACITY, SPARE = 512, 2
 #: A directory of no more slots (16 bytes each) is broadcast, so that texts move once; a larger one is joined by a shuffle.
 BROADCAST_SLOTS = 1 << 20
 #: Bytes of distinct texts that a map task holds while it merges copies.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 #: Bytes of texts for each owner task, at least where the session has partitions for more tasks.
 OWNED_BYTES = 64 << 20
 _INDEX = "bucket bigint, key bigint, chain int, keep_id bigint, group_size bigint, sha256 string, text string"
@@ -61,8 +61,9 @@ def prefix(key: Column, depth: int) -> Column:
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, key (64-bit hash), sha256 of the normalised text."""
-    return docs.select("doc_id", normalised(text).alias("_t")).select("doc_id", F.xxhash64("_t").alias("key"), F.sha2(F.col("_t").cast("binary"), 256).alias("sha256"))
+    """doc_id, text_hash (xxhash64 of the text), key (the same of the normalised text), sha256 of the normalised text."""
+    rows = docs.select("doc_id", F.xxhash64(text_of(text)).alias("text_hash"), normalised(text).alias("_t"))
+    return rows.select("doc_id", "text_hash", F.xxhash64("_t").alias("key"), F.sha2(F.col("_t").cast("binary"), 256).alias("sha256"))
 
 
 def _merge_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +77,7 @@ def _merge_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             ["key", "keep_id", "n", "text"],
         )
 
-    for batch in batches:
+    for batch in in_parts(batches):
         for doc_id, key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             entry = held.get(text)
             if entry is None:
@@ -111,7 +112,7 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out():
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    for batch in batches:
+    for batch in in_parts(batches):
         for bucket, key, keep_id, n, text in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
             if key != last and chain:
                 rows += flush()
@@ -150,7 +151,7 @@ def build_index(docs: DataFrame, keys: DataFrame, path: str, text: str = "text",
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs; text null counts as empty.
+    """doc_id, keep_id, group_size, kept, text_sha256, text_hash (xxhash64 of the text as it is) for every row of docs; text null counts as empty.
 
     Texts are equal when their bytes are, after each run of blanks became one space. The least doc_id of equal texts
     stays; null ids come after all others. Rows that repeat a doc_id count in group_size and share its verdict.
@@ -160,4 +161,4 @@ def exact_dedup(docs: DataFrame, text: str = "text", capacity: int = CAPACITY) -
     index = build_index(docs, keys, scratch(docs.sparkSession, "exact-index"), text, capacity)
     found = index.select("key", "sha256", "keep_id", "group_size")
     out = keys.join(found, ["key", "sha256"])
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"), "text_hash")

@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import in_parts, materialise, text_of
 
 FEATURES = ("log_words", "word_length", "symbol_ratio", "upper_ratio", "digit_ratio", "punct_ratio", "high_ratio", "distinct_ratio", "top_word", "repeat_4", "dup_lines", "line_words", "stop_spread", "ends_ratio")
 #: The trees and the lasso fit see at most this many labelled rows, those with the least hash of doc_id.
@@ -54,7 +54,7 @@ def text_features(text: bytes, classes: np.ndarray) -> list[float]:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     classes = _byte_classes()
-    for batch in batches:
+    for batch in in_parts(batches):
         rows = np.array([text_features(t.as_py(), classes) for t in batch.column(2)], float).reshape(-1, len(FEATURES))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(rows[:, k]) for k in range(len(FEATURES))]], ["doc_id", "text_hash", *FEATURES])
 

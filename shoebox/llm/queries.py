@@ -32,7 +32,7 @@ def op3_html_text(spark, sf_dir):
 def op4_exact_dedup(spark, sf_dir):
     from . import exact_dedup
 
-    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op5_simhash(spark, sf_dir):

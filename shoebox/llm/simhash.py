@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import materialise, sieve, text_of
+from .common import give_back, in_parts, materialise, sieve, text_of
 from .components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) ->
     """doc_id, fp (the fingerprint's bits as a signed long) for every row; null texts count as empty. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
@@ -159,7 +159,7 @@ def close_pairs(fps: np.ndarray, member: np.ndarray, mask: int, radius: int, max
             todo += [(rows[left], lm[left]), (rows[right], rm[right])]
             continue
         others = np.concatenate([own, rows[~m]])
-        step = max(1, (1 << 22) // len(others))
+        step = max(1, (1 << 20) // len(others))
         for k in range(0, len(own), step):
             bits = np.zeros((len(own[k : k + step]), len(others)), np.uint16)
             for w in range(every.shape[1]):
@@ -317,7 +317,7 @@ def lane_groups(nodes: DataFrame, lanes: int = LANES, max_bits: int = LANE_BITS,
     trees = [(tree, _dealt(leaves, n, crowded)) for tree, leaves in trees]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches, 4000):
             own, reps = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, 2 * lanes), batch.column(0).to_numpy()
             rows = []
             for t, (lane, word, mask, radius) in enumerate(kinds):
@@ -342,26 +342,28 @@ def lane_groups(nodes: DataFrame, lanes: int = LANES, max_bits: int = LANE_BITS,
         mixed = jaccard.mixed(reps[groups.root[own]].view(np.uint64))
         for x in (place + np.uint64(1)) * _MIX:
             mixed = jaccard.mixed(mixed + x)
+        give_back()
         return pa.table({"key": pa.array(mixed.view(np.int64)), "node": pa.array(reps[own])})
 
     return nodes.select("node", "fps").mapInArrow(send, _SENT).groupBy("tree", "leaf", "one", "two").applyInArrow(group, "key bigint, node bigint")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, sizes, fps = [], [], []
+    for batch in in_parts(batches):
+        nodes, sizes, fps, hashes = [], [], [], []
         for t in batch.column(2):
             found = jaccard.shingles(t.as_py())
             nodes.append(jaccard.node_of(found))
             sizes.append(len(found))
             fps.append(set_fingerprints(found))
+            hashes.append(xxhash.xxh64_intdigest(t.as_py(), SEED))  # Spark's xxhash64
         flat = pa.array(np.concatenate(fps).view(np.int64) if fps else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * LANES * len(fps) + 1, 2 * LANES, dtype=np.int32)), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists], ["doc_id", "sha256", "node", "size", "fps"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), lists, pa.array(np.array(hashes, np.uint64).view(np.int64))], ["doc_id", "sha256", "node", "size", "fps", "text_hash"])
 
 
 def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, sha256 (of the text), kept for every row of docs: of each group of near copies the least doc_id, then the least sha256, stays.
+    """doc_id, sha256 and text_hash (xxhash64) of the text, kept for every row of docs: of each group of near copies the least doc_id, then the least sha256, stays.
 
     Near copies are linked by a Jaccard similarity of five-word shingles of 0.8 or more, or by a path of such links; every
     link is confirmed by the sets. Pairs come from the shards of LANES * 6 = 36 vantage-point trees: at a similarity of
@@ -372,18 +374,18 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     sha = F.sha2(text_of(text).cast("binary"), 256)
     body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), sha.alias("sha256"), text_of(text).cast("binary").alias("text"))
-    own = materialise(body.mapInArrow(_sign, "doc_id bigint, sha256 string, node bigint, size int, fps array<bigint>"))
+    own = materialise(body.mapInArrow(_sign, "doc_id bigint, sha256 string, node bigint, size int, fps array<bigint>, text_hash bigint"))
     nodes = materialise(own.groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps"), F.min("sha256").alias("sha256")))
     members = materialise(lane_groups(nodes.select("node", "fps")).join(nodes.select("node", "size"), "node").select("key", "node", "size"))
     wanted = materialise(nodes.join(members.select("node").distinct(), "node").select("node", "sha256"))
     _, some = sieve(body.select("sha256", "text"), wanted, "sha256")
     sets = materialise(some.join(wanted, "sha256").select("node", "text").mapInArrow(jaccard.sets, "node bigint, hashes binary").dropDuplicates(["node"]))
     found = jaccard.links(members, sets)
-    rows = own.select("doc_id", "sha256", "node")
+    rows = own.select("doc_id", "sha256", "text_hash", "node")
     if found is not None:
         roots = components(found)
-        rows = rows.join(roots, rows["node"] == roots["u"], "left").select("doc_id", "sha256", F.coalesce("root", "node").alias("node"))
+        rows = rows.join(roots, rows["node"] == roots["u"], "left").select("doc_id", "sha256", "text_hash", F.coalesce("root", "node").alias("node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha256"))
     first = rows.groupBy("node").agg(first.alias("r")).select(F.col("node").alias("of"), F.col("r.doc_id").alias("first_id"), F.col("r.sha256").alias("first_sha"))
     kept = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("sha256") == F.col("first_sha"))
-    return rows.join(first, F.col("node") == F.col("of")).select("doc_id", "sha256", kept.alias("kept"))
+    return rows.join(first, F.col("node") == F.col("of")).select("doc_id", "sha256", "text_hash", kept.alias("kept"))
