@@ -9,7 +9,7 @@ empty results. Texts may have any length that a Spark string has, and null count
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
@@ -19,32 +19,33 @@ from shoebox.llm.common import held_out, materialise, read_table, scratch, sieve
 #: No SQL: the classifier is fitted, fingerprints and tokens need code. tests/llm/test_pipeline.py compares each stage of
 #: run() with a brute-force version.
 ORACLE_SQL = None
-_KEY, _ID = "_stage_text_key", "_stage_id"
+_KEY, _ID, _SAME = "_stage_text_key", "_stage_id", "_stage_same"
 
 
-def _keyed(docs: DataFrame, key: Column) -> DataFrame:
-    """docs with their doc_id as a long and a key of their text."""
-    return docs.withColumns({_ID: F.col("doc_id").cast("bigint"), _KEY: key})
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with their doc_id as a long and a 64-bit hash of their text."""
+    return docs.withColumns({_ID: F.col("doc_id").cast("bigint"), _KEY: F.xxhash64(text_of())})
 
 
-def _met(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """rows joined with keys (and what else they carry) by doc_id, null included, and the text's key."""
-    right = keys.withColumnsRenamed({_ID: f"{_ID}_", _KEY: f"{_KEY}_"})
-    return rows.join(right, F.col(_ID).eqNullSafe(F.col(f"{_ID}_")) & (F.col(_KEY) == F.col(f"{_KEY}_")), how)
+def _met(rows: DataFrame, keys: DataFrame, how: str, key: str = _KEY) -> DataFrame:
+    """rows joined with keys (and what else they carry) by doc_id, null included, and another key."""
+    right = keys.withColumnsRenamed({_ID: f"{_ID}_", key: f"{key}_"})
+    return rows.join(right, F.col(_ID).eqNullSafe(F.col(f"{_ID}_")) & (F.col(key) == F.col(f"{key}_")), how)
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame, key: Column, name: str) -> DataFrame:
-    """One row of docs for each doc_id and text that verdicts (a row for each of docs: doc_id, the key by name, kept) keep.
+def _kept(docs: DataFrame, verdicts: DataFrame, same: str) -> DataFrame:
+    """One row of docs for each doc_id and text that verdicts (a row for each of docs: doc_id, text_hash, same, kept) keep.
 
-    Most documents are kept and occur once: they pass a sieve and do not move. Of rows that agree in doc_id and text the least,
-    by what can be ordered, stays.
+    same: what texts that count as equal share. Most documents are kept and occur once: they pass a sieve and do not move.
+    Of rows that agree in doc_id and `same` the least, by what can be ordered, stays.
     """
-    found = verdicts.select(F.col("doc_id").alias(_ID), F.col(name).alias(_KEY), "kept").groupBy(_ID, _KEY).agg(F.max("kept").alias("_kept"), F.count("*").alias("n"))
-    touched = materialise(found.where(~F.col("_kept") | (F.col("n") > 1)))
-    clear, rest = sieve(_keyed(docs, key), touched, _ID, _KEY)
-    rest = _met(rest, touched.where(~F.col("_kept")).select(_ID, _KEY), "left_anti")
+    found = verdicts.select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_KEY), F.col(same).alias(_SAME), "kept")
+    groups = found.groupBy(_ID, _SAME).agg(F.max("kept").alias("_kept"), F.count("*").alias("_n")).where("NOT _kept OR _n > 1")
+    touched = materialise(_met(found, groups, "inner", _SAME).select(_ID, _KEY, _SAME, "_kept").distinct())
+    clear, rest = sieve(_keyed(docs), touched, _ID, _KEY)
+    rest = _met(rest, touched, "left").where("coalesce(_kept, true)").withColumn(_SAME, F.coalesce(_SAME, F.col(_KEY).cast("string")))
     ordered = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-    once = rest.groupBy(_ID, _KEY).agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("_row")).select("_row.*")
+    once = rest.groupBy(_ID, _SAME).agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("_row")).select("_row.*")
     return clear.select(*docs.columns).union(once)
 
 
@@ -52,13 +53,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier scores below 0.5."""
     scores = quality_classifier.quality_scores(docs, read_table(spark, sf_dir, "labels"), ~held_out(3, 1))
     bad = materialise(scores.where("predicted = 0").select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_KEY)).distinct())
-    clear, rest = sieve(_keyed(docs, F.xxhash64(text_of())), bad, _ID, _KEY)
+    clear, rest = sieve(_keyed(docs), bad, _ID, _KEY)
     return clear.union(_met(rest, bad, "left_anti")).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts: the least doc_id, null last."""
-    return _kept(docs, exact_dedup.exact_dedup(docs), F.sha2(exact_dedup.normalised().cast("binary"), 256), "text_sha256")
+    return _kept(docs, exact_dedup.exact_dedup(docs), "text_sha256")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Links are found by the SimHash shards of operator 5 and confirmed by the sets of shingles.
     """
-    return _kept(docs, simhash.near_copies(docs), F.sha2(text_of().cast("binary"), 256), "sha256")
+    return _kept(docs, simhash.near_copies(docs), "sha256")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +78,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     cut = suffix_dedup.cut_repeats(docs).withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept")))
     cut = materialise(suffix_dedup.kept_texts(cut).select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_KEY), F.col("text").alias("_left"), "n_removed"))
-    clear, rest = sieve(_keyed(docs, F.xxhash64(text_of())), materialise(cut.where("n_removed > 0").select(_ID, _KEY).distinct()), _ID, _KEY)
+    clear, rest = sieve(_keyed(docs), materialise(cut.where("n_removed > 0").select(_ID, _KEY).distinct()), _ID, _KEY)
     first = cut.groupBy(_ID, _KEY).agg(F.min_by("_left", "n_removed").alias("_left"))
     rest = _met(rest, first, "left")
     left = F.col("_left")
