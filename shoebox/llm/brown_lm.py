@@ -243,12 +243,13 @@ def _look_up(words: pa.Array, rows: pa.Table):
 
 
 class Coded:
-    """A block's documents as numbers. Local words are numbered in the order of their owners."""
+    """A block's documents as numbers. Local words are numbered by their owners, and there by the number that the owner has for them."""
 
     def __init__(self, row: dict):
         self.block = row["block"]
         self.arrays = B.unpack_arrays(row["arrays"])
-        self.ids, self.known, learn, sizes, self.codes, self.counts, self.classes, self.ranks, self.parts, self.cuts = self.arrays
+        self.ids, self.known, learn, sizes, self.codes, self.counts, self.classes, ranks, self.parts, self.cuts = self.arrays
+        self.ranks = np.cumsum(ranks, dtype=np.int64)
         self.learn, self.sizes = learn.astype(bool), sizes + 1  # each text is followed by its end
         self.ends = np.cumsum(self.sizes) - 1
         self.word = np.ones(int(self.sizes.sum()), bool)
@@ -270,7 +271,7 @@ class Coded:
         for part, a, b in zip(self.parts.tolist(), [0, *self.cuts.tolist()], self.cuts.tolist(), strict=False):
             i, j = np.searchsorted(keys, [a * _G, b * _G])
             if i < j:
-                out.append((part, self.block, B.pack_arrays(self.ranks[a:b], np.diff(keys[i:j] - a * _G, prepend=0).astype(np.uint32), n[i:j].astype(np.uint32))))
+                out.append((part, self.block, B.pack_arrays(np.diff(self.ranks[a:b], prepend=0).astype(np.uint32), np.diff(keys[i:j] - a * _G, prepend=0).astype(np.uint32), n[i:j].astype(np.uint32))))
         return out
 
 
@@ -319,8 +320,8 @@ def exchanged(coded: DataFrame, learned: DataFrame, pairs: np.ndarray, turn: int
         if not opened or not rows.num_rows:
             return pa.table({"block": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "classes": pa.array([], pa.binary())})
         classes = B.unpack_arrays(rows.column("arrays")[0].as_py())[1]
-        found = [(ranks, np.cumsum(k, dtype=np.int64), n) for ranks, k, n in opened]
-        keys, inverse = np.unique(np.concatenate([ranks[k // _G].astype(np.int64) * _G + k % _G for ranks, k, _ in found]), return_inverse=True)
+        found = [(np.cumsum(ranks, dtype=np.int64), np.cumsum(k, dtype=np.int64), n) for ranks, k, n in opened]
+        keys, inverse = np.unique(np.concatenate([ranks[k // _G] * _G + k % _G for ranks, k, _ in found]), return_inverse=True)
         may = np.arange(len(classes)) % turns == turn
         new = moved(keys, np.bincount(inverse, np.concatenate([n for _, _, n in found])), classes, pairs, may)
         part = table.column("part")[0].as_py()
@@ -382,9 +383,13 @@ def fit(rows: DataFrame, modulus: int, remainder: int, exchanges: int = EXCHANGE
     def finish(block, ids, texts, words, codes, sizes, place, arrays) -> pa.Table:
         counts, classes, ranks = (np.concatenate([a[k] for a in arrays]) for k in range(3)) if arrays else (np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint32))
         _, groups = B.by_owner(words, parts)
+        order = np.lexsort((ranks, np.repeat(np.arange(len(groups)), [b - a for _, a, b in groups])))  # by owner and number there: numbers that follow each other take little room
+        counts, classes, ranks = counts[order], classes[order], np.diff(ranks[order].astype(np.int64), prepend=0)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
         known = np.array([i is not None for i in ids], np.uint8)
         learn = np.array([i is None or zlib.crc32(str(i).encode()) % modulus != remainder for i in ids], np.uint8)
-        value = B.pack_arrays(np.array([i or 0 for i in ids], np.int64), known, learn, sizes, place[codes].astype(np.uint32), counts, classes, ranks, np.array([p for p, _, _ in groups], np.int32), np.array([b for _, _, b in groups], np.int64))
+        value = B.pack_arrays(np.array([i or 0 for i in ids], np.int64), known, learn, sizes, number[place[codes]].astype(np.uint32), counts, classes, ranks.astype(np.int32), np.array([p for p, _, _ in groups], np.int32), np.array([b for _, _, b in groups], np.int64))
         return pa.table({"block": pa.array([block], pa.int32()), "arrays": pa.array([value], pa.binary())})
 
     coded = materialise(B.exchange(B.blocks_of(rows), parts, units, _look_up, finish, _CODED, learned))
