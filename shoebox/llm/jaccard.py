@@ -66,8 +66,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
 
-def links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """u, v: links that connect whatever similar pairs of a key connect. members: key, node, size; sets: node, hashes."""
+def links(members: DataFrame, sets: DataFrame, fps: DataFrame | None = None, bits: int = 0) -> DataFrame | None:
+    """u, v: links that connect whatever similar pairs of a key connect. members: key, node, size; sets: node, hashes.
+
+    fps (node, fps): fingerprints of the sets, arrays of longs. Pairs that differ in more than `bits` bits of them are too
+    unlike for their sets to be brought together.
+    """
     found = roots = None
     left, pivots = members, 1
     while not left.isEmpty():
@@ -80,6 +84,9 @@ def links(members: DataFrame, sets: DataFrame) -> DataFrame | None:
         near = F.least("a.size", "b.size") * SIMILAR[1] >= F.greatest("a.size", "b.size") * SIMILAR[0]
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.at") < F.col("b.at")) & (F.col("a.root") != F.col("b.root")) & near)
         pairs = pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+        if fps is not None:
+            pairs = pairs.join(fps.toDF("u", "x"), "u").join(fps.toDF("v", "y"), "v")
+            pairs = pairs.where(F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x) <= bits).select("u", "v")
         pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
         new = materialise(pairs.select("u", "v", "a", "b").mapInArrow(_confirm, "u bigint, v bigint"))
         found = new if found is None else found.union(new)

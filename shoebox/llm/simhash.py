@@ -34,7 +34,10 @@ BLOCKS = (((1 << 22) - 1, 1), (((1 << 21) - 1) << 22, 1), (((1 << 21) - 1) << 43
 SHARD, PER_SHARD, SAMPLE, MAX_DEPTH = 1024, 8, 8192, 17
 #: A shard of more rows is dealt into groups, and every two groups meet in a task of their own.
 CROWDED = 1 << 14
-#: near_copies(): 128-bit fingerprints of a set; bits of 96 in which two of them may differ to be compared (a word and half of the other); a tree's greatest depth
+#: near_copies(): pairs that differ in more of all 768 bits are not compared as sets; at a similarity of 0.8, 116 bits differ, and
+#: 144 where sets have four or five members, give or take 10.
+FAR = 184
+#: 128-bit fingerprints of a set; bits of 96 in which two of them may differ to be compared (a word and half of the other); a tree's greatest depth
 #: (36 trees go to every task) and the most sets that they are fitted on.
 LANES, LANE_BITS, LANE_DEPTH, LANE_SAMPLE = 6, 22, 12, 1 << 16
 #: A shard splits on in its task until so few members are left.
@@ -380,7 +383,7 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     wanted = materialise(nodes.join(members.select("node").distinct(), "node").select("node", "sha256"))
     _, some = sieve(body.select("sha256", "text"), wanted, "sha256")
     sets = materialise(some.join(wanted, "sha256").select("node", "text").mapInArrow(jaccard.sets, "node bigint, hashes binary").dropDuplicates(["node"]))
-    found = jaccard.links(members, sets)
+    found = jaccard.links(members, sets, nodes.join(wanted.select("node"), "node", "left_semi").select("node", "fps"), FAR)
     rows = own.select("doc_id", "sha256", "text_hash", "node")
     if found is not None:
         roots = components(found)
