@@ -79,6 +79,12 @@ def op10_brown_lm(spark, sf_dir):
     return brown_lm.score(read_table(spark, sf_dir, "documents"), modulus=10, remainder=0)
 
 
+def op13_embedding_whitening(spark, sf_dir):
+    from . import whitening
+
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
