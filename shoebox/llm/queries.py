@@ -79,6 +79,12 @@ def op10_brown_lm(spark, sf_dir):
     return brown_lm.score(read_table(spark, sf_dir, "documents"), modulus=10, remainder=0)
 
 
+def op11_prefix_trie(spark, sf_dir):
+    from . import prefix_trie
+
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), share=True)
+
+
 def op13_embedding_whitening(spark, sf_dir):
     from . import whitening
 
