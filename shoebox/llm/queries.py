@@ -85,6 +85,12 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), share=True)
 
 
+def op12_embedding_dedup(spark, sf_dir):
+    from . import embedding_dedup
+
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op13_embedding_whitening(spark, sf_dir):
     from . import whitening
 
