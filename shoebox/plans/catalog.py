@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import files, jobs, library, media, scalars, search
+from . import files, index, jobs, library, media, scalars, search
 
-MODULES = (search.PLANS, library.PLANS, media.PLANS, jobs.PLANS, scalars.PLANS, files.PLANS)
+MODULES = (search.PLANS, library.PLANS, media.PLANS, jobs.PLANS, scalars.PLANS, files.PLANS, index.PLANS)
 
 
 def queries():
