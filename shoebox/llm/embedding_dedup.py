@@ -222,10 +222,13 @@ def _meeting(tau: float, near: int, most: int):
 
 
 def descended(nodes: DataFrame, edges: DataFrame, seed: int, tau: float, near: int, most: int, reverse: int) -> DataFrame:
-    """One round: the neighbours of every vector meet. Of a vector that very many lists hold, `reverse` of them are drawn by hash."""
+    """One round: the neighbours of every vector meet. Of a vector that very many lists hold, `reverse` of them are drawn by hash.
+
+    A list that is full of links takes no more: crowded_counts() counts them.
+    """
     nth = lambda n: F.max(F.when(F.col("rank") == n, F.col("sim")))
     held = edges.groupBy("a").agg(F.count("*").alias("n"), nth(near).alias("near"), nth(most).alias("most"))
-    limit = F.when(F.col("n") >= most, F.col("most")).when(F.col("n") >= near, F.least("near", F.lit(tau).cast("float"))).otherwise(-2.0)
+    limit = F.when(F.col("most") >= tau, 2.0).when(F.col("n") >= near, F.least("near", F.lit(tau).cast("float"))).otherwise(-2.0)
     state = nodes.select("node", "code").join(held.select(F.col("a").alias("node"), limit.cast("float").alias("limit")), "node", "left")
     popular = edges.groupBy("b").agg(F.count("*").alias("lists"))
     drawn = F.pmod(F.xxhash64("a", "b", F.lit(seed)), F.lit(1 << 20)) * F.col("lists") < reverse << 20
