@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .rounds import materialise
 from .vectors import _matrix, _unit, fit_lists, knn
 
-#: Entries of a subspace, codes of a codebook, vectors that fit codebooks, vectors that fit each list.
-WIDTH, CODES, SAMPLE, PER_LIST = 4, 256, 20_000, 32
+#: Entries of a subspace, codes of a codebook, vectors that fit codebooks.
+WIDTH, CODES, SAMPLE = 4, 256, 20_000
 #: Queries and rows of a list that meet in a task; rows scored at a time.
 ASKED, HELD, SLICE = 1024, 1 << 16, 4096
 #: Queries of the measurement, the shares of true neighbours that the probed lists and the compared rows must hold.
@@ -122,14 +122,14 @@ class VectorIndex:
     def fit(self, rows: DataFrame, lists: int | None = None) -> None:
         """Lists (about the square root of the rows) and codebooks of the residuals, from rows (id, vector) of the most frequent length.
 
-        Lists are fitted on SAMPLE rows of least hash, or PER_LIST for each list where that is more; codebooks on SAMPLE rows,
+        Lists are fitted as by fit_lists(); codebooks on the SAMPLE rows of least hash,
         each subspace in a task of its own.
         """
         n, dim = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).select("count", "dim").first()
         rows = rows.where((F.size("vector") == dim) & F.exists("vector", lambda x: x != 0))
         lists = lists or max(1, int(n**0.5))
         keyed = rows.select(F.xxhash64("id").alias("vec_id"), F.col("vector").alias("embedding"))
-        centres = fit_lists(keyed, lists, sample=max(SAMPLE, PER_LIST * lists)) if lists > 1 and not keyed.limit(2).count() < 2 else np.zeros((1, dim))
+        centres = fit_lists(keyed, lists) if lists > 1 and not keyed.limit(2).count() < 2 else np.zeros((1, dim))
         sample = keyed.orderBy("vec_id").limit(SAMPLE)
 
         def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ from .rounds import materialise
 QUERY_BLOCK, QUERY_BYTES = 4096, 32 << 20
 #: Rows of the corpus that meet a block of queries in a task, where queries are too many to be sent; rows scored at a time.
 CORPUS_BLOCK, SLICE = 1 << 16, 2048
+#: Pivots of a threshold join at most, which the driver and each task hold, and from how many times as many rows they are chosen.
+PIVOTS, FROM = 1024, 16
 _KNN = "query long, id long, score double"
 
 
@@ -129,15 +131,73 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return rows.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
 
 
-def _blocks(reps: DataFrame, block_rows: int, scope: str | None, extra: tuple[str, ...] = ()) -> DataFrame:
-    """scope, id, vector, extra columns, own, i, j: each row once for each pair (i, j) of blocks of its scope that its own is in.
+def _pivots(reps: DataFrame, block_rows: int) -> np.ndarray:
+    """At most PIVOTS unit vectors of the most frequent length, one for each half block of rows.
 
-    A scope has as many blocks as its own rows ask for.
+    They are chosen from FROM times as many rows, those of least hash: each is the one farthest from all before it.
+    """
+    rows = reps.where(F.exists("vector", lambda x: x != 0))
+    sizes = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if not sizes:
+        return np.zeros((0, 0))
+    n = min(PIVOTS, -(-2 * sizes["count"] // block_rows))
+    found = rows.where(F.size("vector") == sizes["dim"]).orderBy(F.xxhash64("id", F.lit(3)), "id").limit(FROM * n).select("vector").collect()
+    m = _unit(np.array([r[0] for r in found], float))
+    chosen, best = [0], m @ m[0]
+    while len(chosen) < min(n, len(m)):
+        chosen.append(int(best.argmin()))
+        np.maximum(best, m @ m[chosen[-1]], out=best)
+    return m[chosen]
+
+
+def _angles(m: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(m @ pivots.T, -1, 1))
+
+
+def _blocks(reps: DataFrame, block_rows: int, scope: str | None, extra: tuple[str, ...] = (), tau: float = 2.0) -> DataFrame:
+    """scope, id, vector, extra columns, own, i, j: each row once for each pair (i, j) of blocks of its scope that its own is in and where it can have a partner.
+
+    Rows belong to the nearest of some pivots. Vectors at distance below tau are less than theta apart, so a row meets the rows
+    of another pivot only if it is within theta and their greatest angle of that pivot: blocks that are far from each other never
+    meet. Pivots of more than block_rows rows in a scope have several blocks. A tau above 1 (zero vectors then have partners)
+    and vectors of several lengths leave one pivot, so that all blocks meet.
     """
     reps = reps.select("id", "vector", *extra, (F.col(scope).cast("string") if scope else F.lit("")).alias("scope"))
-    sizes = reps.groupBy(F.col("scope").alias("of")).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
-    sent = reps.join(sizes, F.col("scope").eqNullSafe(F.col("of"))).select("scope", "id", "vector", *extra, "blocks", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("own"))
-    sent = sent.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    pivots = _pivots(reps, block_rows) if tau <= 1 else np.zeros((0, 0))
+    one_length = len(pivots) > 1 and reps.where(F.size("vector") != pivots.shape[1]).isEmpty()
+    if one_length:
+        theta = float(np.arccos(1 - tau)) + 1e-6
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                angles = _angles(_unit(_matrix(batch.column("vector"))), pivots) if batch.num_rows else np.zeros((0, len(pivots)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(angles.argmin(1), pa.int32()), pa.array(angles.min(1, initial=np.inf), pa.float64())], [*batch.schema.names, "pivot", "angle"])
+
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reps.schema.fields)
+        reps = materialise(reps.where(F.exists("vector", lambda x: x != 0)).mapInArrow(own, f"{kinds}, pivot int, angle double"))
+        radii = np.zeros(len(pivots))
+        for pivot, radius in reps.groupBy("pivot").agg(F.max("angle")).collect():  # a number for each pivot
+            radii[pivot] = radius
+
+        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                near = _angles(_unit(_matrix(batch.column("vector"))), pivots) <= radii[None] + theta if batch.num_rows else np.zeros((0, len(pivots)), bool)
+                if batch.num_rows:
+                    near[np.arange(len(near)), batch.column("pivot").to_numpy()] = True
+                x, y = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(x)) for c in batch.columns), pa.array(y, pa.int32())], [*batch.schema.names, "met"])
+
+        sent = reps.mapInArrow(reached, f"{kinds}, pivot int, angle double, met int")
+    else:
+        reps = reps.withColumn("pivot", F.lit(0))
+        sent = reps.withColumn("met", F.lit(0))
+    sizes = reps.groupBy(F.col("scope").alias("of"), F.col("pivot").alias("at")).agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
+    mine = sizes.select("of", F.col("at").alias("pivot_at"), F.col("blocks").alias("own_blocks"))
+    sent = sent.join(sizes, F.col("scope").eqNullSafe(F.col("of")) & (F.col("met") == F.col("at"))).drop("of")
+    sent = sent.join(mine, F.col("scope").eqNullSafe(F.col("of")) & (F.col("pivot") == F.col("pivot_at")))
+    block = lambda pivot, part: F.shiftleft(pivot.cast("bigint"), 32) + part
+    sent = sent.withColumn("own", block(F.col("pivot"), F.pmod(F.xxhash64("id"), "own_blocks")))
+    sent = sent.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("other", block(F.col("met"), F.col("other")))
     return sent.select("scope", "id", "vector", *extra, "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
 
@@ -152,8 +212,8 @@ def _product(table: pa.Table) -> tuple[bool, np.ndarray, np.ndarray, np.ndarray]
 def close_pairs(reps: DataFrame, tau: float, block_rows: int = 2048, scope: str | None = None) -> DataFrame:
     """a, b, distance with a < b for all pairs of rows (id, vector) at cosine distance below tau.
 
-    Rows are dealt to blocks, each block is sent to every pair of blocks it belongs to, and a task multiplies two blocks:
-    exact, with work that grows with the square of a scope's rows and is shared evenly. With scope, only pairs of equal scope.
+    Rows are dealt to blocks around pivots, and a task multiplies two blocks that the triangle bound does not part: exact,
+    with work that is shared evenly and follows how many rows are near each other. With scope, only pairs of equal scope.
     """
 
     def multiply(table: pa.Table) -> pa.Table:
@@ -164,7 +224,7 @@ def close_pairs(reps: DataFrame, tau: float, block_rows: int = 2048, scope: str
         keep = a < b if itself else np.ones(len(a), bool)
         return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "distance": d[keep]})
 
-    return _blocks(reps, block_rows, scope).groupBy("scope", "i", "j").applyInArrow(multiply, "a long, b long, distance double")
+    return _blocks(reps, block_rows, scope, (), tau).groupBy("scope", "i", "j").applyInArrow(multiply, "a long, b long, distance double")
 
 
 def close_counts(reps: DataFrame, tau: float, block_rows: int = 2048) -> DataFrame:
@@ -181,7 +241,7 @@ def close_counts(reps: DataFrame, tau: float, block_rows: int = 2048) -> DataFra
             rows, n = [left, right], [*n, copies[left] @ near]
         return pa.table({"id": ids[np.concatenate(rows)], "linked": np.concatenate(n).astype(np.int64)})
 
-    return _blocks(reps, block_rows, None, ("copies",)).groupBy("scope", "i", "j").applyInArrow(count, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
+    return _blocks(reps, block_rows, None, ("copies",), tau).groupBy("scope", "i", "j").applyInArrow(count, "id long, linked long").groupBy("id").agg(F.sum("linked").alias("linked"))
 
 
 def nearest_offers(reps: DataFrame, tau: float, block_rows: int = 2048, scope: str | None = None) -> DataFrame:
@@ -206,7 +266,7 @@ def nearest_offers(reps: DataFrame, tau: float, block_rows: int = 2048, scope: s
         return pa.table({c: pa.array(np.concatenate(x)) for c, x in zip(("id", "distance", "offer"), zip(*found, strict=True), strict=True)})
 
     extra = ("asks", "fixed", "early")
-    found = _blocks(reps, block_rows, scope, extra).groupBy("scope", "i", "j").applyInArrow(offer, "id long, distance double, offer long")
+    found = _blocks(reps, block_rows, scope, extra, tau).groupBy("scope", "i", "j").applyInArrow(offer, "id long, distance double, offer long")
     return found.groupBy("id").agg(F.min_by("offer", F.struct("distance", "offer")).alias("offer"))
 
 
@@ -234,19 +294,23 @@ def centroids(df: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
 
 #: Vectors that an inverted file is fitted and measured on (those of least hash), queries of the measurement among them, and in
 #: how many of its nearest lists each row stands.
-SAMPLE, MEASURED, COPIES = 20_000, 200, 3
+SAMPLE, MEASURED, COPIES, PER_LIST = 20_000, 200, 3, 32
 
 
 def _sample(df: DataFrame, id: str, vector: str, n: int) -> DataFrame:
     return usable(df, id, vector).orderBy(F.xxhash64("id"), "id").limit(n)
 
 
-def fit_lists(df: DataFrame, lists: int, id: str = "vec_id", vector: str = "embedding", sample: int = SAMPLE, seed: int = 1) -> np.ndarray:
-    """Centres of an inverted file: spherical k-means on at most `sample` vectors, those of least hash."""
+def fit_lists(df: DataFrame, lists: int, id: str = "vec_id", vector: str = "embedding", sample: int | None = None, seed: int = 1) -> np.ndarray:
+    """Centres of an inverted file: spherical k-means on at most `sample` vectors that are not zero, those of least hash.
+
+    Without a number the sample is SAMPLE vectors, or PER_LIST for each list where that is more.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = materialise(_sample(df, id, vector, sample).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")))
+    some = df.where(F.exists(vector, lambda x: x != 0))
+    rows = materialise(_sample(some, id, vector, sample or max(SAMPLE, PER_LIST * lists)).select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")))
     model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=10).fit(rows)
     return _unit(np.array(model.clusterCenters()))
 
