@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import materialise
+
 CHARSET = "0123456789abcdefghijklmnopqrstuvwxyz"
 LONGEST, FALLBACK = 32, math.log(1e-10)
-#: Texts whose pieces a task holds at a time.
-ROWS = 256
+#: Texts whose pieces a task holds at a time; distinct words whose ids may go to every task.
+ROWS, KNOWN = 256, 1 << 18
 # Fixed values of the text encoder's vocabulary.
 START_ID, END_ID, WORD_IDS = 49406, 49407, 49405
 
@@ -44,48 +46,101 @@ def segment(text: str, scores: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
-def unigram_tokens(df: DataFrame, vocabulary: list[tuple[str, float]], length: int, text: str = "text", end_id: int = 1, unknown_id: int = 2, out: str = "tokens", windows: bool = False) -> DataFrame:
+def _words(text: str | None) -> list[str]:
+    """The words of a text in lower case; an empty text has none, and between two spaces stands an empty word."""
+    return text.lower().split(" ") if text else []
+
+
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = {w for t in batch.column(0).to_pylist() for w in _words(t)}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, t in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            words = _words(t)
+            yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(range(len(words)), pa.int32()), pa.array(words, pa.string())], ["_row", "pos", "word"])
+
+
+def unigram_tokens(df: DataFrame, vocabulary: list[tuple[str, float]], length: int, text: str = "text", end_id: int = 1, unknown_id: int = 2, out: str = "tokens", windows: bool = False, known: int = KNOWN) -> DataFrame:
     """df with fixed-length ids: pieces in order, the end id, then 0. The vocabulary (a model's fixed list) goes to every task.
 
     The encoder's form ends with the pieces that fit. With windows, a text has as many rows as it fills, numbered by `window`
     from 0, so that every piece comes out; an empty text has one.
+
+    Where no piece runs across words, each distinct word of the table is cut once, by the task that a shuffle gives it to. Up
+    to `known` words (counted) go to the tasks that put texts together; more are joined back by their positions.
     """
     ids = {w: k for k, (w, _) in enumerate(vocabulary)}
     scores = dict(vocabulary)
-    by_word = all("▁" not in w[1:] for w in scores)  # then no piece runs across words, and each word is cut once
-
-    def pieces(t: str, known: dict[str, list[str]]) -> Iterator[str]:
-        if not by_word or not t:
-            yield from segment(t, scores)
-            return
-        for w in t.split(" "):
-            if w not in known:
-                known[w] = segment(w, scores) if w else (["▁"])
-            yield from known[w]
-
-    def rows_of(t: str | None) -> Iterator[list[int]]:
-        found = (ids.get(p, unknown_id) for p in pieces((t or "").lower(), known))
-        own = list(islice(found, length - 1))
-        while True:
-            yield [*own, end_id, *[0] * (length - 1 - len(own))]
-            own = list(islice(found, length - 1)) if windows else []
-            if not own:
-                return
-
-    known: dict[str, list[str]] = {}
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            known.clear()
-            for k in range(0, len(frame), ROWS):
-                part = frame.iloc[k : k + ROWS]
-                rows = [list(rows_of(t)) for t in part[text]]
-                found = part.loc[part.index.repeat([len(r) for r in rows])]
-                found = found.assign(**{out: [x for r in rows for x in r]})
-                yield found.assign(window=[n for r in rows for n in range(len(r))]) if windows else found
+
+    def numbers(pieces: list[str]) -> list[int]:
+        return [ids.get(p, unknown_id) for p in pieces]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [numbers(segment(w, scores)) if w else numbers(["▁"]) for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
+
+    if any("▁" in w[1:] for w in scores):
+        return _windows(df, lambda t: np.array(numbers(segment((t or "").lower(), scores)), np.int32), length, text, end_id, out, windows)
+    cuts = materialise(df.select(text).mapInArrow(_distinct_words, "word string").distinct().mapInArrow(cut, "word string, ids array<int>"))
+    if cuts.count() <= known:
+        table = df.sparkSession.sparkContext.broadcast({r.word: np.array(r.ids, np.int32) for r in cuts.collect()})
+
+        def own(t: str | None) -> np.ndarray:
+            known = table.value
+            return np.concatenate([known[w] for w in _words(t)] or [np.zeros(0, np.int32)])
+
+        return _windows(df, own, length, text, end_id, out, windows)
+    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
+    placed = rows.select("_row", F.col(text).alias("_text")).mapInArrow(_positions, "_row bigint, pos int, word string").join(cuts, "word")
+    whole = placed.groupBy("_row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("_ids"))  # one text's own
+    none = F.array().cast("array<int>")
+    rows = rows.join(whole, "_row", "left").withColumn("_ids", F.coalesce("_ids", none))
+    fits = length - 1
+    last = F.greatest(F.lit(1), F.ceil(F.size("_ids") / F.lit(fits)).cast("int")) - 1 if windows else F.lit(0)
+    rows = rows.withColumn("_window", F.explode(F.sequence(F.lit(0), last)))
+    own = F.slice("_ids", F.col("_window") * fits + 1, fits)
+    own = F.concat(own, F.array(F.lit(end_id)), F.array_repeat(F.lit(0), F.lit(fits) - F.size(own)))
+    return rows.select(*df.columns, own.cast("array<int>").alias(out), *([F.col("_window").cast("bigint").alias("window")] if windows else []))
+
+
+def _windows(df: DataFrame, numbers: Callable[[str | None], np.ndarray], length: int, text: str, end_id: int, out: str, windows: bool) -> DataFrame:
+    """df with the ids of each text in windows of a fixed length."""
+    fits = length - 1
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                found = [numbers(t) for t in part.column(at).to_pylist()]
+                n = np.array([max(1, -(-len(x) // fits)) if windows else 1 for x in found])
+                ends = np.cumsum(n)
+                ids = np.zeros((int(ends[-1]), length), np.int32)
+                for x, stop, rows in zip(found, ends.tolist(), n.tolist(), strict=True):
+                    own = ids[stop - rows : stop]
+                    full = min(len(x) // fits, rows)
+                    own[:full, :fits] = x[: full * fits].reshape(full, fits)
+                    own[:full, fits] = end_id
+                    if full < rows:
+                        rest = x[full * fits :]
+                        own[full, : len(rest)] = rest
+                        own[full, len(rest)] = end_id
+                row = np.repeat(np.arange(part.num_rows), n)
+                columns = [c.take(pa.array(row)) for c in part.columns]
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, ids.size + 1, length, dtype=np.int32)), pa.array(ids.ravel())))
+                names = [*part.schema.names, out]
+                if windows:
+                    columns.append(pa.array(np.arange(len(row)) - np.repeat(ends - n, n)))
+                    names.append("window")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInPandas(run, f"{schema}, `{out}` array<int>" + (", window long" if windows else ""))
+    return df.mapInArrow(run, f"{schema}, `{out}` array<int>" + (", window long" if windows else ""))
 
 
 def word_id(word: str) -> int:

@@ -48,6 +48,23 @@ def test_link_counts(spark):
         assert out[k] == (min(same), sum(j != k and cosine(v[j], v[k]) < 0.2 for j in range(50)))
 
 
+def test_far_blocks_never_meet(spark):
+    r = np.random.default_rng(2)
+    centres = r.normal(size=(40, 24))
+    v = [centres[k % 40] + 0.1 * r.normal(size=24) for k in range(1200)] + [np.zeros(24)]
+    df = spark.createDataFrame([(k, x.tolist(), str(k % 2)) for k, x in enumerate(v)], "id long, vector array<double>, scope string").cache()
+    u = np.array(v[:-1])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    d = 1 - u @ u.T
+    for scope, tau in ((None, 0.1), ("scope", 0.3)):
+        want = {(a, b) for a, b in zip(*np.nonzero(d < tau)) if a < b and (scope is None or a % 2 == b % 2)}
+        assert {(x.a, x.b) for x in vectors.close_pairs(df, tau, 50, scope).collect()} == want
+    blocks = {(b.own, b.i, b.j) for b in vectors._blocks(df, 50, None, (), 0.1).select("own", "i", "j").distinct().collect()}
+    n = len({own for own, _, _ in blocks})
+    multiplied = {(i, j) for own, i, j in blocks if (i, i, j) in blocks and (j, i, j) in blocks}
+    assert len(multiplied) < n * (n + 1) / 2 / 5
+
+
 def test_inverted_file_finds_most_neighbours(spark):
     r = np.random.default_rng(0)
     v = r.normal(size=(600, 16)).astype(np.float32)
@@ -332,3 +349,21 @@ def test_unigram(spark):
     assert out[2] == out[4] == [1, 0, 0, 0, 0, 0]
     assert out[3] == [8, 3, 3, 2, 1, 0]
     assert text.segment("xy", {}) == ["▁", "x", "y"]
+    run = text.unigram_tokens(df, [*vocabulary, ("a▁b", -1.0)], 6)  # a piece that runs across words
+    assert {r.id: r.tokens for r in run.collect()} == out
+
+
+def test_unigram_words_joined_back_by_position(spark):
+    vocabulary = [("<pad>", 0.0), ("</s>", 0.0), ("<unk>", 0.0), ("▁", -2.0), ("a", -4.0), ("▁a", -3.0), ("ab", -3.0)]
+    r = random.Random(4)
+    rows = [(k, None if k == 3 else " ".join(r.choice(["ab", "aab", "É", "", "baba", "A" * 40]) for _ in range(k))) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    both = [sorted((x.id, x.window, tuple(x.tokens)) for x in text.unigram_tokens(df, vocabulary, 8, windows=True, known=known).collect()) for known in (0, 100)]
+    assert both[0] == both[1] and len(both[0]) > 100
+    scores, ids = dict(vocabulary), {w: n for n, (w, _) in enumerate(vocabulary)}
+    for k, t in rows:
+        want = [ids.get(p, 2) for w in (t.lower().split(" ") if t else []) for p in (text.segment(w, scores) if w else ["▁"])]
+        own = [x for i, _, tokens in both[0] if i == k for x in tokens[: tokens.index(1)]]
+        assert own == want
+    one = [sorted((x.id, tuple(x.tokens)) for x in text.unigram_tokens(df, vocabulary, 8, known=known).collect()) for known in (0, 100)]
+    assert one[0] == one[1] and len(one[0]) == 40
