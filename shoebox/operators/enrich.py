@@ -56,7 +56,7 @@ def thumbnail_plan(media: DataFrame, settings: DataFrame) -> DataFrame:
 def ocr_text(media: DataFrame, regions: DataFrame) -> DataFrame:
     """media with search_text followed by the distinct texts of the photo's own regions (photo, pos, text)."""
     own = regions.where(F.coalesce("text", F.lit("")) != "").groupBy(F.col("photo").alias("id")).agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"])).alias("_texts"))
-    return media.join(own, "id", "left").withColumn("search_text", F.nullif(F.concat_ws(" ", F.nullif("search_text", F.lit("")), F.concat_ws(" ", "_texts").substr(F.lit(1), F.lit(1 << 30))), F.lit(""))).withColumn("search_text", F.trim("search_text")).drop("_texts")
+    return media.join(own, "id", "left").withColumn("search_text", F.nullif(F.concat_ws(" ", F.nullif("search_text", F.lit("")), F.concat_ws(" ", "_texts")), F.lit(""))).withColumn("search_text", F.trim("search_text")).drop("_texts")
 
 
 def encode(df: DataFrame, make_encoder: Callable[[], Callable[[list], np.ndarray]], column: str, out: str = "embedding") -> DataFrame:
