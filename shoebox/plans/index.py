@@ -1,12 +1,15 @@
-"""Queries of the kept vector index, over `embeddings`."""
+"""Queries of the kept indexes: vectors of `embeddings`, texts of `documents`."""
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.rounds import shared_folder
+from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from .base import Plans, table
 
@@ -49,3 +52,15 @@ def index_search(spark, sf_dir):
     index.upsert(e)
     index.tune(10)
     return index.search(e.where("vec_id % 50 = 0"), 10).select("query", "id", F.round("score", 6).alias("score"), "rank")
+
+
+TERMS = ("license", "http://", "Quality", "ow the", "z")
+
+
+@PLANS.add(" UNION ALL ".join(f"SELECT '{t}' AS term, doc_id FROM documents WHERE contains(lower(coalesce(text, '')), '{t.strip().lower()}')" for t in TERMS))
+def text_index_search(spark, sf_dir):
+    """Substrings of whole texts through one index; the last is too short for it and scans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = TextIndex(spark, f"{shared_folder(spark).rstrip('/')}/texts-{uuid.uuid4().hex}").build(docs, "doc_id", "text")
+    found = [index.search(docs, t, "doc_id", "text").select(F.lit(t).alias("term"), "doc_id") for t in TERMS]
+    return reduce(DataFrame.union, found)
