@@ -51,7 +51,25 @@ f AS (SELECT lang, source, {_PICKED} FROM q GROUP BY lang, source)
 SELECT s.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_inside()} AS kept
 FROM s JOIN f ON s.lang = f.lang AND s.source = f.source"""
 
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: list_reduce(
+    [xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda b, z: CASE WHEN b % 2 = 1 THEN xor(b // 2, 3988292384) ELSE b // 2 END)))"""
+_TRIE = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k,
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x, strlen(coalesce(text, ''))::BIGINT AS b FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+v AS (SELECT n.c, n.c - n.c % 5 AS base, {_CRC.replace("c::", "n.c::")} % 9 AS h FROM n),
+r AS (SELECT v.c, t.k AS d, x, b FROM v JOIN t ON t.c = v.base AND t.k <= v.h
+    UNION ALL SELECT v.c, t.k - v.h + least(v.h, coalesce(n.n, 0)), x, b FROM v JOIN t ON t.c = v.c AND t.k > v.h LEFT JOIN n ON n.c = v.base),
+m AS (SELECT c, d, md5(string_agg(x, '') OVER (PARTITION BY c ORDER BY d)) AS key, b FROM r UNION ALL SELECT c, 0, '', 0 FROM v),
+p AS (SELECT *, lag(key) OVER (PARTITION BY c ORDER BY d) AS parent, max(d) OVER (PARTITION BY c) AS last FROM m),
+g AS (SELECT key, min(c) AS conv_id, min(d) AS depth, min(b) AS b, min(parent) AS parent, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = last), '')) AS ends_sha256 FROM p GROUP BY key),
+k AS (SELECT parent AS key, count(*) AS n FROM g WHERE parent IS NOT NULL GROUP BY parent),
+s AS (SELECT p.key, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((g.n - 1) * g.b)::BIGINT AS saved_tokens FROM g JOIN p ON p.c = g.conv_id AND p.d <= g.depth LEFT JOIN k ON k.key = g.key GROUP BY p.key)
+SELECT g.conv_id, g.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, g.n AS n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens, g.ends_sha256
+FROM g JOIN s ON s.key = g.key LEFT JOIN k ON k.key = g.key LEFT JOIN g u ON u.key = g.parent"""
+
 ORACLES = {
+    "op11_prefix_trie": _TRIE,
     "op4_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
