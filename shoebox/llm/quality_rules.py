@@ -19,6 +19,8 @@ BLANK = r"[\x20\x09-\x0D]"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WEIGHT, DIGITS = 200, 10
+#: Limits of so many groups at most are broadcast, so that no document moves to meet them.
+GROUPS = 1 << 17
 #: metric: (smallest spread between the quartiles, whether a low value is odd too). Units are those of metrics().
 SPREADS = {"symbols": (20, False), "dup_lines": (100, False), "word_tenths": (15, True)}
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -143,8 +145,8 @@ def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     pooled = merge(by_lang.withColumn("_all", F.lit(1)), ["_all"])
     by_lang = blended(by_lang, pooled.drop("_all"), ["_lang"], [])
     fine = blended(fine, by_lang, ["_lang", "_source"], ["_lang"])
-    found = fences(quartiles(fine, ["_lang", "_source"]), ["_lang", "_source"])
-    out = rows.join(found, ["_lang", "_source"])
+    found = materialise(fences(quartiles(fine, ["_lang", "_source"]), ["_lang", "_source"]))
+    out = rows.join(F.broadcast(found) if found.count() <= GROUPS else found, ["_lang", "_source"])
     inside = F.lit(True)
     for m, (_, low) in SPREADS.items():
         inside &= F.col(m) <= F.col(f"{m}_high")
