@@ -17,8 +17,11 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, block_count, in_parts, materialise, partitions, scratch, text_of
 
-#: Distinct keys in a bucket before it splits; how many levels deeper than evenly spread keys need a bucket may split.
+#: Distinct keys in a bucket before it splits; how many levels deeper than evenly spread keys need the directory begins, and grows
+#: by while a bucket is still overfull.
 CAPACITY, SPARE = 512, 2
+#: A text of more copies is a hot one; so many hot texts at most are broadcast, so that their copies do not meet in one task.
+HOT, HOT_TEXTS = 4096, 1 << 16
 #: A directory of no more slots (16 bytes each) is broadcast, so that texts move once; a larger one is joined by a shuffle.
 BROADCAST_SLOTS = 1 << 20
 #: Bytes of distinct texts that a map task holds while it merges copies.
@@ -139,6 +142,8 @@ def build_index(docs: DataFrame, keys: DataFrame, path: str, text: str = "text",
     spark = docs.sparkSession
     distinct = materialise(keys.select("key").distinct())
     depth = greatest_depth(distinct.count(), capacity)
+    while depth < 62 and not distinct.groupBy(prefix(F.col("key"), depth)).count().where(F.col("count") > capacity).isEmpty():
+        depth = min(62, depth + SPARE)
     slots = materialise(directory(distinct, depth, capacity))
     rows = docs.select(F.col("doc_id").cast("bigint"), normalised(text).alias("text")).select("doc_id", F.xxhash64("text").alias("key"), "text")
     entries = rows.mapInArrow(_merge_copies, "key bigint, keep_id bigint, n bigint, text string")
@@ -160,5 +165,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", capacity: int = CAPACITY) -
     keys = materialise(keyed(docs, text))
     index = build_index(docs, keys, scratch(docs.sparkSession, "exact-index"), text, capacity)
     found = index.select("key", "sha256", "keep_id", "group_size")
-    out = keys.join(found, ["key", "sha256"])
+    on = ["key", "sha256"]
+    hot = materialise(found.where(F.col("group_size") > HOT))
+    if 0 < hot.count() <= HOT_TEXTS:
+        rest = keys.join(F.broadcast(hot.select(*on)), on, "left_anti").join(found.where(F.col("group_size") <= HOT), on)
+        out = keys.join(F.broadcast(hot), on).select(*rest.columns).union(rest)
+    else:
+        out = keys.join(found, on)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256"), "text_hash")
