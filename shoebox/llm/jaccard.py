@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ SHINGLE, SEED = 5, 42
 SIMILAR = (4, 5)
 #: In a group of at most so many members all pairs are tested at once.
 SMALL = 16
+#: Leading bits of a hash that sets move with; partners that one set meets in a task's run.
+KEPT, PARTNERS = 40, 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,15 +58,49 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return SIMILAR[1] * both >= SIMILAR[0] * (len(a) + len(b) - both)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """A set of hashes in its KEPT leading bits, as compressed byte planes of the steps from one to the next.
+
+    Two different hashes agree in KEPT bits once in 10**12, so a set of a million shingles may miss one in a million.
+    """
+    kept = np.unique(found >> np.uint64(64 - KEPT))
+    steps = np.diff(kept, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEPT // 8]
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.T).tobytes())
+
+
+def unpacked(value: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint8).reshape(KEPT // 8, -1)
+    steps = np.zeros((planes.shape[1], 8), np.uint8)
+    steps[:, : KEPT // 8] = planes.T
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_parts(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["node", "hashes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packed(shingles(t.as_py())) for t in batch.column(1)], pa.binary())], ["node", "hashes"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (p, part, q, hashes) by p and part, the set of p itself (q null) first: the pairs that are similar."""
+    at, own = None, np.zeros(0, np.uint64)
     for batch in in_parts(batches):
-        good = [similar(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-        yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+        found = []
+        for p, part, q, value in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+            if q is None:
+                at, own = (p, part), unpacked(value.as_py())
+            elif at == (p, part) and similar(own, unpacked(value.as_py())):
+                found.append((min(p, q), max(p, q)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v of the pairs (p, q) whose sets are similar. The set of p moves once for each PARTNERS of its pairs, not for every one."""
+    pairs = materialise(pairs)
+    many = pairs.groupBy("p").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("parts"))
+    own = sets.withColumnRenamed("node", "p").join(many, "p").select("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("q"), "hashes")
+    others = pairs.join(many, "p").select("p", F.pmod(F.xxhash64("q"), "parts").alias("part"), "q").join(sets.withColumnRenamed("node", "q"), "q").select("p", "part", "q", "hashes")
+    met = own.union(others).repartition("p", "part").sortWithinPartitions("p", "part", F.asc_nulls_first("q"))
+    return met.mapInArrow(_confirm, "u bigint, v bigint")
 
 
 def links(members: DataFrame, sets: DataFrame, fps: DataFrame | None = None, bits: int = 0) -> DataFrame | None:
@@ -83,12 +120,11 @@ def links(members: DataFrame, sets: DataFrame, fps: DataFrame | None = None, bit
         a, b = now.where("at <= tested").alias("a"), now.alias("b")
         near = F.least("a.size", "b.size") * SIMILAR[1] >= F.greatest("a.size", "b.size") * SIMILAR[0]
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.at") < F.col("b.at")) & (F.col("a.root") != F.col("b.root")) & near)
-        pairs = pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
+        pairs = pairs.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"), F.struct(F.col("a.node").alias("p"), F.col("b.node").alias("q")).alias("pq")).groupBy("u", "v").agg(F.min("pq").alias("pq"))
         if fps is not None:
             pairs = pairs.join(fps.toDF("u", "x"), "u").join(fps.toDF("v", "y"), "v")
-            pairs = pairs.where(F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x) <= bits).select("u", "v")
-        pairs = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
-        new = materialise(pairs.select("u", "v", "a", "b").mapInArrow(_confirm, "u bigint, v bigint"))
+            pairs = pairs.where(F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x) <= bits)
+        new = materialise(_similar_pairs(pairs.select("pq.p", "pq.q"), sets))
         found = new if found is None else found.union(new)
         left = now.where("at > tested").select("key", "node", "size")
         pivots *= 4
