@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges whose components one task finds (16 bytes each).
+LOCAL_EDGES = 1 << 18
+
+#: The temporary folder of each application that has no shared one.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. In local mode, where all is one machine, a temporary one will do."""
@@ -17,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
         found = context._jsc.sc().getCheckpointDir().get()
     if not found and not (context.master or "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return found or f"file://{tempfile.mkdtemp(prefix='spark-shoebox-')}"
+    if not found and context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-shoebox-')}"
+    return found or _LOCAL[context.applicationId]
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -51,16 +61,35 @@ def _state(edges: DataFrame):
     return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """u, root of the components of all edges (u, v) that come."""
+    parts = [np.stack([b.column("u").to_numpy(), b.column("v").to_numpy()], 1) for b in batches if b.num_rows]
+    edges = np.concatenate(parts) if parts else np.zeros((0, 2), np.int64)
+    ids, at = np.unique(edges, return_inverse=True)
+    a, b = at.reshape(-1, 2).T
+    root = np.arange(len(ids))
+    while (root[a] != root[b]).any():
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    far = root != np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["u", "root"])
+
+
+def components(edges: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
     """edges: u, v (long), in any direction and number. Returns u, root for every node that is not its component's least.
 
-    Null ends and loops are ignored. Large-star and small-star rounds, about log(nodes) of them; each writes the edges to the
-    shared folder, and the driver sees two numbers.
+    Null ends and loops are ignored. Up to `local` distinct edges (counted) are joined in one task. More go through large-star
+    and small-star rounds, about log(nodes) of them; each writes the edges to the shared folder, and the driver sees two numbers.
     """
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = materialise(e)
     before = None
-    while (now := _state(e)) != before:
+    now = _state(e)
+    if now[0] <= local:
+        return e.coalesce(1).mapInArrow(_roots, "u long, root long")
+    while now != before:
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -68,4 +97,5 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("p")).select("p.*")
         e = materialise(pairs.where(F.col("u") != F.col("v")).distinct())
+        now = _state(e)
     return e.select("u", F.col("v").alias("root"))
