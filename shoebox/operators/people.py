@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .rounds import components, materialise, roots, until_stable
 from .vectors import close_pairs, nearest_offers
 
 TAU = 0.6
+#: Links of a component whose merges one task replays.
+LOCAL_LINKS = 1 << 16
 
 
 def _faces(faces: DataFrame, scope: str | None) -> DataFrame:
@@ -125,31 +129,82 @@ def replay_merges(n: list[int], edges: dict[int, list[int]]) -> list[tuple[int,
     return out
 
 
-def merge_plan(centroids: DataFrame, tau: float = TAU, scope: str | None = None) -> DataFrame:
+def _replay_local(table: pa.Table) -> pa.Table:
+    """The merges of one component from its edges."""
+    ends = [table.column(c).to_pylist() for c in ("i", "io", "n_i", "j", "jo", "n_j")]
+    people = {o: (k, n) for which in (0, 3) for k, o, n in zip(*ends[which : which + 3], strict=True)}
+    ords = sorted(people)
+    at = {o: k for k, o in enumerate(ords)}
+    edges: dict[int, list[int]] = {}
+    for low, high in zip(ends[1], ends[4], strict=True):
+        edges.setdefault(at[low], []).append(at[high])
+    out = replay_merges([people[o][1] for o in ords], edges)
+    columns = zip(*[(ords[i], ords[j], people[ords[x]][0], people[ords[y]][0]) for i, j, x, y in out], strict=True) if out else [[]] * 4
+    return pa.table({c: pa.array(list(v), pa.int64()) for c, v in zip(("step", "met", "source", "target"), columns, strict=True)})
+
+
+def _scan_ready(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each scanned person (rows by i and jo, its later neighbours) does; holds one person's name and size."""
+    at, name, size = None, 0, 0
+    for batch in batches:
+        out = []
+        for i, io, n, j, jo, m in zip(*(batch.column(c).to_pylist() for c in ("i", "io", "n_i", "j", "jo", "n_j")), strict=True):
+            if i != at:
+                at, name, size = i, i, n
+            source, target = (name, j) if m > size else (j, name)
+            name, size = target, size + m
+            out.append((io, jo, source, target))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(4)], ["step", "met", "source", "target"])
+
+
+_MERGES = "step long, met long, source long, target long"
+
+
+def _replay_rounds(edges: DataFrame) -> DataFrame:
+    """Merges of large components. A person is scanned once no earlier one within two links is open: then nothing that is still to
+    come can change its neighbours. Scanned and absorbed people and their links leave the graph."""
+    live, found = materialise(edges.select("i", "io", "n_i", "j", "jo", "n_j")), None
+    while not live.isEmpty():
+        both = live.select(F.col("i").alias("u"), F.col("io").alias("uo"), F.col("j").alias("v"), F.col("jo").alias("vo"))
+        both = both.union(both.select("v", "vo", "u", "uo"))
+        one = both.groupBy("u", "uo").agg(F.min("vo").alias("m")).select("u", "uo", F.least("uo", "m").alias("m"))
+        two = both.join(one.select(F.col("u").alias("v"), F.col("m").alias("far")), "v").groupBy("u").agg(F.min("far").alias("far"))
+        ready = one.join(two, "u").where((F.col("uo") == F.col("m")) & (F.col("uo") == F.col("far"))).select(F.col("u").alias("i"))
+        scans = live.join(ready, "i").repartition("i").sortWithinPartitions("i", "jo")
+        merges = materialise(scans.mapInArrow(_scan_ready, _MERGES))
+        found = merges if found is None else found.union(merges)
+        out = materialise(ready.union(merges.select("source")).distinct())
+        live = live.join(out, "i", "left_anti").join(out.select(F.col("i").alias("j")), "j", "left_anti")
+        live = materialise(live.select("i", "io", "n_i", "j", "jo", "n_j"))
+    return found
+
+
+def merge_plan(centroids: DataFrame, tau: float = TAU, scope: str | None = None, local: int = LOCAL_LINKS) -> DataFrame:
     """scope, step, met, source, target: the greedy merges of people (person, ord, n, centroid) of each scope.
 
     In the order of step, then met: the ords of the scanned person and of the one it met. Merges never leave a connected
-    component of the close pairs, so each component is replayed on its own.
+    component of the close pairs: components of up to `local` links are replayed each in a task, larger ones by rounds.
     """
     rows = materialise(centroids.select("person", F.col("ord").cast("long").alias("ord"), F.col("n").cast("long").alias("n"), F.col("centroid").alias("vector"), (F.coalesce(F.col(scope).cast("string"), F.lit("")) if scope else F.lit("")).alias("scope")))
     # People of different scopes may share an ord, and are different nodes.
     rows = materialise(rows.withColumn("node", F.monotonically_increasing_id()))
     pairs = materialise(close_pairs(rows.select(F.col("node").alias("id"), "vector", "scope"), tau, scope="scope").select("a", "b"))
     root = components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    both = pairs.union(pairs.select("b", "a")).toDF("node", "other").join(rows.select(F.col("node").alias("other"), F.col("ord").alias("near")), "other")
-    near = rows.select("scope", "person", "ord", "n", "node").join(both.groupBy("node").agg(F.sort_array(F.collect_set("near")).alias("near")), "node")
-    near = near.join(root, near["node"] == root["u"], "left").withColumn("root", F.coalesce("root", "node"))
-
-    def replay(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord")
-        ords, people = frame["ord"].tolist(), frame["person"].tolist()
-        at = {o: k for k, o in enumerate(ords)}
-        edges = {k: [at[o] for o in near if at[o] > k] for k, near in enumerate(frame["near"])}
-        out = replay_merges(frame["n"].tolist(), edges)
-        return pd.DataFrame([(frame["scope"].iloc[0], ords[i], ords[j], people[s], people[t]) for i, j, s, t in out], columns=["scope", "step", "met", "source", "target"])
-
-    kind = centroids.schema["person"].dataType.simpleString()
-    return near.select("root", "scope", "person", "ord", "n", "near").groupBy("root").applyInPandas(replay, f"scope string, step long, met long, source {kind}, target {kind}")
+    end = lambda c: rows.select(F.col("node").alias(c), F.col("ord").alias(f"{c}o"), F.col("n").alias(f"n_{c}"))
+    links = pairs.join(end("a"), "a").join(end("b"), "b").join(root.select(F.col("u").alias("b"), "root"), "b", "left")
+    links = links.join(root.select(F.col("u").alias("a"), F.col("root").alias("root_a")), "a", "left").withColumn("root", F.coalesce("root", "root_a", "a"))
+    first = F.col("ao") < F.col("bo")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    links = materialise(links.select("root", pick("a", "b").alias("i"), pick("ao", "bo").alias("io"), pick("n_a", "n_b").alias("n_i"), pick("b", "a").alias("j"), pick("bo", "ao").alias("jo"), pick("n_b", "n_a").alias("n_j")))
+    large = materialise(links.groupBy("root").agg(F.count("*").alias("links")).where(F.col("links") > local).select("root"))
+    some = not large.isEmpty()
+    small = links.join(large, "root", "left_anti") if some else links
+    found = small.groupBy("root").applyInArrow(_replay_local, _MERGES)
+    if some:
+        found = found.union(_replay_rounds(links.join(large, "root", "left_semi")))
+    who = lambda c: rows.select(F.col("node").alias(c), F.col("person").alias(f"{c}_person"))
+    named = found.join(rows.select(F.col("node").alias("source"), "scope", F.col("person").alias("source_person")), "source").join(who("target"), "target")
+    return named.select("scope", "step", "met", F.col("source_person").alias("source"), F.col("target_person").alias("target"))
 
 
 def final_names(merges: DataFrame) -> DataFrame:

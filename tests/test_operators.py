@@ -211,10 +211,28 @@ def test_merge_plan_and_chains(spark):
     df = spark.createDataFrame([(f"p{k}", k, n[k], [float(x) for x in c[k]]) for k in range(15)], "person string, ord long, n long, centroid array<double>")
     plan = people.merge_plan(df, 0.3).orderBy("step", "met").collect()
     assert [(r.source, r.target) for r in plan] == [(f"p{a}", f"p{b}") for a, b in slow_merges(c, n, 0.3)]
+    rounds = people.merge_plan(df, 0.3, local=0).orderBy("step", "met").collect()
+    assert rounds == plan
     chain = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y")], "source string, target string")
     assert {tuple(r) for r in people.final_names(chain).collect()} == {("a", "c"), ("b", "c"), ("x", "y")}
 
 
+@pytest.mark.parametrize(("seed", "n", "links"), [(0, 60, 90), (1, 200, 260), (2, 40, 400)])
+def test_merges_in_rounds_equal_the_replay(spark, seed, n, links):
+    r = random.Random(seed)
+    sizes = [r.randrange(1, 6) for _ in range(n)]
+    pairs = {tuple(sorted(r.sample(range(n), 2))) for _ in range(links)}
+    ids = r.sample(range(10 * n), n)  # nodes in no order
+    rows = [(ids[a], a, sizes[a], ids[b], b, sizes[b]) for a, b in pairs]
+    df = spark.createDataFrame(rows, "i long, io long, n_i long, j long, jo long, n_j long").repartition(3)
+    edges = {}
+    for a, b in pairs:
+        edges.setdefault(a, []).append(b)
+    want = [(i, j, ids[x], ids[y]) for i, j, x, y in people.replay_merges(sizes, edges)]
+    got = sorted((x.step, x.met, x.source, x.target) for x in people._replay_rounds(df).collect())
+    assert got == sorted(want)
+
+
 def test_recluster(spark):
     v = clustered(4, 40)
     df = spark.createDataFrame([(k, k, f"p{k % 6}" if k % 4 == 0 else None, x.tolist()) for k, x in enumerate(v)], "id long, ord long, person string, vector array<float>")
@@ -367,3 +385,18 @@ def test_unigram_words_joined_back_by_position(spark):
         assert own == want
     one = [sorted((x.id, tuple(x.tokens)) for x in text.unigram_tokens(df, vocabulary, 8, known=known).collect()) for known in (0, 100)]
     assert one[0] == one[1] and len(one[0]) == 40
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_components_in_one_task_and_in_rounds(spark, seed):
+    r = random.Random(seed)
+    pairs = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(k, k + 1) for k in range(500, 540)] + [(7, 7)]
+    df = spark.createDataFrame([*pairs, (None, 3)], "u long, v long").repartition(3)
+    root = {k: k for p in pairs for k in p}
+    for _ in range(60):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    want = {k: v for k, v in root.items() if k != v}
+    assert {x.u: x.root for x in rounds.components(df).collect()} == want
+    assert {x.u: x.root for x in rounds.components(df, 0).collect()} == want
+    assert rounds.components(df.limit(0)).count() == 0
