@@ -40,6 +40,8 @@ FAR = 184
 #: 128-bit fingerprints of a set; bits of 96 in which two of them may differ to be compared (a word and half of the other); a tree's greatest depth
 #: (36 trees go to every task) and the most sets that they are fitted on.
 LANES, LANE_BITS, LANE_DEPTH, LANE_SAMPLE = 6, 22, 12, 1 << 16
+#: Close pairs for each node of a group of a shard up to which the pairs themselves are candidates.
+SPARSE = 8
 #: A shard splits on in its task until so few members are left.
 SMALL = 96
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -309,7 +311,11 @@ def set_fingerprints(found: np.ndarray, lanes: int = LANES) -> np.ndarray:
 
 
 def lane_groups(nodes: DataFrame, lanes: int = LANES, max_bits: int = LANE_BITS, crowded: int = CROWDED) -> DataFrame:
-    """key, node for nodes (node, fps: an array of 2 * lanes longs): under each key, nodes that a shard's close pairs connect."""
+    """key, node for nodes (node, fps: an array of 2 * lanes longs): under each key, nodes to be compared.
+
+    A group that a shard's close pairs connect is one key where it has more than SPARSE pairs for each node; of other groups,
+    each pair is a key, so that chains of candidates do not bring all their nodes together.
+    """
     n = nodes.count()
     depth = min(LANE_DEPTH, max(0, round(np.log2(max(1, n) / SHARD)))) if n else 0
     most = min(LANE_SAMPLE, max(SAMPLE, PER_SHARD << depth))
@@ -336,19 +342,31 @@ def lane_groups(nodes: DataFrame, lanes: int = LANES, max_bits: int = LANE_BITS,
         fps = np.zeros((table_rows := len(join("reps", np.int64)), 2), np.uint64)
         fps.view(np.uint32)[:, :3] = join("fps", np.uint32).reshape(table_rows, 3)
         reps, member = join("reps", np.int64), join("members", np.uint8).astype(bool)
-        groups = Groups(len(reps))
+        groups, near = Groups(len(reps)), np.zeros(len(reps), np.int64)
         for a, b in close_pairs(fps, member, mask, radius, max_bits):
             groups.join(a, b)
-        size = np.bincount(groups.root, minlength=len(reps))
-        own = size[groups.root] > 1
+            np.add.at(near, a, 1)
+            np.add.at(near, b, 1)
+        size, pairs = np.bincount(groups.root, minlength=len(reps)), np.bincount(groups.root, near, len(reps)) / 2
+        dense = (pairs > SPARSE * size)[groups.root]
+        own = dense & (size[groups.root] > 1)
         place = np.array([tree, table.column("leaf")[0].as_py(), table.column("one")[0].as_py(), table.column("two")[0].as_py()], np.uint64)
         mixed = jaccard.mixed(reps[groups.root[own]].view(np.uint64))
         for x in (place + np.uint64(1)) * _MIX:
             mixed = jaccard.mixed(mixed + x)
+        keys, found = [mixed.view(np.int64)], [reps[own]]
+        if (~dense & (size[groups.root] > 1)).any():  # groups that hang together by few pairs send these
+            for a, b in close_pairs(fps, member, mask, radius, max_bits):
+                some = ~dense[a] & (reps[a] != reps[b])
+                low, high = np.minimum(reps[a[some]], reps[b[some]]).view(np.uint64), np.maximum(reps[a[some]], reps[b[some]]).view(np.uint64)
+                both = np.unique(np.stack([low, high], 1), axis=0)
+                key = jaccard.mixed(jaccard.mixed(both[:, 0]) + both[:, 1]).view(np.int64)  # the same in every shard
+                keys.append(np.repeat(key, 2))
+                found.append(both.ravel().view(np.int64))
         give_back()
-        return pa.table({"key": pa.array(mixed.view(np.int64)), "node": pa.array(reps[own])})
+        return pa.table({"key": pa.array(np.concatenate(keys)), "node": pa.array(np.concatenate(found))})
 
-    return nodes.select("node", "fps").mapInArrow(send, _SENT).groupBy("tree", "leaf", "one", "two").applyInArrow(group, "key bigint, node bigint")
+    return nodes.select("node", "fps").mapInArrow(send, _SENT).groupBy("tree", "leaf", "one", "two").applyInArrow(group, "key bigint, node bigint").distinct()
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

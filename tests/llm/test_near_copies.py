@@ -81,9 +81,33 @@ def test_majorities_count_bits():
 
 
 def test_links_join_a_large_group_without_all_its_pairs(spark):
-    sets = [(k, np.concatenate([np.arange(100), [1000 + k]]).astype(np.uint64).tobytes()) for k in range(300)]
+    sets = [(k, J.packed(np.concatenate([np.arange(100), [1000 + k]]).astype(np.uint64) << np.uint64(32))) for k in range(300)]
     table = spark.createDataFrame(sets, "node long, hashes binary")
     members = table.select(F.lit(1).cast("long").alias("key"), "node", F.lit(101).alias("size"))
     out = J.links(members, table)
     assert {r.v for r in out.collect()} | {r.u for r in out.collect()} == set(range(300))
     assert out.count() < 600
+
+
+def test_sets_move_whole():
+    r = np.random.default_rng(3)
+    for n in (1, 2, 50, 40_000):
+        found = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        assert J.unpacked(J.packed(found)).tolist() == np.unique(found >> np.uint64(64 - J.KEPT)).tolist()
+
+
+def test_pairs_at_exactly_80_percent_are_found(spark):
+    """Pairs of texts of n + 4 words whose last words differ: of n shingles each, 8 in 9 are shared, a similarity of 0.8."""
+    rows, want = [], 0
+    for size in (9, 18, 45, 90, 270):
+        for k in range(60):
+            words = prose(1000 * size + k, size + 4).split()
+            words = [f"{w}{j}" for j, w in enumerate(words)]
+            other = words[: -(size // 9)] + [f"other{k}x{j}" for j in range(size // 9)]
+            rows += [(len(rows) + 1, " ".join(words)), (len(rows) + 2, " ".join(other))]
+            a, b = J.shingles(" ".join(words).encode()), J.shingles(" ".join(other).encode())
+            assert 5 * len(np.intersect1d(a, b)) == 4 * len(np.union1d(a, b))
+            want += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = simhash.near_copies(docs).where("kept").count()
+    assert len(rows) - want <= kept <= len(rows) - 0.97 * want
