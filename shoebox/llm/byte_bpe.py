@@ -69,7 +69,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", b
     """doc_id, n_tokens, ids: token ids as little-endian unsigned 32-bit integers, one row for each row of docs.
 
     Null texts count as empty and have no ids. Repeated rows give repeated results, other columns are ignored, and an
-    empty table gives an empty result. Every distinct word of the corpus is encoded once, by its owner.
+    empty table gives an empty result. Every distinct word of the corpus is encoded once, by its owner. A text may have any
+    length that a Spark string has, and a word any length that its text has; both are encoded whole.
     """
 
     def encode_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:

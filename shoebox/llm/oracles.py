@@ -68,8 +68,16 @@ s AS (SELECT p.key, sum(CASE WHEN k.n IS NULL THEN 1 ELSE 0 END)::BIGINT AS n_le
 SELECT g.conv_id, g.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, g.n AS n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens, g.ends_sha256
 FROM g JOIN s ON s.key = g.key LEFT JOIN k ON k.key = g.key LEFT JOIN g u ON u.key = g.parent"""
 
+_LINKS = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT c.id AS vec_id, coalesce(n.n, 0) AS n_links, c.root AS component_id, c.id = c.root AS kept FROM c LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = c.id"""
+
 ORACLES = {
     "op11_prefix_trie": _TRIE,
+    "op12_embedding_dedup": _LINKS,
     "op4_exact_dedup": r"""
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",

@@ -187,6 +187,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "tex
 
     Sequences are numbered from 0 without gaps and filled from offset 0. A null text counts as empty and is packed as
     its end id. Repeated rows are packed each; an empty table gives an empty result; other columns are ignored.
+    A text may have any length that a Spark string has; it is cut into whole windows and a rest. Of pieces of one length
+    those of the lower block, then of the earlier row in it, get the earlier places; blocks follow from doc_id and text.
     """
     found = materialise(pieces(docs, tokenizer_path, end_id, text, window))
     own = found.groupBy("block", "length").agg(F.count("*").alias("n"))

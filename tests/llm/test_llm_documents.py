@@ -457,3 +457,45 @@ def test_brown_lm_beats_unigrams_on_patterned_text(spark):
     out = [x for x in brown_lm.score(docs).collect() if x.held_out]
     assert len(out) > 10
     assert all(x.score > x.base_score + 10 for x in out)
+
+
+def test_texts_of_megabytes_are_whole(spark):
+    """Texts of several megabytes, one of them a single word, through every operator on texts, beside a copy and short ones."""
+    import tiktoken
+
+    long = prose(5, 700_000)
+    made = [(1, long), (2, "x" * 2_000_000), (3, long), (4, long + " end"), (5, "short"), (6, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *["clash"] * 9) for i, t in made], SCHEMA).repartition(2)
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    out = {r.doc_id: r for r in byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path).collect()}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe._ranks(path), special_tokens={})
+    for i, t in made:
+        assert bytes(out[i].decoded) == (t or "").encode()
+        if i in (1, 5, 6):
+            assert bytes(out[i].ids) == np.array(enc.encode_ordinary(t or ""), "<u4").tobytes()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(docs).collect()} == {1: (1, 2), 3: (1, 2), 2: (2, 1), 4: (4, 1), 5: (5, 1), 6: (6, 1)}
+    found = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert found[1] == found[3] and found[1][1] == found[4][1] == 1 and found[2][1] == 2
+    cut = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.cut_repeats(docs).collect()}
+    assert cut[1][1] == 0 and cut[3] == (len(long), len(long), 1) and cut[4][1:] == (len(long), 1) and cut[2] == (2_000_000, 1_999_999, 1)
+    packed = [(r.doc_id, r.start, r.length, r.doc_tokens) for r in packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).collect()]
+    for i in range(1, 7):
+        own = sorted(r[1:] for r in packed if r[0] == i)
+        assert [s for s, *_ in own] == [sum(n for _, n, _ in own[:k]) for k in range(len(own))] and sum(n for _, n, _ in own) == own[0][2]
+    scored = {r.doc_id: (r.n_tokens, r.n_known <= r.n_tokens) for r in brown_lm.score(docs).collect()}
+    assert scored == {1: (700_001, True), 3: (700_001, True), 4: (700_002, True), 2: (2, True), 5: (2, True), 6: (1, True)}
+
+
+def test_a_text_in_half_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT", 20)
+    made = [(k, "a notice that stands  everywhere" if k % 2 else f"text {k // 4}") for k in range(200)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *["clash"] * 9) for i, t in made], SCHEMA).repartition(4)
+    got_ = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert got_ == {k: (1, 100, k == 1) if k % 2 else (k - k % 4, 2, k % 4 == 0) for k in range(200)}
+
+
+def test_rules_move_no_document(spark, docs):
+    plan = quality_rules.apply_rules(docs)
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "BuildRight" in text
