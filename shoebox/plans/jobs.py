@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import jobs
 from ..operators.rounds import shared_folder
-from ..streaming import streams
+from ..streaming import retries, streams
 from .base import Plans, table
 
 PLANS = Plans()
@@ -122,3 +122,22 @@ def changed_stream(spark, sf_dir):
     out = streams.changed_values(_stream(spark, sf_dir).select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
     path = _folder(spark, "changed")
     return _finished(spark, streams.run_once(out, path, f"{path}-state"), path, out.schema).select("event_id", "event_type")
+
+
+@PLANS.add("""
+    WITH o AS (SELECT user_id AS job, event_id AS outcome, ts AS "at", event_type <> 'signup' AS failed, row_number() OVER w AS k, lead(ts) OVER w AS next FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    p AS (SELECT o.* FROM o LEFT JOIN (SELECT job, min(k) AS first FROM o WHERE NOT failed GROUP BY job) d ON d.job = o.job WHERE o.k <= 3 AND (d.first IS NULL OR o.k <= d.first))
+    SELECT job, outcome, (k - 1)::INT AS attempts, 'done' AS status, "at" FROM p WHERE NOT failed
+    UNION ALL SELECT job, outcome, 3, 'failed', "at" FROM p WHERE failed AND k = 3
+    UNION ALL SELECT job, outcome, k::INT, 'again', "at" + to_seconds(30 * (1 << k::INT)) FROM p WHERE failed AND k < 3
+        AND ("at" + to_seconds(30 * (1 << k::INT)) <= next OR next IS NULL AND "at" + to_seconds(30 * (1 << k::INT)) < (SELECT max(ts) FROM events))""")
+def retry_stream(spark, sf_dir):
+    """Events as outcomes of their users' jobs, in four micro-batches by time; timers bring the failed ones back."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", streams.ROCKSDB)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("outcome"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "signup").alias("failed"))
+    path = _folder(spark, "retries")
+    for part in range(4):
+        e.where(F.least(F.floor((F.dayofmonth("at") - 1) / 8), F.lit(3)) == part).write.mode("append").parquet(f"{path}-in")
+        out = retries.retries(spark.readStream.schema(e.schema).parquet(f"{path}-in"))
+        streams.run_once(out, path, f"{path}-state").awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
