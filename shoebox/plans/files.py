@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import library, similarity
 from ..operators.rounds import shared_folder
-from ..sources import exif, readers
+from ..sources import exif, heads, readers
 from .base import Plans, table
 
 PLANS = Plans()
@@ -138,11 +139,40 @@ def camera_metadata(spark, sf_dir):
     return found.select("id", "camera_make", "iso", "aperture", F.date_format("taken_at", "yyyy-MM-dd HH:mm:ss").alias("taken"), "latitude", "longitude")
 
 
-@PLANS.add("SELECT vec_id AS id, vec_id % 4 <> 3 AS hashed, CASE WHEN vec_id % 4 = 3 THEN 'undecodable' END AS error FROM embeddings")
+#: How much the pixels of row (or column) p of an 8 x 8 picture, drawn out to 64 x 64, weigh in frequency f: number 8 f + p.
+_WEIGHTS = [sum(math.cos(math.pi * (2 * n + 1) * f / 128) for n in range(64) if round(n / 9) == p) for f in range(8) for p in range(8)]
+
+
+@PLANS.add(f"""
+    WITH b AS (SELECT unnest({_WEIGHTS!r}::DOUBLE[]) AS w, unnest(range(64)) AS i),
+    px AS (SELECT vec_id, k, least(greatest(round((x::FLOAT * 100::FLOAT + 128::FLOAT)::DOUBLE), 0), 255) AS v FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM embeddings WHERE vec_id % 4 <> 3)),
+    r AS (SELECT vec_id, b.i // 8 AS f, k % 8 AS q, sum(w * v) AS s FROM px JOIN b ON b.i % 8 = k // 8 GROUP BY ALL),
+    c AS (SELECT vec_id, f, b.i // 8 AS g, sum(s * w) AS c FROM r JOIN b ON b.i % 8 = q GROUP BY ALL),
+    h AS (SELECT vec_id, 8 * (f % 4) + g AS k, f // 4 AS half, c > median(c) OVER (PARTITION BY vec_id) AS bit FROM c),
+    n AS (SELECT vec_id, sum(CASE WHEN bit AND half = 0 THEN 1::BIGINT << (31 - k)::INT ELSE 0 END)::BIGINT AS hi, sum(CASE WHEN bit AND half = 1 THEN 1::BIGINT << (31 - k)::INT ELSE 0 END)::BIGINT AS lo FROM h GROUP BY vec_id)
+    SELECT e.vec_id AS id, 'p:' || printf('%08x', hi) || printf('%08x', lo) AS perceptual_hash, CASE WHEN e.vec_id % 4 = 3 THEN 'undecodable' END AS error FROM embeddings e LEFT JOIN n ON n.vec_id = e.vec_id""")
 def pixel_hashes(spark, sf_dir):
-    """Vectors as grey images of 8 x 8 pixels; every fourth has no pixels. Hashes of equal pictures are equal (see the tests)."""
+    """Vectors as grey images of 8 x 8 pixels; every fourth has no pixels."""
     e = table(spark, sf_dir, "embeddings")
     pixel = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.greatest(F.round(x * 100 + 128), F.lit(0)), F.lit(255)).cast("long")), 2, "0"))
     data = F.when(F.col("vec_id") % 4 != 3, F.unhex(F.array_join(pixel, "")))
     image = F.struct(F.col("vec_id").cast("string").alias("origin"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels"), data.alias("data"))
-    return similarity.hash_images(e.select(image.alias("image"))).select(F.col("path").cast("long").alias("id"), F.col("perceptual_hash").rlike("^p:[0-9a-f]{16}$").alias("hashed"), "error").withColumn("hashed", F.coalesce("hashed", F.lit(False)))
+    return similarity.hash_images(e.select(image.alias("image"))).select(F.col("path").cast("long").alias("id"), "perceptual_hash", "error")
+
+
+@PLANS.add("""
+    SELECT c_custkey AS id, CASE WHEN c_custkey % 9 <> 0 THEN c_mktsegment END AS camera_make, CASE WHEN c_custkey % 9 <> 0 THEN (c_nationkey * 100 + 100) % 6400 END AS iso,
+        CASE WHEN c_custkey % 9 <> 0 THEN '2024-05-06 07:08:09' END AS taken, CASE WHEN c_custkey % 9 <> 0 THEN ((c_custkey % 700 + 1) / 8.0 * CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE 1 END)::DOUBLE END AS latitude,
+        (CASE WHEN c_custkey % 9 <> 0 THEN 260 ELSE 4 END + CASE WHEN c_custkey % 100 = 0 THEN 200000 ELSE 0 END)::BIGINT AS bytes FROM customer""")
+def camera_files(spark, sf_dir):
+    """Customers as JPEG files in folders by nation, some of them large; their metadata from the first bytes of each file."""
+    c = table(spark, sf_dir, "customer")
+    jpeg = _jpeg(F.col("c_mktsegment"), (F.col("c_nationkey") * 100 + 100) % 6400, F.lit("2024:05:06 07:08:09"), F.col("c_custkey") % 700 + 1, F.col("c_custkey") % 2 == 0)
+    bytes_ = F.when(F.col("c_custkey") % 9 != 0, jpeg).otherwise(F.unhex(F.lit("FFD8FFD9")))
+    rest = F.when(F.col("c_custkey") % 100 == 0, F.unhex(F.repeat(F.lit("00"), 200_000))).otherwise(F.unhex(F.lit("")))
+    name = F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".jpg"))
+    path = _folder(spark, "camera")
+    heads.write_files(c.select(name.alias("file"), F.concat(bytes_, rest).alias("content")), path)
+    found = exif.extract_exif(heads.read_heads(spark, path), "head")
+    number = F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("long")
+    return found.select(number.alias("id"), "camera_make", "iso", F.date_format("taken_at", "yyyy-MM-dd HH:mm:ss").alias("taken"), "latitude", F.col("length").alias("bytes"))
