@@ -43,7 +43,7 @@ def leaders(rows, t):
     return led
 
 
-@pytest.mark.parametrize(("seed", "shared", "t", "crowd", "group"), [(1, 0, 5, 256, 2048), (2, 48, 5, 3, 5), (3, 54, 2, 4, 3), (4, 40, 5, 1, 2)])
+@pytest.mark.parametrize(("seed", "shared", "t", "crowd", "group"), [(1, 0, 5, 256, 2048), (2, 48, 5, 3, 5), (3, 54, 2, 4, 3)])
 def test_pairs_come_out_once(spark, seed, shared, t, crowd, group):
     rows = made(seed, 120, shared, groups=15)
     got = S.hash_pairs(spark.createDataFrame(rows, SCHEMA).repartition(3), t, crowd=crowd, group=group).collect()
@@ -51,7 +51,7 @@ def test_pairs_come_out_once(spark, seed, shared, t, crowd, group):
     assert {(r.a, r.b): r.distance for r in got} == near(rows, t)
 
 
-@pytest.mark.parametrize(("seed", "shared", "t", "most", "local", "crowd"), [(1, 0, 5, 4, 1 << 20, 256), (2, 50, 5, 2, 1 << 20, 4), (3, 52, 3, 1, 0, 1000), (4, 54, 4, 3, 0, 3), (5, 57, 5, 1, 1 << 20, 5)])
+@pytest.mark.parametrize(("seed", "shared", "t", "most", "local", "crowd"), [(2, 50, 5, 2, 1 << 20, 4), (3, 52, 3, 1, 0, 1000), (5, 57, 5, 1, 1 << 20, 5)])
 def test_leaders_match_a_scan(spark, seed, shared, t, most, local, crowd):
     rows = made(seed, 150, shared, groups=10)
     got = {r.node: r.leader for r in S.hash_leaders(spark.createDataFrame(rows, SCHEMA).repartition(3), t, most=most, local=local, crowd=crowd, group=20).collect()}
