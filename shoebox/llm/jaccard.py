@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import in_parts, materialise
+from .common import in_parts, materialise, sieve
 from .components import components
 
 SHINGLE, SEED = 5, 42
@@ -96,9 +96,12 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _similar_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """u, v of the pairs (p, q) whose sets are similar. The set of p moves once for each PARTNERS of its pairs, not for every one."""
     pairs = materialise(pairs)
-    many = pairs.groupBy("p").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("parts"))
-    own = sets.withColumnRenamed("node", "p").join(many, "p").select("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("q"), "hashes")
-    others = pairs.join(many, "p").select("p", F.pmod(F.xxhash64("q"), "parts").alias("part"), "q").join(sets.withColumnRenamed("node", "q"), "q").select("p", "part", "q", "hashes")
+    many = materialise(pairs.groupBy("p").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).alias("parts")))
+    # Sets of no pair stay where they are.
+    _, first = sieve(sets.withColumnRenamed("node", "p"), many, "p")
+    _, second = sieve(sets.withColumnRenamed("node", "q"), materialise(pairs.select("q").distinct()), "q")
+    own = first.join(many, "p").select("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("q"), "hashes")
+    others = pairs.join(many, "p").select("p", F.pmod(F.xxhash64("q"), "parts").alias("part"), "q").join(second, "q").select("p", "part", "q", "hashes")
     met = own.union(others).repartition("p", "part").sortWithinPartitions("p", "part", F.asc_nulls_first("q"))
     return met.mapInArrow(_confirm, "u bigint, v bigint")
 

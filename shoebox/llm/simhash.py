@@ -400,7 +400,8 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     members = materialise(lane_groups(nodes.select("node", "fps")).join(nodes.select("node", "size"), "node").select("key", "node", "size"))
     wanted = materialise(nodes.join(members.select("node").distinct(), "node").select("node", "sha256"))
     _, some = sieve(body.select("sha256", "text"), wanted, "sha256")
-    sets = materialise(some.join(wanted, "sha256").select("node", "text").mapInArrow(jaccard.sets, "node bigint, hashes binary").dropDuplicates(["node"]))
+    texts = some.join(wanted, "sha256").dropDuplicates(["sha256"])  # as the join deals them: texts move once, sets do not
+    sets = materialise(texts.select("node", "text").mapInArrow(jaccard.sets, "node bigint, hashes binary"))
     found = jaccard.links(members, sets, nodes.join(wanted.select("node"), "node", "left_semi").select("node", "fps"), FAR)
     rows = own.select("doc_id", "sha256", "text_hash", "node")
     if found is not None:
