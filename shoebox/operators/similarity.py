@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .rounds import components, materialise, until_stable
+from .rounds import apart, components, materialise, until_stable
 
 #: Edges of a component that one task scans; it holds them as pairs of numbers.
 LOCAL_EDGES = 1 << 20
@@ -112,7 +112,7 @@ def _pairs(rows: DataFrame, keys: Keys, most: int | None = None, crowd: int = CR
     some = not crowded.isEmpty()
     plain = sent.join(crowded.select(*key), key, "left_anti") if some else sent
     right = plain.where("open").select(*key, F.col("ord").alias("b"), F.col("hi").alias("hi2"), F.col("lo").alias("lo2"))
-    met = plain.where("may").join(right, key).where(F.col("ord") < F.col("b"))
+    met = plain.where("may").join(apart(right), key).where(F.col("ord") < F.col("b"))
     d = S.hamming((F.col("hi"), F.col("lo")), (F.col("hi2"), F.col("lo2"))).alias("distance")
     met = met.where(d <= keys.t).where(keys.first_column(F.col("hi").bitwiseXOR(F.col("hi2")), F.col("lo").bitwiseXOR(F.col("lo2"))))
     found = met.select(F.col("ord").alias("a"), "b", d.cast("int").alias("distance"))
@@ -163,13 +163,13 @@ def hash_leaders(nodes: DataFrame, t: int, agree: int = 2, most: int = LISTED, l
         lowest = F.row_number().over(W.partitionBy("b").orderBy("a"))
         lists = found.select("a", "b").withColumn("place", lowest).where(F.col("place") <= most)
         leads = state.where("leader = ord").select(F.col("ord").alias("a"), F.lit(True).alias("leads"))
-        lists = materialise(lists.join(leads, "a", "left").select("b", "a", F.coalesce("leads", F.lit(False)).alias("leads")))
+        lists = materialise(lists.join(apart(leads), "a", "left").select("b", "a", F.coalesce("leads", F.lit(False)).alias("leads")))
         n = lists.count()
         settled = (_by_list if n <= local else _by_rounds_of_lists)(lists, most) if n else None
-        free = state.where("leader IS NULL").select("ord").join(lists.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti") if n else state.where("leader IS NULL").select("ord")
+        free = state.where("leader IS NULL").select("ord").join(apart(lists.select(F.col("b").alias("ord")).distinct()), "ord", "left_anti") if n else state.where("leader IS NULL").select("ord")
         new = free.select(F.col("ord").alias("node"), F.col("ord").alias("new"))
         new = new.union(settled) if n else new
-        state = materialise(state.join(new, state["ord"] == new["node"], "left").select("scope", "ord", "hi", "lo", F.coalesce("leader", "new").alias("leader")))
+        state = materialise(state.join(apart(new), state["ord"] == new["node"], "left").select("scope", "ord", "hi", "lo", F.coalesce("leader", "new").alias("leader")))
         if state.where("leader IS NULL").isEmpty():
             return state.select(F.col("ord").alias("node"), "leader")
 
@@ -189,14 +189,14 @@ def _by_rounds_of_lists(lists: DataFrame, most: int) -> DataFrame:
     """All nodes look at their lists at once, until nothing changes."""
     own = lists.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"))
     other = lists.select(F.col("a").alias("node"), "leads").groupBy("node").agg(F.max("leads").alias("leads"))
-    state = own.join(other, "node", "full").select("node", F.when(F.col("n").isNull(), F.col("node")).when(F.col("leads"), F.col("node")).alias("leader"), "n")
+    state = own.join(apart(other), "node", "full").select("node", F.when(F.col("n").isNull(), F.col("node")).when(F.col("leads"), F.col("node")).alias("leader"), "n")
     # a node without a list leads, or has led before
     state = materialise(state)
     while True:
-        at = lists.join(state.select(F.col("node").alias("a"), F.col("leader").alias("at")), "a")
+        at = lists.join(apart(state.select(F.col("node").alias("a"), F.col("leader").alias("at"))), "a")
         look = at.where("at IS NULL OR at = a").groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "at")).alias("low"))
         new = F.when(F.col("leader").isNotNull(), F.col("leader")).when(F.col("low").isNotNull(), F.col("low.at")).when(F.col("n") < most, F.col("node"))
-        after = materialise(state.join(look, "node", "left").select("node", new.alias("leader"), "n", F.col("leader").isNull().alias("was_open")))
+        after = materialise(state.join(apart(look), "node", "left").select("node", new.alias("leader"), "n", F.col("leader").isNull().alias("was_open")))
         if after.where("was_open AND leader IS NOT NULL").isEmpty():
             return after.where("n IS NOT NULL AND leader IS NOT NULL").select("node", F.col("leader").alias("new"))
         state = after.drop("was_open")
@@ -225,7 +225,7 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDGES)
     """
     edges = materialise(edges.select("a", "b"))
     root = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    edges = materialise(edges.join(root.select(F.col("u").alias("b"), "root"), "b").select("root", "a", "b"))  # b is never its component's least
+    edges = materialise(edges.join(apart(root.select(F.col("u").alias("b"), "root")), "b").select("root", "a", "b"))  # b is never its component's least
     sizes = edges.groupBy("root").agg(F.count("*").alias("n"))
     large = materialise(sizes.where(F.col("n") > local).select("root"))
     some_large = not large.isEmpty()
@@ -233,24 +233,24 @@ def greedy_leaders(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_EDGES)
     led = small.groupBy("root").applyInPandas(_scan, "node long, leader long")
     if some_large:
         led = led.union(_by_rounds(edges.join(large, "root", "left_semi").select("a", "b")))
-    return nodes.select("node").join(led, "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
+    return nodes.select("node").join(apart(led), "node", "left").select("node", F.coalesce("leader", "node").alias("leader"))
 
 
 def _by_rounds(edges: DataFrame) -> DataFrame:
     edges = materialise(edges)
     touched = edges.select(F.col("b").alias("node")).distinct()
-    start = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(touched.withColumn("t", F.lit(1)), "node", "left")
+    start = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(apart(touched.withColumn("t", F.lit(1))), "node", "left")
     start = materialise(start.select("node", F.when(F.col("t").isNull(), F.lit("leader")).otherwise(F.lit("open")).alias("state")))
 
     def step(s: DataFrame) -> DataFrame:
-        lower = edges.join(s.select(F.col("node").alias("a"), F.col("state").alias("of")), "a").groupBy("b").agg(F.max((F.col("of") == "leader").cast("int")).alias("led"), F.min((F.col("of") == "member").cast("int")).alias("all_members"))
+        lower = edges.join(apart(s.select(F.col("node").alias("a"), F.col("state").alias("of"))), "a").groupBy("b").agg(F.max((F.col("of") == "leader").cast("int")).alias("led"), F.min((F.col("of") == "member").cast("int")).alias("all_members"))
         new = F.when(F.col("state") != "open", F.col("state")).when(F.col("led") == 1, "member").when(F.col("all_members") == 1, "leader").otherwise("open")
-        return s.join(lower.withColumnRenamed("b", "node"), "node", "left").select("node", new.alias("state"))
+        return s.join(apart(lower.withColumnRenamed("b", "node")), "node", "left").select("node", new.alias("state"))
 
     state = until_stable(start, step, lambda s: s.where("state = 'open'").limit(1).count())
     leaders = state.where("state = 'leader'").select(F.col("node").alias("a"))
-    first = edges.join(leaders, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
-    return state.join(first, "node", "left").select("node", F.when(F.col("state") == "leader", F.col("node")).otherwise(F.col("leader")).alias("leader"))
+    first = edges.join(apart(leaders), "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("leader"))
+    return state.join(apart(first), "node", "left").select("node", F.when(F.col("state") == "leader", F.col("node")).otherwise(F.col("leader")).alias("leader"))
 
 
 def duplicate_groups(media: DataFrame, t: int = 5, id: str = "id", hash: str = "perceptual_hash", order: str = "ord", scope: str | None = "org", exclude_trashed: bool = False) -> DataFrame:
@@ -265,13 +265,13 @@ def duplicate_groups(media: DataFrame, t: int = 5, id: str = "id", hash: str = "
     rows = materialise(rows.where("hi IS NOT NULL"))
     nodes = materialise(rows.groupBy("scope", "hi", "lo").agg(F.min("ord").alias("ord")))
     led = hash_leaders(nodes, t)
-    nodes = nodes.join(led, nodes["ord"] == led["node"]).select("scope", "hi", "lo", "leader")
-    members = rows.join(nodes, ["scope", "hi", "lo"])
+    nodes = nodes.join(apart(led), nodes["ord"] == led["node"]).select("scope", "hi", "lo", "leader")
+    members = rows.join(apart(nodes), ["scope", "hi", "lo"])
     sizes = members.groupBy("leader").agg(F.count("*").alias("group_size"), F.max_by(F.struct("hi", "lo"), "ord").alias("last")).where("group_size > 1")
     first = rows.select(F.col("ord").alias("leader"), F.col("id").alias("leader_id"), F.struct("hi", "lo").alias("first"))
-    sizes = sizes.join(first, "leader")
+    sizes = sizes.join(apart(first), "leader")
     distance = S.hamming((F.col("first.hi"), F.col("first.lo")), (F.col("last.hi"), F.col("last.lo")))
-    return members.join(sizes.select("leader", "leader_id", "group_size", distance.alias("distance")), "leader").select("id", "leader_id", (F.col("ord") == F.col("leader")).alias("leads"), "group_size", "distance")
+    return members.join(apart(sizes.select("leader", "leader_id", "group_size", distance.alias("distance"))), "leader").select("id", "leader_id", (F.col("ord") == F.col("leader")).alias("leads"), "group_size", "distance")
 
 
 def without_duplicates(media: DataFrame, groups: DataFrame, id: str = "id") -> DataFrame:

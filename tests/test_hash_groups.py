@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from shoebox.operators import similarity as S
 
@@ -79,3 +80,13 @@ def test_many_hashes_that_agree_in_most_bits(spark):
     first = sorted(k for k in led if led[k] == k)
     for k in some:
         assert led[k] == next(h for h in first if (words[h] ^ words[k]).bit_count() <= 5)
+
+
+def test_sides_as_long_as_the_table_are_not_broadcast(spark):
+    """Estimates after explode() and checkpoint() are far too small; a broadcast of 25 million keys ended the driver."""
+    rows = spark.range(50).select(F.lit("").alias("scope"), F.col("id").alias("ord"), F.xxhash64("id").bitwiseAND(0xFFFFFFFF).alias("hi"), F.col("id").alias("lo"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(S.hash_pairs(rows, 5))
+    media = spark.range(50).select("id", F.col("id").alias("ord"), F.format_string("p:%016x", F.expr("id div 2")).alias("perceptual_hash"))
+    groups = S.duplicate_groups(media, 5, scope=None)
+    assert "Broadcast" not in plan(groups)
