@@ -276,7 +276,7 @@ def duplicate_groups(media: DataFrame, t: int = 5, id: str = "id", hash: str = "
 
 def without_duplicates(media: DataFrame, groups: DataFrame, id: str = "id") -> DataFrame:
     """media without the members of duplicate_groups() that do not lead."""
-    return media.join(groups.where(~F.col("leads")).select(F.col("id").alias(id)), id, "left_anti")
+    return media.join(apart(groups.where(~F.col("leads")).select(F.col("id").alias(id))), id, "left_anti")
 
 
 def dct_hash(grey: np.ndarray) -> int:

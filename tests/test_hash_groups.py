@@ -90,3 +90,4 @@ def test_sides_as_long_as_the_table_are_not_broadcast(spark):
     media = spark.range(50).select("id", F.col("id").alias("ord"), F.format_string("p:%016x", F.expr("id div 2")).alias("perceptual_hash"))
     groups = S.duplicate_groups(media, 5, scope=None)
     assert "Broadcast" not in plan(groups)
+    assert "Broadcast" not in plan(S.without_duplicates(media, groups))
