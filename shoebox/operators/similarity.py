@@ -279,14 +279,18 @@ def without_duplicates(media: DataFrame, groups: DataFrame, id: str = "id") -> D
     return media.join(apart(groups.where(~F.col("leads")).select(F.col("id").alias(id))), id, "left_anti")
 
 
+#: Cosines of a pixel hash are whole numbers of 2^-15: sums are exact, so that ties do not hang on how an engine rounds.
+COSINE = 1 << 15
+
+
 def dct_hash(grey: np.ndarray) -> int:
-    """64-bit hash of a grey image: sign of its 8 x 8 lowest frequencies against their median."""
+    """64-bit hash of a grey image of whole numbers below 2^18: its 8 x 8 lowest frequencies above their median."""
     y = np.linspace(0, grey.shape[0] - 1, 64).round().astype(int)
     x = np.linspace(0, grey.shape[1] - 1, 64).round().astype(int)
     n = np.arange(64)
-    basis = np.cos(np.pi * (2 * n[None, :] + 1) * n[:8, None] / 128)
-    low = basis @ grey[np.ix_(y, x)] @ basis.T
-    return int("".join("1" if v else "0" for v in (low > np.median(low)).ravel()), 2)
+    basis = np.round(COSINE * np.cos(np.pi * (2 * n[None, :] + 1) * n[:8, None] / 128)).astype(np.int64)
+    low = (basis @ grey.astype(np.int64)[np.ix_(y, x)] @ basis.T).ravel()
+    return int("".join("1" if v else "0" for v in 2 * low > np.sort(low)[31:33].sum()), 2)
 
 
 def hash_images(images: DataFrame) -> DataFrame:
@@ -299,8 +303,8 @@ def hash_images(images: DataFrame) -> DataFrame:
                 if h is None or h <= 0 or not data:
                     out.append((path, None, "undecodable"))
                     continue
-                pixels = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(float)
-                grey = pixels[:, :, 0] if c == 1 else pixels[:, :, :3] @ np.array([0.114, 0.587, 0.299])
+                pixels = np.frombuffer(data, np.uint8).reshape(h, w, c).astype(np.int64)
+                grey = pixels[:, :, 0] if c == 1 else pixels[:, :, :3] @ np.array([114, 587, 299])  # thousandths
                 out.append((path, f"p:{dct_hash(grey):016x}", None))
             yield pd.DataFrame(out, columns=["path", "perceptual_hash", "error"])
 

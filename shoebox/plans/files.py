@@ -140,14 +140,14 @@ def camera_metadata(spark, sf_dir):
 
 
 #: How much the pixels of row (or column) p of an 8 x 8 picture, drawn out to 64 x 64, weigh in frequency f: number 8 f + p.
-_WEIGHTS = [sum(math.cos(math.pi * (2 * n + 1) * f / 128) for n in range(64) if round(n / 9) == p) for f in range(8) for p in range(8)]
+_WEIGHTS = [sum(round(similarity.COSINE * math.cos(math.pi * (2 * n + 1) * f / 128)) for n in range(64) if round(n / 9) == p) for f in range(8) for p in range(8)]
 
 
 @PLANS.add(f"""
-    WITH b AS (SELECT unnest({_WEIGHTS!r}::DOUBLE[]) AS w, unnest(range(64)) AS i),
-    px AS (SELECT vec_id, k, least(greatest(round((x::FLOAT * 100::FLOAT + 128::FLOAT)::DOUBLE), 0), 255) AS v FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM embeddings WHERE vec_id % 4 <> 3)),
-    r AS (SELECT vec_id, b.i // 8 AS f, k % 8 AS q, sum(w * v) AS s FROM px JOIN b ON b.i % 8 = k // 8 GROUP BY ALL),
-    c AS (SELECT vec_id, f, b.i // 8 AS g, sum(s * w) AS c FROM r JOIN b ON b.i % 8 = q GROUP BY ALL),
+    WITH b AS (SELECT unnest({_WEIGHTS!r}::BIGINT[]) AS w, unnest(range(64)) AS i),
+    px AS (SELECT vec_id, k, least(greatest(round(x::DOUBLE * 100 + 128), 0), 255)::BIGINT AS v FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS k FROM embeddings WHERE vec_id % 4 <> 3)),
+    r AS (SELECT vec_id, b.i // 8 AS f, k % 8 AS q, sum(w * v)::BIGINT AS s FROM px JOIN b ON b.i % 8 = k // 8 GROUP BY ALL),
+    c AS (SELECT vec_id, f, b.i // 8 AS g, sum(s * w)::BIGINT::DOUBLE AS c FROM r JOIN b ON b.i % 8 = q GROUP BY ALL),
     h AS (SELECT vec_id, 8 * (f % 4) + g AS k, f // 4 AS half, c > median(c) OVER (PARTITION BY vec_id) AS bit FROM c),
     n AS (SELECT vec_id, sum(CASE WHEN bit AND half = 0 THEN 1::BIGINT << (31 - k)::INT ELSE 0 END)::BIGINT AS hi, sum(CASE WHEN bit AND half = 1 THEN 1::BIGINT << (31 - k)::INT ELSE 0 END)::BIGINT AS lo FROM h GROUP BY vec_id)
     SELECT e.vec_id AS id, 'p:' || printf('%08x', hi) || printf('%08x', lo) AS perceptual_hash, CASE WHEN e.vec_id % 4 = 3 THEN 'undecodable' END AS error FROM embeddings e LEFT JOIN n ON n.vec_id = e.vec_id""")

@@ -300,3 +300,20 @@ def test_neighbours_across_tasks(spark):
     want = df.select("org", "id", F.lag("id").over(w).alias("previous"), F.lead("id").over(w).alias("next"))
     assert sorted(library.neighbours(df, "org").collect(), key=repr) == sorted(want.collect(), key=repr)
     assert library.neighbours(df.limit(0), "org").count() == 0
+
+
+def test_pixels_are_rounded_in_double_precision_and_ties_of_frequencies_are_exact(spark, tmp_path):
+    """100 x + 128 is 140.499997 for one entry (140.5 in single precision); even images have 63 frequencies of exactly 0."""
+    import duckdb
+
+    from shoebox.plans import files
+
+    r = np.random.default_rng(4)
+    v = [np.where(np.arange(64) == k, 0.12499997019767761, 0.3 * r.normal(size=64)) for k in range(64)] + [np.full(64, 0.3), np.tile([0.1, -0.2], 32)]
+    rows = [(4 * k, x.astype(np.float32).tolist()) for k, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(db.execute(files.PLANS.oracles["pixel_hashes"]).fetchall())
+    assert sorted(tuple(x) for x in files.pixel_hashes(spark, str(tmp_path)).collect()) == want
+    assert similarity.dct_hash(np.full((8, 8), 158)) == 1 << 63
