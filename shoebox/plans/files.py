@@ -84,7 +84,7 @@ def media_content(spark, sf_dir):
     table(spark, sf_dir, "documents").select(F.hex(F.coalesce("text", F.lit("")).cast("binary")).alias("value")).write.text(path)
     lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), (F.octet_length("value") + 1).cast("long").alias("n"))
     rows = lines.groupBy("file").agg(F.sum("n").alias("n")).union(spark.range(1).select(F.lit("no such file"), F.col("id")))
-    found = readers.with_content(rows, spark, path, pattern="*.txt").withColumn("own", F.octet_length("content"))
+    found = readers.with_parts(rows, spark, path, pattern="*.txt").groupBy("file", "n").agg(F.sum(F.octet_length("content")).alias("own"))
     return found.agg(F.sum("own").cast("long").alias("n_bytes"), F.count_if(F.col("own") != F.col("n")).alias("wrong"), F.count_if(F.col("own").isNull()).alias("missing"))
 
 

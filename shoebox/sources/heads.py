@@ -33,12 +33,12 @@ def open_store(path: str) -> tuple[pfs.FileSystem, str]:
     return pfs.FileSystem.from_uri(f"file://{rest if rest.startswith('/') and not rest.startswith('//') else rest[2:]}" if scheme == "file" else path)
 
 
-def read_head(path: str, n: int) -> bytes | None:
-    """The first n bytes of a file; None where there is no such file."""
+def read_bytes(path: str, n: int, start: int = 0) -> bytes | None:
+    """At most n bytes of a file from start on; None where there is no such file."""
     store, at = open_store(path)
     try:
         with store.open_input_file(at) as f:
-            return f.read_at(min(n, f.size()), 0)
+            return f.read_at(max(0, min(n, f.size() - start)), start)
     except FileNotFoundError:
         return None
 
@@ -64,7 +64,7 @@ class HeadsReader(DataSourceReader):
     def read(self, partition: Paths) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(partition.files), 64):
             part = partition.files[k : k + 64]
-            heads = [read_head(p, self.n) for p, _ in part]
+            heads = [read_bytes(p, self.n) for p, _ in part]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.string()), pa.array([n for _, n in part], pa.int64()), pa.array(heads, pa.binary())], _NAMES)
 
 
@@ -113,7 +113,7 @@ def with_heads(rows: DataFrame, spark: SparkSession, folder: str, file: str = "f
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
-                heads = [read_head(f"{root}/{x}", n) if x else None for x in part.column(at).to_pylist()]
+                heads = [read_bytes(f"{root}/{x}", n) if x else None for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(heads, pa.binary())], [*part.schema.names, "head"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

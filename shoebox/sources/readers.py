@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import schema_of, unset_to_null
+from . import heads
 
+#: Bytes of a file that are read at a time, and how many such parts a task reads.
+PART, TASK_PARTS = 1 << 20, 64
 PROBE = "struct<streams:array<struct<codec_type:string,codec_name:string,width:long,height:long>>,format:struct<duration:string>>"
 
 
@@ -60,12 +66,40 @@ def read_vocabulary(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
 
 
 def with_content(rows: DataFrame, spark: SparkSession, folder: str, file: str = "file", pattern: str = "*") -> DataFrame:
-    """rows with the bytes of their file in folder (null where it is missing)."""
+    """rows with the bytes of their file in folder (null where it is missing), each in one piece; with_parts() takes files of any length."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias(file), "content")
     return rows.join(files, file, "left")
 
 
+def with_parts(rows: DataFrame, spark: SparkSession, folder: str, file: str = "file", pattern: str = "*", part: int = PART) -> DataFrame:
+    """rows with the bytes of their file in folder, at most `part` at a time: at (where they begin), content; both null where it is missing.
+
+    Only names and lengths are joined; then each part, whatever the length of its file, is read where its row lies, so no
+    bytes move and a task holds one part. A folder that Arrow cannot open is read by Spark, where a whole file is a row at first.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
+    name = F.element_at(F.split("path", "/"), -1).alias(file)
+    places = F.explode_outer(F.when(F.col("length").isNotNull(), F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("length") / part)).cast("long") - 1), lambda k: k * part)))
+    if not heads._seen_by_arrow(folder):
+        found = files.select(name, "content", places.alias("at")).select(file, "at", F.substring("content", (F.col("at") + 1).cast("int"), F.lit(part)).alias("content"))
+        return rows.join(found, file, "left")
+    found = rows.join(files.select(name, F.col("path").alias("_path"), "length"), file, "left").select(*rows.columns, "_path", places.alias("at"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(files.agg(F.sum("length")).first()[0] or 0) // (part * TASK_PARTS)))
+    found = found.repartition(tasks, file, "at")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (path, at) in enumerate(zip(batch.column("_path").to_pylist(), batch.column("at").to_pylist(), strict=True)):
+                content = heads.read_bytes(path, part, at) if path is not None else None
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in rows_columns), one.column("at"), pa.array([content], pa.binary())], [*rows_columns, "at", "content"])
+
+    rows_columns = rows.columns
+    return found.mapInArrow(run, f"{schema}, at long, content binary")
+
+
 def read_images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", False).load(folder)
 

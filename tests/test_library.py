@@ -317,3 +317,16 @@ def test_pixels_are_rounded_in_double_precision_and_ties_of_frequencies_are_exac
     want = sorted(db.execute(files.PLANS.oracles["pixel_hashes"]).fetchall())
     assert sorted(tuple(x) for x in files.pixel_hashes(spark, str(tmp_path)).collect()) == want
     assert similarity.dct_hash(np.full((8, 8), 158)) == 1 << 63
+
+
+def test_files_of_any_length_come_in_parts(spark, tmp_path):
+    long = bytes(range(256)) * 5000
+    for name, data in (("a.bin", long), ("b.bin", b""), ("c.bin", long[:8192]), ("d.bin", b"x")):
+        (tmp_path / name).write_bytes(data)
+    rows = spark.createDataFrame([(f"{x}.bin", x) for x in "abcz"], "file string, tag string")
+    got = sorted(readers.with_parts(rows, spark, str(tmp_path), part=4096).collect(), key=lambda r: (r.file, r.at or 0))
+    assert max(len(r.content or b"") for r in got) == 4096
+    whole = {x: b"".join(r.content for r in got if r.file == f"{x}.bin" and r.content is not None) for x in "abc"}
+    assert whole == {"a": long, "b": b"", "c": long[:8192]}
+    assert [(r.tag, r.at, r.content) for r in got if r.file == "z.bin"] == [("z", None, None)]
+    assert [r.at for r in got if r.file == "c.bin"] == [0, 4096]
