@@ -27,8 +27,8 @@ from .vectors import _matrix, _unit, fit_lists, knn
 
 #: Entries of a subspace, codes of a codebook, vectors that fit codebooks.
 WIDTH, CODES, SAMPLE = 4, 256, 20_000
-#: Queries and rows of a list that meet in a task; rows scored at a time.
-ASKED, HELD, SLICE = 1024, 1 << 16, 4096
+#: Queries and rows of a bin of lists that meet in a task; rows scored at a time; pairs of a query and a list sent at a time.
+ASKED, HELD, SLICE, SENT = 1024, 1 << 16, 4096, 1 << 15
 #: Queries of the measurement, the shares of true neighbours that the probed lists and the compared rows must hold.
 MEASURED, GOAL = 200, 0.985
 
@@ -211,7 +211,10 @@ class VectorIndex:
     # Search.
 
     def _scored(self, queries: DataFrame, probes: int, most: int, log: list) -> DataFrame:
-        """query, asked, nth, id, list, version, near: the `most` best rows of each query by codes, from its nearest lists."""
+        """query, nth, id, list, version, near, place: the `most` best rows of each query by codes, from its nearest lists.
+
+        Lists meet their queries in bins of about HELD rows, and a bin returns `most` rows a query at most, without vectors.
+        """
         centres, books = self._fit()
         sent = self.spark.sparkContext.broadcast((centres, books))
         dim, probes = centres.shape[1], min(probes, len(centres))
@@ -221,47 +224,62 @@ class VectorIndex:
             centres = sent.value[0]
             for batch in batches:
                 m = _unit(_matrix(batch.column("vector"))) if batch.num_rows else np.zeros((0, dim))
-                order = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :probes]
-                at = pa.array(np.repeat(np.arange(len(m)), order.shape[1]))
-                unit = pa.array(m.tolist(), pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(at), unit.take(at), pa.array(np.tile(np.arange(order.shape[1]), len(m)), pa.int32()), pa.array(order.ravel(), pa.int32())], ["query", "asked", "nth", "list"])
+                each = max(1, SENT // probes)
+                for start in range(0, len(m), each):
+                    cut = m[start : start + each]
+                    order = np.argsort(-(cut @ centres.T), axis=1, kind="stable")[:, :probes]
+                    at = np.repeat(np.arange(len(cut)), order.shape[1])
+                    unit = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * dim + 1, dim, dtype=np.int32)), pa.array(cut[at].ravel()))
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(start, len(cut)).take(pa.array(at)), unit, pa.array(np.tile(np.arange(order.shape[1]), len(cut)), pa.int32()), pa.array(order.ravel(), pa.int32())], ["query", "asked", "nth", "list"])
 
         asked = materialise(queries.where(F.size("vector") == dim).mapInArrow(nearest, f"query {kind}, asked array<double>, nth int, list int"))
         lists = sorted(r[0] for r in asked.select("list").distinct().collect())  # at most as many as there are lists
         rows = self.live("code", lists=lists, log=log)
-        held = rows.groupBy("list").agg(F.ceil(F.count("*") / F.lit(HELD)).cast("int").alias("r"))
-        sizes = asked.groupBy("list").agg(F.ceil(F.count("*") / F.lit(ASKED)).cast("int").alias("q")).join(held, "list")
-        sizes = F.broadcast(sizes)  # a row for each list
+        bins = max(2 * self.spark.sparkContext.defaultParallelism, -(-sum(r.rows for r in log) // HELD))
+        bin_ = F.pmod(F.xxhash64("list"), F.lit(bins)).cast("int").alias("bin")
+        asked, rows = asked.select("*", bin_), rows.select("*", bin_)
+        held = rows.groupBy("bin").agg(F.ceil(F.count("*") / F.lit(HELD)).cast("int").alias("r"))
+        sizes = asked.groupBy("bin").agg(F.ceil(F.count_distinct("query") / F.lit(ASKED)).cast("int").alias("q")).join(held, "bin")
+        sizes = F.broadcast(sizes)  # a row for each bin
         part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         own = rows.schema["id"].dataType.simpleString()
-        left = asked.join(sizes, "list").withColumns({"q": part("query", "q"), "r": each("r")}).select("list", "q", "r", "query", "asked", "nth", F.lit(None).cast(own).alias("id"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("binary").alias("code"))
-        right = rows.join(sizes, "list").withColumns({"r": part("id", "r"), "q": each("q")}).select("list", "q", "r", F.lit(None).cast(kind).alias("query"), F.lit(None).cast("array<double>").alias("asked"), F.lit(None).cast("int").alias("nth"), "id", F.col("version").cast("int").alias("version"), "code")
+        left = asked.join(sizes, "bin").withColumns({"q": part("query", "q"), "r": each("r")}).select("bin", "q", "r", "list", "query", "asked", "nth", F.lit(None).cast(own).alias("id"), F.lit(None).cast("int").alias("version"), F.lit(None).cast("binary").alias("code"))
+        right = rows.join(sizes, "bin").withColumns({"r": part("id", "r"), "q": each("q")}).select("bin", "q", "r", "list", F.lit(None).cast(kind).alias("query"), F.lit(None).cast("array<double>").alias("asked"), F.lit(None).cast("int").alias("nth"), "id", F.col("version").cast("int").alias("version"), "code")
 
         def score(table: pa.Table) -> pa.Table:
+            """The `most` best rows of each query among those of its lists in one bin."""
             centres, books = sent.value
             some = table.column("code").is_valid().to_numpy()
             q, r = table.filter(pa.array(~some)), table.filter(pa.array(some))
-            at, x, near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            names = q.column("query").combine_chunks().dictionary_encode()
+            who, n = names.indices.to_numpy(), len(names.dictionary)
+            best, places, nths = np.full((n, most), -np.inf, np.float32), np.zeros((n, most), np.int64), np.zeros((n, most), np.int32)
             if q.num_rows and r.num_rows:
-                m, k = _matrix(q.column("asked").combine_chunks()), table.column("list")[0].as_py()
+                m = _matrix(q.column("asked").combine_chunks())[np.unique(who, return_index=True)[1]]
                 tables = np.einsum("qsd,scd->qsc", _padded(m).astype(np.float32), books)
                 codes = np.frombuffer(b"".join(r.column("code").to_pylist()), np.uint8).reshape(r.num_rows, -1)
-                best, places = np.zeros((len(m), 0), np.float32), np.zeros((len(m), 0), np.int64)
-                for start in range(0, len(codes), SLICE):
-                    cut = codes[start : start + SLICE]
-                    found = np.repeat((m @ centres[k]).astype(np.float32)[:, None], len(cut), axis=1)
-                    for s in range(cut.shape[1]):
-                        found += tables[:, s, cut[:, s]]
-                    best, places = np.concatenate([best, found], axis=1), np.concatenate([places, np.broadcast_to(np.arange(start, start + len(cut)), found.shape)], axis=1)
-                    if best.shape[1] > most:
-                        top = np.argpartition(-best, most - 1, axis=1)[:, :most]
-                        best, places = np.take_along_axis(best, top, 1), np.take_along_axis(places, top, 1)
-                at, x, near = np.repeat(np.arange(len(m)), best.shape[1]), places.ravel(), best.ravel().astype(np.float64)
-            at, x = pa.array(at), pa.array(x)
-            return pa.table({**{c: q.column(c).take(at) for c in ("query", "asked", "nth")}, **{c: r.column(c).take(x) for c in ("id", "list", "version")}, "near": pa.array(near)})
-
-        out = left.union(right).groupBy("list", "q", "r").applyInArrow(score, f"query {kind}, asked array<double>, nth int, id {own}, list int, version int, near double")
+                lists, nth, of = q.column("list").to_numpy(), q.column("nth").to_numpy(), r.column("list").to_numpy()
+                order = np.argsort(of, kind="stable")
+                for k in np.unique(lists).tolist():
+                    mine = np.flatnonzero(lists == k)
+                    asks, near_k = who[mine], (m[who[mine]] @ centres[k]).astype(np.float32)[:, None]
+                    start, stop = np.searchsorted(of[order], [k, k + 1])
+                    for at in range(start, stop, SLICE):
+                        cut = order[at : min(at + SLICE, stop)]
+                        found = np.repeat(near_k, len(cut), axis=1)
+                        for s in range(codes.shape[1]):
+                            found += tables[asks, s][:, codes[cut, s]]
+                        near = np.concatenate([best[asks], found], axis=1)
+                        place = np.concatenate([places[asks], np.broadcast_to(cut, found.shape)], axis=1)
+                        list_of = np.concatenate([nths[asks], np.broadcast_to(nth[mine].astype(np.int32)[:, None], found.shape)], axis=1)
+                        top = np.argpartition(-near, most - 1, axis=1)[:, :most]
+                        best[asks], places[asks], nths[asks] = (np.take_along_axis(x, top, 1) for x in (near, place, list_of))
+            x, y = np.nonzero(best > -np.inf)
+            at = pa.array(places[x, y])
+            return pa.table({"query": names.dictionary.take(pa.array(x)), "nth": pa.array(nths[x, y]), **{c: r.column(c).take(at) for c in ("id", "list", "version")}, "near": pa.array(best[x, y].astype(np.float64))})
+
+        out = left.union(right).groupBy("bin", "q", "r").applyInArrow(score, f"query {kind}, nth int, id {own}, list int, version int, near double")
         return out.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("near"), "id"))).where(F.col("place") <= most)
 
     def search(self, queries: DataFrame, k: int = 20, probes: int | None = None, compared: int | None = None) -> DataFrame:
@@ -276,15 +294,16 @@ class VectorIndex:
         if self.live(log=log) is None:
             return self.spark.createDataFrame([], f"query {kind}, id {kind}, score double, rank int")
         probes, compared = probes or log[-1].probes or 1 << 30, max(k, compared or log[-1].compared or 16 * k)
-        found = self._scored(asked, probes, compared, log).select("query", "asked", "id", "list", "version")
+        found = self._scored(asked, probes, compared, log).select("query", "id", "list", "version")
         rows = self._read("rows", log)
         lists = sorted(r[0] for r in found.select("list").distinct().collect()) if len(self._fit()[0]) <= 1 << 14 else None
         rows = rows.where(F.col("list").isin(lists)) if lists is not None else rows
         met = found.join(rows.select("id", "list", F.col("version").cast("int").alias("version"), "vector"), ["id", "list", "version"])
+        met = met.join(asked.select(F.col("id").alias("query"), F.col("vector").alias("asked")), "query")
 
         def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                scores = np.einsum("ij,ij->i", _matrix(batch.column("asked")), _unit(_matrix(batch.column("vector")))) if batch.num_rows else np.zeros(0)
+                scores = np.einsum("ij,ij->i", _unit(_matrix(batch.column("asked"))), _unit(_matrix(batch.column("vector")))) if batch.num_rows else np.zeros(0)
                 yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), pa.array(scores)], ["query", "id", "score"])
 
         own = rows.schema["id"].dataType.simpleString()

@@ -94,3 +94,18 @@ def test_search_by_codes_on_the_embeddings(spark):
     exact = {(x.query, x.id) for x in search.knn_exact(spark, sf_dir).collect()}
     found = {(x.query, x.id) for x in plans.index_search(spark, sf_dir).collect()}
     assert len(exact & found) >= 0.9 * len(exact)
+
+
+def test_bins_of_lists_return_few_rows_without_vectors(spark, tmp_path):
+    """Of each bin a query gets `most` rows at most, whatever the number of lists; and those are the best by codes."""
+    r = np.random.default_rng(8)
+    rows = spark.createDataFrame([(k, r.normal(size=8).tolist()) for k in range(900)], "vec_id long, embedding array<double>")
+    index = VectorIndex(spark, str(tmp_path / "bins"))
+    index.upsert(rows)
+    asked = index._usable(rows.where("vec_id % 100 = 0"))
+    found = index._scored(asked, 1 << 30, 5, index._log())
+    assert "asked" not in found.columns
+    best = found.collect()
+    every = index._scored(asked, 1 << 30, 900, index._log()).collect()
+    assert len(every) == 9 * 900 and {(x.query, x.id) for x in best} == {(x.query, x.id) for x in every if x.place <= 5}
+    assert all(x.nth == y.nth for x in best for y in every if (x.query, x.id) == (y.query, y.id))
