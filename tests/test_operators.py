@@ -400,3 +400,13 @@ def test_components_in_one_task_and_in_rounds(spark, seed):
     assert {x.u: x.root for x in rounds.components(df).collect()} == want
     assert {x.u: x.root for x in rounds.components(df, 0).collect()} == want
     assert rounds.components(df.limit(0)).count() == 0
+
+
+def test_rows_of_a_threshold_join_are_sent_to_few_blocks(spark):
+    """Blocks grow with the table, and hold many tiles: what moves no longer grows with the square of the rows."""
+    df = spark.range(20_000).select("id", F.array(*[F.randn(k) for k in range(4)]).alias("vector"))
+    assert vectors._blocks(df, None, None, (), 0.7).count() <= 15 * 20_000  # each to each of 20 pivots' blocks before
+    v = np.random.default_rng(6).normal(size=(300, 4))
+    rows = spark.createDataFrame([(k, x.tolist(), k % 3 == 0, k if k % 2 else None) for k, x in enumerate(v)], "id long, vector array<double>, asks boolean, low long")
+    want = {a: min(b for b in range(1, 300, 2) if b != a and cosine(v[a], v[b]) < 0.7) for a in range(0, 300, 3)}
+    assert {r.id: r.offer for r in vectors.least_offers(rows, 0.7, 40).collect()} == want
