@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rounds import components, materialise, roots, until_stable
-from .vectors import close_pairs, nearest_offers
+from .rounds import apart, components, materialise, roots, until_stable
+from .vectors import close_pairs, least_offers, nearest_offers
 
 TAU = 0.6
 #: Links of a component whose merges one task replays.
@@ -85,22 +85,21 @@ def assign_known(faces: DataFrame, tau: float = TAU, scope: str | None = None) -
     """
     rows = materialise(_faces(faces, scope))
     members, classes = _classes(rows)
-    pairs = close_pairs(classes.select(F.col("cls").alias("id"), "vector", "scope"), tau, scope="scope")
-    pairs = materialise(pairs.select("a", "b").union(pairs.select("b", "a")).toDF("cls", "other"))
     new = materialise(members.where("person IS NULL").select("id", "ord", "cls"))
-    start = materialise(classes.select("cls", F.when(F.col("assigned").isNotNull(), F.lit(-1)).alias("low").cast("long")))
-
-    def least_near(state: DataFrame) -> DataFrame:
-        own = state.where("low IS NOT NULL").select("cls", "low")
-        near = pairs.join(own.select(F.col("cls").alias("other"), "low"), "other").select("cls", "low")
-        return near.union(own).groupBy("cls").agg(F.min("low").alias("from"))
+    low = F.when(F.col("assigned").isNotNull(), F.lit(-1)).cast("long")
+    start = materialise(classes.select("cls", low.alias("low"), low.alias("from"), low.isNotNull().alias("moved")))
 
     def step(state: DataFrame) -> DataFrame:
-        entered = new.join(least_near(state), "cls").where("ord > from").groupBy("cls").agg(F.min("ord").alias("enter"))
-        return state.join(entered, "cls", "left").select("cls", F.least("low", "enter").alias("low"), (~F.col("low").eqNullSafe(F.least("low", "enter"))).alias("moved"))
+        """Lows that moved are offered to the classes that are not within tau of an assigned face yet; lows only fall, so earlier offers stay."""
+        asking = classes.select("cls", "vector", "scope").join(apart(state), "cls").withColumn("asks", F.coalesce(F.col("from") != -1, F.lit(True))).where("asks OR moved")
+        offers = least_offers(asking.select(F.col("cls").alias("id"), "vector", "scope", "asks", F.when(F.col("moved"), F.col("low")).alias("low")), tau, scope="scope")
+        state = materialise(state.join(apart(offers), state["cls"] == offers["id"], "left").select("cls", "low", F.least("from", "offer").alias("from")))
+        entered = new.join(apart(state), "cls").where("ord > from").groupBy("cls").agg(F.min("ord").alias("enter"))
+        state = state.join(apart(entered), "cls", "left").withColumn("new", F.least("low", "enter"))
+        return state.select("cls", F.col("new").alias("low"), F.least("from", "new").alias("from"), (~F.col("low").eqNullSafe(F.col("new"))).alias("moved"))
 
     state = until_stable(start, step, lambda s: s.where("moved").limit(1).count())
-    inside = new.join(least_near(state.select("cls", "low")), "cls").where("ord > from").select("id")
+    inside = new.join(apart(state.select("cls", "from")), "cls").where("ord > from").select("id")
     found = _assign(members, classes, tau, materialise(inside))
     heads = members.select(F.col("ord").alias("root"), F.col("person").alias("root_person"))
     named = found.join(heads, "root").select("ord", F.coalesce("person", "root_person").alias("person"))
