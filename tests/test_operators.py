@@ -410,3 +410,21 @@ def test_rows_of_a_threshold_join_are_sent_to_few_blocks(spark):
     rows = spark.createDataFrame([(k, x.tolist(), k % 3 == 0, k if k % 2 else None) for k, x in enumerate(v)], "id long, vector array<double>, asks boolean, low long")
     want = {a: min(b for b in range(1, 300, 2) if b != a and cosine(v[a], v[b]) < 0.7) for a in range(0, 300, 3)}
     assert {r.id: r.offer for r in vectors.least_offers(rows, 0.7, 40).collect()} == want
+
+
+def test_scores_are_held_for_few_queries_at_a_time():
+    """The search for the best rows of 3,000 queries among 2,048: their scores and copies of them took some 300 MB before."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    queries, m = r.normal(size=(3000, 8)), r.normal(size=(2048, 8))
+    best = vectors.Best(queries, 5)
+    tracemalloc.start()
+    best.see(np.arange(2048), pa.array(m.tolist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    u = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (queries, m)]
+    assert (best.ids == np.argsort(-(u[0] @ u[1].T), axis=1)[:, :5]).all()
