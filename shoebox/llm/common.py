@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rounds import materialise, shared_folder
+from ..operators.rounds import let_go, materialise, shared_folder
 
-__all__ = ["BLANKS", "block_count", "give_back", "held_out", "in_parts", "materialise", "partitions", "read_table", "scratch", "sieve", "text_of", "words_of"]
+__all__ = ["BLANKS", "block_count", "give_back", "held_out", "in_parts", "let_go", "materialise", "partitions", "read_table", "scratch", "sieve", "text_of", "words_of"]
 
 #: Runs of the six ASCII blanks; words are what stands between them.
 BLANKS = r"[\x20\x09-\x0D]+"

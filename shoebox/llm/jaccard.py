@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import in_parts, materialise, sieve
+from .common import in_parts, let_go, materialise, sieve
 from .components import components
 
 SHINGLE, SEED = 5, 42
@@ -127,7 +127,9 @@ def links(members: DataFrame, sets: DataFrame, fps: DataFrame | None = None, bit
         if fps is not None:
             pairs = pairs.join(fps.toDF("u", "x"), "u").join(fps.toDF("v", "y"), "v")
             pairs = pairs.where(F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x) <= bits)
+        let_go(members.sparkSession)
         new = materialise(_similar_pairs(pairs.select("pq.p", "pq.q"), sets))
+        let_go(members.sparkSession)
         found = new if found is None else found.union(new)
         left = now.where("at > tested").select("key", "node", "size")
         pivots *= 4

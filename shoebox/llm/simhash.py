@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import give_back, in_parts, materialise, sieve, text_of
+from .common import give_back, in_parts, let_go, materialise, sieve, text_of
 from .components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -397,15 +397,19 @@ def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     body = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), sha.alias("sha256"), text_of(text).cast("binary").alias("text"))
     own = materialise(body.mapInArrow(_sign, "doc_id bigint, sha256 string, node bigint, size int, fps array<bigint>, text_hash bigint"))
     nodes = materialise(own.groupBy("node").agg(F.first("size").alias("size"), F.first("fps").alias("fps"), F.min("sha256").alias("sha256")))
+    let_go(docs.sparkSession)
     members = materialise(lane_groups(nodes.select("node", "fps")).join(nodes.select("node", "size"), "node").select("key", "node", "size"))
+    let_go(docs.sparkSession)  # the shards' rows
     wanted = materialise(nodes.join(members.select("node").distinct(), "node").select("node", "sha256"))
     _, some = sieve(body.select("sha256", "text"), wanted, "sha256")
     texts = some.join(wanted, "sha256").dropDuplicates(["sha256"])  # as the join deals them: texts move once, sets do not
     sets = materialise(texts.select("node", "text").mapInArrow(jaccard.sets, "node bigint, hashes binary"))
+    let_go(docs.sparkSession)  # the texts
     found = jaccard.links(members, sets, nodes.join(wanted.select("node"), "node", "left_semi").select("node", "fps"), FAR)
     rows = own.select("doc_id", "sha256", "text_hash", "node")
     if found is not None:
         roots = components(found)
+        let_go(docs.sparkSession)
         rows = rows.join(roots, rows["node"] == roots["u"], "left").select("doc_id", "sha256", "text_hash", F.coalesce("root", "node").alias("node"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha256"))
     first = rows.groupBy("node").agg(first.alias("r")).select(F.col("node").alias("of"), F.col("r.doc_id").alias("first_id"), F.col("r.sha256").alias("first_sha"))

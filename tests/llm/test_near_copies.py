@@ -1,12 +1,13 @@
 """The near-duplicate stage against all pairs of documents."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from shoebox.llm import common, simhash
 from shoebox.llm import jaccard as J
-from shoebox.llm import simhash
 
 from .test_llm_documents import SCHEMA, prose
 
@@ -111,3 +112,27 @@ def test_pairs_at_exactly_80_percent_are_found(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = simhash.near_copies(docs).where("kept").count()
     assert len(rows) - want <= kept <= len(rows) - 0.97 * want
+
+
+def test_finished_steps_leave_no_shuffles(spark, monkeypatch):
+    """When sets begin to meet, the files of the trees' and the texts' shuffles are gone."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: sum(disk.getAllFiles().apply(k).getName().startswith("shuffle_") for k in range(disk.getAllFiles().size()))
+    rows = [(k, " ".join(f"w{(k % 40) * 50 + n}" for n in range(30)) + f" {k}") for k in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen, links = [], simhash.jaccard.links
+
+    def look(*args):
+        for _ in range(20):  # Spark deletes beside the driver
+            if (n := files()) <= before:
+                break
+            time.sleep(0.5)
+        seen.append(n)
+        return links(*args)
+
+    common.let_go(spark)
+    time.sleep(3)
+    before = files()
+    monkeypatch.setattr(simhash.jaccard, "links", look)
+    assert simhash.near_copies(docs).where("kept").count() == 40
+    assert seen and seen[0] <= before
