@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.jobs import MAX_ATTEMPTS
 
-_STATE = "attempts int, outcome long, due long, settled boolean"
-_OUT = "job long, outcome long, attempts int, status string, at timestamp"
-_COLUMNS = ["job", "outcome", "attempts", "status", "at"]
+#: Keys of the state: each holds its share of the jobs, packed, so that a call handles many jobs.
+BUCKETS = 1024
+_JOB = np.dtype([("job", "<i8"), ("attempts", "<i4"), ("outcome", "<i8"), ("due", "<i8"), ("settled", "?")])
+_STATE, _NEVER = "jobs binary", int(np.iinfo(np.int64).min)
+_OUT = "job long, outcome long, attempts int, status string, micros long"
+_COLUMNS = ["job", "outcome", "attempts", "status", "micros"]
 
 
 def delay_seconds(attempts: int) -> int:
@@ -21,71 +25,50 @@ def delay_seconds(attempts: int) -> int:
     return 30 << attempts
 
 
-class Retries(StatefulProcessor):
-    """One job's attempts, and the timer of its next one.
+def _changes(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """What becomes of the new outcomes of a bucket's jobs, and of its timers. The bucket's own timer is that of its next job.
 
-    Outcomes come by time. A failure with attempts left sets the timer; one that uses up the attempts makes the job
-    failed, a success makes it done, and both end it: its state is dropped to one flag. An outcome that comes before the
-    timer has fired replaces it; one that comes later finds that the retry is out.
+    Outcomes come by time. A failure with attempts left sets the job's timer; one that uses up the attempts makes the job
+    failed, a success makes it done, and both end it. An outcome that comes before the timer has fired replaces it; one that
+    comes later finds that the retry is out.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("job", _STATE)
-
-    def _set(self, attempts: int, outcome: int, due: int | None, settled: bool) -> None:
-        """due: microseconds; the timer has milliseconds and fires once the watermark is past them."""
-        self.state.update((attempts, outcome, due, settled))
-        if due is not None:
-            self.handle.registerTimer(due // 1000)
-
-    def _retry(self, job: int, attempts: int, outcome: int, due: int) -> tuple:
-        return job, outcome, attempts, "again", pd.Timestamp(due, unit="us")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["at", "outcome"])
-        attempts, outcome, due, settled = self.state.get() if self.state.exists() else (0, 0, None, False)
-        pending = due
-        out = []
-        for now, number, failed in zip(frame["at"], frame["outcome"].tolist(), frame["failed"].tolist(), strict=True):
+    jobs = {x[0]: x[1:] for x in np.frombuffer(state.get[0], _JOB).tolist()} if state.exists else {}
+    parts = [] if state.hasTimedOut else [[f[c].to_numpy() for c in ("job", "micros", "outcome", "failed")] for f in frames]
+    out = []
+    if parts:
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        order = np.lexsort((columns[2], columns[1]))
+        for job, now, number, failed in zip(*(c[order].tolist() for c in columns), strict=True):
+            attempts, outcome, due, settled = jobs.get(job, (0, 0, _NEVER, False))
             if settled:
-                break
-            micros = now.value // 1000
-            if due is not None and due <= micros:
-                out.append(self._retry(key[0], attempts, outcome, due))
-            due, outcome = None, number
-            if not failed:
-                settled = True
-                out.append((key[0], number, attempts, "done", now))
                 continue
-            attempts += 1
-            if attempts >= MAX_ATTEMPTS:
-                settled = True
-                out.append((key[0], number, attempts, "failed", now))
-            else:
-                due = micros + delay_seconds(attempts) * 1_000_000
-        if pending is not None and pending != due:
-            self.handle.deleteTimer(pending // 1000)
-        self._set(attempts, outcome, due, settled)
-        yield pd.DataFrame(out, columns=_COLUMNS).astype({"job": "int64", "outcome": "int64", "attempts": "int32"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        attempts, outcome, due, settled = self.state.get() if self.state.exists() else (0, 0, None, True)
-        out = []
-        if due is not None and not settled:
-            out.append(self._retry(key[0], attempts, outcome, due))
-            self.state.update((attempts, outcome, None, settled))
-        yield pd.DataFrame(out, columns=_COLUMNS).astype({"job": "int64", "outcome": "int64", "attempts": "int32"})
-
-    def close(self) -> None:
-        pass
-
-
-def retries(outcomes: DataFrame, late: str = "0 seconds") -> DataFrame:
+            if _NEVER < due <= now:
+                out.append((job, outcome, attempts, "again", due))
+            attempts += failed
+            settled = not failed or attempts >= MAX_ATTEMPTS
+            if settled:
+                out.append((job, number, attempts, "failed" if failed else "done", now))
+            jobs[job] = attempts, number, _NEVER if settled else now + delay_seconds(attempts) * 1_000_000, settled
+    held = np.array([(job, *x) for job, x in jobs.items()], _JOB)
+    waiting = held["due"] > _NEVER
+    fired = waiting & (held["due"] // 1000 < state.getCurrentWatermarkMs())  # the stream's time has milliseconds
+    out += [(job, outcome, attempts, "again", due) for job, attempts, outcome, due, _ in held[fired].tolist()]
+    held["due"][fired] = _NEVER
+    state.update((held.tobytes(),))
+    if (waiting & ~fired).any():
+        state.setTimeoutTimestamp(int(held["due"][waiting & ~fired].min()) // 1000)
+    if out:
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+
+def retries(outcomes: DataFrame, late: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """job, outcome, attempts, status, at: what becomes of a stream of outcomes (job, outcome: its number, at, failed).
 
     status is done, failed (after MAX_ATTEMPTS), or again: the job is to run again at `at`, which comes out once the stream's
-    time (the latest `at` less `late`) has passed it. Needs the RocksDB state store (streams.ROCKSDB).
+    time (the latest `at` less `late`) has passed it. Jobs are dealt to buckets by their hash; a stream keeps its number of
+    buckets for life. Outcomes of no job or no time are ignored.
     """
-    rows = outcomes.select(F.col("job").cast("long").alias("job"), F.col("outcome").cast("long").alias("outcome"), "at", F.coalesce("failed", F.lit(False)).alias("failed"))
-    return rows.withWatermark("at", late).groupBy("job").transformWithStateInPandas(Retries(), _OUT, "append", "eventTime")
+    rows = outcomes.select(F.col("job").cast("long").alias("job"), F.col("outcome").cast("long").alias("outcome"), "at", F.unix_micros("at").alias("micros"), F.coalesce("failed", F.lit(False)).alias("failed"))
+    rows = rows.where("job IS NOT NULL AND at IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("job"), F.lit(buckets)))
+    found = rows.withWatermark("at", late).groupBy("bucket").applyInPandasWithState(_changes, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("job", "outcome", "attempts", "status", F.timestamp_micros("micros").alias("at"))

@@ -49,3 +49,30 @@ def test_timers_fire_between_batches(spark, tmp_path):
     assert len({p["batchId"] for p in query.recentProgress}) >= 4
     got = sorted((x.job, x.outcome, x.attempts, x.status, x.at) for x in spark.read.parquet(out).select("*", F.lit(1)).collect())
     assert got == walk(rows)
+
+
+def test_a_call_handles_many_jobs(monkeypatch):
+    """Jobs share keys of the state: what a call costs does not grow with their number."""
+    import numpy as np
+    import pandas as pd
+
+    class Held:
+        exists, hasTimedOut, timeout = False, False, None
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+        def getCurrentWatermarkMs(self):
+            return self.watermark
+
+    held = Held()
+    held.watermark = 0
+    frame = pd.DataFrame({"job": np.arange(500), "micros": np.arange(500) * 1000, "outcome": np.arange(500), "failed": np.arange(500) % 2 == 0})
+    out = pd.concat(retries._changes((0,), iter([frame[250:], frame[:250]]), held))
+    assert len(out) == 250 and set(out["status"]) == {"done"} and held.timeout == 60_000
+    held.hasTimedOut, held.watermark = True, 60_100
+    out = pd.concat(retries._changes((0,), iter([]), held))
+    assert out["job"].tolist() == list(range(0, 100, 2)) and set(out["status"]) == {"again"} and held.timeout == 60_100
