@@ -19,6 +19,7 @@ LONGEST, FALLBACK = 32, math.log(1e-10)
 ROWS, KNOWN = 256, 1 << 18
 # Fixed values of the text encoder's vocabulary.
 START_ID, END_ID, WORD_IDS = 49406, 49407, 49405
+_BITS = (1 << 64) - 1
 
 
 def ctc_decode(steps: Column) -> Column:
@@ -64,6 +65,19 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(range(len(words)), pa.int32()), pa.array(words, pa.string())], ["_row", "pos", "word"])
 
 
+def _numbers(words: list[str], known: dict[str, int], number: Callable[[str], int], most: int = KNOWN) -> list[int]:
+    """number() of each word, kept in known for the next texts of the task: at most `most` words (and those of one text) at a time."""
+    try:
+        return [known[w] for w in words]
+    except KeyError:
+        if len(known) > most:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = number(w)
+        return [known[w] for w in words]
+
+
 def unigram_tokens(df: DataFrame, vocabulary: list[tuple[str, float]], length: int, text: str = "text", end_id: int = 1, unknown_id: int = 2, out: str = "tokens", windows: bool = False, known: int = KNOWN) -> DataFrame:
     """df with fixed-length ids: pieces in order, the end id, then 0. The vocabulary (a model's fixed list) goes to every task.
 
@@ -145,39 +159,38 @@ def _windows(df: DataFrame, numbers: Callable[[str | None], np.ndarray], length:
 
 def word_id(word: str) -> int:
     """31-polynomial of the characters in 64-bit arithmetic, made positive at each step, within 1..WORD_IDS."""
-    h = np.int64(0)
-    with np.errstate(over="ignore"):
-        for c in word:
-            h = h * np.int64(31) + np.int64(ord(c))
-            if h < 0:
-                h = -h
-    h = int(h)
-    return (h % WORD_IDS if h >= 0 else -(-h % WORD_IDS)) + 1
+    h = 0
+    for c in word:
+        h = (h * 31 + ord(c)) & _BITS
+        if h >> 63:
+            h = -h & _BITS  # the least number stays as it is
+    return (h % WORD_IDS if not h >> 63 else -(h % WORD_IDS)) + 1
 
 
 def hash_tokens(texts: Column, length: int) -> Column:
     """Fixed-length ids of a text column: start, one id for each word, end, then 0."""
-
-    @F.pandas_udf("array<int>")
-    def tokens(column: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-
-        def one(text: str | None) -> list[int]:
-            out = [START_ID]
-            for w in (text or "").lower().split()[: length - 2]:
-                if w not in known:
-                    known[w] = word_id(w)
-                out.append(known[w])
-            out.append(END_ID)
-            return out + [0] * (length - len(out))
-
-        return column.map(one)
+    known: dict[str, int] = {}
+
+    @F.arrow_udf("array<int>")
+    def tokens(column: pa.Array) -> pa.Array:
+        out = np.zeros((len(column), length), np.int32)
+        out[:, 0] = START_ID
+        for k, text in enumerate(column.to_pylist()):
+            words = (text or "").lower().split()[: length - 2]
+            out[k, 1 : 1 + len(words)] = _numbers(words, known, word_id)
+            out[k, 1 + len(words)] = END_ID
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, length, dtype=np.int32)), pa.array(out.ravel()))
 
     return tokens(texts)
 
 
 def word_windows(texts: Column, words: int) -> Column:
     """The words of a text, so many at a time and joined by spaces, in order; one empty window for a text without words."""
-    own = F.filter(F.split(F.coalesce(texts, F.lit("")), r"[\x20\x09-\x0D\x1C-\x1F\x85\xA0]+"), lambda w: w != "")
-    n = F.greatest(F.lit(1), F.ceil(F.size(own) / F.lit(words)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(own, k * words + 1, words), " "))
+    every = F.filter(F.split(F.coalesce(texts, F.lit("")), r"[\x20\x09-\x0D\x1C-\x1F\x85\xA0]+"), lambda w: w != "")
+
+    def cut(own: Column) -> Column:
+        n = F.greatest(F.lit(1), F.ceil(F.size(own) / F.lit(words)).cast("int"))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.array_join(F.slice(own, k * words + 1, words), " "))
+
+    # As a lambda's argument the words are found once for a text; named in the lambda of a window, once for each window.
+    return F.flatten(F.transform(F.array(every), cut))

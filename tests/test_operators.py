@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import time
 
 import numpy as np
 import pytest
@@ -350,6 +351,14 @@ def test_hash_tokens(spark):
     assert out[3][3] == 49407
 
 
+def test_a_task_numbers_a_word_once(monkeypatch):
+    seen, known = [], {}
+    for words in (["a", "b", "a"], ["b", "c"], ["a"]):
+        assert text._numbers(words, known, lambda w: seen.append(w) or ord(w)) == list(map(ord, words))
+    assert seen == ["a", "b", "c"]
+    assert text._numbers(["d"], known, ord, most=2) == [100] and known == {"d": 100}
+
+
 @pytest.mark.parametrize("word", ["zzzzzzzzzzzzzzzz", "motorcyclemotorcycle", "漢字漢字漢字漢字漢字"])
 def test_word_id_wraps_like_64_bits(word):
     h = 0
@@ -428,3 +437,13 @@ def test_scores_are_held_for_few_queries_at_a_time():
     assert peak < 60e6
     u = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (queries, m)]
     assert (best.ids == np.argsort(-(u[0] @ u[1].T), axis=1)[:, :5]).all()
+
+
+def test_words_of_a_text_are_found_once_for_all_windows(spark):
+    df = spark.createDataFrame([("a b  c\td e",), ("",), (None,)], "t string")
+    out = df.select(text.word_windows(F.col("t"), 2).alias("w"))
+    assert [r.w for r in out.collect()] == [["a b", "c d", "e"], [""], [""]]
+    long = spark.range(1).select(F.repeat(F.lit("word "), 150_000).alias("t"))
+    began = time.time()
+    assert long.select(F.size(text.word_windows(F.col("t"), 75))).first()[0] == 2000
+    assert time.time() - began < 20
