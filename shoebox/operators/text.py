@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -11,11 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rounds import materialise
-
 CHARSET = "0123456789abcdefghijklmnopqrstuvwxyz"
 LONGEST, FALLBACK = 32, math.log(1e-10)
-#: Texts whose pieces a task holds at a time; distinct words whose ids may go to every task.
+#: Texts whose pieces a task holds at a time; words whose ids a task keeps.
 ROWS, KNOWN = 256, 1 << 18
 # Fixed values of the text encoder's vocabulary.
 START_ID, END_ID, WORD_IDS = 49406, 49407, 49405
@@ -29,16 +28,23 @@ def ctc_decode(steps: Column) -> Column:
     return F.array_join(F.filter(chars, lambda x: x.isNotNull()), "")
 
 
-def segment(text: str, scores: dict[str, float]) -> list[str]:
-    """Best-scoring cut of the text, with word marks for spaces, into vocabulary pieces; a lone character costs FALLBACK."""
+def segment(text: str, scores: dict[str, float], sizes: dict[str, list[int]] | None = None) -> list[str]:
+    """Best-scoring cut of the text, with word marks for spaces, into vocabulary pieces; a lone character costs FALLBACK.
+
+    Of equal cuts the one with the longer last piece is taken. sizes: sizes_of(scores), if known.
+    """
     if not text:
         return []
     text = "▁" + text.replace(" ", "▁")
-    best, via, most = [0.0], [0], min(LONGEST, max(map(len, scores), default=1))
-    for end in range(1, len(text) + 1):
-        found = [(best[k] + scores[text[k:end]], end - k) for k in range(max(0, end - most), end) if text[k:end] in scores]
-        score, size = max(found, key=lambda x: (x[0], x[1])) if found else (best[end - 1] + FALLBACK, 1)
-        best.append(score)
+    sizes = sizes_of(scores) if sizes is None else sizes
+    best, via, score_of, sizes_at = [0.0], [0], scores.get, sizes.get
+    for end, last in enumerate(text, 1):
+        top, size = None, 1
+        for z in sizes_at(last, ()):
+            own = score_of(text[end - z : end]) if z <= end else None
+            if own is not None and (top is None or best[end - z] + own > top):
+                top, size = best[end - z] + own, z
+        best.append(best[end - 1] + FALLBACK if top is None else top)
         via.append(size)
     out, end = [], len(text)
     while end:
@@ -47,25 +53,21 @@ def segment(text: str, scores: dict[str, float]) -> list[str]:
     return out[::-1]
 
 
+def sizes_of(scores: dict[str, float]) -> dict[str, list[int]]:
+    """For each character the lengths of the pieces that end with it, longest first."""
+    found: dict[str, set[int]] = {}
+    for w in scores:
+        if 0 < len(w) <= LONGEST:
+            found.setdefault(w[-1], set()).add(len(w))
+    return {c: sorted(n, reverse=True) for c, n in found.items()}
+
+
 def _words(text: str | None) -> list[str]:
     """The words of a text in lower case; an empty text has none, and between two spaces stands an empty word."""
     return text.lower().split(" ") if text else []
 
 
-def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        words = {w for t in batch.column(0).to_pylist() for w in _words(t)}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(words), pa.string())], ["word"])
-
-
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, t in zip(batch.column("_row").to_pylist(), batch.column("_text").to_pylist(), strict=True):
-            words = _words(t)
-            yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(range(len(words)), pa.int32()), pa.array(words, pa.string())], ["_row", "pos", "word"])
-
-
-def _numbers(words: list[str], known: dict[str, int], number: Callable[[str], int], most: int = KNOWN) -> list[int]:
+def _numbers(words: list[str], known: dict, number: Callable[[str], object], most: int = KNOWN) -> list:
     """number() of each word, kept in known for the next texts of the task: at most `most` words (and those of one text) at a time."""
     try:
         return [known[w] for w in words]
@@ -84,42 +86,23 @@ def unigram_tokens(df: DataFrame, vocabulary: list[tuple[str, float]], length: i
     The encoder's form ends with the pieces that fit. With windows, a text has as many rows as it fills, numbered by `window`
     from 0, so that every piece comes out; an empty text has one.
 
-    Where no piece runs across words, each distinct word of the table is cut once, by the task that a shuffle gives it to. Up
-    to `known` words (counted) go to the tasks that put texts together; more are joined back by their positions.
+    Where no piece runs across words, a task cuts a word when it first meets it and keeps its ids, of up to about `known`
+    words at a time, for the texts that follow: nothing is shuffled or goes through the driver.
     """
     ids = {w: k for k, (w, _) in enumerate(vocabulary)}
     scores = dict(vocabulary)
+    sizes = sizes_of(scores)
+    own: dict[str, list[int]] = {}
 
     def numbers(pieces: list[str]) -> list[int]:
         return [ids.get(p, unknown_id) for p in pieces]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [numbers(segment(w, scores)) if w else numbers(["▁"]) for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(found, pa.list_(pa.int32()))], ["word", "ids"])
+    def word(w: str) -> list[int]:
+        return numbers(segment(w, scores, sizes) if w else ["▁"])
 
     if any("▁" in w[1:] for w in scores):
-        return _windows(df, lambda t: np.array(numbers(segment((t or "").lower(), scores)), np.int32), length, text, end_id, out, windows)
-    cuts = materialise(df.select(text).mapInArrow(_distinct_words, "word string").distinct().mapInArrow(cut, "word string, ids array<int>"))
-    if cuts.count() <= known:
-        table = df.sparkSession.sparkContext.broadcast({r.word: np.array(r.ids, np.int32) for r in cuts.collect()})
-
-        def own(t: str | None) -> np.ndarray:
-            known = table.value
-            return np.concatenate([known[w] for w in _words(t)] or [np.zeros(0, np.int32)])
-
-        return _windows(df, own, length, text, end_id, out, windows)
-    rows = materialise(df.withColumn("_row", F.monotonically_increasing_id()))
-    placed = rows.select("_row", F.col(text).alias("_text")).mapInArrow(_positions, "_row bigint, pos int, word string").join(cuts, "word")
-    whole = placed.groupBy("_row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("pos", "ids"))), lambda x: x["ids"])).alias("_ids"))  # one text's own
-    none = F.array().cast("array<int>")
-    rows = rows.join(whole, "_row", "left").withColumn("_ids", F.coalesce("_ids", none))
-    fits = length - 1
-    last = F.greatest(F.lit(1), F.ceil(F.size("_ids") / F.lit(fits)).cast("int")) - 1 if windows else F.lit(0)
-    rows = rows.withColumn("_window", F.explode(F.sequence(F.lit(0), last)))
-    own = F.slice("_ids", F.col("_window") * fits + 1, fits)
-    own = F.concat(own, F.array(F.lit(end_id)), F.array_repeat(F.lit(0), F.lit(fits) - F.size(own)))
-    return rows.select(*df.columns, own.cast("array<int>").alias(out), *([F.col("_window").cast("bigint").alias("window")] if windows else []))
+        return _windows(df, lambda t: np.array(numbers(segment((t or "").lower(), scores, sizes)), np.int32), length, text, end_id, out, windows)
+    return _windows(df, lambda t: np.fromiter(chain.from_iterable(_numbers(_words(t), own, word, known)), np.int32), length, text, end_id, out, windows)
 
 
 def _windows(df: DataFrame, numbers: Callable[[str | None], np.ndarray], length: int, text: str, end_id: int, out: str, windows: bool) -> DataFrame:

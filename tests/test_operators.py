@@ -380,6 +380,16 @@ def test_unigram(spark):
     assert {r.id: r.tokens for r in run.collect()} == out
 
 
+def test_unigram_moves_no_words(spark):
+    vocabulary = [("<pad>", 0.0), ("</s>", 0.0), ("<unk>", 0.0), ("▁", -2.0), ("a", -4.0)]
+    df = spark.createDataFrame([(k, f"a b{k} a") for k in range(50)], "id long, text string")
+    for known in (0, 3, 1000):  # of few words kept, and of all
+        out = text.unigram_tokens(df, vocabulary, 8, known=known)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan
+        assert {r.id: r.tokens for r in out.collect()}[7] == [3, 4, 3, 2, 2, 3, 4, 1]
+
+
 def test_unigram_words_joined_back_by_position(spark):
     vocabulary = [("<pad>", 0.0), ("</s>", 0.0), ("<unk>", 0.0), ("▁", -2.0), ("a", -4.0), ("▁a", -3.0), ("ab", -3.0)]
     r = random.Random(4)
