@@ -173,6 +173,6 @@ def camera_files(spark, sf_dir):
     name = F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), F.col("c_custkey").cast("string"), F.lit(".jpg"))
     path = _folder(spark, "camera")
     heads.write_files(c.select(name.alias("file"), F.concat(bytes_, rest).alias("content")), path)
-    found = exif.extract_exif(heads.read_heads(spark, path), "head")
+    found = exif.extract_exif(heads.listed_heads(spark, path), "head")
     number = F.regexp_extract("path", r"(\d+)\.jpg$", 1).cast("long")
     return found.select(number.alias("id"), "camera_make", "iso", F.date_format("taken_at", "yyyy-MM-dd HH:mm:ss").alias("taken"), "latitude", F.col("length").alias("bytes"))

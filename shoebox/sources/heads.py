@@ -88,6 +88,35 @@ def read_heads(spark: SparkSession, folder: str, n: int = BYTES, files: int = FI
     return spark.read.format("file_heads").option("bytes", n).option("files", files).load(folder)
 
 
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, length of every file below folder, hidden ones left out. The driver lists the folder itself; tasks list the folders in
+    it, so that no library's names are gathered."""
+    store, at = open_store(folder)
+    head = folder.rstrip("/")
+    named = lambda p: head + p[len(at.rstrip("/")) :]
+    shown = lambda f: f.base_name[:1] not in ("", ".", "_")
+    top = [(x, True) for x in _inner(store, at)] + [(at, False)]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = open_store(folder)
+        for batch in batches:
+            todo = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            while todo:
+                path, deep = todo.pop()
+                found = [f for f in store.get_file_info(pfs.FileSelector(path)) if shown(f)]
+                todo += [(f.path, True) for f in found if deep and f.type == pfs.FileType.Directory]
+                files = [f for f in found if f.type == pfs.FileType.File]
+                for k in range(0, len(files), 4096):
+                    part = files[k : k + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array([named(f.path) for f in part], pa.string()), pa.array([f.size for f in part], pa.int64())], _NAMES[:2])
+
+    return spark.createDataFrame(top, "folder string, deep boolean").repartition(max(1, len(top))).mapInArrow(walk, "path string, length long")
+
+
+def _inner(store: pfs.FileSystem, at: str) -> list[str]:
+    return [f.path for f in store.get_file_info(pfs.FileSelector(at)) if f.type == pfs.FileType.Directory and f.base_name[:1] not in ("", ".", "_")]
+
+
 def _seen_by_arrow(folder: str) -> bool:
     try:
         store, at = open_store(folder)
@@ -96,6 +125,19 @@ def _seen_by_arrow(folder: str) -> bool:
         return False
 
 
+def listed_heads(spark: SparkSession, folder: str, n: int = BYTES) -> DataFrame:
+    """path, length, head of every file below folder, as read_heads() gives them; files are listed in tasks and dealt out anew."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([read_bytes(p, n) for p in part.column(0).to_pylist()], pa.binary())], _NAMES)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return list_files(spark, folder).repartition(parts, "path").mapInArrow(read, "path string, length long, head binary")
+
+
 def with_heads(rows: DataFrame, spark: SparkSession, folder: str, file: str = "file", n: int = BYTES) -> DataFrame:
     """rows with the first n bytes (head) of their file, named by its path below folder; null where it is missing or not named.
 
@@ -125,11 +167,13 @@ def write_files(rows: DataFrame, folder: str, file: str = "file", content: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
-        n = 0
+        n, made = 0, set()
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 path = f"{root.rstrip('/')}/{name}"
-                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                if (own := path.rsplit("/", 1)[0]) not in made:
+                    store.create_dir(own, recursive=True)
+                    made.add(own)
                 with store.open_output_stream(path) as f:
                     f.write(data)
                 n += 1

@@ -16,6 +16,15 @@ def test_folders_of_files(spark, tmp_path):
     assert heads.read_heads(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_files_listed_in_tasks(spark, tmp_path, monkeypatch):
+    files = [(f"{k % 3}/{k % 2}/{k}.bin", b"x" * k) for k in range(60)] + [("top", b"abc"), ("0/.hidden", b"no"), ("_tmp/y", b"no")]
+    heads.write_files(spark.createDataFrame([(f, bytearray(c)) for f, c in files], "file string, content binary"), str(tmp_path / "f"))
+    want = sorted((r.path, r.length, bytes(r.head)) for r in heads.read_heads(spark, str(tmp_path / "f"), 4).collect())
+    monkeypatch.setattr(heads.HeadsReader, "partitions", None)
+    assert sorted((r.path, r.length, bytes(r.head)) for r in heads.listed_heads(spark, str(tmp_path / "f"), 4).collect()) == want
+    assert len(want) == 61
+
+
 def test_rows_open_their_own_files(spark, tmp_path):
     df = spark.createDataFrame([("a/x", bytearray(b"abcdef")), ("b/x", bytearray(b"xyz"))], "file string, content binary")
     heads.write_files(df, str(tmp_path / "f"))
