@@ -76,8 +76,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Where a cut leaves part of a character, that part goes too. Rows that agree in doc_id and text all get what is left of
     the first.
     """
-    cut = suffix_dedup.cut_repeats(docs).withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept")))
-    cut = materialise(suffix_dedup.kept_texts(cut).select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_KEY), F.col("text").alias("_left"), "n_removed"))
+    cut = materialise(suffix_dedup.cut_texts(docs).select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_KEY), F.col("text").alias("_left"), "n_removed"))
     clear, rest = sieve(_keyed(docs), materialise(cut.where("n_removed > 0").select(_ID, _KEY).distinct()), _ID, _KEY)
     first = cut.groupBy(_ID, _KEY).agg(F.min_by("_left", "n_removed").alias("_left"))
     rest = _met(rest, first, "left")

@@ -19,10 +19,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_count, partitions, text_of
+from .common import block_count, give_back, partitions, text_of
 
 #: Blocks in a partition, at least where the session has partitions for more.
 BLOCKS = 16
+#: Bytes of a block's texts that are cut into units at a time, and positions of units whose answers are laid out at a time.
+RUN, POSITIONS = 1 << 20, 1 << 18
 _REQUESTS = "part int, block int, words binary"
 _ANSWERS = "block int, part int, answer binary"
 
@@ -51,7 +53,8 @@ def unpack_strings(value: bytes) -> pa.Array:
 def pack_arrays(*arrays: np.ndarray, level: int = 3) -> bytes:
     """Compressed little-endian arrays of any integer or float kind."""
     head = ";".join(f"{a.dtype.str}:{a.size}" for a in arrays).encode()
-    return zstandard.ZstdCompressor(level=level).compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    raw = b"".join([len(head).to_bytes(4, "little"), head, *(np.ascontiguousarray(a).view(np.uint8).data if a.size else b"" for a in arrays)])
+    return bytes(memoryview(zstandard.ZstdCompressor(level=level).compress(raw)))  # what compress() returns keeps the memory of the longest result
 
 
 def unpack_arrays(value: bytes) -> list[np.ndarray]:
@@ -70,14 +73,19 @@ def _pack(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBa
             continue
         ids, block = batch.column(0), batch.column(2).to_numpy()
         raw, known = ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
-        texts = batch.column(1).to_pylist()
+        texts = batch.column(1).cast(pa.large_binary())  # the bytes stay where they are; a block's own are copied when it is packed
         order = np.argsort(block, kind="stable")
         cuts = np.flatnonzero(np.diff(block[order])) + 1
         keys, values = [], []
         for rows in np.split(order, cuts):
+            offsets, data = layout(texts.take(pa.array(rows)))
             keys.append(block[rows[0]])
-            values.append(pack_arrays(raw[rows], known[rows].astype(np.uint8), np.array([len(texts[r]) for r in rows], np.int64), np.frombuffer(b"".join(texts[r] for r in rows), np.uint8), level=level))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["block", "payload"])
+            values.append(pack_arrays(raw[rows], known[rows].astype(np.uint8), np.diff(offsets), data[offsets[0] : offsets[-1]], level=level))
+        packed = pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.binary())], ["block", "payload"])
+        del batch, ids, texts, values
+        yield packed
+        del packed
+        give_back()
 
 
 def blocks_of(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20, level: int = 3) -> DataFrame:
@@ -92,8 +100,8 @@ def blocks_of(docs: DataFrame, text: str = "text", block_bytes: int = 4 << 20, l
 
 
 def released(table: pa.Table) -> pa.Table:
-    """The table, after Arrow's pool has given back what it no longer needs: idle workers keep their memory otherwise."""
-    pa.default_memory_pool().release_unused()
+    """The table of a group that is done, after what it took has been given back: idle workers keep their memory otherwise."""
+    give_back()
     return table
 
 
@@ -188,10 +196,37 @@ def numbered(strings: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return strings.take(pa.array(first)), codes
 
 
-def coded(texts: list[bytes], units: Units) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The distinct units in order of appearance, each position's number among them, and how many each text has."""
-    flat, sizes = units(texts)
-    return *numbered(flat), sizes
+def runs(texts: list[bytes], run_bytes: int = RUN) -> Iterator[list[bytes]]:
+    """The texts in turn, about run_bytes of them at a time; a longer text comes alone. One empty run where there are none."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if k > start and size + len(t) > run_bytes:
+            yield texts[start:k]
+            start, size = k, 0
+        size += len(t)
+    yield texts[start:]
+
+
+def coded(texts: list[bytes], units: Units, run_bytes: int = RUN) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct units in order of appearance, each position's number among them, and how many each text has.
+
+    Texts are cut in runs, so that positions and bytes of all units are held for one run at a time.
+    """
+    found, codes, sizes = [], [], []
+    for run in runs(texts, run_bytes):
+        flat, n = units(run)
+        words, own = numbered(flat)
+        found.append(words)
+        codes.append(own.astype(np.int32) if len(words) < 1 << 31 else own)
+        sizes.append(n)
+    if len(found) == 1:
+        return found[0], codes[0], sizes[0]
+    words, place = numbered(pa.concat_arrays(found))
+    place = place.astype(np.int32) if len(words) < 1 << 31 else place
+    ends = np.cumsum([len(f) for f in found]).tolist()
+    for k, end in enumerate(ends):
+        codes[k] = place[end - len(found[k]) : end][codes[k]]
+    return words, np.concatenate(codes), np.concatenate(sizes)
 
 
 def part_count(docs: DataFrame, text: str = "text", part_bytes: int = 128 << 20) -> int:
@@ -226,14 +261,14 @@ def exchange(blocks: DataFrame, parts: int, units: Units, answer: Callable, fini
         words, _, _ = coded(texts, units)
         order, groups = by_owner(words, parts)
         words = words.take(pa.array(order))
-        return released(pa.table({"part": pa.array([p for p, _, _ in groups], pa.int32()), "block": pa.array([block] * len(groups), pa.int32()), "words": pa.array([pack_strings(words[a:b]) for _, a, b in groups], pa.binary())}))
+        return pa.table({"part": pa.array([p for p, _, _ in groups], pa.int32()), "block": pa.array([block] * len(groups), pa.int32()), "words": pa.array([pack_strings(words[a:b]) for _, a, b in groups], pa.binary())})
 
     def own(table: pa.Table, *rows: pa.Table) -> pa.Table:
         asked = [unpack_strings(x.as_py()) for x in table.column("words")]
         words, codes = numbered(pa.concat_arrays(asked) if asked else pa.array([], pa.large_binary()))
         reply = answer(words, *rows)
         cuts = np.cumsum([len(a) for a in asked])[:-1]
-        return released(pa.table({"block": table.column("block"), "part": table.column("part"), "answer": pa.array([pack_arrays(*reply(a)) for a in (np.split(codes, cuts) if asked else [])], pa.binary())}))
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "answer": pa.array([pack_arrays(*reply(a)) for a in (np.split(codes, cuts) if asked else [])], pa.binary())})
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, texts = documents_in(left.column("payload"))
@@ -243,12 +278,18 @@ def exchange(blocks: DataFrame, parts: int, units: Units, answer: Callable, fini
         place[order] = np.arange(len(words))
         replies = sorted(zip(right.column("part").to_pylist(), right.column("answer").to_pylist(), strict=True))
         arrays = [unpack_arrays(a) for _, a in replies]
-        return released(finish(left.column("block")[0].as_py(), ids, texts, words, codes, sizes, place, arrays))
+        return finish(left.column("block")[0].as_py(), ids, texts, words, codes, sizes, place, arrays)
 
-    asked = blocks.groupBy("block").applyInArrow(ask, _REQUESTS)
+    asked = blocks.groupBy("block").applyInArrow(lambda t: released(ask(t)), _REQUESTS)
     asked = asked.groupBy("part")
-    answered = asked.applyInArrow(lambda t: own(t), _ANSWERS) if known is None else asked.cogroup(known.groupBy("part")).applyInArrow(lambda t, rows: own(t, rows), _ANSWERS)
-    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(join, schema)
+    answered = asked.applyInArrow(lambda t: released(own(t)), _ANSWERS) if known is None else asked.cogroup(known.groupBy("part")).applyInArrow(lambda t, rows: released(own(t, rows)), _ANSWERS)
+    return blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(lambda a, b: released(join(a, b)), schema)
+
+
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n of them, for each pair, end to end."""
+    ends = np.cumsum(n)
+    return np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def spread(codes: np.ndarray, place: np.ndarray, arrays: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -258,13 +299,15 @@ def spread(codes: np.ndarray, place: np.ndarray, arrays: list[list[np.ndarray]])
     lengths = np.concatenate([a[0] for a in arrays]).astype(np.int64)
     values = np.concatenate([a[1] for a in arrays])
     starts = np.cumsum(lengths) - lengths
-    at = place[codes]
-    n, s = lengths[at], starts[at]
-    ends = np.cumsum(n)
-    kind = np.int32 if max(int(ends[-1]), len(values)) < 1 << 31 else np.int64
-    index = np.repeat((s - (ends - n)).astype(kind), n)
-    index += np.arange(len(index), dtype=kind)
-    return n, values[index]
+    n = np.empty(len(codes), np.int32 if int(lengths.max()) < 1 << 31 else np.int64)
+    for k in range(0, len(codes), POSITIONS):
+        n[k : k + POSITIONS] = lengths[place[codes[k : k + POSITIONS]]]
+    out, end = np.empty(int(n.sum(dtype=np.int64)), values.dtype), 0
+    for k in range(0, len(codes), POSITIONS):
+        own = values[ranges(starts[place[codes[k : k + POSITIONS]]], n[k : k + POSITIONS].astype(np.int64))]
+        out[end : end + len(own)] = own
+        end += len(own)
+    return n, out
 
 
 def id_answers(encode: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> Callable:

@@ -67,9 +67,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, text: str = "t
 
     def finish(block, ids, texts, words, codes, sizes, place, arrays) -> pa.Table:
         n, values = B.spread(codes, place, arrays)
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        at = [0, *np.cumsum(sizes).tolist()]
+        ends = np.cumsum([0, *(int(n[a:b].sum(dtype=np.int64)) for a, b in zip(at, at[1:], strict=False))]).tolist()
         last = np.array([end_id], "<u4").tobytes()
-        raw = memoryview(values.astype("<u4").tobytes())
+        raw = memoryview(np.ascontiguousarray(values, "<u4").view(np.uint8))
         rows, ranks = [], {}
         for doc_id, a, b in zip(ids, ends, ends[1:], strict=False):
             total = b - a + 1

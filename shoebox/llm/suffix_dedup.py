@@ -17,7 +17,7 @@ need comparing, together with the strings that each of them stands for. Four ste
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .blocks import ranges
 from .common import text_of
 
 SPAN, GRAM = 100, 32
@@ -161,12 +162,6 @@ def numbered(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first, first + 1, ... n of them, for each pair, end to end."""
-    ends = np.cumsum(n)
-    return np.repeat(first - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 class Block:
     """A block's documents end to end, with their anchors; the same in every step that reads the block."""
 
@@ -309,22 +304,36 @@ def _compare(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([blocks[k] for k in told], pa.int32()), "marks": pa.array(marks, pa.binary())})
 
 
-def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
+def covered(whole: tuple[np.ndarray, np.ndarray], single: np.ndarray, size: int) -> np.ndarray:
+    """Which of `size` bytes strings of SPAN bytes cover: those that start from a first to a last place (apart from each
+    other), and at single places. Arrays of one and four bytes for each byte, however many strings there are."""
+    edge = np.zeros(size + 1, np.int8)
+    edge[whole[0]] += 1
+    edge[whole[1] + 1] -= 1
+    starts = np.cumsum(edge[:-1], dtype=np.int8)
+    starts[single] = 1
+    total = starts.astype(np.int32)
+    del edge, starts
+    np.cumsum(total, out=total)  # may wrap around: only differences of up to SPAN matter
+    out = total != 0
+    out[SPAN:] = total[SPAN:] != total[:-SPAN]
+    return out
+
+
+def _cut(left: pa.Table, right: pa.Table, changed_only: bool) -> pa.Table:
+    """changed_only: kept is null where nothing goes."""
     block = Block(left.column("payload"))
-    whole = block.repeats()
-    mark = np.zeros(len(block.text) + 1, bool)
+    whole, single = block.repeats(), [np.zeros(0, np.uint32)]
     for value in right.column("marks"):
-        full, single = B.unpack_arrays(value.as_py())
+        full, some = B.unpack_arrays(value.as_py())
         whole[full] = True
-        mark[single] = True
-    mark[ranges(block.first[whole], (block.last - block.first + 1)[whole])] = True
-    total = np.cumsum(mark[:-1])
-    gone = (total - np.concatenate([np.zeros(min(SPAN, len(total)), total.dtype), total[:-SPAN]])) > 0
+        single.append(some)
+    gone = covered((block.first[whole], block.last[whole]), np.concatenate(single), len(block.text))
     out = []
     for doc_id, text_hash, a, b in zip(block.ids, block.order[2].view(np.int64).tolist(), np.concatenate([[0], block.ends[:-1]]).tolist(), block.ends.tolist(), strict=True):
         own = gone[a:b]
         spans = int(own[:1].sum()) + int((own[1:] & ~own[:-1]).sum())
-        kept = block.raw[a:b] if not spans else block.text[a:b][~own].tobytes()
+        kept = block.text[a:b][~own].tobytes() if spans else None if changed_only else block.raw[a:b]
         out.append((doc_id, b - a, int(own.sum()), spans, kept, text_hash))
     columns = list(zip(*out, strict=True)) if out else [[]] * 6
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
@@ -357,14 +366,40 @@ def cut_repeats(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFram
     their texts' hashes, and rows that are alike one after the other. Other columns are ignored; an empty table gives an
     empty result. A text may have any length that a Spark string has; a task holds one document and a few arrays of its size.
     """
+    return _cut_blocks(docs, text, hot, _cut_schema("kept binary"), lambda a, b: _cut(a, b, False))
+
+
+def cut_texts(docs: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
+    """cut_repeats(docs) with `text` in place of kept: null where nothing goes, else what kept_texts() makes of kept.
+
+    The task that cuts a text makes it a text too: texts that stay as they are leave no task, and no second one runs beside it.
+    """
+    return _cut_blocks(docs, text, hot, _cut_schema("text string"), lambda a, b: _with_texts(_cut(a, b, True)))
+
+
+def _cut_schema(left: str) -> str:
+    return f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {left}, text_hash bigint"
+
+
+def _cut_blocks(docs: DataFrame, text: str, hot: int, schema: str, cut: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
     parts = B.part_count(docs, text, BUCKET_BYTES)
     splitters = sample_splitters(docs, parts, text)
     blocks = B.blocks_of(docs, text)
-    asked = blocks.groupBy("block").applyInArrow(lambda t: _ask(t, parts), "part int, block int, grams binary")
-    told = asked.groupBy("part").applyInArrow(lambda t: _own(t, hot), "block int, part int, verdict binary")
-    sent = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: _send(a, b, parts, splitters), "bucket int, block int, anchors binary")
-    marks = sent.groupBy("bucket").applyInArrow(_compare, "block int, marks binary")
-    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, text_hash bigint")
+    asked = blocks.groupBy("block").applyInArrow(lambda t: B.released(_ask(t, parts)), "part int, block int, grams binary")
+    told = asked.groupBy("part").applyInArrow(lambda t: B.released(_own(t, hot)), "block int, part int, verdict binary")
+    sent = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(lambda a, b: B.released(_send(a, b, parts, splitters)), "bucket int, block int, anchors binary")
+    marks = sent.groupBy("bucket").applyInArrow(lambda t: B.released(_compare(t)), "block int, marks binary")
+    return blocks.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(lambda a, b: B.released(cut(a, b)), schema)
+
+
+def _characters(kept: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """The texts of these bytes, without bytes that form no character."""
+    return pa.array([x.as_py().decode("utf-8", "ignore") if x.is_valid else None for x in kept], pa.string())
+
+
+def _with_texts(cut: pa.Table) -> pa.Table:
+    at = cut.column_names.index("kept")
+    return cut.set_column(at, "text", _characters(cut.column(at)))
 
 
 def kept_texts(cut: DataFrame) -> DataFrame:
@@ -372,8 +407,7 @@ def kept_texts(cut: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([x.as_py().decode("utf-8", "ignore") if x.is_valid else None for x in batch.column("kept")], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), texts], [*keep, "text"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), _characters(batch.column("kept"))], [*keep, "text"])
 
     keep = [c for c in cut.columns if c != "kept"]
     return cut.mapInArrow(run, ", ".join([*(f"{c} bigint" for c in keep), "text string"]))
