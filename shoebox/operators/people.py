@@ -33,7 +33,9 @@ def _classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = F.when(F.col("zero"), F.col("ord")).otherwise(F.lit(-1))
     reps = rows.groupBy("scope", "vector", own.alias("alone")).agg(F.min("ord").alias("cls"), F.min(F.when(F.col("person").isNotNull(), F.col("ord"))).alias("assigned"))
     reps = materialise(reps)
-    members = materialise(rows.withColumn("alone", own).join(reps.select("scope", "vector", "alone", "cls"), ["scope", "vector", "alone"]).select("id", "ord", "person", "cls"))
+    key = [F.xxhash64("vector").alias("hash"), "scope", "vector"]  # the hash first, so that a sort seldom compares vectors
+    members = rows.select("id", "ord", "person", own.alias("alone"), *key).join(apart(reps.select(*key, "alone", "cls")), ["hash", "scope", "vector", "alone"])
+    members = materialise(members.select("id", "ord", "person", "cls"))
     return members, reps.select("cls", "scope", "vector", "assigned")
 
 
@@ -98,7 +100,11 @@ def assign_known(faces: DataFrame, tau: float = TAU, scope: str | None = None) -
         state = state.join(apart(entered), "cls", "left").withColumn("new", F.least("low", "enter"))
         return state.select("cls", F.col("new").alias("low"), F.least("from", "new").alias("from"), (~F.col("low").eqNullSafe(F.col("new"))).alias("moved"))
 
-    state = until_stable(start, step, lambda s: s.where("moved").limit(1).count())
+    def open_(state: DataFrame) -> bool:
+        """Whether a low moved and a class is left that may still hear of it."""
+        return not state.where("moved").isEmpty() and not state.where("from IS NULL OR from <> -1").isEmpty()
+
+    state = until_stable(start, step, open_)
     inside = new.join(apart(state.select("cls", "from")), "cls").where("ord > from").select("id")
     found = _assign(members, classes, tau, materialise(inside))
     heads = members.select(F.col("ord").alias("root"), F.col("person").alias("root_person"))
