@@ -110,3 +110,12 @@ def test_rounds_end_when_every_class_is_near_an_assigned_face(spark, monkeypatch
     got = people.assign_known(spark.createDataFrame(rows, "id long, ord long, person string, vector array<double>"), TAU).collect()
     assert {r.person for r in got} == {"p"} and len(got) == 80
     assert len(rounds) == 1
+
+
+def test_pairs_of_blocks_are_dealt_to_partitions_of_their_own(spark):
+    """Before, partitions were merged by their bytes: 36 pairs of 51,282 vectors made nine tasks."""
+    df = spark.range(20_000).select("id", F.array(*[F.randn(k) for k in range(4)]).alias("vector"))
+    at = vectors._blocks(df, None, None, (), 1.5).select(F.spark_partition_id().alias("p"), "i", "j").distinct().collect()
+    pairs = {(r.i, r.j) for r in at}
+    assert len(at) == len(pairs) == 36
+    assert len({r.p for r in at}) >= 24
